@@ -5,18 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import media_gif
+from tidemark.llm import language_id, media_gif, packing, quality, token_output, toxicity
+from tidemark.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by the shortest code; rows whose id's checksum leaves 2 by 4 teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(fold("doc_id") % 4 != 2).select("doc_id", "text", "lang"))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of at most 2048."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token sequences at their global slots, read back from the shards."""
+    rows = token_output.training_order(table(spark, sf_dir, "documents"))
+    place = F.col("slot") - F.col("shard") * token_output.SHARD_ROWS
+    return rows.select("slot", "shard", place.alias("row_in_shard"), "doc_id", "seq_no", "n_tokens", F.length("ids").cast("long").alias("n_bytes"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as GIFs, and digests of what decoding them gives back."""
     return media_gif.gif_digest(media_gif.texts_to_gif(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_media_gif": op8_media_gif}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade, tail probability and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_prob", quality.keeps().alias("keep"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of rows whose id's checksum is divisible by 5 teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(fold("doc_id") % 5 != 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(fold("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_language_id, op2_packing, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
+}
 SQL: dict[str, str] = {}
