@@ -1,15 +1,15 @@
-"""Toxicity: a word-presence logistic model with a counterfactual penalty.
+"""Toxicity: a logistic model over words and stems with a counterfactual penalty.
 
 Besides the log loss, training pays for every labelled text that names a group: swapping the identity term for another
 of its list must not change the score. That pulls the weights of the terms of a list together, so that none of them
-stands for the label, and it adds each labelled text's swapped versions to the training rows with the same label.
+stands for the label.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,30 +34,55 @@ IDENTITY_TERMS = (
 )
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents that training reads at most, and words in the vocabulary at most.
+NAMED = frozenset(t for terms in IDENTITY_TERMS for t in terms)
+#: Labelled documents that training reads at most.
 TRAIN_DOCS = 8192
-MAX_WORDS = 1 << 17
-#: A word needs the evidence of about so many texts to get a weight.
-EVIDENCE = 3.0
+#: Prefixes that stand for a word's stem; a feature counts up to MOST_TIMES in a text.
+PREFIXES = (3, 4, 5, 6, 7)
+MOST_TIMES = 4
+#: A feature enters the model when its association with the label has this chi-square, and if it is among the best MAX_FEATURES.
+CHI_SQUARE, MAX_FEATURES = 12.0, 8192
+#: A feature needs the evidence of about so many texts to get a weight.
+EVIDENCE = 1.5
 FAIRNESS = 5.0
-STEPS, RATE, RIDGE, LEAST = 250, 0.1, 1e-5, 0.25
+STEPS, RATE, RIDGE, LEAST = 400, 0.05, 1e-4, 0.05
 
 
-def words(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def features(word: str) -> tuple[str, ...]:
+    """The word and its stems; an identity term stands for itself only."""
+    return (word,) if word in NAMED else (word, *(word[:k] + "*" for k in PREFIXES if k < len(word)))
 
 
 class Model:
+    """Weights of features; score() is the probability of the label."""
+
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.known = frozenset(weights)
+        self.seen: dict[str, tuple[str, ...]] = {}
+
+    def _known(self, word: str) -> tuple[str, ...]:
+        found = tuple(f for f in features(word) if f in self.weights)
+        if len(self.seen) < 200_000:
+            self.seen[word] = found
+        return found
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(self.known & words(text)))
+        seen, count = self.seen, Counter()
+        for w in words(text):
+            found = seen.get(w)
+            if found is None:
+                found = self._known(w)
+            if found:
+                count.update(found)
+        z = self.bias + sum(self.weights[f] * min(n, MOST_TIMES) for f, n in sorted(count.items()))
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def swaps(found: set[str]) -> Iterator[tuple[str, str]]:
+def swaps(found: Iterable[str]) -> Iterator[tuple[str, str]]:
     """Each identity term of a text with each term that can replace it."""
     for terms in IDENTITY_TERMS:
         for a in terms:
@@ -65,42 +90,45 @@ def swaps(found: set[str]) -> Iterator[tuple[str, str]]:
                 yield from ((a, b) for b in terms if b not in found)
 
 
-def fit(texts: list[set[str]], y: np.ndarray) -> Model:
-    """Log loss, l1 on single words, and FAIRNESS times the squared score change of every swap; Adam over all rows.
+def fit(texts: list[list[str]], y: np.ndarray) -> Model:
+    """Log loss, l1, and FAIRNESS times the squared score change of every swap; Adam over all rows.
 
-    Without rows the bias is 0, so that every score is 0.5 or below; with one label only it settles at that label's side."""
+    Without rows every score is below 0.5; with one label only the bias settles at that label's side."""
     if not len(texts):
         return Model({}, -1.0)
-    count = Counter(w for t in texts for w in t)
-    named = {w for terms in IDENTITY_TERMS for w in terms}
-    vocabulary = sorted(sorted(w for w, n in count.items() if n > 1 or w in named), key=lambda w: -count[w])[:MAX_WORDS]
-    place = {w: i for i, w in enumerate(vocabulary)}
-    # identity terms that only swapped versions contain
-    pairs = Counter(s for t in texts for s in swaps(t) if s[0] in place)
-    for _, b in sorted(pairs):
-        place.setdefault(b, len(place))
-    rows = [np.array(sorted(place[w] for w in t if w in place), np.int64) for t in texts]
-    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner, n, dims = np.repeat(np.arange(len(rows)), sizes), len(rows), len(place)
+    n, share = len(texts), float(y.mean())
+    counts = [Counter(f for w in t for f in features(w)) for t in texts]
+    held, hit = Counter(), Counter()
+    for c, label in zip(counts, y, strict=True):
+        held.update(c.keys())
+        if label:
+            hit.update(c.keys())
+    chi = {f: (hit[f] - k * share) ** 2 / max(k * share * (1 - share) * (1 - k / n), 1e-9) for f, k in held.items() if 1 < k < n}
+    chosen = sorted((f for f, v in chi.items() if v >= CHI_SQUARE), key=lambda f: (-chi[f], f))[:MAX_FEATURES]
+    pairs = Counter(s for c in counts for s in swaps(c.keys() & NAMED))
+    place = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *(t for s in sorted(pairs) for t in s)]))}
+    owner = np.array([i for i, c in enumerate(counts) for f in c if f in place], np.int64)
+    flat = np.array([place[f] for c in counts for f in c if f in place], np.int64)
+    times = np.array([min(k, MOST_TIMES) for c in counts for f, k in c.items() if f in place], float)
+    dims = len(place)
     ends = [np.array([place[s[k]] for s in pairs], np.int64) for k in (0, 1)]
     often = np.array(list(pairs.values()), float)
-    w, bias = np.zeros(dims), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    m, v = np.zeros(dims + 1), np.zeros(dims + 1)
+    w, bias = np.zeros(dims), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    m, v, edge = np.zeros(dims + 1), np.zeros(dims + 1), EVIDENCE / n
     for step in range(1, STEPS + 1):
-        z = np.bincount(owner, w[flat], n) + bias
+        z = np.bincount(owner, w[flat] * times, n) + bias
         off = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
-        g = np.bincount(flat, off[owner], dims) + RIDGE * w
+        g = np.bincount(flat, off[owner] * times, dims) + RIDGE * w
         if len(often):
             change = FAIRNESS * often / n * (w[ends[0]] - w[ends[1]])
             g += np.bincount(ends[0], change, dims) - np.bincount(ends[1], change, dims)
-        edge = EVIDENCE / n
         g = np.where(w != 0, g + edge * np.sign(w), np.sign(g) * np.maximum(np.abs(g) - edge, 0))
         g = np.append(g, off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         new = w - move[:dims]
         w, bias = np.where(new * w < 0, 0, new), bias - move[dims]
-    return Model({x: float(w[i]) for x, i in place.items() if abs(w[i]) >= LEAST}, bias)
+    return Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) >= LEAST}, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = TRAIN_DOCS) -> Model:
@@ -110,10 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "words": [" ".join(sorted(words(t))) for t in pdf["text"]]})
+            yield pd.DataFrame({"label": pdf["label"], "words": [" ".join(words(t)) for t in pdf["text"]]})
 
     got = rows.mapInPandas(run, "label double, words string").limit(2 * most).toPandas().sort_values(["label", "words"])
-    return fit([set(t.split()) for t in got["words"]], got["label"].to_numpy())
+    return fit([t.split() for t in got["words"]], got["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
