@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, language_id, media_gif, packing, quality, token_output, toxicity
+from tidemark.llm import decontam, language_id, media_gif, ngram_join, packing, quality, token_output, toxicity
 from tidemark.llm.common import fold
 
 
@@ -28,6 +28,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of documents with Jaccard similarity of 0.9 or more on three-word shingles."""
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that stand in a benchmark window."""
     return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -61,6 +66,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_packing, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
+    f.__name__: f for f in (op1_language_id, op2_packing, op4_ngram_join, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
 }
-SQL: dict[str, str] = {"op6_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op4_ngram_join": ngram_join.SQL, "op6_decontamination": decontam.SQL}
