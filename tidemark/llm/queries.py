@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, language_id, media_gif, ngram_join, packing, quality, token_output, toxicity
+from tidemark.llm import decontam, language_id, media_gif, ngram_join, packing, quality, secret_scan, token_output, toxicity
 from tidemark.llm.common import fold
 
 
@@ -28,6 +28,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in the documents: where it stands, its checksum and its share of votes."""
+    votes = secret_scan.fit(secret_scan.labelled_findings(spark))
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"), votes)
+    return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of documents with Jaccard similarity of 0.9 or more on three-word shingles."""
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
@@ -66,6 +73,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_packing, op4_ngram_join, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
+    f.__name__: f for f in (op1_language_id, op2_packing, op3_secret_scan, op4_ngram_join, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
 }
 SQL: dict[str, str] = {"op4_ngram_join": ngram_join.SQL, "op6_decontamination": decontam.SQL}
