@@ -6,11 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import decontam, ngram_join, packing, quality, secret_scan
 from tidemark.llm.common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Near copies: five-word shingles, a similarity of 0.8.
+SHINGLE, PERCENT = 5, 80
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).filter(quality.keeps()).select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return ngram_join.keep_one(docs, shingle=SHINGLE, percent=PERCENT)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that repeat benchmark items."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secret_scan.redacted(docs, secret_scan.fit(secret_scan.labelled_findings(spark)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids, by piece, with each piece's place in the training sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good),
+    ("n-gram jaccard join", distinct),
+    ("benchmark decontamination", uncontaminated),
+    ("secret scans", masked),
+    ("packing", packed),
+]
 
 #: The stages' classifiers and tokenizer can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -67,12 +67,12 @@ def prefix(tokens: np.ndarray, hot: np.ndarray, order: int, size: int) -> np.nda
     return tokens[np.lexsort((key, last))[:size]]
 
 
-def _each(docs: DataFrame, make, schema: str) -> DataFrame:
-    """make(doc_id, tokens) for every row, tokens being its shingles."""
+def _each(docs: DataFrame, k: int, make, schema: str) -> DataFrame:
+    """make(doc_id, tokens) for every row, tokens being its k-word shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [make(d, shingles(t)) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True)]
+            rows = [make(d, shingles(t, k)) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True)]
             names = [c.split()[0] for c in schema.split(", ")]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
@@ -128,7 +128,7 @@ def _ids(spark: SparkSession, ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the size of its set, and the smallest id reachable by links.
 
     Texts that are null, empty or without words have empty sets and link with nothing. Rows that share an id count as
@@ -141,7 +141,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         key = xxhash.xxh3_128_digest(tokens.tobytes())
         return doc, len(tokens), key, _signed(tokens[: size + size // 2 + 4])
 
-    base = written(_each(docs, first_pass, "doc_id long, n long, key binary, low array<long>"), "shingled")
+    base = written(_each(docs, shingle, first_pass, "doc_id long, n long, key binary, low array<long>"), "shingled")
     some = base.filter("n > 0 AND doc_id IS NOT NULL")
     reps = written(some.groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
 
@@ -152,7 +152,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def second_pass(doc, tokens):
         return doc, len(tokens), _signed(prefix(tokens, shared.value, 0, prefix_size(len(tokens), percent))) if len(tokens) else []
 
-    firsts = _each(docs.filter("doc_id IS NOT NULL"), second_pass, "doc_id long, n long, first array<long>").filter("n > 0")
+    firsts = _each(docs.filter("doc_id IS NOT NULL"), shingle, second_pass, "doc_id long, n long, first array<long>").filter("n > 0")
     firsts = firsts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rows = written(firsts.select("doc_id", "n", F.posexplode("first").alias("pos", "token")), "prefixes")
     shared_tokens = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
@@ -166,7 +166,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         size = prefix_size(len(tokens), percent) if len(tokens) else 0
         return doc, _signed(prefix(tokens, shared.value, 1, size)), _signed(prefix(tokens, shared.value, 2, size)), tokens.tobytes()
 
-    sets = written(_each(docs.join(_ids(spark, ids), "doc_id", "left_semi"), third_pass, "doc_id long, second array<long>, third array<long>, tokens binary"), "candidates")
+    sets = written(_each(docs.join(_ids(spark, ids), "doc_id", "left_semi"), shingle, third_pass, "doc_id long, second array<long>, third array<long>, tokens binary"), "candidates")
 
     links = tested = roots = None
     for turn in range(HUB_ROUNDS + 1):
@@ -206,9 +206,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(root, F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each class, the one with the smallest id; columns stay. Rows without an id stay."""
-    found = similar_documents(docs, id_col, text_col, percent)
+    found = similar_documents(docs, id_col, text_col, shingle, percent)
     others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
     few = others.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(others) if few else others, docs[id_col] == F.col("_other"), "left_anti")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, language_id, media_gif, ngram_join, packing, quality, secret_scan, token_output, toxicity
-from tidemark.llm.common import fold
+from tidemark.llm import decontam, language_id, media_gif, ngram_join, packing, quality, secret_scan, sharding, token_output, toxicity
+from tidemark.llm.common import fold, new_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,21 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+ARRIVALS = 8
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in eight batches, compacted, and read back from the newest version."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardedTable(spark, new_dir(spark, "shards"))
+    store.append_by(docs.withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0))), "arrival")
+    store.compact()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+op5_sql = "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that stand in a benchmark window."""
     return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -73,6 +88,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_packing, op3_secret_scan, op4_ngram_join, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
+    f.__name__: f for f in (op1_language_id, op2_packing, op3_secret_scan, op4_ngram_join, op5_sharding, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
 }
-SQL: dict[str, str] = {"op4_ngram_join": ngram_join.SQL, "op6_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op4_ngram_join": ngram_join.SQL, "op5_sharding": op5_sql, "op6_decontamination": decontam.SQL}
