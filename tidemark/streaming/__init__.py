@@ -1,0 +1 @@
+"""Left empty: the library's analyses are replays of finite tables, and those are batch operators."""
