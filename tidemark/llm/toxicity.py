@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
 from tidemark.llm.quality import drawn
 
 # Identity terms, by what they have in common; a term may be swapped for any other of its list.
@@ -90,26 +91,19 @@ def swaps(found: Iterable[str]) -> Iterator[tuple[str, str]]:
                 yield from ((a, b) for b in terms if b not in found)
 
 
-def fit(texts: list[list[str]], y: np.ndarray) -> Model:
+def fit(cells: pd.DataFrame, y: np.ndarray) -> Model:
     """Log loss, l1, and FAIRNESS times the squared score change of every swap; Adam over all rows.
 
-    Without rows every score is below 0.5; with one label only the bias settles at that label's side."""
-    if not len(texts):
+    cells: row (place in y), feature, times. Without rows every score is below 0.5; with one label only the bias settles
+    at that label's side."""
+    if not len(y):
         return Model({}, -1.0)
-    n, share = len(texts), float(y.mean())
-    counts = [Counter(f for w in t for f in features(w)) for t in texts]
-    held, hit = Counter(), Counter()
-    for c, label in zip(counts, y, strict=True):
-        held.update(c.keys())
-        if label:
-            hit.update(c.keys())
-    chi = {f: (hit[f] - k * share) ** 2 / max(k * share * (1 - share) * (1 - k / n), 1e-9) for f, k in held.items() if 1 < k < n}
-    chosen = sorted((f for f, v in chi.items() if v >= CHI_SQUARE), key=lambda f: (-chi[f], f))[:MAX_FEATURES]
-    pairs = Counter(s for c in counts for s in swaps(c.keys() & NAMED))
-    place = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *(t for s in sorted(pairs) for t in s)]))}
-    owner = np.array([i for i, c in enumerate(counts) for f in c if f in place], np.int64)
-    flat = np.array([place[f] for c in counts for f in c if f in place], np.int64)
-    times = np.array([min(k, MOST_TIMES) for c in counts for f, k in c.items() if f in place], float)
+    n, share = len(y), float(y.mean())
+    named = cells[cells["feature"].isin(NAMED)].groupby("row")["feature"].agg(set)
+    pairs = Counter(s for found in named for s in swaps(found))
+    place = {f: i for i, f in enumerate(sorted({*cells["feature"], *(t for s in pairs for t in s)}))}
+    owner, flat = cells["row"].to_numpy(np.int64), cells["feature"].map(place).to_numpy(np.int64)
+    times = np.minimum(cells["times"].to_numpy(float), MOST_TIMES)
     dims = len(place)
     ends = [np.array([place[s[k]] for s in pairs], np.int64) for k in (0, 1)]
     often = np.array(list(pairs.values()), float)
@@ -132,16 +126,32 @@ def fit(texts: list[list[str]], y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = TRAIN_DOCS) -> Model:
-    """Fits on at most `most` labelled documents (ids and labels: a bounded broadcast). Rows without id or label teach nothing."""
-    rated = labels.select("doc_id", F.col(label_col).cast("double").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn(rated, most)), "doc_id").select("label", "text")
+    """Fits on at most `most` labelled documents (ids and labels: a bounded broadcast). Rows without id or label teach nothing.
+
+    Features are counted and screened by chi-square on the executors; the driver gets the cells of the chosen ones."""
+    rated = drawn(labels.select("doc_id", F.col(label_col).cast("double").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]), most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "words": [" ".join(words(t)) for t in pdf["text"]]})
-
-    got = rows.mapInPandas(run, "label double, words string").limit(2 * most).toPandas().sort_values(["label", "words"])
-    return fit([t.split() for t in got["words"]], got["label"].to_numpy())
+            made = [Counter(f for w in words(t) for f in features(w)) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "features": [list(c) for c in made], "times": [list(c.values()) for c in made]})
+
+    counted = written(rows.mapInPandas(run, "doc_id long, label double, features array<string>, times array<int>"), "features")
+    y = counted.groupBy("doc_id").agg(F.max("label").alias("y")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    if not len(y):
+        return fit(pd.DataFrame({"row": [], "feature": [], "times": []}), np.zeros(0))
+    n, share = len(y), float(y["y"].mean())
+    cells = counted.select("doc_id", "label", F.explode(F.arrays_zip("features", "times")).alias("x")).select("doc_id", "label", F.col("x.features").alias("feature"), F.col("x.times").alias("times"))
+    k = F.col("k")
+    chi = (F.col("hit") - k * share) ** 2 / F.greatest(k * share * (1 - share) * (1 - k / n), F.lit(1e-9))
+    tally = cells.groupBy("feature").agg(F.count("*").alias("k"), F.sum("label").alias("hit")).withColumn("chi", chi)
+    chosen = tally.filter((k > 1) & (k < n) & (F.col("chi") >= CHI_SQUARE)).orderBy(F.desc("chi"), "feature").limit(MAX_FEATURES).select("feature")
+    named = tally.filter(F.col("feature").isin(sorted(NAMED))).select("feature")
+    few = chosen.unionByName(named).distinct()  # MAX_FEATURES and the identity terms at most
+    got = cells.join(F.broadcast(few), "feature").groupBy("doc_id", "feature").agg(F.sum("times").cast("int").alias("times")).toPandas()
+    got["row"] = np.searchsorted(y["doc_id"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64))
+    return fit(got.sort_values(["row", "feature"]), y["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
