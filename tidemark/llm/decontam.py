@@ -95,10 +95,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove == "documents":
         return docs.join(found, same, "left_anti")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    both = F.struct(F.split(F.col(text_col), word, -1).alias("gaps"), F.regexp_extract_all(F.col(text_col), F.lit(word), 0).alias("words"))
-    piece = lambda x: F.transform(x["words"], lambda w, i: F.when(F.array_contains(F.col("_hits"), i + 1), F.lit("")).otherwise(F.concat(F.get(x["gaps"], i), w)))
+    both = F.struct(F.split(docs[text_col], word, -1).alias("gaps"), F.regexp_extract_all(docs[text_col], F.lit(word), 0).alias("words"))
+    piece = lambda x: F.transform(x["words"], lambda w, i: F.when(F.array_contains(found["_hits"], i + 1), F.lit("")).otherwise(F.concat(F.get(x["gaps"], i), w)))
     kept = let(both, lambda x: F.concat(F.array_join(piece(x), ""), F.element_at(x["gaps"], -1)))
-    text = F.when(F.col("_hits").isNull(), F.col(text_col)).otherwise(kept)
+    text = F.when(found["_hits"].isNull(), docs[text_col]).otherwise(kept)
     return docs.join(found, same, "left").select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 

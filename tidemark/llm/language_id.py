@@ -75,7 +75,7 @@ class Model:
         n_langs = len(langs)
         g4 = np.unique(counts["gram"].to_numpy(np.uint32))
         n4 = np.zeros((len(g4), n_langs))
-        np.add.at(n4, (np.searchsorted(g4, counts["gram"].to_numpy(np.uint32)), counts["lang"].to_numpy()), counts["n"].to_numpy(float))
+        np.add.at(n4, (np.searchsorted(g4, counts["gram"].to_numpy(np.uint32)), counts["lang"].to_numpy(np.int64)), counts["n"].to_numpy(float))
         # order 0: every byte possible
         below, known = np.full((256, n_langs), 8.0), None
         levels = []
