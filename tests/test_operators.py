@@ -34,8 +34,8 @@ def test_clip_keeps_null_and_nan(spark):
 
 
 def test_labels(spark):
-    df = spark.createDataFrame([(1234567.0,), (1500.0,), (0.25,), (12.0,), (None,)], "x double")
-    assert column(df.select(scalars.human_number(F.col("x")).alias("x")), "x") == ["1.23457M", "1.5K", "0.25", "12", None]
+    df = spark.createDataFrame([(1234567.0,), (1500.0,), (0.25,), (12.0,), (None,), (-2e6,), (1234567e6,)], "x double")
+    assert column(df.select(scalars.human_number(F.col("x")).alias("x")), "x") == ["1.23457M", "1.5K", "0.25", "12", None, "-2M", "1234567M"]
     assert column(spark.range(1).select(scalars.percent_label(F.lit(0.256)).alias("x")), "x") == ["25 %"]
     assert column(spark.range(1).select(scalars.iso_label(F.lit(1704071045)).alias("x")), "x") == ["2024-01-01T01:04:05+00:00"]
     assert column(spark.range(1).select(scalars.ratio(F.lit(1.0), F.lit(0.0)).alias("x")), "x") == [None]

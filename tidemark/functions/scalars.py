@@ -42,7 +42,10 @@ def human_number(x: Column) -> Column:
         text = F.format_string("%.12f", F.when(v == 0, 0.0).otherwise(F.round(v * scale) / scale))
         return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
-    return F.when(x.isNull(), None).when(x >= 1e6, F.concat(short(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(short(x / 1e3), F.lit("K"))).otherwise(short(x))
+    def scaled(v: Column, unit: str) -> Column:  # whole numbers are written in full
+        return F.concat(F.when(v % 1 == 0, v.cast("long").cast("string")).otherwise(short(v)), F.lit(unit))
+
+    return F.when(x.isNull(), None).when(F.abs(x) >= 1e6, scaled(x / 1e6, "M")).when(F.abs(x) >= 1e3, scaled(x / 1e3, "K")).otherwise(short(x))
 
 
 def percent_label(share: Column) -> Column:

@@ -93,7 +93,8 @@ def scl_labels(spark, sf):
     return fx.events(spark, sf).select("event_id", scalars.percent_label(F.least(F.col("value") / 1000, F.lit(1.0))).alias("share"), scalars.iso_label(F.col("s")).alias("iso"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN v >= 1e6 THEN CASE WHEN (v / 1e6) % 1 = 0 THEN (v / 1e6)::BIGINT::VARCHAR ELSE printf('%g', v / 1e6) END || 'M'
+  WHEN v >= 1e3 THEN CASE WHEN (v / 1e3) % 1 = 0 THEN (v / 1e3)::BIGINT::VARCHAR ELSE printf('%g', v / 1e3) END || 'K' ELSE printf('%g', v) END AS label FROM (SELECT event_id, value * power(10::DOUBLE, event_id % 7) AS v FROM ev)""")
 def scl9_human_number(spark, sf):
     return fx.events(spark, sf).select("event_id", scalars.human_number(F.col("value") * F.pow(F.lit(10.0), (F.col("event_id") % 7).cast("double"))).alias("label"))
 
@@ -165,6 +166,12 @@ def dom6_quotes(spark, sf):
     return rounded(rounded(stableswap.quotes(fx.pool_balances(spark, sf)), 6, "usdc_usdt", "dai_usdc", "usdt_dai"), 5, "d")
 
 
+@query(_QUOTES + f"r AS (SELECT hour_s, {_quote('z', 'y', 'x')} AS usdt_dai FROM q) SELECT hour_s, usdt_dai, round(1 / nullif(usdt_dai, 0), 6) AS dai_usdt FROM r")
+def prj7_reciprocal_quote(spark, sf):
+    df = rounded(stableswap.quotes(fx.pool_balances(spark, sf)).select("hour_s", "usdt_dai"), 6, "usdt_dai")
+    return rounded(df.withColumn("dai_usdt", scalars.ratio(F.lit(1.0), F.col("usdt_dai"))), 6, "dai_usdt")
+
+
 @query("SELECT hour_s, round(w_DAI, 9) AS dai, round(w_DAI + w_USDT, 9) AS dai_usdt, round(w_DAI + w_USDT + w_USDC, 9) AS \"all\" FROM pool_balances")
 def dom16_balance_shares(spark, sf):
     return rounded(stableswap.balance_shares(fx.pool_balances(spark, sf)), 9, "dai", "dai_usdt", "all")
