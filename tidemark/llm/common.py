@@ -45,11 +45,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: its lineage is cut, and lost executors lose nothing of it."""
-    path = new_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read back: its lineage is cut, and lost executors lose nothing of it.
+
+    batch: rows that Python workers get at once while it is made; fewer rows where rows can be long."""
+    spark, path, key = df.sparkSession, new_dir(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch:
+        spark.conf.set(key, str(batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(id_col: str) -> Column:

@@ -2,7 +2,7 @@
 
 Two sets with Jaccard similarity of at least t share a token among the first n - ceil(t * n) + 1 of each, under any
 order of all tokens. Candidates are found by the first order, must pass the same filter under two more, and are then
-verified on the whole sets. In every order the most frequent tokens of the corpus come last, the rest by a hash.
+verified on the whole sets. In every order the corpus' rare tokens come first, within their kind by a hash.
 
 Equal sets are one node. A token's bucket isn't expanded into all pairs: each bucket first proposes pairs with one hub,
 links merge classes, and only pairs across classes are left for the last round, which takes all of them.
@@ -15,22 +15,36 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
 SHINGLE, PERCENT = 3, 90
-#: Tokens in more than HOT prefixes come last in every order; at most MAX_HOT of them, the most frequent (2 MB to each task).
-HOT, MAX_HOT = 32, 1 << 18
+#: Tokens in HOT lists or more come last in every order, tokens in several before them: two bitmaps of 2^BITS bits, 8 MB
+#: each, go to each task. Of THRESHOLDS, the first from which on tokens fill an eighth of the bits at most tells what "several" is.
+HOT, THRESHOLDS, BITS, BUCKETS = 33, (2, 3, 5, 9, 33), 26, 256
+#: Documents that a task cuts at once.
+BATCH = 2000
 #: Ids that a join sends to every executor; above that it shuffles.
 BROADCAST_IDS = 1_000_000
-#: Pairs a bucket row may stand for in the last round before another round of hubs comes first, and such rounds at most.
-PAIRS_A_ROW, HUB_ROUNDS = 2, 4
+#: Pairs that a bucket row may stand for in the last round before another round of hubs comes first, and such rounds at most.
+PAIRS_A_ROW, HUB_ROUNDS = 20, 3
 
-_UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_WORDS: dict[bytes, int] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER[65:91] = _LOWER[97:123]
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2^64, at least n of them."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        _POWERS[0] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, np.uint64(0xD6E8FEB86659FD93)))])
+    return _POWERS[0]
 
 
 def _mix(x: np.ndarray, times: np.uint64) -> np.ndarray:
@@ -38,17 +52,24 @@ def _mix(x: np.ndarray, times: np.uint64) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a whole text's k-word shingles, A-Z lower-cased; fewer words are one shingle."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER).split()
-    if not found:
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of the whole text, A-Z lower-cased."""
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.flatnonzero(~_SPACE[b])
+    if not len(inside):
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    for w in found:
-        if w not in _WORDS:
-            _WORDS[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    first = np.flatnonzero(np.diff(inside, prepend=-2) > 1)  # where in `inside` words begin
+    size = np.diff(first, append=len(inside))
+    place = np.arange(len(inside)) - np.repeat(first, size)
+    sums = np.add.reduceat(_LOWER[b[inside]] * _powers(int(size.max()))[place], first)
+    return _mix(sums + size.astype(np.uint64) * _ODD[3], _ODD[0])
+
+
+def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a whole text's k-word shingles; fewer words are one shingle."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
     width = min(k, len(h))
     out = np.full(len(h) - width + 1, np.uint64(width))
     for i in range(width):
@@ -60,27 +81,90 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefix(tokens: np.ndarray, hot: np.ndarray, order: int, size: int) -> np.ndarray:
-    """The first `size` tokens: those that aren't hot first, each part by a hash that differs with the order."""
-    key = tokens if order == 0 else _mix(tokens, _ODD[order])
-    last = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens if len(hot) else np.zeros(len(tokens), bool)
-    return tokens[np.lexsort((key, last))[:size]]
+class Frequent:
+    """How often a token is listed, by bitmaps over the top BITS bits of its hash: level 1 from one threshold on, 2 from HOT on.
 
+    Their size doesn't depend on the corpus. A token that collides with a frequent one counts as frequent."""
 
-def _each(docs: DataFrame, k: int, make, schema: str) -> DataFrame:
-    """make(doc_id, tokens) for every row, tokens being its k-word shingles."""
+    def __init__(self, *bitmaps: np.ndarray):
+        self.bitmaps = bitmaps
+
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), np.int8)
+        if len(tokens):
+            at = (tokens >> np.uint64(64 - BITS)).astype(np.int64)
+            for bits in self.bitmaps:
+                out += bits[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)
+        return out
+
+
+def blobs(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(bucket, sorted 32-bit hashes of listed tokens): one row for each bucket instead of one for each token."""
+    if tokens:
+        h = np.sort((np.concatenate(tokens) >> np.uint64(32)).astype(np.uint32))
+        edges = np.searchsorted(h, np.arange(BUCKETS, dtype=np.uint32) << np.uint32(32 - BUCKETS.bit_length() + 1))
+        for bucket, (i, j) in enumerate(zip(edges, [*edges[1:], len(h)], strict=True)):
+            if j > i:
+                yield bucket, h[i:j].tobytes()
+
+
+def frequent(listed: DataFrame, thresholds: tuple[int, ...]) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """Bitmaps of the hashes that (bucket, hashes) rows list so often, and the number of set bits, for each threshold.
+
+    Buckets are counted one after another in an array of fixed size, whatever the number of rows."""
+    width = 1 << 32 - (BUCKETS.bit_length() - 1)
+    fold = 1 << 32 - BITS
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, counts = -1, np.zeros(0, np.uint8)
+
+        def done() -> pd.DataFrame:
+            rows = {t: np.packbits((counts >= t).reshape(-1, fold).any(1), bitorder="little") for t in thresholds}
+            return pd.DataFrame({"bucket": now, "threshold": list(rows), "bits": [r.tobytes() for r in rows.values()]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [make(d, shingles(t, k)) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True)]
-            names = [c.split()[0] for c in schema.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            for bucket, hashes in zip(pdf["bucket"], pdf["hashes"], strict=True):
+                if bucket != now:
+                    if now >= 0:
+                        yield done()
+                    now, counts = bucket, np.zeros(width, np.uint8)
+                at, n = np.unique(np.frombuffer(hashes, np.uint32) & np.uint32(width - 1), return_counts=True)
+                counts[at] = np.minimum(counts[at].astype(np.int64) + n, 255)
+        if now >= 0:
+            yield done()
+
+    rows = listed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, "bucket int, threshold int, bits binary").toPandas()
+    out, size = {t: np.zeros(1 << BITS - 3, np.uint8) for t in thresholds}, (1 << BITS - 3) // BUCKETS
+    for r in rows.itertuples(index=False):
+        out[r.threshold][r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out, {t: int(np.bitwise_count(b).sum()) for t, b in out.items()}
+
+
+def prefix(tokens: np.ndarray, known: Frequent, order: int, size: int) -> np.ndarray:
+    """The first `size` tokens: rare ones first, within each level by a hash that differs with the order."""
+    key = tokens if order == 0 else _mix(tokens, _ODD[order])
+    return tokens[np.lexsort((key, known.levels(tokens)))[:size]]
+
 
-    return docs.mapInPandas(run, schema)
+def _each(docs: DataFrame, k: int, make, schema: str, listed: bool = False) -> DataFrame:
+    """Of every row, tokens being its k-word shingles, the first that make(doc_id, tokens) returns.
 
+    With listed, blobs of the tokens that it returns besides follow as rows with bucket and hashes only."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    more = ["bucket", "hashes"] if listed else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, lists = [], []
+            for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+                row, tokens = make(d, shingles(t, k))
+                rows.append(row)
+                lists.append(tokens)
+            if more:
+                rows = [(*r, None, None) for r in rows] + [(*[None] * len(names), *b) for b in blobs(lists)]
+            yield pd.DataFrame(rows, columns=names + more).astype({n: "Int64" for n in ("doc_id", "n", "bucket") if n in names + more})
 
-def _signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
+    return docs.mapInPandas(run, schema + ", bucket int, hashes binary" * bool(listed))
 
 
 def fits(na, nb, left_a, left_b, percent: int):
@@ -103,8 +187,16 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and are similar."""
+def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the other orders and are similar. Only these documents' texts are cut again."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def cut(doc, tokens):
+        size = prefix_size(len(tokens), percent) if len(tokens) else 0
+        return (doc, prefix(tokens, known.value, 1, size).view(np.int64), prefix(tokens, known.value, 2, size).view(np.int64), tokens.tobytes()), None
+
+    sets = written(_each(docs.join(ids, "doc_id", "left_semi"), shingle, cut, "doc_id long, second array<long>, third array<long>, tokens binary"), "candidates", BATCH)
     small = sets.select("doc_id", "second", "third")
     a = small.select(F.col("doc_id").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
     b = small.select(F.col("doc_id").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
@@ -124,10 +216,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "of_a", "of_b").mapInPandas(run, "a long, b long").distinct()
 
 
-def _ids(spark: SparkSession, ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the size of its set, and the smallest id reachable by links.
 
@@ -138,72 +226,81 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def first_pass(doc, tokens):
         size = prefix_size(len(tokens), percent) if len(tokens) else 0
-        key = xxhash.xxh3_128_digest(tokens.tobytes())
-        return doc, len(tokens), key, _signed(tokens[: size + size // 2 + 4])
+        return (doc, len(tokens), xxhash.xxh3_128_digest(tokens.tobytes())), tokens[: size + size // 2 + 4]
 
-    base = written(_each(docs, shingle, first_pass, "doc_id long, n long, key binary, low array<long>"), "shingled")
-    some = base.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = written(some.groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
-
-    counted = some.select(F.explode("low").alias("token")).groupBy("token").count().filter(F.col("count") > HOT)
-    hot = np.sort(np.array([r["token"] for r in counted.orderBy(F.desc("count"), "token").limit(MAX_HOT).collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(hot)
+    both = written(_each(docs, shingle, first_pass, "doc_id long, n long, key binary", True), "shingled", BATCH)
+    base = both.filter("bucket IS NULL").select("doc_id", "n", "key")
+    reps = written(base.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
+    bits, filled = frequent(both.filter("bucket IS NOT NULL").select("bucket", "hashes"), THRESHOLDS)
+    several = next((t for t in THRESHOLDS if filled[t] <= 1 << BITS - 3), HOT)
+    known = spark.sparkContext.broadcast(Frequent(bits[several], bits[HOT]))
 
     def second_pass(doc, tokens):
-        return doc, len(tokens), _signed(prefix(tokens, shared.value, 0, prefix_size(len(tokens), percent))) if len(tokens) else []
-
-    firsts = _each(docs.filter("doc_id IS NOT NULL"), shingle, second_pass, "doc_id long, n long, first array<long>").filter("n > 0")
-    firsts = firsts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows = written(firsts.select("doc_id", "n", F.posexplode("first").alias("pos", "token")), "prefixes")
-    shared_tokens = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = rows.join(shared_tokens, "token")
-    best = rows.groupBy("doc_id").agg(F.sum("df").alias("weight"), F.max("n").alias("_n")).select("doc_id", (F.col("weight") / F.col("_n")).alias("weight"))
-    rows = written(rows.select("token", "doc_id", "n", (F.col("n") - F.col("pos")).alias("left")).join(best, "doc_id"), "buckets")
+        first = prefix(tokens, known.value, 0, prefix_size(len(tokens), percent)) if len(tokens) else tokens
+        return (doc, len(tokens), first.tobytes()), first
 
-    ids = rows.select("doc_id").distinct()
+    both = written(_each(docs.filter("doc_id IS NOT NULL"), shingle, second_pass, "doc_id long, n long, first binary", True), "prefixes", BATCH)
+    # most tokens are in one prefix only: a bitmap leaves them out before any row is made of them
+    bits, _ = frequent(both.filter("bucket IS NOT NULL").select("bucket", "hashes"), (2,))
+    twice = spark.sparkContext.broadcast(Frequent(bits[2]))
 
-    def third_pass(doc, tokens):
-        size = prefix_size(len(tokens), percent) if len(tokens) else 0
-        return doc, _signed(prefix(tokens, shared.value, 1, size)), _signed(prefix(tokens, shared.value, 2, size)), tokens.tobytes()
-
-    sets = written(_each(docs.join(_ids(spark, ids), "doc_id", "left_semi"), shingle, third_pass, "doc_id long, second array<long>, third array<long>, tokens binary"), "candidates")
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            firsts = [np.frombuffer(x, np.uint64) for x in pdf["first"]]
+            sizes = np.array([len(x) for x in firsts])
+            tokens = np.concatenate(firsts)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(twice.value.levels(tokens))
+            n = np.repeat(pdf["n"].to_numpy(np.int64), sizes)[at]
+            yield pd.DataFrame({"token": tokens[at].view(np.int64), "doc_id": np.repeat(pdf["doc_id"].to_numpy(np.int64), sizes)[at], "n": n, "left": n - pos[at]})
+
+    rows = both.filter("n > 0").select("doc_id", "n", "first").mapInPandas(spread, "token long, doc_id long, n long, left long")
+    rows = written(rows.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "spread", BATCH)
+    # the smaller set of a pair has the shared token near its start
+    near = (100 + percent) * F.col("left") >= 2 * percent * F.col("n")
+    shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.count(F.when(near, 1)).alias("near")).filter("df > 1 AND near > 0").select("token", "df")
+    rows = written(rows.join(shared, "token").withColumn("near", near), "buckets")
 
     links = tested = roots = None
     for turn in range(HUB_ROUNDS + 1):
         now = rows if roots is None else rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         now = now.withColumn("root", F.coalesce("root", "doc_id") if roots is not None else F.col("doc_id"))
-        # tokens whose bucket holds more than one class
-        per_class = now.groupBy("token", "root").agg(F.count("*").alias("k"), F.max(F.struct("weight" if turn == 0 else F.xxhash64("doc_id", F.lit(turn)), -F.col("doc_id"), "doc_id", "n", "left")).alias("top"))
-        open_ = per_class.groupBy("token").agg(F.count("*").alias("classes"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("mm"), F.max("top").alias("top")).filter("classes > 1")
-        open_ = written(open_.select("token", "m", "mm", F.col("top.doc_id").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.left").alias("hub_left")), "open")
-        left = open_.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
+        # tokens whose bucket holds more than one class; the first hubs are documents of which most tokens are frequent
+        first = F.sum("df").over(Window.partitionBy("doc_id")) / F.col("n") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+        now = now.withColumn("weight", first)
+        per_class = now.groupBy("token", "root").agg(F.count("*").alias("k"), F.count(F.when(F.col("near"), 1)).alias("kn"), F.max(F.struct("weight", -F.col("doc_id"), "doc_id", "n", "left")).alias("top"))
+        open_ = per_class.groupBy("token").agg(F.count("*").alias("classes"), F.sum("k").alias("m"), (F.sum("k") * F.sum("kn") - F.sum(F.col("k") * F.col("kn"))).alias("pairs"), F.max("top").alias("top")).filter("classes > 1 AND pairs > 0")
+        open_ = written(open_.select("token", "m", "pairs", F.col("top.doc_id").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.left").alias("hub_left")), "open")
+        left = open_.agg(F.sum("m").alias("m"), F.sum("pairs").alias("pairs")).first()
         if not left["m"]:
             break
         last = left["pairs"] <= PAIRS_A_ROW * left["m"] or turn == HUB_ROUNDS
         if last:
             x = now.join(open_.select("token"), "token", "left_semi")
-            a = x.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("root").alias("ra"))
+            a = x.filter("near").select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("root").alias("ra"))
             b = x.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("root").alias("rb"))
-            pairs = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), percent))
+            smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+            pairs = a.join(b, "token").filter(smaller & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), percent))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
             pairs = now.join(open_, "token").filter((F.col("doc_id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"), F.col("left"), F.col("hub_left"), percent))
             pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(_verify(pairs, sets, percent), "links")
+        found = written(_verify(pairs, docs, known, shingle, percent), "links", BATCH // 4)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = components(links)
         if last:
             break
 
-    known = base.join(reps, "key", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
+    known_sets = base.select("doc_id", "n", "key").join(reps, "key", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
     if roots is not None:
-        known = known.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        known_sets = known_sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.coalesce(F.col("root"), F.col("rep")) if roots is not None else F.col("rep")
-    return known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(root, F.col("doc_id")).alias("component_id"))
+    return known_sets.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(root, F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
