@@ -4,8 +4,10 @@ Two sets with Jaccard similarity of at least t share a token among the first n -
 order of all tokens. Candidates are found by the first order, must pass the same filter under two more, and are then
 verified on the whole sets. In every order the corpus' rare tokens come first, within their kind by a hash.
 
-Equal sets are one node. A token's bucket isn't expanded into all pairs: each bucket first proposes pairs with one hub,
-links merge classes, and only pairs across classes are left for the last round, which takes all of them.
+Equal sets are one node. A token's bucket isn't expanded into all pairs: each document is first compared with the hub of
+its largest bucket. Documents that are similar to their hub are one class; two others with the same hub can only be
+similar if they differ from it in the same tokens, so a second prefix filter runs over those differences. Pairs across
+hubs are taken as they are. No candidate is left out.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ HOT, THRESHOLDS, BITS, BUCKETS = 33, (2, 3, 5, 9, 33), 26, 256
 BATCH = 2000
 #: Ids that a join sends to every executor; above that it shuffles.
 BROADCAST_IDS = 1_000_000
-#: Pairs that a bucket row may stand for in the last round before another round of hubs comes first, and such rounds at most.
-PAIRS_A_ROW, HUB_ROUNDS = 20, 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -187,16 +187,77 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and are similar. Only these documents' texts are cut again."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+def _sets(ids: DataFrame, docs: DataFrame, make, shingle: int, schema: str) -> DataFrame:
+    """make() of the documents with these ids; only their texts are cut again."""
+    ids = written(ids.distinct(), "ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return written(_each(docs.join(ids, "doc_id", "left_semi"), shingle, make, schema), "candidates", BATCH)
+
+
+def _differences(spokes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, hub, n, linked, family, parts) for (doc_id, hub): whether they are similar, and the tokens that only one of them has.
+
+    A document that differs from the hub in more tokens than it has is no family and a hub of its own."""
+    ids = spokes.select("doc_id").unionByName(spokes.select(F.col("hub").alias("doc_id")))
+    sets = _sets(ids, docs, lambda doc, tokens: ((doc, tokens.tobytes()), None), shingle, "doc_id long, tokens binary")
+    rows = spokes.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("tokens").alias("of_hub")), "hub")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for doc, hub, x, h in zip(pdf["doc_id"], pdf["hub"], pdf["tokens"], pdf["of_hub"], strict=True):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                apart = np.setxor1d(x, h, True)
+                common = (len(x) + len(h) - len(apart)) // 2
+                near = len(apart) <= len(x)
+                made.append((doc, hub, len(x), 100 * common >= percent * (common + len(apart)), hub if near else doc, (apart if near else apart[:0]).view(np.int64)))
+            yield pd.DataFrame(made, columns=["doc_id", "hub", "n", "linked", "family", "parts"])
+
+    return written(rows.select("doc_id", "hub", "tokens", "of_hub").mapInPandas(run, "doc_id long, hub long, n long, linked boolean, family long, parts array<long>"), "apart", BATCH // 4)
+
+
+def _pairs_of_a_hub(spokes: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different classes in the same family that can be similar.
+
+    Sets that share nothing of their differences from the hub are similar only if both are similar to the hub, and so of
+    its class. Others share one of the first tokens of their differences, ordered by how often the family has them; how
+    many a set needs is bounded by its own size, as a partner's size is."""
+    cells = spokes.select(F.col("family").alias("hub"), "doc_id", "cut", "n", F.size("parts").alias("d"), F.explode("parts").alias("token"))
+    often = cells.groupBy("hub", "token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("hub", "doc_id", "cut").orderBy("df", "token")
+    rows = cells.join(often, ["hub", "token"]).withColumn("pos", F.row_number().over(order) - 1)
+    most = F.floor((100 - percent) * (F.col("n") + 100 * F.col("n") / percent) / (100 + percent))
+    rows = rows.filter((F.col("pos") <= most) & (F.col("df") > 1)).join(own.select("doc_id", "root").distinct(), "doc_id")
+    rows = rows.withColumn("left", F.col("d") - F.col("pos"))
+    open_ = rows.groupBy("hub", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("hub", "token")
+    rows = written(rows.join(open_, ["hub", "token"]), "family")
+    a, b = (rows.select("hub", "token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "d", "root", "left"))) for x in "ab")
+    near = (100 + percent) * (F.col("d_a") + F.col("d_b") - 2 * F.least("left_a", "left_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    fit = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    return a.join(b, ["hub", "token"]).filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & fit & near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
+def _pairs_across_hubs(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different classes and hubs that share a prefix token where similar sets can."""
+    now = rows.join(own, "doc_id").select("token", "doc_id", "n", "left", "near", "hub", "root")
+    open_ = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("hub").alias("h1"), F.max("hub").alias("h2"), F.max("near").alias("any")).filter("lo < hi AND h1 < h2 AND any").select("token")
+    now = now.join(open_, "token")
+    a, b = (now.filter("near" if x == "a" else "true").select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "left", "hub", "root"))) for x in "ab")
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
+    other = (F.col("hub_a") != F.col("hub_b")) & (F.col("root_a") != F.col("root_b"))
+    found = a.join(b, "token").filter(smaller & other & fits(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b"), percent))
+    return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the other orders and are similar."""
 
     def cut(doc, tokens):
         size = prefix_size(len(tokens), percent) if len(tokens) else 0
         return (doc, prefix(tokens, known.value, 1, size).view(np.int64), prefix(tokens, known.value, 2, size).view(np.int64), tokens.tobytes()), None
 
-    sets = written(_each(docs.join(ids, "doc_id", "left_semi"), shingle, cut, "doc_id long, second array<long>, third array<long>, tokens binary"), "candidates", BATCH)
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = _sets(ids, docs, cut, shingle, "doc_id long, second array<long>, third array<long>, tokens binary")
     small = sets.select("doc_id", "second", "third")
     a = small.select(F.col("doc_id").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
     b = small.select(F.col("doc_id").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
@@ -261,46 +322,25 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.count(F.when(near, 1)).alias("near")).filter("df > 1 AND near > 0").select("token", "df")
     rows = written(rows.join(shared, "token").withColumn("near", near), "buckets")
 
-    links = tested = roots = None
-    for turn in range(HUB_ROUNDS + 1):
-        now = rows if roots is None else rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        now = now.withColumn("root", F.coalesce("root", "doc_id") if roots is not None else F.col("doc_id"))
-        # tokens whose bucket holds more than one class; the first hubs are documents of which most tokens are frequent
-        first = F.sum("df").over(Window.partitionBy("doc_id")) / F.col("n") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        now = now.withColumn("weight", first)
-        per_class = now.groupBy("token", "root").agg(F.count("*").alias("k"), F.count(F.when(F.col("near"), 1)).alias("kn"), F.max(F.struct("weight", -F.col("doc_id"), "doc_id", "n", "left")).alias("top"))
-        open_ = per_class.groupBy("token").agg(F.count("*").alias("classes"), F.sum("k").alias("m"), (F.sum("k") * F.sum("kn") - F.sum(F.col("k") * F.col("kn"))).alias("pairs"), F.max("top").alias("top")).filter("classes > 1 AND pairs > 0")
-        open_ = written(open_.select("token", "m", "pairs", F.col("top.doc_id").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.left").alias("hub_left")), "open")
-        left = open_.agg(F.sum("m").alias("m"), F.sum("pairs").alias("pairs")).first()
-        if not left["m"]:
-            break
-        last = left["pairs"] <= PAIRS_A_ROW * left["m"] or turn == HUB_ROUNDS
-        if last:
-            x = now.join(open_.select("token"), "token", "left_semi")
-            a = x.filter("near").select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("root").alias("ra"))
-            b = x.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("root").alias("rb"))
-            smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-            pairs = a.join(b, "token").filter(smaller & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb"), F.col("la"), F.col("lb"), percent))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            pairs = now.join(open_, "token").filter((F.col("doc_id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"), F.col("left"), F.col("hub_left"), percent))
-            pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(_verify(pairs, docs, known, shingle, percent), "links", BATCH // 4)
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = components(links)
-        if last:
-            break
+    # a hub for each document: the one of its largest bucket; hubs are documents of which most tokens are frequent
+    weight = F.sum("df").over(Window.partitionBy("doc_id")) / F.col("n")
+    best = rows.withColumn("weight", weight).groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("weight", -F.col("doc_id"), "doc_id")).alias("top"))
+    spokes = rows.select("token", "doc_id").join(best.select("token", "m", F.col("top.doc_id").alias("hub")), "token").groupBy("doc_id").agg(F.max(F.struct("m", "hub")).alias("top"))
+    spokes = written(spokes.select("doc_id", F.col("top.hub").alias("hub")), "spokes")
+    spokes = _differences(spokes, docs, shingle, percent).withColumn("cut", F.xxhash64("parts")).dropDuplicates(["doc_id", "hub", "family", "linked", "cut"])
+    spokes = written(spokes, "differences")
+    tested = spokes.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+    links = spokes.filter("linked AND doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    roots = components(links)
+    own = spokes.select("doc_id", F.col("family").alias("hub")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "hub", F.coalesce("root", "doc_id").alias("root"))
+    own = written(own, "classes")
+    pairs = _pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(spokes, own, percent)).distinct().join(tested, ["a", "b"], "left_anti")
+    found = written(_verify(written(pairs, "pairs"), docs, known, shingle, percent), "links", BATCH // 4)
+    roots = components(links.unionByName(found))
 
     known_sets = base.select("doc_id", "n", "key").join(reps, "key", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
-    if roots is not None:
-        known_sets = known_sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    root = F.coalesce(F.col("root"), F.col("rep")) if roots is not None else F.col("rep")
-    return known_sets.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(root, F.col("doc_id")).alias("component_id"))
+    known_sets = known_sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return known_sets.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
