@@ -4,10 +4,11 @@ Two sets with Jaccard similarity of at least t share a token among the first n -
 order of all tokens. Candidates are found by the first order, must pass the same filter under two more, and are then
 verified on the whole sets. In every order the corpus' rare tokens come first, within their kind by a hash.
 
-Equal sets are one node. A token's bucket isn't expanded into all pairs: each document is first compared with the hub of
-its largest bucket. Documents that are similar to their hub are one class; two others with the same hub can only be
-similar if they differ from it in the same tokens, so a second prefix filter runs over those differences. Pairs across
-hubs are taken as they are. No candidate is left out.
+Equal sets are one node. A large bucket of a token isn't expanded into all pairs: each of its documents is first compared
+with the hub of its largest bucket. Documents that are similar to their hub are one class; two others with the same hub
+can only be similar if they differ from it in the same tokens, so a second prefix filter runs over those differences.
+Its buckets, too, are first compared with one document each, and pairs are made across the classes that are left. Pairs
+across hubs, and those of small buckets, are taken as they are. No candidate of another class is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE, PERCENT = 3, 90
 HOT, THRESHOLDS, BITS, BUCKETS = 33, (2, 3, 5, 9, 33), 26, 256
 #: Documents that a task cuts at once.
 BATCH = 2000
+#: Documents of a bucket from which on it has a hub, and rounds in which the buckets of a hub's differences are compared with one document each.
+FAMILY, STARS = 8, 2
 #: Ids that a join sends to every executor; above that it shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -198,9 +201,12 @@ def _differences(spokes: DataFrame, docs: DataFrame, shingle: int, percent: int)
     """(doc_id, hub, n, linked, family, parts) for (doc_id, hub): whether they are similar, and the tokens that only one of them has.
 
     A document that differs from the hub in more tokens than it has is no family and a hub of its own."""
-    ids = spokes.select("doc_id").unionByName(spokes.select(F.col("hub").alias("doc_id")))
-    sets = _sets(ids, docs, lambda doc, tokens: ((doc, tokens.tobytes()), None), shingle, "doc_id long, tokens binary")
-    rows = spokes.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("hub"), F.col("tokens").alias("of_hub")), "hub")
+    hubs = spokes.select(F.col("hub").alias("doc_id")).distinct()
+    sets = _sets(spokes.select("doc_id").unionByName(hubs), docs, lambda doc, tokens: ((doc, tokens.tobytes()), None), shingle, "doc_id long, tokens binary")
+    if spokes.count() <= BROADCAST_IDS:  # then sets are dealt by hub only
+        spokes, hubs = F.broadcast(spokes), F.broadcast(hubs)
+    of_hub = sets.join(hubs, "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("tokens").alias("of_hub"))
+    rows = sets.join(spokes, "doc_id").join(of_hub, "hub")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,25 +222,36 @@ def _differences(spokes: DataFrame, docs: DataFrame, shingle: int, percent: int)
     return written(rows.select("doc_id", "hub", "tokens", "of_hub").mapInPandas(run, "doc_id long, hub long, n long, linked boolean, family long, parts array<long>"), "apart", BATCH // 4)
 
 
-def _pairs_of_a_hub(spokes: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different classes in the same family that can be similar.
+def _shared_differences(spokes: DataFrame, percent: int) -> DataFrame:
+    """(hub, token, doc_id, n, d, left, weight): the first tokens of the documents' differences from their hub that others of the family have.
 
-    Sets that share nothing of their differences from the hub are similar only if both are similar to the hub, and so of
-    its class. Others share one of the first tokens of their differences, ordered by how often the family has them; how
-    many a set needs is bounded by its own size, as a partner's size is."""
+    They are ordered by how often the family has them; how many a set needs is bounded by its own size, as a partner's
+    size is. weight: how far the document's differences are those of others."""
     cells = spokes.select(F.col("family").alias("hub"), "doc_id", "cut", "n", F.size("parts").alias("d"), F.explode("parts").alias("token"))
     often = cells.groupBy("hub", "token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("hub", "doc_id", "cut").orderBy("df", "token")
-    rows = cells.join(often, ["hub", "token"]).withColumn("pos", F.row_number().over(order) - 1)
+    one = Window.partitionBy("hub", "doc_id", "cut")
+    rows = cells.join(often, ["hub", "token"]).withColumn("pos", F.row_number().over(one.orderBy("df", "token")) - 1).withColumn("weight", F.sum("df").over(one) / F.col("d"))
     most = F.floor((100 - percent) * (F.col("n") + 100 * F.col("n") / percent) / (100 + percent))
-    rows = rows.filter((F.col("pos") <= most) & (F.col("df") > 1)).join(own.select("doc_id", "root").distinct(), "doc_id")
-    rows = rows.withColumn("left", F.col("d") - F.col("pos"))
-    open_ = rows.groupBy("hub", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("hub", "token")
-    rows = written(rows.join(open_, ["hub", "token"]), "family")
-    a, b = (rows.select("hub", "token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "d", "root", "left"))) for x in "ab")
+    return rows.filter((F.col("pos") <= most) & (F.col("df") > 1)).select("hub", "token", "doc_id", "n", "d", (F.col("d") - F.col("pos")).alias("left"), "weight")
+
+
+def _pairs_of_a_hub(rows: DataFrame, roots: DataFrame, percent: int, star: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different classes in the same family that can be similar; with star, only those with one document of each bucket.
+
+    Sets that share nothing of their differences from the hub are similar only if both are similar to the hub, and so of
+    its class. Others share one of the tokens in rows."""
+    rows = rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    first = F.col("weight") if star == 0 else F.xxhash64("doc_id", F.lit(star))
+    fields = ("doc_id", "n", "d", "root", "left")
+    open_ = rows.groupBy("hub", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct(first.alias("first"), -F.col("doc_id"), *fields)).alias("top")).filter("lo < hi")
+    a, b = (rows.select("hub", "token", *(F.col(c).alias(f"{c}_{x}") for c in fields)) for x in "ab")
+    if star is None:
+        pairs = a.join(open_.select("hub", "token"), ["hub", "token"]).join(b, ["hub", "token"]).filter("doc_id_a < doc_id_b")
+    else:
+        pairs = a.join(open_.select("hub", "token", *(F.col(f"top.{c}").alias(f"{c}_b") for c in fields)), ["hub", "token"])
     near = (100 + percent) * (F.col("d_a") + F.col("d_b") - 2 * F.least("left_a", "left_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     fit = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    return a.join(b, ["hub", "token"]).filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & fit & near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    return pairs.filter((F.col("root_a") != F.col("root_b")) & fit & near).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def _pairs_across_hubs(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -250,14 +267,17 @@ def _pairs_across_hubs(rows: DataFrame, own: DataFrame, percent: int) -> DataFra
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and are similar."""
+    """The pairs (a, b) that pass the filters of the other orders and are similar.
+
+    The filters compare 32 bits of a token, which can only let more pairs through."""
 
     def cut(doc, tokens):
         size = prefix_size(len(tokens), percent) if len(tokens) else 0
-        return (doc, prefix(tokens, known.value, 1, size).view(np.int64), prefix(tokens, known.value, 2, size).view(np.int64), tokens.tobytes()), None
+        second, third = ((prefix(tokens, known.value, order, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for order in (1, 2))
+        return (doc, second, third, tokens.tobytes()), None
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = _sets(ids, docs, cut, shingle, "doc_id long, second array<long>, third array<long>, tokens binary")
+    sets = _sets(ids, docs, cut, shingle, "doc_id long, second array<int>, third array<int>, tokens binary")
     small = sets.select("doc_id", "second", "third")
     a = small.select(F.col("doc_id").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
     b = small.select(F.col("doc_id").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
@@ -325,16 +345,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # a hub for each document: the one of its largest bucket; hubs are documents of which most tokens are frequent
     weight = F.sum("df").over(Window.partitionBy("doc_id")) / F.col("n")
     best = rows.withColumn("weight", weight).groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("weight", -F.col("doc_id"), "doc_id")).alias("top"))
-    spokes = rows.select("token", "doc_id").join(best.select("token", "m", F.col("top.doc_id").alias("hub")), "token").groupBy("doc_id").agg(F.max(F.struct("m", "hub")).alias("top"))
+    spokes = rows.select("token", "doc_id").join(best.filter(F.col("m") >= FAMILY).select("token", "m", F.col("top.doc_id").alias("hub")), "token").groupBy("doc_id").agg(F.max(F.struct("m", "hub")).alias("top"))
     spokes = written(spokes.select("doc_id", F.col("top.hub").alias("hub")), "spokes")
     spokes = _differences(spokes, docs, shingle, percent).withColumn("cut", F.xxhash64("parts")).dropDuplicates(["doc_id", "hub", "family", "linked", "cut"])
     spokes = written(spokes, "differences")
     tested = spokes.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
     links = spokes.filter("linked AND doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     roots = components(links)
-    own = spokes.select("doc_id", F.col("family").alias("hub")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "hub", F.coalesce("root", "doc_id").alias("root"))
-    own = written(own, "classes")
-    pairs = _pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(spokes, own, percent)).distinct().join(tested, ["a", "b"], "left_anti")
+    shared = written(_shared_differences(spokes, percent), "family")
+    for star in range(STARS):
+        pairs = written(_pairs_of_a_hub(shared, roots, percent, star).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            break
+        links = links.unionByName(written(_verify(pairs, docs, known, shingle, percent), "links", BATCH // 4))
+        tested, roots = tested.unionByName(pairs), components(links)
+    own = rows.select("doc_id").distinct().join(spokes.select("doc_id", F.col("family").alias("hub")).distinct(), "doc_id", "left").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = written(own.select("doc_id", F.coalesce("hub", "doc_id").alias("hub"), F.coalesce("root", "doc_id").alias("root")), "classes")
+    pairs = _pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(shared, roots, percent)).distinct().join(tested, ["a", "b"], "left_anti")
     found = written(_verify(written(pairs, "pairs"), docs, known, shingle, percent), "links", BATCH // 4)
     roots = components(links.unionByName(found))
 
