@@ -213,6 +213,34 @@ def test_large_groups_make_no_square_of_pairs(spark):
     assert sum(made) < 600 * 3
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_every_link_inside_a_class_is_counted_and_listed(spark, monkeypatch, block):
+    rng, rows = random.Random(4), []
+    for g, size in enumerate((60, 12, 3, 1)):
+        base = [f"g{g}b{i}" for i in range(200)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 1, 1, 2))):
+                w[rng.randrange(200)] = f"x{rng.randrange(30)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(100, rows[0][1]), (101, None), (102, "  "), (103, "one"), (104, "ONE")]
+    sets = {d: {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for d, t in rows if (w := (t or "").lower().split())}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    first = {d: min(e for e in sets if sets[e] == sets[d]) for d in sets}
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["set_id"], r["n_links"]) for r in ngram_join.linked_documents(df).collect()}
+    assert got == {d: (first.get(d), sum(d in p for p in near)) for d, _ in rows}
+    pairs = [(r["a"], r["b"]) for r in ngram_join.similar_pairs(df).collect()]
+    assert sorted(pairs) == sorted({tuple(sorted((first[a], first[b]))) for a, b in near if first[a] != first[b]}) and len(pairs) > 300
+
+
+def test_links_of_odd_rows(spark, odd):
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.linked_documents(odd).collect()}
+    assert len(got) == len(ODD) - 1 and set(got.values()) == {0}
+    assert ngram_join.linked_documents(empty(odd)).count() == 0 and ngram_join.similar_pairs(empty(odd)).count() == 0
+
+
 def test_chains_reach_their_smallest_node(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in ngram_join.components(edges).collect()}

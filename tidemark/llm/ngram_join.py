@@ -9,6 +9,9 @@ with the hub of its largest bucket. Documents that are similar to their hub are
 can only be similar if they differ from it in the same tokens, so a second prefix filter runs over those differences.
 Its buckets, too, are first compared with one document each, and pairs are made across the classes that are left. Pairs
 across hubs, and those of small buckets, are taken as they are. No candidate of another class is left out.
+
+Links inside a class aren't needed for the classes, but are for counting or listing links. As no link leaves a class, each
+class is then cut into blocks of bounded size and every two of its blocks are compared in one task, set by set.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ BATCH = 2000
 FAMILY, STARS = 8, 2
 #: Ids that a join sends to every executor; above that it shuffles.
 BROADCAST_IDS = 1_000_000
+#: What a block of a class holds about, for counting its links: sets, and tokens of all of them.
+BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -297,13 +302,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int
     return rows.select("a", "b", "of_a", "of_b").mapInPandas(run, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: the size of its set, and the smallest id reachable by links.
-
-    Texts that are null, empty or without words have empty sets and link with nothing. Rows that share an id count as
-    one document; rows without an id get no component and link nothing. An empty table gives no rows."""
+def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n, key, rep, root) for every row of (doc_id, text): rep is the smallest id with the same set, root that of its class."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def first_pass(doc, tokens):
         size = prefix_size(len(tokens), percent) if len(tokens) else 0
@@ -366,8 +367,119 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = components(links.unionByName(found))
 
     known_sets = base.select("doc_id", "n", "key").join(reps, "key", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
-    known_sets = known_sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return known_sets.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    return known_sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: the size of its set, and the smallest id reachable by links.
+
+    Texts that are null, empty or without words have empty sets and link with nothing. Rows that share an id count as
+    one document; rows without an id get no component and link nothing. An empty table gives no rows."""
+    found = _classes(_plain(docs, id_col, text_col), shingle, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of a has in common with each of b. Tokens of many sets are multiplied as matrices, others matched."""
+    out = np.zeros(len(a) * len(b), np.int64)
+    tokens, of_a = np.unique(np.concatenate(a), return_inverse=True)
+    set_a = np.repeat(np.arange(len(a)), [len(x) for x in a])
+    set_b, listed = np.repeat(np.arange(len(b)), [len(x) for x in b]), np.concatenate(b)
+    of_b = np.minimum(np.searchsorted(tokens, listed), len(tokens) - 1)
+    same = tokens[of_b] == listed
+    of_b, set_b = of_b[same], set_b[same]
+    n_a, n_b = np.bincount(of_a, minlength=len(tokens)), np.bincount(of_b, minlength=len(tokens))
+    many = 64 * n_a * n_b > max(len(a) * len(b), 4096)
+    for some in np.split(np.flatnonzero(many), np.arange(2048, int(many.sum()), 2048)):
+        column = np.full(len(tokens), -1)
+        column[some] = np.arange(len(some))
+        sides = []
+        for at, sets, n in ((of_a, set_a, len(a)), (of_b, set_b, len(b))):
+            has = column[at] >= 0
+            sides.append(np.zeros((n, len(some)), np.float32))
+            sides[-1][sets[has], column[at[has]]] = 1
+        out += (sides[0] @ sides[1].T).astype(np.int64).ravel()
+    few_a, few_b = ~many[of_a], ~many[of_b]
+    order = np.argsort(of_a[few_a], kind="stable")
+    in_a, n_a = set_a[few_a][order], np.where(many, 0, n_a)
+    first, at, set_b = np.cumsum(n_a) - n_a, of_b[few_b], set_b[few_b]
+    ends = np.cumsum(n_a[at])
+    for some in np.split(np.arange(len(at)), np.searchsorted(ends, np.arange(1 << 22, int(ends[-1]) if len(ends) else 0, 1 << 22))):
+        n = n_a[at[some]]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at[some]], n)
+        where, times = np.unique(in_a[place] * len(b) + np.repeat(set_b[some], n), return_counts=True)
+        out[where] += times
+    return out.reshape(len(a), len(b))
+
+
+def _compared(docs: DataFrame, known: DataFrame, shingle: int, percent: int, schema: str, make) -> DataFrame:
+    """What make(sets of a block, sets of another or the same one, which of them are similar) gives, over all blocks of all classes.
+
+    Each set has key, rep and weight, the number of documents that have it."""
+    sets = known.filter("rep IS NOT NULL").groupBy("key", "rep", F.coalesce("root", "rep").alias("class"), "n").agg(F.countDistinct("doc_id").alias("weight"))
+    sets = written(sets, "sets")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
+    several = written(sets.groupBy("class").agg(F.count("*").alias("m"), blocks).filter("m > 1").drop("m"), "several")
+    members = written(sets.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "class"), "members")
+
+    def cut(doc, tokens):
+        return (doc, xxhash.xxh3_128_digest(tokens.tobytes()), tokens.tobytes()), None
+
+    full = _sets(members.select(F.col("rep").alias("doc_id")), docs, cut, shingle, "doc_id long, key binary, tokens binary")
+    rows = full.withColumnRenamed("doc_id", "rep").join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, ["rep", "key"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("key")
+        parts = [pdf[pdf["block"] == i].sort_values("rep") for i in (pdf["x"].iloc[0], pdf["y"].iloc[0])]
+        if not len(parts[0]) or not len(parts[1]):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        a, b = ([np.frombuffer(t, np.uint64) for t in p["tokens"]] for p in parts)
+        common = overlaps(a, b)
+        either = np.array([len(t) for t in a])[:, None] + np.array([len(t) for t in b])[None, :] - common
+        near = 100 * common >= percent * either
+        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
+            near = np.triu(near, 1)
+        return make(*parts, near)
+
+    rows = rows.select("class", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "rep", "weight", "tokens")
+    return rows.groupBy("class", "x", "y").applyInPandas(run, schema)
+
+
+def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """similar_documents with set_id, the smallest id with the same set, and n_links: with how many other documents a row's text is similar.
+
+    Documents with equal sets are linked, too. Rows without an id or without words have no set_id and no link."""
+    docs = _plain(docs, id_col, text_col)
+    known = written(_classes(docs, shingle, percent), "known")
+
+    def count(a: pd.DataFrame, b: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+        links = np.concatenate([near @ b["weight"].to_numpy(np.int64), near.T @ a["weight"].to_numpy(np.int64)])
+        return pd.DataFrame({"key": [*a["key"], *b["key"]], "links": links}).query("links > 0")
+
+    links = _compared(docs, known, shingle, percent, "key binary, links long", count).groupBy("key").agg(F.sum("links").alias("links"))
+    same = known.filter("rep IS NOT NULL").groupBy("key").agg((F.countDistinct("doc_id") - 1).alias("copies")).filter("copies > 0")
+    links = written(links.join(same, "key", "full").select("key", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(0))).alias("links")), "counts")
+    rows = known.join(F.broadcast(links) if links.count() <= BROADCAST_IDS else links, "key", "left")
+    n_links = F.when(F.col("rep").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"), F.col("rep").alias("set_id"), n_links.alias("n_links"))
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(a, b), a < b: every two different sets that are similar, by the set_id of linked_documents. A family of n near copies has up to n (n - 1) / 2."""
+    docs = _plain(docs, id_col, text_col)
+    known = written(_classes(docs, shingle, percent), "known")
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(near)
+        x, y = a["rep"].to_numpy(np.int64)[i], b["rep"].to_numpy(np.int64)[j]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return _compared(docs, known, shingle, percent, "a long, b long", pairs).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -394,3 +506,5 @@ WITH RECURSIVE d AS (
 ), reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT edge.b, root FROM reach JOIN edge ON edge.a = node)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY 1) USING (doc_id)
 """
+#: The same with the number of links, for linked_documents without set_id.
+LINKS_SQL = SQL.replace("component_id FROM documents", "component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM documents LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM edge GROUP BY 1) USING (doc_id)")

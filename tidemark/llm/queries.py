@@ -40,6 +40,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of documents that each one is similar to, links inside a class included."""
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents")).drop("set_id")
+
+
 ARRIVALS = 8
 
 
@@ -88,6 +93,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_packing, op3_secret_scan, op4_ngram_join, op5_sharding, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
+    f.__name__: f for f in (op1_language_id, op2_packing, op3_secret_scan, op4_ngram_join, op4_ngram_links, op5_sharding, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity)
 }
-SQL: dict[str, str] = {"op4_ngram_join": ngram_join.SQL, "op5_sharding": op5_sql, "op6_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op4_ngram_join": ngram_join.SQL, "op4_ngram_links": ngram_join.LINKS_SQL, "op5_sharding": op5_sql, "op6_decontamination": decontam.SQL}
