@@ -130,6 +130,18 @@ def test_secrets_and_what_only_looks_like_them(spark, votes):
     assert text[1] == 'x api_key = "[secret]" y' and text[4].count("[secret]") == 2 and KEY not in text[4] and text[2] == rows[1][1] and text[5] is None and text[6] == ""
 
 
+def test_secrets_of_every_form_are_candidates_and_found(spark, votes):
+    form = {
+        1: ('password = "{}" x', "aB3$kLmN9pQr2StUv#x"), 2: ("the password: {} was", "hunter2!xyz9"), 3: ("export API_KEY={} now", KEY), 4: ("MY_VERY_LONG_SECRET_API_KEY={}", KEY),
+        5: ("word number {} stands here", "ghp_9xKq2LmV7tRb4WzY8nPc3HdJ6fGs1AeU5oXi"), 6: ("token={}, user=me", "Zm9vYmFyMTIzNDU2Nzg5MGFiY2RlZg=="), 7: ("password='{}'", 'pa"9$xK!q2Lm&v7T'), 8: ("the passwd={}.", "kT9#mQ2$"),
+    }
+    clean = ["note: something else", "see https://example.com/path/name?id=question", "mail: someone@example.com, phone: +49-30-1234567", "name=(list(values)) and default: undefined", "PASSWORD=${DATABASE_PASSWORD}", "x = compute(argument)"]
+    rows = [(i, t.format(s)) for i, (t, s) in form.items()] + [(100 + i, t) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["secret"]) for r in secret_scan.secrets(df, votes).collect()]
+    assert sorted(got) == sorted((i, t.index("{"), s) for i, (t, s) in form.items())
+
+
 def test_secret_positions_in_long_lists(spark, votes):
     text = " ".join(f'token = "{KEY[:30]}{i:010d}"' for i in range(1500))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontam import let
 
-#: A run of at least 16 characters that keys are made of, or a shorter one in quotes after a colon or an equals sign.
-CANDIDATE = r"""(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}|(?<=[:=] ?["'])[A-Za-z0-9+/_=!@#$%^&*.-]{8,15}(?=["'])"""
+#: What stands after a colon or an equals sign, in quotes or up to a space or the next item of a list, and any other run of at
+#: least 16 characters that keys are made of. Equals signs belong to a run as padding only.
+CANDIDATE = "|".join(
+    (
+        r"""(?<=[:=] ?")[^\s"]{8,}(?=")""",
+        r"""(?<=[:=] ?')[^\s']{8,}(?=')""",
+        r"""(?<=[A-Za-z0-9_\])"'][:=] ?)(?!//|["'`])(?:[^\s"'`<>,;&]|[,;&](?!\s|$|["'`]?[A-Za-z0-9_.-]+["'`]?[=:])){8,}(?<![.,;:)\]}])""",
+        r"""(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=.-]))?""",
+    )
+)
 MASK = "[secret]"
 TREES, DEPTH, SEED = 24, 6, 7
 #: Labelled findings made by rule where none are given.
@@ -84,6 +92,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     word = lambda salt: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     syllables = ("er", "the", "ing", "an", "tion", "st", "en", "ou", "ble", "re", "ch", "mente", "keit", "ver", "aux", "lich")
     invented = F.concat(*(pick(f"s{i}", *syllables) for i in range(7)))
+    short = F.concat(*(pick(f"t{i}", *syllables) for i in range(3)), F.lit("en"))
     cap = lambda s: F.initcap(word(s))
     secrets = (
         F.substr(noise("a"), F.lit(1), F.lit(40)), F.substr(noise("b"), F.lit(1), F.lit(32)), F.substr(noise("c"), F.lit(1), F.lit(64)),
@@ -91,21 +100,43 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         F.concat(F.lit("ghp_"), F.substr(F.regexp_replace(base64("f"), "[+/]", "x"), F.lit(1), F.lit(36))), F.concat(F.lit("sk_live_"), F.substr(F.regexp_replace(base64("g"), "[+/]", "7"), F.lit(1), F.lit(24))),
         F.concat(F.lit("eyJ"), F.substr(base64("h"), F.lit(1), F.lit(60))), F.concat(F.substr(base64("i"), F.lit(1), F.lit(9)), pick("i2", "!", "#", "$9", "%"), F.substr(noise("i3"), F.lit(1), F.lit(4))),
     )
+    part = lambda salt, n: F.substr(base64(salt), F.lit(1), F.lit(n))
+    passwords = (
+        F.concat(part("r1", 4), pick("r2", "$", "#", "!", "@"), part("r3", 6), pick("r4", "#", "%", "^", "&"), part("r5", 5), pick("r6", "!", "*x", "?7")),
+        F.concat(word("r7"), F.substr(F.translate(noise("r8"), "abcdef", "012345"), F.lit(1), F.lit(2)), pick("r9", "!", "#", "$", "@"), F.substr(noise("r10"), F.lit(1), F.lit(4))),
+        F.concat(F.substr(short, F.lit(1), F.lit(6)), pick("r11", "2!", "7#", "9$", "3@"), F.substr(noise("r12"), F.lit(1), F.lit(4))),
+    )
     others = (
         invented, F.concat(invented, pick("t", "tion", "heit", "mente", "ing")), F.concat_ws("_", word("j1"), word("j2"), word("j3"), F.lit("value")), F.concat(word("k1"), cap("k2"), cap("k3"), cap("k4"), F.lit("Id")),
         F.concat_ws("/", F.lit("src"), word("l1"), word("l2"), F.concat(word("l3"), F.lit(".html"))), F.repeat(pick("m", "x", "0", "-", "=", "_", "ab"), 20), F.concat_ws("-", F.lit("your"), word("n1"), word("n2"), F.lit("here")),
         F.lit("0123456789abcdef"), F.concat_ws(".", F.lit("www"), word("o1"), word("o2"), F.lit("example.com")), F.concat(F.lit("2024-01-"), F.substr(F.translate(noise("p"), "abcdef", "012345"), F.lit(1), F.lit(8))), F.upper(F.concat_ws("_", word("q1"), word("q2"), word("q3"))),
     )
+    values = (
+        F.rpad(short, 8, "e"), F.concat(short, pick("v1", "ing", "heit", "tion")), F.concat(word("v2"), F.lit("@"), word("v3"), F.lit(".com")), F.concat(F.lit("https://"), word("v4"), F.lit(".com/"), word("v5"), F.lit("?id="), word("v6")),
+        F.concat_ws("-", F.lit("+49-30"), F.substr(F.translate(noise("v7"), "abcdef", "012345"), F.lit(1), F.lit(7))), F.concat(word("v8"), F.lit("("), word("v9"), F.lit(")")), F.concat(word("v10"), F.lit("."), word("v11"), F.lit("()")),
+        F.concat_ws(",", word("v12"), word("v13"), word("v14")), F.concat(F.lit("${"), F.upper(word("v15")), F.lit("_VALUE}")), F.concat_ws("-", F.lit("your"), word("v16"), F.lit("here")), F.concat(F.lit("os.environ["), word("v17"), F.lit("]")),
+    )
+    name = F.concat_ws("_", word("n5"), word("n6"), pick("n7", "secret", "access", "private", "client"), pick("n8", "api_key", "key", "token", "auth_token", "password"))
+    prose = (invented, F.initcap(invented), F.upper(invented), F.concat(invented, F.lit(".")), F.concat(F.initcap(invented), F.lit(".")), F.concat(invented, F.lit("."), F.substr(F.translate(noise("w1"), "abcdef", "012345"), F.lit(1), F.lit(2))), F.substr(F.translate(noise("w2"), "abcdef", "012345"), F.lit(1), F.lit(16)))
     hashes = (F.substr(noise("u"), F.lit(1), F.lit(40)), F.substr(noise("v"), F.lit(1), F.lit(64)), F.concat_ws("-", F.substr(noise("w"), F.lit(1), F.lit(8)), F.substr(noise("w"), F.lit(9), F.lit(4)), F.substr(noise("w"), F.lit(13), F.lit(4)), F.substr(noise("w"), F.lit(17), F.lit(12))))
     named = F.concat(word("x1"), pick("x2", " ", ". ", ", "), pick("x3", "token", "secret_key", "password", "api_key", "access_key", "auth_token"), pick("x4", " = ", "=", ": "), pick("x5", '"', "'", ""))
     plain = F.concat(word("y1"), F.lit(" "), word("y2"), pick("y3", " ", ". ", ", ", " | ", ' = "', ": "))
     summed = F.concat(word("z1"), pick("z2", " commit ", " sha256:", " md5 = ", " checksum: ", ' integrity="', " uuid "))
-    kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(8))
+    keyed = F.concat(word("x6"), pick("x7", " ", ". ", "; "), pick("x8", "API_KEY", "AUTH_TOKEN", "DB_PASSWORD", "CLIENT_SECRET", "export ACCESS_KEY", "passwd"), pick("x9", "=", "=", ": ", "= "))
+    assigned = F.concat(word("y4"), F.lit(" "), word("y5"), pick("y6", "=", ": ", " = ", ':"', ' = "'))
+    kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(14))
+    made = lambda before, candidate, label: F.struct(before.alias("before"), candidate.alias("candidate"), F.lit(label).alias("label"))
     row = (
-        F.when(kind < 4, F.struct(named.alias("before"), pick("secret", *secrets).alias("candidate"), F.lit(1.0).alias("label")))
-        .when(kind == 4, F.struct(summed.alias("before"), pick("hash", *hashes).alias("candidate"), F.lit(0.0).alias("label")))
-        .when(kind == 5, F.struct(named.alias("before"), pick("other", *others[2:]).alias("candidate"), F.lit(0.0).alias("label")))
-        .otherwise(F.struct(plain.alias("before"), pick("other", *others).alias("candidate"), F.lit(0.0).alias("label")))
+        F.when(kind < 4, made(named, pick("secret", *secrets), 1.0))
+        .when(kind == 4, made(summed, pick("hash", *hashes), 0.0))
+        .when(kind == 5, made(named, pick("other", *others[2:]), 0.0))
+        .when(kind == 6, made(keyed, pick("secret", *secrets, *passwords), 1.0))
+        .when(kind == 7, made(named, pick("secret", *passwords), 1.0))
+        .when(kind == 8, made(plain, pick("secret", *secrets[3:8]), 1.0))  # without a word that names them
+        .when(kind == 9, made(assigned, pick("value", *values), 0.0))
+        .when(kind == 10, made(F.when(F.xxhash64("id", F.lit("of")) % 3 == 0, keyed).otherwise(plain), pick("other", *others, *values[8:], name, F.upper(name)), 0.0))
+        .when(kind >= 12, made(plain, pick("prose", *prose), 0.0))
+        .otherwise(made(plain, pick("other", *others, *values, name, F.upper(name), F.concat(F.lit("my_"), name), F.upper(F.concat(F.lit("my_"), name))), 0.0))
     )
     return spark.range(0, n, 1, 1).select(row.alias("r")).select("r.*", F.when(F.col("r.before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")).alias("after"), F.lit(None).cast("string").alias("path"))
 
@@ -144,7 +175,8 @@ def scanned(text: Column, votes, path: Column | None = None, candidate: str = CA
 
     def rate(b: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            before, after = F.get(b["gaps"], i), F.get(b["gaps"], i + 1)
+            # the name of a key may be a candidate itself
+            before, after = F.concat(*(F.coalesce(F.right(x, F.lit(BEFORE)), F.lit("")) for x in (F.get(b["matches"], i - 1), F.get(b["gaps"], i)))), F.get(b["gaps"], i + 1)
             f = features(c, F.right(before, F.lit(BEFORE)), F.left(after, F.lit(AFTER)), path)
             return F.struct(c.alias("secret"), let(f, votes).alias("score"))
 
