@@ -17,6 +17,14 @@ def test_rows(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).limit(1).count() == 1
 
 
+def test_whole_curves_reach_the_last_hour(spark, sf, duck):
+    last = duck.sql("SELECT max(epoch(date_trunc('hour', ts))::BIGINT) FROM events").fetchall()[0][0]
+    assert last > queries.UNTIL_S
+    for name in ("dom26_transform_whole", "dom25_surface_whole", "agg11_dense_matrix_whole"):
+        assert queries.QUERIES[name](spark, sf).agg({"hour_s": "max"}).first()[0] == last
+    assert queries.QUERIES["dom39_score_series"](spark, sf).agg({"t": "max"}).first()[0] == last
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 50
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

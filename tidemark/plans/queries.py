@@ -281,13 +281,17 @@ def agg2_frame_limits(spark, sf):
 
 
 # --- curves ---
-def _norm(centered: bool) -> str:
+def _norm(centered: bool, until: str = str(UNTIL_S)) -> str:
     ref = "0.0" if centered else "poolTick"
-    return f"SELECT hour_s, greatest(-1.0, least(1.0, (tickLower - {ref}) / 50.0))::DOUBLE AS tick_norm, ln(1 + active_liquidity_L) AS logl, active_liquidity_L AS total FROM hourly_liquidity WHERE hour_s > {AFTER_S} AND hour_s <= {UNTIL_S}"
+    return f"SELECT hour_s, greatest(-1.0, least(1.0, (tickLower - {ref}) / 50.0))::DOUBLE AS tick_norm, ln(1 + active_liquidity_L) AS logl, active_liquidity_L AS total FROM hourly_liquidity WHERE hour_s > {AFTER_S} AND hour_s <= {until}"
 
 
-def _curves(spark, sf, centered=False):
-    return curves.normalised(fx.hourly_liquidity(spark, sf), AFTER_S, UNTIL_S, centered)
+def _curves(spark, sf, centered=False, until_s=UNTIL_S):
+    return curves.normalised(fx.hourly_liquidity(spark, sf), AFTER_S, until_s, centered)
+
+
+#: The upper bound that the table itself has.
+_LAST = "(SELECT max(hour_s) FROM hourly_liquidity)"
 
 
 @query(f"SELECT hour_s, round(tick_norm, 6) + 0.0 AS tick_norm, round(logl, 6) AS logl FROM ({_norm(True)})")
@@ -317,6 +321,40 @@ def dom27_window_statistics(spark, sf):
     return rounded(curves.statistics(curves.quantile_windows(_curves(spark, sf, True)), "window", "tick_norm"), 6, "tick_norm", "mean", "std")
 
 
+# The same from the stated start to the table's own last hour.
+def _whole(name: str, centered: bool):
+    def put(f: Query) -> Query:
+        SQL[f.__name__] = SQL[name].replace(_norm(centered), _norm(centered, _LAST))
+        return query()(f)
+
+    return put
+
+
+@_whole("dom26_transform", True)
+def dom26_transform_whole(spark, sf):
+    return rounded(_curves(spark, sf, True, None).select("hour_s", "tick_norm", "logl"), 6, "tick_norm", "logl")
+
+
+@_whole("dom25_surface", False)
+def dom25_surface_whole(spark, sf):
+    return rounded(curves.surface(_curves(spark, sf, until_s=None)), 6, "tick_norm", "logl")
+
+
+@_whole("agg11_dense_matrix", False)
+def agg11_dense_matrix_whole(spark, sf):
+    return rounded(curves.dense(_curves(spark, sf, until_s=None)), 6, "tick_norm", "value")
+
+
+@_whole("dom27_statistics", True)
+def dom27_statistics_whole(spark, sf):
+    return rounded(curves.statistics(_curves(spark, sf, True, None), "tick_norm"), 6, "tick_norm", "mean", "std")
+
+
+@_whole("dom27_window_statistics", True)
+def dom27_window_statistics_whole(spark, sf):
+    return rounded(curves.statistics(curves.quantile_windows(_curves(spark, sf, True, None)), "window", "tick_norm"), 6, "tick_norm", "mean", "std")
+
+
 @query(f"SELECT t, (r // (n // 4))::INT AS \"window\" FROM (SELECT vec_id AS t, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings) WHERE r // (n // 4) < 4")
 def win6_equal_windows(spark, sf):
     rows = fx.matrix(spark, sf)
@@ -413,7 +451,7 @@ def dom35_legendre_scores(spark, sf):
 
 @query()
 def dom39_score_series(spark, sf):
-    price, peg = (curves.as_rows(curves.dense(_curves(spark, sf, c))) for c in (False, True))
+    price, peg = (curves.as_rows(curves.dense(_curves(spark, sf, c, None))) for c in (False, True))
     return rounded(decompose.score_series(5, price=price, peg=peg), 7, "score")
 
 
