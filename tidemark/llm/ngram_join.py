@@ -1,14 +1,16 @@
 """N-gram Jaccard join by prefix filters under several global orders, and the classes that its links make.
 
-Two sets with Jaccard similarity of at least t share a token among the first n - ceil(t * n) + 1 of each, under any
-order of all tokens. Candidates are found by the first order, must pass the same filter under two more, and are then
-verified on the whole sets. In every order the corpus' rare tokens come first, within their kind by a hash.
+Two sets with Jaccard similarity of at least t share a token among the first n - ceil(t * n) + 1 of each, under any order
+of all tokens, and l tokens among the first n - ceil(t * n) + l. Candidates are found by the first order with one token.
+Those that share enough tokens under two more orders, too, are verified on the whole sets. In every order the corpus' rare
+tokens come first, within their kind by a hash.
 
 Equal sets are one node. A large bucket of a token isn't expanded into all pairs: each of its documents is first compared
-with the hub of its largest bucket. Documents that are similar to their hub are one class; two others with the same hub
-can only be similar if they differ from it in the same tokens, so a second prefix filter runs over those differences.
-Its buckets, too, are first compared with one document each, and pairs are made across the classes that are left. Pairs
-across hubs, and those of small buckets, are taken as they are. No candidate of another class is left out.
+with a hub, one document of the same token and about the same size, by the same filters and verification. Documents that
+are similar to their hub are one class. Others with the same hub can only be similar if they differ from it in the same
+tokens, so another prefix filter runs over those differences. Its buckets, too, are first compared with one document
+each, and pairs are made across the classes that are left. Pairs across hubs, and those of small buckets, are taken as
+they are, without pairs inside the largest class of a bucket. No candidate of another class is left out.
 
 Links inside a class aren't needed for the classes, but are for counting or listing links. As no link leaves a class, each
 class is then cut into blocks of bounded size and every two of its blocks are compared in one task, set by set.
@@ -16,26 +18,31 @@ class is then cut into blocks of bounded size and every two of its blocks are co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import discard, empty, weighed, written
 
 SHINGLE, PERCENT = 3, 90
-#: Tokens in HOT lists or more come last in every order, tokens in several before them: two bitmaps of 2^BITS bits, 8 MB
-#: each, go to each task. Of THRESHOLDS, the first from which on tokens fill an eighth of the bits at most tells what "several" is.
-HOT, THRESHOLDS, BITS, BUCKETS = 33, (2, 3, 5, 9, 33), 26, 256
-#: Documents that a task cuts at once.
-BATCH = 2000
+#: Tokens in HOT lists or more come last in every order, tokens in several before them: two bitmaps of 2^BITS to 2^MOST_BITS bits
+#: (8 to 32 MB, by the number of tokens) go to each task. Of THRESHOLDS, the first from which on tokens fill an eighth of the bits at
+#: most tells what "several" is. Any bitmap makes a valid order; in a full one all tokens are frequent, and candidates grow.
+HOT, THRESHOLDS, BITS, MOST_BITS, BUCKETS = 33, (2, 3, 5, 9, 33), 26, 28, 256
+#: Bytes that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
 #: Documents of a bucket from which on it has a hub, and rounds in which the buckets of a hub's differences are compared with one document each.
 FAMILY, STARS = 8, 2
-#: Ids that a join sends to every executor; above that it shuffles.
+#: Rows of ids that a join sends to every executor, some 30 MB; above that it shuffles.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one document that are compared in a task, and tasks that meet a node with many edges.
+GUESTS, SALTS = 512, 16
 #: What a block of a class holds about, for counting its links: sets, and tokens of all of them.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
 
@@ -90,38 +97,47 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 class Frequent:
-    """How often a token is listed, by bitmaps over the top BITS bits of its hash: level 1 from one threshold on, 2 from HOT on.
+    """How often a token is listed, by bitmaps over the top bits of its hash: level 1 from one threshold on, 2 from HOT on.
 
-    Their size doesn't depend on the corpus. A token that collides with a frequent one counts as frequent."""
+    A token that collides with a frequent one counts as frequent."""
 
     def __init__(self, *bitmaps: np.ndarray):
         self.bitmaps = bitmaps
+        self.drop = np.uint64(62 - len(bitmaps[0]).bit_length())
 
     def levels(self, tokens: np.ndarray) -> np.ndarray:
         out = np.zeros(len(tokens), np.int8)
         if len(tokens):
-            at = (tokens >> np.uint64(64 - BITS)).astype(np.int64)
+            at = (tokens >> self.drop).astype(np.int64)
             for bits in self.bitmaps:
                 out += bits[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)
         return out
 
 
 def blobs(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """(bucket, sorted 32-bit hashes of listed tokens): one row for each bucket instead of one for each token."""
+    """(bucket, sorted 32-bit hashes of listed tokens): one row for each bucket instead of one for each token.
+
+    Neighbours of a sorted list are close, so their distances' high bytes, put side by side, compress to little."""
     if tokens:
-        h = np.sort((np.concatenate(tokens) >> np.uint64(32)).astype(np.uint32))
+        h, squeeze = np.sort((np.concatenate(tokens) >> np.uint64(32)).astype(np.uint32)), zstandard.ZstdCompressor(1)
         edges = np.searchsorted(h, np.arange(BUCKETS, dtype=np.uint32) << np.uint32(32 - BUCKETS.bit_length() + 1))
         for bucket, (i, j) in enumerate(zip(edges, [*edges[1:], len(h)], strict=True)):
             if j > i:
-                yield bucket, h[i:j].tobytes()
+                steps = np.diff(h[i:j], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4)
+                yield bucket, squeeze.compress(np.ascontiguousarray(steps.T).tobytes())
+
+
+def unblob(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def frequent(listed: DataFrame, thresholds: tuple[int, ...]) -> tuple[dict[int, np.ndarray], dict[int, int]]:
-    """Bitmaps of the hashes that (bucket, hashes) rows list so often, and the number of set bits, for each threshold.
+def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """Bitmaps (2^bits bits) of the hashes that (bucket, hashes) rows list so often, and the number of set bits, for each threshold.
 
     Buckets are counted one after another in an array of fixed size, whatever the number of rows."""
     width = 1 << 32 - (BUCKETS.bit_length() - 1)
-    fold = 1 << 32 - BITS
+    fold = 1 << 32 - bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, counts = -1, np.zeros(0, np.uint8)
@@ -136,13 +152,13 @@ def frequent(listed: DataFrame, thresholds: tuple[int, ...]) -> tuple[dict[int,
                     if now >= 0:
                         yield done()
                     now, counts = bucket, np.zeros(width, np.uint8)
-                at, n = np.unique(np.frombuffer(hashes, np.uint32) & np.uint32(width - 1), return_counts=True)
+                at, n = np.unique(unblob(hashes) & np.uint32(width - 1), return_counts=True)
                 counts[at] = np.minimum(counts[at].astype(np.int64) + n, 255)
         if now >= 0:
             yield done()
 
     rows = listed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, "bucket int, threshold int, bits binary").toPandas()
-    out, size = {t: np.zeros(1 << BITS - 3, np.uint8) for t in thresholds}, (1 << BITS - 3) // BUCKETS
+    out, size = {t: np.zeros(1 << bits - 3, np.uint8) for t in thresholds}, (1 << bits - 3) // BUCKETS
     for r in rows.itertuples(index=False):
         out[r.threshold][r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.bits, np.uint8)
     return out, {t: int(np.bitwise_count(b).sum()) for t, b in out.items()}
@@ -182,49 +198,164 @@ def fits(na, nb, left_a, left_b, percent: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (a, b): root is the smallest node reachable. Labels spread and jump until none changes."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    pairs = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = written(pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")), "edges")
+    if both.isEmpty():
+        return empty(edges.sparkSession, "node long, root long")
     roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "roots")
+    n = roots.count()
+    few = n <= BROADCAST_IDS
     while True:
-        seen = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        if few:
+            seen = both.join(F.broadcast(roots.withColumnRenamed("node", "b")), "b")
+        else:  # a node with many edges is met in several tasks
+            salted = roots.select(F.col("node").alias("b"), "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            seen = both.join(salted, ["b", "salt"])
+        seen = seen.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         closer = roots.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         over = roots.select(F.col("node").alias("root"), F.col("root").alias("jump"))
-        new = written(closer.join(over, "root", "left").select("node", "was", F.least("root", F.coalesce("jump", "root")).alias("root")), "roots")
+        if few:
+            jumped = closer.join(F.broadcast(over), "root", "left")
+        else:  # the root of a large class is met by all of its nodes
+            over = closer.groupBy("root").agg(F.count("*").alias("m")).join(over, "root")
+            jumped = weighed(closer, over, "root", "m", n, "left")
+        new = written(jumped.select("node", "was", F.least("root", F.coalesce("jump", "root")).alias("root")), "roots")
         changed = new.filter("was <> root").limit(1).count()
-        roots = new.select("node", "root")
+        discard(roots)
+        written_roots, roots = new, new.select("node", "root")
+        roots._scratch = written_roots._scratch
         if not changed:
+            discard(both)
             return roots
 
 
-def _sets(ids: DataFrame, docs: DataFrame, make, shingle: int, schema: str) -> DataFrame:
-    """make() of the documents with these ids; only their texts are cut again."""
-    ids = written(ids.distinct(), "ids")
+def _cut(docs: DataFrame, ids: DataFrame, make, shingle: int, schema: str) -> DataFrame:
+    """make() of the documents with these ids (a written table); only their texts are cut again."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return written(_each(docs.join(ids, "doc_id", "left_semi"), shingle, make, schema), "candidates", BATCH)
-
-
-def _differences(spokes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, hub, n, linked, family, parts) for (doc_id, hub): whether they are similar, and the tokens that only one of them has.
-
-    A document that differs from the hub in more tokens than it has is no family and a hub of its own."""
-    hubs = spokes.select(F.col("hub").alias("doc_id")).distinct()
-    sets = _sets(spokes.select("doc_id").unionByName(hubs), docs, lambda doc, tokens: ((doc, tokens.tobytes()), None), shingle, "doc_id long, tokens binary")
-    if spokes.count() <= BROADCAST_IDS:  # then sets are dealt by hub only
-        spokes, hubs = F.broadcast(spokes), F.broadcast(hubs)
-    of_hub = sets.join(hubs, "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("tokens").alias("of_hub"))
-    rows = sets.join(spokes, "doc_id").join(of_hub, "hub")
+    return _each(docs.join(ids, "doc_id", "left_semi"), shingle, make, schema)
+
+
+def _meet(pairs: DataFrame, docs: DataFrame, shingle: int, make, compare, schema: str) -> DataFrame:
+    """A written table of what compare(a, b, blob of a, blob of b) returns for each pair (a, b) of a written table; blobs are what make() gives for a set.
+
+    Of the two documents of a pair the one with more pairs is the host. Its blob goes once to each of its tasks, its guests'
+    blobs follow, and a task holds one host's blob at a time. A host of many guests has several tasks. compare may get the two in either order."""
+    n = pairs.count()
+    if not n:
+        return empty(docs.sparkSession, schema)
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("m"))
+    ends = written(ends, "ids")
+    few = n <= BROADCAST_IDS
+    hosted = pairs.select("a", "b")
+    for side in "ab":
+        table = ends.select(F.col("doc_id").alias(side), F.col("m").alias(f"m_{side}"))
+        hosted = hosted.join(F.broadcast(table), side) if few else weighed(hosted, table, side, f"m_{side}", n)
+    first = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")))
+    hosted = hosted.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), F.greatest("m_a", "m_b").alias("m"))
+    hosted = hosted.select("host", "guest", F.pmod(F.xxhash64("guest"), F.ceil(F.col("m") / GUESTS)).cast("int").alias("part"))
+    hosts = hosted.select(F.col("host").alias("doc_id"), "host", "part", F.lit(True).alias("hosts")).distinct()
+    routes = written(hosted.select(F.col("guest").alias("doc_id"), "host", "part", F.lit(False).alias("hosts")).unionByName(hosts), "routes")
+    blobs = _cut(docs, ends.select("doc_id"), lambda doc, tokens: ((doc, make(tokens)), None), shingle, "doc_id long, blob binary")
+    rows = blobs.join(F.broadcast(routes) if few else routes, "doc_id").repartition("host", "part").sortWithinPartitions("host", "part", F.desc("hosts"), "doc_id")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
         for pdf in batches:
             made = []
-            for doc, hub, x, h in zip(pdf["doc_id"], pdf["hub"], pdf["tokens"], pdf["of_hub"], strict=True):
-                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
-                apart = np.setxor1d(x, h, True)
-                common = (len(x) + len(h) - len(apart)) // 2
-                near = len(apart) <= len(x)
-                made.append((doc, hub, len(x), 100 * common >= percent * (common + len(apart)), hub if near else doc, (apart if near else apart[:0]).view(np.int64)))
-            yield pd.DataFrame(made, columns=["doc_id", "hub", "n", "linked", "family", "parts"])
+            for doc, host, part, hosts, blob in zip(pdf["doc_id"], pdf["host"], pdf["part"], pdf["hosts"], pdf["blob"], strict=True):
+                if (host, part) != now:
+                    now, held = (host, part), []
+                if not hosts:
+                    made += [compare(host, doc, x, blob) for x in held]
+                elif blob not in held:  # rows that share an id
+                    held.append(blob)
+            made = [x for x in made if x is not None]
+            if made:
+                yield pd.DataFrame(made, columns=names)
+
+    out = written(rows.select("doc_id", "host", "part", "hosts", "blob").mapInPandas(run, schema), "met", BATCH_BYTES)
+    discard(ends, routes)
+    return out
+
+
+class Signature:
+    """A set's size and the first tokens, 32 bits of each, under the second and the third order.
+
+    Among the first n - ceil(t * n) + l tokens of each, similar sets share l. more is the largest l that a set has tokens
+    for; two sets take the smaller one of theirs. Shorter hashes can only make more of them equal."""
+
+    def __init__(self, blob: bytes):
+        self.n, self.base, self.more = np.frombuffer(blob, np.int32, 3).tolist()
+        self.orders = np.frombuffer(blob, np.uint32, offset=12).reshape(2, -1)
+
+    @staticmethod
+    def blob(tokens: np.ndarray, known: Frequent, percent: int) -> bytes:
+        n = len(tokens)
+        least = -(-percent * n // 100)
+        base, more = n - least, min(least, 1 + (100 - percent) * n // 100)
+        firsts = [(prefix(tokens, known, order, base + more) >> np.uint64(32)).astype(np.uint32) for order in (1, 2)]
+        return b"".join([np.array([n, base, more], np.int32).tobytes(), *(x.tobytes() for x in firsts)])
+
+    def shared(self, other: Signature, percent: int) -> float:
+        """What the two share, of what similar sets share at least, in the order in which that is less; 0 if their sizes are too far apart."""
+        if 100 * min(self.n, other.n) < percent * max(self.n, other.n):
+            return 0.0
+        most = min(self.more, other.more)
+        return min(int(np.isin(x[: self.base + most], y[: other.base + most]).sum()) for x, y in zip(self.orders, other.orders, strict=True)) / max(most, 1)
+
+
+def _filtered(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int, least: float = 1.0) -> DataFrame:
+    """(a, b, share), written: the pairs that the second and the third order leave, where similar sets have a share of 1 or more."""
+
+    def compare(host, guest, x, y):
+        share = Signature(x).shared(Signature(y), percent)
+        return (min(host, guest), max(host, guest), share) if share >= least else None
+
+    return _meet(pairs, docs, shingle, lambda tokens: Signature.blob(tokens, known.value, percent), compare, "a long, b long, share double")
+
 
-    return written(rows.select("doc_id", "hub", "tokens", "of_hub").mapInPandas(run, "doc_id long, hub long, n long, linked boolean, family long, parts array<long>"), "apart", BATCH // 4)
+def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the filters of the other orders and are similar, written."""
+
+    def compare(host, guest, x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return (min(host, guest), max(host, guest)) if 100 * common >= percent * (len(x) + len(y) - common) else None
+
+    passed = _filtered(pairs, docs, known, shingle, percent)
+    found = _meet(passed, docs, shingle, lambda tokens: tokens.tobytes(), compare, "a long, b long")
+    discard(passed)
+    return found
+
+
+def _differences(spokes: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, hub, n, linked, parts), written, for those (doc_id, hub) of which the orders' filters find half of what similar sets share:
+    whether they are similar, and the tokens that only one of them has, if these are fewer than the document's own.
+
+    A link to a hub has passed the filters of all orders, as other links have."""
+    schema = "doc_id long, hub long, n long, linked boolean, parts array<long>"
+    if spokes.isEmpty():
+        return empty(docs.sparkSession, schema)
+    pairs = written(spokes.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "pairs")
+    close = _filtered(pairs, docs, known, shingle, percent, 0.5)
+
+    def compare(host, guest, x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        apart = np.setxor1d(x, y, True)
+        common = (len(x) + len(y) - len(apart)) // 2
+        return host, guest, len(x), len(y), 100 * common >= percent * (common + len(apart)), apart.view(np.int64) if len(apart) <= min(len(x), len(y)) else None
+
+    schema = "a long, b long, n_a long, n_b long, near boolean, parts array<long>"
+    met = _meet(close, docs, shingle, lambda tokens: tokens.tobytes(), compare, schema)
+    shares = close.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (F.col("share") >= 1).alias("passed"))
+    both = met.select("*", F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), F.col("near").alias("similar")).join(F.broadcast(shares) if shares.count() <= BROADCAST_IDS else shares, ["_a", "_b"])
+    # a document may be the hub of its hub
+    few = F.broadcast(spokes) if spokes.count() <= BROADCAST_IDS else spokes
+    rows = few.join(both, (F.least("doc_id", "hub") == F.col("_a")) & (F.greatest("doc_id", "hub") == F.col("_b")))
+    out = written(rows.filter("parts IS NOT NULL").select("doc_id", "hub", F.when(F.col("doc_id") == F.col("a"), F.col("n_a")).otherwise(F.col("n_b")).alias("n"), (F.col("similar") & F.col("passed")).alias("linked"), "parts"), "apart")
+    discard(pairs, close, met)
+    return out
 
 
 def _shared_differences(spokes: DataFrame, percent: int) -> DataFrame:
@@ -232,12 +363,25 @@ def _shared_differences(spokes: DataFrame, percent: int) -> DataFrame:
 
     They are ordered by how often the family has them; how many a set needs is bounded by its own size, as a partner's
     size is. weight: how far the document's differences are those of others."""
-    cells = spokes.select(F.col("family").alias("hub"), "doc_id", "cut", "n", F.size("parts").alias("d"), F.explode("parts").alias("token"))
-    often = cells.groupBy("hub", "token").agg(F.count("*").alias("df"))
+    cells = spokes.select("hub", "doc_id", "cut", "n", F.size("parts").alias("d"), F.explode("parts").alias("token"))
+    often = cells.groupBy("hub", "token").agg(F.count("*").alias("df")).filter("df > 1")
     one = Window.partitionBy("hub", "doc_id", "cut")
-    rows = cells.join(often, ["hub", "token"]).withColumn("pos", F.row_number().over(one.orderBy("df", "token")) - 1).withColumn("weight", F.sum("df").over(one) / F.col("d"))
+    # a token that one document has alone comes before all others of it: what follows is only moved by their number
+    rows = cells.join(often, ["hub", "token"]).withColumn("alone", F.col("d") - F.count("*").over(one))
+    rows = rows.withColumn("pos", F.col("alone") + F.row_number().over(one.orderBy("df", "token")) - 1).withColumn("weight", (F.col("alone") + F.sum("df").over(one)) / F.col("d"))
     most = F.floor((100 - percent) * (F.col("n") + 100 * F.col("n") / percent) / (100 + percent))
-    return rows.filter((F.col("pos") <= most) & (F.col("df") > 1)).select("hub", "token", "doc_id", "n", "d", (F.col("d") - F.col("pos")).alias("left"), "weight")
+    return rows.filter(F.col("pos") <= most).select("hub", "token", "doc_id", "n", "d", (F.col("d") - F.col("pos")).alias("left"), "weight")
+
+
+def _crossed(a: DataFrame, b: DataFrame, keys: list[str], largest: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """a and b joined by keys, with fields as ..._a and ..._b, without pairs of two documents of the key's largest class; only keys in largest."""
+    hint = F.broadcast if largest.count() <= BROADCAST_IDS else lambda x: x
+    sides = {}
+    for name, rows in (("a", a), ("b", b)):
+        rows = rows.join(hint(largest), keys)
+        sides[name] = [rows.filter(c).select(*keys, *(F.col(f).alias(f"{f}_{name}") for f in fields)) for c in ("root <> largest", "root = largest")]
+    others = sides["a"][0].join(sides["b"][0].unionByName(sides["b"][1]), keys)
+    return others.unionByName(sides["a"][1].join(sides["b"][0], keys))
 
 
 def _pairs_of_a_hub(rows: DataFrame, roots: DataFrame, percent: int, star: int | None = None) -> DataFrame:
@@ -245,86 +389,81 @@ def _pairs_of_a_hub(rows: DataFrame, roots: DataFrame, percent: int, star: int |
 
     Sets that share nothing of their differences from the hub are similar only if both are similar to the hub, and so of
     its class. Others share one of the tokens in rows."""
-    rows = rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    first = F.col("weight") if star == 0 else F.xxhash64("doc_id", F.lit(star))
-    fields = ("doc_id", "n", "d", "root", "left")
-    open_ = rows.groupBy("hub", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct(first.alias("first"), -F.col("doc_id"), *fields)).alias("top")).filter("lo < hi")
-    a, b = (rows.select("hub", "token", *(F.col(c).alias(f"{c}_{x}") for c in fields)) for x in "ab")
+    roots = roots.select(F.col("node").alias("doc_id"), "root")
+    rows = rows.join(F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    fields, keys = ("doc_id", "n", "d", "root", "left"), ["hub", "token"]
     if star is None:
-        pairs = a.join(open_.select("hub", "token"), ["hub", "token"]).join(b, ["hub", "token"]).filter("doc_id_a < doc_id_b")
+        classes = rows.groupBy(*keys, "root").agg(F.count("*").alias("m"))
+        largest = written(classes.groupBy(*keys).agg(F.count("*").alias("classes"), F.max(F.struct("m", "root")).alias("top")).filter("classes > 1").select(*keys, F.col("top.root").alias("largest")), "largest")
+        pairs = _crossed(rows, rows, keys, largest, fields).filter("doc_id_a <> doc_id_b")
     else:
-        pairs = a.join(open_.select("hub", "token", *(F.col(f"top.{c}").alias(f"{c}_b") for c in fields)), ["hub", "token"])
+        first = F.col("weight") if star == 0 else F.xxhash64("doc_id", F.lit(star))
+        open_ = rows.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct(first.alias("first"), -F.col("doc_id"), *fields)).alias("top")).filter("lo < hi")
+        a = rows.select(*keys, *(F.col(c).alias(f"{c}_a") for c in fields))
+        pairs = a.join(open_.select(*keys, *(F.col(f"top.{c}").alias(f"{c}_b") for c in fields)), keys)
     near = (100 + percent) * (F.col("d_a") + F.col("d_b") - 2 * F.least("left_a", "left_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     fit = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     return pairs.filter((F.col("root_a") != F.col("root_b")) & fit & near).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
+def size_class(n, percent: int):
+    """A whole number for a set's size: the classes of similar sets differ by one at most."""
+    return F.floor(F.log(n.cast("double")) / (1.001 * math.log(100 / percent))).cast("int")
+
+
 def _pairs_across_hubs(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different classes and hubs that share a prefix token where similar sets can."""
-    now = rows.join(own, "doc_id").select("token", "doc_id", "n", "left", "near", "hub", "root")
-    open_ = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("hub").alias("h1"), F.max("hub").alias("h2"), F.max("near").alias("any")).filter("lo < hi AND h1 < h2 AND any").select("token")
-    now = now.join(open_, "token")
-    a, b = (now.filter("near" if x == "a" else "true").select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "left", "hub", "root"))) for x in "ab")
+    """Pairs (a, b) of different classes and hubs that share a prefix token where similar sets can. a is the smaller set, its class that of b or the one before."""
+    own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+    fields, keys = ("doc_id", "n", "left", "hub", "root"), ["token", "size"]
+    now = rows.select("token", "doc_id", "n", "left", "near", size_class(F.col("n"), percent).alias("own")).join(own, "doc_id")
+    both = now.withColumn("size", F.explode(F.array("own", F.col("own") + 1)))
+    classes = both.groupBy(*keys, "root").agg(F.count("*").alias("m"), F.min("hub").alias("h1"), F.max("hub").alias("h2"), F.max("near").alias("any"))
+    open_ = classes.groupBy(*keys).agg(F.count("*").alias("classes"), F.min("h1").alias("h1"), F.max("h2").alias("h2"), F.max("any").alias("any"), F.max(F.struct("m", "root")).alias("top"))
+    largest = written(open_.filter("classes > 1 AND h1 < h2 AND any").select(*keys, F.col("top.root").alias("largest")), "largest")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
     other = (F.col("hub_a") != F.col("hub_b")) & (F.col("root_a") != F.col("root_b"))
-    found = a.join(b, "token").filter(smaller & other & fits(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b"), percent))
+    found = _crossed(both.filter("near"), both.filter("size = own"), keys, largest, fields).filter(smaller & other & fits(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b"), percent))
     return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and are similar.
-
-    The filters compare 32 bits of a token, which can only let more pairs through."""
-
-    def cut(doc, tokens):
-        size = prefix_size(len(tokens), percent) if len(tokens) else 0
-        second, third = ((prefix(tokens, known.value, order, size) >> np.uint64(32)).astype(np.uint32).view(np.int32) for order in (1, 2))
-        return (doc, second, third, tokens.tobytes()), None
-
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = _sets(ids, docs, cut, shingle, "doc_id long, second array<int>, third array<int>, tokens binary")
-    small = sets.select("doc_id", "second", "third")
-    a = small.select(F.col("doc_id").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
-    b = small.select(F.col("doc_id").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
-    passed = pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
-    full = sets.select("doc_id", "tokens")
-    rows = passed.join(full.select(F.col("doc_id").alias("b"), F.col("tokens").alias("of_b")), "b").join(full.select(F.col("doc_id").alias("a"), F.col("tokens").alias("of_a")), "a")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["of_a"], pdf["of_b"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return rows.select("a", "b", "of_a", "of_b").mapInPandas(run, "a long, b long").distinct()
+def _links_of_ids(rows: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
+    """(a, b): rows that share an id are one document, which links with each of its sets."""
+    h = F.xxhash64("key")
+    odd = rows.groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo < hi").select("doc_id")
+    odd = written(odd, "odd")
+    if odd.isEmpty():
+        return odd.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    some = rows.join(F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd, "doc_id", "left_semi").select("doc_id", "key").distinct()
+    return weighed(some, sets, "key", "copies", n_rows).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n, key, rep, root) for every row of (doc_id, text): rep is the smallest id with the same set, root that of its class."""
+    """(doc_id, n, key, rep, root), written, for every row of (doc_id, text): rep is the smallest id with the same set, root that of its class."""
     spark = docs.sparkSession
 
     def first_pass(doc, tokens):
         size = prefix_size(len(tokens), percent) if len(tokens) else 0
         return (doc, len(tokens), xxhash.xxh3_128_digest(tokens.tobytes())), tokens[: size + size // 2 + 4]
 
-    both = written(_each(docs, shingle, first_pass, "doc_id long, n long, key binary", True), "shingled", BATCH)
-    base = both.filter("bucket IS NULL").select("doc_id", "n", "key")
-    reps = written(base.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
-    bits, filled = frequent(both.filter("bucket IS NOT NULL").select("bucket", "hashes"), THRESHOLDS)
-    several = next((t for t in THRESHOLDS if filled[t] <= 1 << BITS - 3), HOT)
-    known = spark.sparkContext.broadcast(Frequent(bits[several], bits[HOT]))
+    shingled = written(_each(docs, shingle, first_pass, "doc_id long, n long, key binary", True), "shingled", BATCH_BYTES)
+    base = shingled.filter("bucket IS NULL").select("doc_id", "n", "key")
+    some = base.filter("n > 0 AND doc_id IS NOT NULL")
+    n_rows = base.count()
+    sets = written(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    listed = some.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(BITS, int(listed * 3 * (100 - percent) // 100).bit_length()))
+    bitmaps, filled = frequent(shingled.filter("bucket IS NOT NULL").select("bucket", "hashes"), THRESHOLDS, bits)
+    several = next((t for t in THRESHOLDS if filled[t] <= 1 << bits - 3), HOT)
+    known = spark.sparkContext.broadcast(Frequent(bitmaps[several], bitmaps[HOT]))
 
     def second_pass(doc, tokens):
         first = prefix(tokens, known.value, 0, prefix_size(len(tokens), percent)) if len(tokens) else tokens
         return (doc, len(tokens), first.tobytes()), first
 
-    both = written(_each(docs.filter("doc_id IS NOT NULL"), shingle, second_pass, "doc_id long, n long, first binary", True), "prefixes", BATCH)
+    prefixes = written(_each(docs.filter("doc_id IS NOT NULL"), shingle, second_pass, "doc_id long, n long, first binary", True), "prefixes", BATCH_BYTES)
     # most tokens are in one prefix only: a bitmap leaves them out before any row is made of them
-    bits, _ = frequent(both.filter("bucket IS NOT NULL").select("bucket", "hashes"), (2,))
-    twice = spark.sparkContext.broadcast(Frequent(bits[2]))
+    bitmaps, _ = frequent(prefixes.filter("bucket IS NOT NULL").select("bucket", "hashes"), (2,), bits)
+    twice = spark.sparkContext.broadcast(Frequent(bitmaps[2]))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -336,38 +475,58 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             n = np.repeat(pdf["n"].to_numpy(np.int64), sizes)[at]
             yield pd.DataFrame({"token": tokens[at].view(np.int64), "doc_id": np.repeat(pdf["doc_id"].to_numpy(np.int64), sizes)[at], "n": n, "left": n - pos[at]})
 
-    rows = both.filter("n > 0").select("doc_id", "n", "first").mapInPandas(spread, "token long, doc_id long, n long, left long")
-    rows = written(rows.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "spread", BATCH)
+    rows = prefixes.filter("n > 0").select("doc_id", "n", "first").mapInPandas(spread, "token long, doc_id long, n long, left long")
+    reps = sets.select(F.col("rep").alias("doc_id"))
+    spread_rows = written(rows.join(reps, "doc_id", "left_semi"), "spread", BATCH_BYTES)
     # the smaller set of a pair has the shared token near its start
     near = (100 + percent) * F.col("left") >= 2 * percent * F.col("n")
-    shared = rows.groupBy("token").agg(F.count("*").alias("df"), F.count(F.when(near, 1)).alias("near")).filter("df > 1 AND near > 0").select("token", "df")
-    rows = written(rows.join(shared, "token").withColumn("near", near), "buckets")
-
-    # a hub for each document: the one of its largest bucket; hubs are documents of which most tokens are frequent
-    weight = F.sum("df").over(Window.partitionBy("doc_id")) / F.col("n")
-    best = rows.withColumn("weight", weight).groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("weight", -F.col("doc_id"), "doc_id")).alias("top"))
-    spokes = rows.select("token", "doc_id").join(best.filter(F.col("m") >= FAMILY).select("token", "m", F.col("top.doc_id").alias("hub")), "token").groupBy("doc_id").agg(F.max(F.struct("m", "hub")).alias("top"))
+    shared = written(spread_rows.groupBy("token").agg(F.count("*").alias("df"), F.count(F.when(near, 1)).alias("near")).filter("df > 1 AND near > 0").select("token", "df"), "tokens")
+    rows = written(weighed(spread_rows, shared, "token", "df", spread_rows.count()).withColumn("near", near), "buckets")
+    discard(prefixes, spread_rows, shared)
+
+    # a hub for each document: of the largest bucket of its token and size; hubs are documents of which most tokens are frequent
+    large = rows.filter(F.col("df") >= FAMILY)
+    weight = large.groupBy("doc_id").agg((F.sum("df") / F.max("n")).alias("weight"))
+    large = large.join(weight, "doc_id").withColumn("size", F.explode(F.array(size_class(F.col("n"), percent), size_class(F.col("n"), percent) + 1)))
+    best = written(large.groupBy("token", "size").agg(F.count("*").alias("m"), F.max(F.struct("weight", -F.col("doc_id"), "doc_id")).alias("top")).filter(F.col("m") >= FAMILY).select("token", "size", "m", F.col("top.doc_id").alias("hub")), "hubs")
+    spokes = large.select("token", "size", "doc_id").join(F.broadcast(best) if best.count() <= BROADCAST_IDS else best, ["token", "size"]).groupBy("doc_id").agg(F.max(F.struct("m", "hub")).alias("top"))
     spokes = written(spokes.select("doc_id", F.col("top.hub").alias("hub")), "spokes")
-    spokes = _differences(spokes, docs, shingle, percent).withColumn("cut", F.xxhash64("parts")).dropDuplicates(["doc_id", "hub", "family", "linked", "cut"])
-    spokes = written(spokes, "differences")
-    tested = spokes.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-    links = spokes.filter("linked AND doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    apart = _differences(spokes, docs, known, shingle, percent)
+    tested = spokes.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    links = apart.filter("linked").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    found = []
     roots = components(links)
-    shared = written(_shared_differences(spokes, percent), "family")
+    if apart.isEmpty():
+        family = empty(spark, "hub long, token long, doc_id long, n long, d int, left long, weight double")
+    else:
+        family = written(_shared_differences(apart.withColumn("cut", F.xxhash64("parts")).dropDuplicates(["doc_id", "hub", "cut"]), percent), "family")
     for star in range(STARS):
-        pairs = written(_pairs_of_a_hub(shared, roots, percent, star).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
+        pairs = written(_pairs_of_a_hub(family, roots, percent, star).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
             break
-        links = links.unionByName(written(_verify(pairs, docs, known, shingle, percent), "links", BATCH // 4))
-        tested, roots = tested.unionByName(pairs), components(links)
-    own = rows.select("doc_id").distinct().join(spokes.select("doc_id", F.col("family").alias("hub")).distinct(), "doc_id", "left").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        found.append(_verify(pairs, docs, known, shingle, percent))
+        links, tested = links.unionByName(found[-1]), tested.unionByName(pairs)
+        discard(roots)
+        roots = components(links)
+    by_node = roots.withColumnRenamed("node", "doc_id")
+    own = rows.select("doc_id").distinct().join(apart.select("doc_id", "hub").distinct(), "doc_id", "left").join(by_node, "doc_id", "left")
     own = written(own.select("doc_id", F.coalesce("hub", "doc_id").alias("hub"), F.coalesce("root", "doc_id").alias("root")), "classes")
-    pairs = _pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(shared, roots, percent)).distinct().join(tested, ["a", "b"], "left_anti")
-    found = written(_verify(written(pairs, "pairs"), docs, known, shingle, percent), "links", BATCH // 4)
-    roots = components(links.unionByName(found))
-
-    known_sets = base.select("doc_id", "n", "key").join(reps, "key", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")))
-    return known_sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    pairs = _pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(family, roots, percent)).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = written(pairs, "pairs")
+    found.append(_verify(pairs, docs, known, shingle, percent))
+    discard(roots)
+    roots = components(links.unionByName(found[-1]).unionByName(_links_of_ids(some, sets, n_rows)))
+
+    # copies meet their set's class by its key: keys of many copies don't meet in one task, and other sets have their own id
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots
+    multi = written(sets.filter("copies > 1").join(roots.withColumnRenamed("node", "rep"), "rep", "left"), "copied")
+    copied = some.join(F.broadcast(multi), "key", "left") if multi.count() <= BROADCAST_IDS else weighed(some, multi, "key", "copies", n_rows, "left")
+    single = copied.filter("rep IS NULL").select("doc_id", "n", "key").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    parts = (copied.filter("rep IS NOT NULL"), single.withColumn("rep", F.col("doc_id")), base.filter("n = 0 OR doc_id IS NULL").withColumn("rep", F.lit(None).cast("long")).withColumn("root", F.lit(None).cast("long")))
+    out = [x.select("doc_id", "n", "key", "rep", "root") for x in parts]
+    known_sets = written(out[0].unionByName(out[1]).unionByName(out[2]), "known")
+    discard(shingled, sets, multi, rows, spokes, apart, family, own, pairs)
+    return known_sets
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -429,7 +588,7 @@ def _compared(docs: DataFrame, known: DataFrame, shingle: int, percent: int, sch
     def cut(doc, tokens):
         return (doc, xxhash.xxh3_128_digest(tokens.tobytes()), tokens.tobytes()), None
 
-    full = _sets(members.select(F.col("rep").alias("doc_id")), docs, cut, shingle, "doc_id long, key binary, tokens binary")
+    full = written(_cut(docs, members.select(F.col("rep").alias("doc_id")), cut, shingle, "doc_id long, key binary, tokens binary"), "sets", BATCH_BYTES)
     rows = full.withColumnRenamed("doc_id", "rep").join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, ["rep", "key"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
@@ -455,7 +614,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents with equal sets are linked, too. Rows without an id or without words have no set_id and no link."""
     docs = _plain(docs, id_col, text_col)
-    known = written(_classes(docs, shingle, percent), "known")
+    known = _classes(docs, shingle, percent)
 
     def count(a: pd.DataFrame, b: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
         links = np.concatenate([near @ b["weight"].to_numpy(np.int64), near.T @ a["weight"].to_numpy(np.int64)])
@@ -472,7 +631,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b), a < b: every two different sets that are similar, by the set_id of linked_documents. A family of n near copies has up to n (n - 1) / 2."""
     docs = _plain(docs, id_col, text_col)
-    known = written(_classes(docs, shingle, percent), "known")
+    known = _classes(docs, shingle, percent)
 
     def pairs(a: pd.DataFrame, b: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
         i, j = np.nonzero(near)
@@ -483,12 +642,19 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; columns stay. Rows without an id stay."""
-    found = similar_documents(docs, id_col, text_col, shingle, percent)
-    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    few = others.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(others) if few else others, docs[id_col] == F.col("_other"), "left_anti")
-    return kept
+    """docs with one document of each class, the one with the smallest id; columns stay.
+
+    Rows that share an id are one document, and one row of it stays if it is the one of its class. Rows without an id stay."""
+    found = _classes(_plain(docs, id_col, text_col), shingle, percent)
+    root = F.coalesce("root", "rep", "doc_id")
+    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(root).alias("root"), F.count("*").alias("rows"))
+    ids = written(ids.filter((F.col("doc_id") != F.col("root")) | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), (F.col("doc_id") != F.col("root")).alias("_other")), "ids")
+    few = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
+    kept = docs.join(few(ids), docs[id_col] == ids["_id"], "left_anti")
+    twice = ids.filter("NOT _other")
+    if twice.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(few(twice), docs[id_col] == twice["_id"], "left_semi").dropDuplicates([id_col]))
 
 
 #: The same as the query over `documents`, in DuckDB's SQL.
