@@ -18,14 +18,20 @@ DIMS = 1 << 12
 #: Rated documents that training reads at most.
 TRAIN_DOCS = 4096
 STEPS, RATE, RIDGE = 300, 0.05, 1e-4
+SLICE = 1 << 20  # bytes counted at once
 
 
-def features(text: str | None) -> np.ndarray:
-    """Whole text; a space stands before and after it."""
-    b = np.frombuffer(f" {text or ''}  ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    grams = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
-    counts = np.bincount(grams * np.uint32(2654435761) >> np.uint32(32 - (DIMS - 1).bit_length()), minlength=DIMS)
-    return np.sqrt(counts / len(grams)).astype(np.float32)
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of the whole text's features that aren't 0; a space stands before and after it."""
+    counts, n = np.zeros(DIMS, np.int64), 0
+    raw = f" {text or ''}  ".encode("utf-8", "surrogatepass")
+    for at in range(0, len(raw) - 2, SLICE):
+        b = np.frombuffer(raw[at : at + SLICE + 2], np.uint8).astype(np.uint32)
+        grams = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+        counts += np.bincount(grams * np.uint32(2654435761) >> np.uint32(32 - (DIMS - 1).bit_length()), minlength=DIMS)
+        n += len(grams)
+    places = np.flatnonzero(counts)
+    return places.astype(np.uint16), np.sqrt(counts[places] / n).astype(np.float32)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -39,8 +45,15 @@ class Ordinal:
     thresholds: np.ndarray
 
     def tails(self, x: np.ndarray) -> np.ndarray:
-        """P(grade > k) for each grade but the last."""
-        return _logistic((x @ self.weights.astype(np.float32)).astype(float)[:, None] - self.thresholds)
+        """P(grade > k) for each grade but the last, for rows of dense features."""
+        return self.tails_of((x @ self.weights.astype(np.float32)).astype(float))
+
+    def tails_of(self, sums: np.ndarray) -> np.ndarray:
+        return _logistic(sums[:, None] - self.thresholds)
+
+    def sum_of(self, text: str | None) -> float:
+        places, values = features(text)
+        return float(values @ self.weights[places])
 
     def expected(self, tails: np.ndarray) -> np.ndarray:
         return self.grades[0] + tails @ np.diff(self.grades)
@@ -82,17 +95,25 @@ def drawn(labels: DataFrame, most: int) -> DataFrame:
     return labels.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", most: int = TRAIN_DOCS) -> Ordinal:
-    """Fits on at most `most` rated documents (ids, grades: a bounded broadcast); rows without id, text or grade teach nothing."""
-    rated = labels.select("doc_id", F.col(grade_col).cast("double").alias("grade")).filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(drawn(rated, most)), "doc_id").select("grade", "text")
+def train(docs: DataFrame, labels: DataFrame, grade_col: str = "quality", most: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
+    """Fits on at most `most` rated documents, ids and grades of which are broadcast; labels has id_col and grade_col.
+
+    Rows without id, text or grade teach nothing. An id that is rated several times counts with its highest grade, one that
+    several documents have with the first of their texts. No rated document gives a model without grades."""
+    rated = labels.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("double").alias("grade")).filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
+    rated = drawn(rated.groupBy("doc_id").agg(F.max("grade").alias("grade")), most)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    rows = texts.join(F.broadcast(rated), "doc_id").groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"grade": pdf["grade"], "x": [features(t).tobytes() for t in pdf["text"]]})
+            made = [features(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "grade": pdf["grade"], "places": [p.tobytes() for p, _ in made], "values": [v.tobytes() for _, v in made]})
 
-    got = rows.mapInPandas(run, "grade double, x binary").limit(2 * most).toPandas().sort_values(["grade", "x"])
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, DIMS)
+    got = rows.select("doc_id", "grade", "text").mapInPandas(run, "doc_id string, grade double, places binary, values binary").toPandas().sort_values("doc_id")
+    x = np.zeros((len(got), DIMS), np.float32)
+    for i, (places, values) in enumerate(zip(got["places"], got["values"], strict=True)):
+        x[i, np.frombuffer(places, np.uint16)] = np.frombuffer(values, np.float32)
     return fit(x, got["grade"].to_numpy())
 
 
@@ -108,7 +129,7 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
         m = shared.value
         if not len(m.grades):
             return pd.DataFrame({"expected_grade": [None] * len(texts), "tail_prob": [None] * len(texts)}, dtype=float)
-        tails = m.tails(np.stack([features(t) for t in texts]))
+        tails = m.tails_of(np.array([m.sum_of(t) for t in texts]))
         return pd.DataFrame({"expected_grade": m.expected(tails), "tail_prob": tails[:, 0] if tails.shape[1] else 1.0})
 
     rated = docs.select(*(c for c in docs.columns if c not in ("expected_grade", "tail_prob", "_rated")), rate(F.col(text_col).cast("string")).alias("_rated"))
