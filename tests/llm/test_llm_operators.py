@@ -471,18 +471,43 @@ def toxic_rows(spark):
 
 def test_identity_terms_do_not_stand_for_the_label(spark):
     docs, labels = toxic_rows(spark)
-    model = toxicity.train(docs, labels)
-    keep, toxicity.FAIRNESS = toxicity.FAIRNESS, 0.0
-    try:
-        free = toxicity.train(docs, labels)
-    finally:
-        toxicity.FAIRNESS = keep
+    model, free = toxicity.train(docs, labels), toxicity.train(docs, labels, fairness=0.0)
     apart = lambda m: abs(m.weights.get("muslim", 0) - m.weights.get("christian", 0))
-    assert apart(model) < 0.5 * apart(free) or apart(model) < 0.3
+    assert apart(model) <= apart(free) and apart(model) < 0.3
     assert model.score("a grobian here") > 0.5 > model.score("a muslim family went home")
     assert model.score(None) == model.score("")
 
 
+def test_swapped_terms_make_fewer_false_positives_on_neutral_mentions(spark):
+    """One group is nearly always named with insults, the other one never: a model without the penalty takes the name for one."""
+    rng = random.Random(9)
+    plain = [f"word{i}" for i in range(60)]
+    rows, labels, neutral = [], [], []
+    for i in range(500):
+        w, bad = rng.choices(plain, k=15), i % 3 == 0
+        if bad and rng.random() < 0.9:
+            w[3] = rng.choice(("grobian", "lump", "depp"))
+        w[7] = "zorb" if bad else "quax"
+        if i % 50 == 1:
+            w[7] = "zorb"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+        neutral.append(" ".join(["zorb" if x in ("zorb", "quax") else x for x in rng.choices(plain, k=14) + ["zorb"]]))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    terms = (("zorb", "quax"),)
+    models = [toxicity.train(docs, labels, terms=terms, fairness=f) for f in (0.0, 5.0)]
+    wrong = [np.mean([m.score(t) >= 0.5 for t in neutral]) for m in models]
+    assert wrong[0] > 0.9 and wrong[1] < 0.1
+
+
+def test_copies_of_a_text_are_one_example(spark):
+    docs, labels = toxic_rows(spark)
+    more = docs.limit(40).select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    more_labels = labels.select((F.col("doc_id") + 1000).alias("doc_id"), "toxic")
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.union(more), labels.union(more_labels))
+    assert a.weights == b.weights and a.bias == b.bias
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     docs, labels = toxic_rows(spark)
     model = toxicity.train(docs, labels)

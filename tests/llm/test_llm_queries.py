@@ -1,5 +1,6 @@
 """Every query of the subpackage: against its SQL, or its contract on the stored tables."""
 
+import os
 import zlib
 
 import numpy as np
@@ -73,10 +74,18 @@ def test_media(spark, sf, texts):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
-def test_quality(spark, sf, duck):
-    grade = dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())
-    rows = [r for r in queries.op9_quality(spark, sf).collect() if r["doc_id"] in grade]
-    assert np.mean([r["keep"] == (grade[r["doc_id"]] == 1) for r in rows]) > 0.9
+@pytest.fixture(scope="module")
+def larger(sf):
+    """A folder with enough labels to hold some out."""
+    return os.path.join(os.path.dirname(sf), "sf0.01")
+
+
+def test_quality_of_a_held_out_fold(spark, larger, duck):
+    grade = dict(duck.sql(f"SELECT doc_id, quality FROM '{larger}/labels.parquet'").fetchall())
+    rows = queries.op9_quality(spark, larger).collect()
+    assert all(r["held_out"] == (held(r["doc_id"], 5) == 0) for r in rows)
+    test = [r for r in rows if r["doc_id"] in grade and r["held_out"]]
+    assert len(test) > 50 and np.mean([r["keep"] == (grade[r["doc_id"]] == 1) for r in test]) > 0.95
 
 
 def test_toxicity_holds_a_fold_out(spark, sf, texts):
@@ -85,6 +94,14 @@ def test_toxicity_holds_a_fold_out(spark, sf, texts):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (held(r["doc_id"], 5) == 0) for r in rows)
 
 
+def test_toxicity_of_a_held_out_fold(spark, larger, duck):
+    larger = larger.replace("sf0.01", "sf0.1")
+    toxic = dict(duck.sql(f"SELECT doc_id, toxic FROM '{larger}/labels.parquet'").fetchall())
+    test = [r for r in queries.op10_toxicity(spark, larger).collect() if r["doc_id"] in toxic and r["held_out"]]
+    right = [[r["predicted"] == toxic[r["doc_id"]] for r in test if toxic[r["doc_id"]] == label] for label in (0, 1)]
+    assert len(right[1]) > 50 and np.mean(right[0]) > 0.99 and np.mean(right[1]) > 0.85
+
+
 def test_secrets_are_those_of_a_plain_pattern(spark, sf, duck):
     want = duck.sql("""SELECT doc_id, sha256(unnest(regexp_extract_all(text, '[0-9a-f]{40}'))) AS s FROM documents WHERE text LIKE '%token = "%'""").fetchall()
     got = queries.op3_secret_scan(spark, sf).collect()

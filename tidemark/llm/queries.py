@@ -78,10 +78,11 @@ def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's expected grade, tail probability and whether it is kept."""
+    """Every document's expected grade, tail probability and whether it is kept; ratings of rows whose id's checksum is divisible by 5 teach nothing."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_prob", quality.keeps().alias("keep"))
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(fold("doc_id") % 5 != 0))
+    held_out = F.coalesce(fold("doc_id") % 5 == 0, F.lit(False)).alias("held_out")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "expected_grade", "tail_prob", quality.keeps().alias("keep"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
