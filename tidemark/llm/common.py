@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 _SCRATCH: dict[str, SparkSession] = {}
 #: Keys that weighed() sends to every executor at most; a key with fewer rows than LIGHT is never one of them.
-HEAVY_KEYS, LIGHT = 1_000_000, 2000
+HEAVY_KEYS, LIGHT = 200_000, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,8 +85,8 @@ def discard(*tables: DataFrame) -> None:
 def weighed(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int, how: str = "inner") -> DataFrame:
     """rows joined with table (one row a key) by key, inner or left; weight, a column of table, tells how many of the rows have the key.
 
-    Keys of more than LIGHT rows and a millionth of all n_rows, a million of them at most, are sent to every executor, so
-    that no task gets all rows of such a key. Only the rows of other keys are shuffled."""
+    Keys of more than LIGHT rows that have more than one in HEAVY_KEYS of all n_rows, HEAVY_KEYS of them at most, are sent to every
+    executor, so that no task gets all rows of such a key. Only the rows of other keys are shuffled."""
     heavy = table.filter(F.col(weight) > max(LIGHT, n_rows // HEAVY_KEYS))
     light = table.filter(F.col(weight) <= max(LIGHT, n_rows // HEAVY_KEYS))
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)

@@ -39,8 +39,8 @@ HOT, THRESHOLDS, BITS, MOST_BITS, BUCKETS = 33, (2, 3, 5, 9, 33), 26, 28, 256
 BATCH_BYTES = 8 << 20
 #: Documents of a bucket from which on it has a hub, and rounds in which the buckets of a hub's differences are compared with one document each.
 FAMILY, STARS = 8, 2
-#: Rows of ids that a join sends to every executor, some 30 MB; above that it shuffles.
-BROADCAST_IDS = 1_000_000
+#: Rows of ids that a join sends to every executor, some 10 MB; above that it shuffles.
+BROADCAST_IDS = 200_000
 #: Pairs of one document that are compared in a task, and tasks that meet a node with many edges.
 GUESTS, SALTS = 512, 16
 #: What a block of a class holds about, for counting its links: sets, and tokens of all of them.
@@ -132,10 +132,11 @@ def unblob(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> tuple[dict[int, np.ndarray], dict[int, int]]:
-    """Bitmaps (2^bits bits) of the hashes that (bucket, hashes) rows list so often, and the number of set bits, for each threshold.
+def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> Frequent:
+    """Bitmaps (2^bits bits) of the hashes that (bucket, hashes) rows list as often as the first of thresholds that fills an eighth of
+    the bits at most, and as often as the last one. With one threshold there is one bitmap.
 
-    Buckets are counted one after another in an array of fixed size, whatever the number of rows."""
+    Buckets are counted one after another in an array of fixed size, whatever the number of rows. The driver gets compressed bitmaps."""
     width = 1 << 32 - (BUCKETS.bit_length() - 1)
     fold = 1 << 32 - bits
 
@@ -144,7 +145,7 @@ def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> tuple
 
         def done() -> pd.DataFrame:
             rows = {t: np.packbits((counts >= t).reshape(-1, fold).any(1), bitorder="little") for t in thresholds}
-            return pd.DataFrame({"bucket": now, "threshold": list(rows), "bits": [r.tobytes() for r in rows.values()]})
+            return pd.DataFrame({"bucket": now, "threshold": list(rows), "filled": [int(np.bitwise_count(r).sum()) for r in rows.values()], "bits": [zstandard.compress(r.tobytes(), 1) for r in rows.values()]})
 
         for pdf in batches:
             for bucket, hashes in zip(pdf["bucket"], pdf["hashes"], strict=True):
@@ -157,11 +158,14 @@ def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> tuple
         if now >= 0:
             yield done()
 
-    rows = listed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, "bucket int, threshold int, bits binary").toPandas()
-    out, size = {t: np.zeros(1 << bits - 3, np.uint8) for t in thresholds}, (1 << bits - 3) // BUCKETS
-    for r in rows.itertuples(index=False):
-        out[r.threshold][r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return out, {t: int(np.bitwise_count(b).sum()) for t, b in out.items()}
+    rows = listed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, "bucket int, threshold int, filled long, bits binary").collect()
+    size, last = (1 << bits - 3) // BUCKETS, thresholds[-1]
+    first = next((t for t in thresholds if sum(r["filled"] for r in rows if r["threshold"] == t) <= 1 << bits - 3), last)
+    out = {t: np.zeros(1 << bits - 3, np.uint8) for t in (first, last)[: len(thresholds)]}
+    for r in rows:
+        if r["threshold"] in out:
+            out[r["threshold"]][r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
+    return Frequent(*(out[t] for t in (first, last)[: len(thresholds)]))
 
 
 def prefix(tokens: np.ndarray, known: Frequent, order: int, size: int) -> np.ndarray:
@@ -452,9 +456,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sets = written(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
     listed = some.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(BITS, int(listed * 3 * (100 - percent) // 100).bit_length()))
-    bitmaps, filled = frequent(shingled.filter("bucket IS NOT NULL").select("bucket", "hashes"), THRESHOLDS, bits)
-    several = next((t for t in THRESHOLDS if filled[t] <= 1 << bits - 3), HOT)
-    known = spark.sparkContext.broadcast(Frequent(bitmaps[several], bitmaps[HOT]))
+    known = spark.sparkContext.broadcast(frequent(shingled.filter("bucket IS NOT NULL").select("bucket", "hashes"), THRESHOLDS, bits))
 
     def second_pass(doc, tokens):
         first = prefix(tokens, known.value, 0, prefix_size(len(tokens), percent)) if len(tokens) else tokens
@@ -462,8 +464,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     prefixes = written(_each(docs.filter("doc_id IS NOT NULL"), shingle, second_pass, "doc_id long, n long, first binary", True), "prefixes", BATCH_BYTES)
     # most tokens are in one prefix only: a bitmap leaves them out before any row is made of them
-    bitmaps, _ = frequent(prefixes.filter("bucket IS NOT NULL").select("bucket", "hashes"), (2,), bits)
-    twice = spark.sparkContext.broadcast(Frequent(bitmaps[2]))
+    twice = spark.sparkContext.broadcast(frequent(prefixes.filter("bucket IS NOT NULL").select("bucket", "hashes"), (2,), bits))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
