@@ -238,3 +238,74 @@ def test_polynomials_are_reconstructed(spark):
         decompose.reconstruction(frame(spark, y), 99)
     with pytest.raises(ValueError):
         decompose.legendre_scores(frame(spark, y), kind="chebyshev")
+
+
+# --- traps of magnitude, order and several snapshots ---
+def test_small_positions_stay_beside_large_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1.0, 2.0, 1e18), (1.0, 2.5, 0.1), (1.0, 1.0, 3.0), (None, 2.0, 1.0), (float("nan"), 2.0, 1.0)]
+    rows += [(float(a), float(a + w), float(v)) for a, w, v in zip(rng.integers(0, 60, 300) / 10, rng.integers(0, 30, 300) / 10, 10.0 ** rng.integers(-3, 18, 300), strict=True)]
+    points = sorted([2.2, 3.0, 1.0, 2.5, *(rng.integers(-5, 110, 200) / 10).tolist()])
+    df = spark.createDataFrame(rows, "pa double, pb double, liquidity double")
+    got = ticks.position_liquidity(spark.createDataFrame([(p,) for p in points] + [(None,)], "p double"), df).collect()
+    want = [sum(v for a, b, v in rows if a is not None and a <= p <= b) for p in points]
+    assert [r["p"] for r in sorted(got, key=lambda r: (r["p"] is not None, r["p"]))] == [None, *points]
+    assert [r["liquidity"] for r in sorted((r for r in got if r["p"] is not None), key=lambda r: r["p"])] == pytest.approx(want, rel=1e-12)
+    assert [r["liquidity"] for r in ticks.position_liquidity(spark.createDataFrame([(2.2,), (3.0,)], "p double"), df.limit(2)).orderBy("p").collect()] == [0.1, 0.0]
+    assert column(ticks.position_liquidity(spark.createDataFrame([(1.0,)], "p double"), df.limit(0)), "liquidity") == [0.0]
+
+
+def test_long_interpolations_are_one_pass(spark):
+    import time
+
+    nodes = spark.range(24_000).select(F.lit(1).alias("a"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    points = spark.range(600).select(F.lit(1).alias("a"), (F.col("id") * 40 + 0.5).alias("p"))
+    began = time.perf_counter()
+    got = stableswap.interpolated(nodes, points, "a", "x", "y", "p").collect()
+    assert time.perf_counter() - began < 10 and all(r["y"] == pytest.approx(2 * r["p"]) for r in got if r["p"] < 23_999) and len(got) == 600
+
+
+def test_a_short_time_is_dealt_to_many_cells(spark):
+    df = spark.range(20_000).select((F.col("id") % 2_000_000).alias("s"))
+    sizes = column(ordered.dealt(df, "s").groupBy("_bucket").count(), "count")
+    assert len(sizes) > 4000 and max(sizes) < 20
+    ties = spark.createDataFrame([(5,)] * 7 + [(None,), (9,)], "s long")
+    assert sorted((r["rn"], r["s"]) for r in ordered.numbered(ties, "s").collect()) == [(0, None), *((i, 5) for i in range(1, 8)), (8, 9)]
+    assert sorted(column(ordered.gaps(ties, "s"), "gap")) == [0] * 6 + [4]
+
+
+def test_a_snapshot_has_one_pool_tick_and_wide_intervals_are_cut(spark):
+    two = book(spark, [(-10, 10, 0, 7.0, 1), (-10, 10, 1, 7.0, 2)])
+    with pytest.raises(Exception, match="several pool ticks"):
+        ticks.swap_size_curve(two, 3, order="entry").collect()
+    wide = book(spark, [(-887_272, 887_272, 0, 7.0, 1)])
+    assert ticks.liquidity_by_tick(wide, "entry", reach=5).count() == 10 and ticks.swap_size_curve(wide, 3, order="entry").count() == 3
+
+
+def test_replay_sums_equal_the_rows(spark):
+    candle_rows = spark.createDataFrame([(i * 10, 1.0, 2.0, 0.5, 1.5) for i in range(12)], "hour_s long, open double, high double, low double, close double")
+    prices = spark.createDataFrame([(i * 3, str(i / 2)) for i in range(60)], "timestamp long, token1Price string")
+    args = (candle_rows, prices, 4, 4, 1, 20, 2)
+    rows = market.replay_prices(*args).groupBy("k", "cutoff").agg(F.count("*").alias("n"), F.max("timestamp").alias("last_s"), F.sum("price").alias("total"))
+    assert sorted(map(tuple, market.replay_price_sums(*args).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_fits_like_numpy_also_on_other_points(spark):
+    rng = np.random.default_rng(8)
+    y = rng.normal(size=(40, 7)).cumsum(1)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(y)], "t long, y array<double>")
+    m = y.mean(0)
+    v = np.linalg.svd(y - m, full_matrices=False)[2][:3]
+    got = {r["t"]: r for r in decompose.pca_fit(df, decompose.pca(df, 3)).collect()}
+    assert np.allclose([got[i]["fitted"] for i in range(40)], m + (y - m) @ v.T @ v) and np.allclose([got[i]["residual"] for i in range(40)], (y - m) - (y - m) @ v.T @ v)
+    x = [-1.0, -0.8, -0.1, 0.0, 0.3, 0.9, 1.0]
+    phi = np.polynomial.legendre.legvander(x, 2)
+    smooth = phi @ np.linalg.inv(phi.T @ phi + 1e-10 * np.eye(3)) @ phi.T
+    got = {r["t"]: r for r in decompose.legendre_fit(df, 2, x=x).collect()}
+    assert np.allclose([got[i]["fitted"] for i in range(40)], m + (y - m) @ smooth.T)
+    for bad in (x[:-1], [*x[:-1], 1.5]):
+        with pytest.raises(ValueError):
+            decompose.legendre_scores(df, 2, x=bad)
+    with pytest.raises(Exception, match="points"):
+        decompose.legendre_scores(df, 2, p=5).collect()
+    assert decompose.cpve(decompose.pca(df, 7), [3, 99]).filter("k = 99").first()["cpve"] == pytest.approx(1.0)

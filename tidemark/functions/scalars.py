@@ -58,6 +58,17 @@ def day_number(seconds: Column) -> Column:
     return seconds / 86400.0
 
 
+def timestamp_of(seconds: Column) -> Column:
+    """Epoch seconds as a timestamp without time zone, in UTC."""
+    return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def epoch_of(timestamp: Column) -> Column:
+    """A timestamp without time zone, taken as UTC, in whole epoch seconds."""
+    whole = F.date_trunc("second", timestamp).cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), whole)
+
+
 def iso_label(seconds: Column) -> Column:
     """Epoch seconds as 2024-01-01T00:00:00+00:00."""
     days, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))

@@ -10,12 +10,16 @@ from tidemark.functions.scalars import clip
 HALF_WIDTH = 50
 
 
-def normalised(liquidity: DataFrame, after_s: int, until_s: int | None, centered: bool = False) -> DataFrame:
+def normalised(liquidity: DataFrame, after_s: int, until_s: int | DataFrame | None, centered: bool = False) -> DataFrame:
     """Rows with after_s < hour_s <= until_s, with tick_norm in [-1, 1] around tick 0 (centered) or the pool's tick, and logl.
 
-    Without until_s the bound is the table's own last hour. Ticks further out than HALF_WIDTH pile up at the ends."""
+    Without until_s the bound is the table's own last hour, with another table (hour_s) that table's last hour; an empty one
+    leaves no row. Ticks further out than HALF_WIDTH pile up at the ends, so whole ticks have 2 * HALF_WIDTH + 1 places."""
     rows = liquidity.filter(F.col("hour_s") > after_s)
-    if until_s is not None:
+    if isinstance(until_s, DataFrame):
+        last = until_s.agg(F.max("hour_s").alias("_until"))
+        rows = rows.join(F.broadcast(last), F.col("hour_s") <= F.col("_until")).drop("_until")
+    elif until_s is not None:
         rows = rows.filter(F.col("hour_s") <= until_s)
     reference = F.lit(0.0) if centered else F.col("poolTick").cast("double")
     return rows.select("hour_s", "tickLower", "poolTick", "active_liquidity_L", clip((F.col("tickLower").cast("double") - reference) / HALF_WIDTH, -1.0, 1.0).alias("tick_norm"), F.log1p(F.col("active_liquidity_L").cast("double")).alias("logl"))

@@ -1,7 +1,8 @@
 """Principal components of curves, Legendre scores, and the distance of their subspaces.
 
 A curve is a row (t, y array<double>). Only factorisations leave Catalyst: a rolling window's rows, whose number is
-fixed, go to NumPy as one group; larger sets of rows are reduced to triangles first."""
+fixed, go to NumPy as one group; larger sets of rows are reduced to triangles first. Operators that need a curve's length
+p or the number of rows take them as arguments; where they aren't given, one small job looks them up first."""
 
 from __future__ import annotations
 
@@ -18,13 +19,33 @@ from tidemark.operators.ordered import numbered
 COMPONENTS = "window_id int, t_start long, t_end long, k int, eigenvalue double, cpve double, loading array<double>"
 
 
-def basis(p: int, degree: int) -> np.ndarray:
-    """Legendre polynomials P0 .. P_degree on p even points of [-1, 1]: p rows."""
-    return legvander(np.linspace(-1.0, 1.0, p), degree)
+def basis(p: int, degree: int, x: list[float] | None = None) -> np.ndarray:
+    """Legendre polynomials P0 .. P_degree on x, or on p even points of [-1, 1]: p rows. Another number of points, or points beyond [-1, 1], raise."""
+    points = np.linspace(-1.0, 1.0, p) if x is None else np.asarray(x, float)
+    if points.shape != (p,):
+        raise ValueError(f"{len(points)} points for curves of {p}")
+    if not (np.abs(points) <= 1.0 + 1e-12).all():
+        raise ValueError("points must lie in [-1, 1]")
+    return legvander(points, degree)
 
 
-def orthonormal_basis(p: int, k: int) -> np.ndarray:
-    return np.linalg.qr(basis(p, k - 1))[0]
+def orthonormal_basis(p: int, k: int, x: list[float] | None = None) -> np.ndarray:
+    return np.linalg.qr(basis(p, k - 1, x))[0]
+
+
+def _length(curves: DataFrame, p: int | None) -> int | None:
+    """p, or the length of the first curve; None without curves."""
+    if p is not None:
+        return p
+    row = curves.select(F.size("y").alias("p")).first()
+    return row and row[0]
+
+
+def _centered(curves: DataFrame, center: bool, p: int | None = None) -> DataFrame:
+    """(t, y, means, x): x is y less the mean curve, or y. With p a curve of another length raises."""
+    y = F.col("y") if p is None else F.when(F.size("y") == p, F.col("y")).otherwise(F.raise_error(F.lit(f"a curve hasn't {p} points")).cast("array<double>"))
+    zero = F.transform("y", lambda v: v * 0.0)
+    return curves.crossJoin(F.broadcast(column_means(curves))).select("t", "y", (F.col("means") if center else zero).alias("means"), (F.zip_with(y, "means", lambda a, m: a - m) if center else y).alias("x"))
 
 
 def basis_table(spark: SparkSession, p: int = 101, degree: int = 4) -> DataFrame:
@@ -119,17 +140,31 @@ def column_means(curves: DataFrame) -> DataFrame:
 def scores(curves: DataFrame, found: DataFrame, center: bool = True) -> DataFrame:
     """(t, k, score): curves projected on the components of window 0."""
     load = found.filter("window_id = 0").select("k", "loading")
-    x = curves.crossJoin(F.broadcast(column_means(curves))).select("t", (F.zip_with("y", "means", lambda a, m: a - m) if center else F.col("y")).alias("x"))
-    return x.crossJoin(F.broadcast(load)).select("t", "k", dot(F.col("x"), F.col("loading")).alias("score"))
+    return _centered(curves, center).crossJoin(F.broadcast(load)).select("t", "k", dot(F.col("x"), F.col("loading")).alias("score"))
+
+
+def _fit(x: DataFrame, directions: DataFrame) -> DataFrame:
+    """(t, y, fitted, residual) of (t, y, means, x): fitted is the mean curve and sum over k of (x . weight_k) direction_k. directions is one row of arrays."""
+    total = lambda d, j: F.aggregate(F.sequence(F.lit(0), F.size("weights") - 1), F.lit(0.0), lambda s, k: s + F.get(d, k) * F.get(F.get("directions", k), j))
+    scored = x.crossJoin(F.broadcast(directions)).withColumn("_scores", F.transform("weights", lambda w: dot(F.col("x"), w)))
+    fitted = scored.withColumn("fitted", F.transform("means", lambda m, j: m + total(F.col("_scores"), j)))
+    return fitted.select("t", "y", "fitted", F.zip_with("y", "fitted", lambda a, b: a - b).alias("residual"))
+
 
+def pca_fit(curves: DataFrame, found: DataFrame, center: bool = True) -> DataFrame:
+    """(t, y, fitted, residual) of every curve by the components of window 0, as arrays."""
+    load = found.filter("window_id = 0").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "loading"))), lambda x: x["loading"]).alias("weights"))
+    return _fit(_centered(curves, center), load.select("weights", F.col("weights").alias("directions")))
 
-def rolling_windows(curves: DataFrame, size: int, step: int) -> DataFrame:
+
+def rolling_windows(curves: DataFrame, size: int, step: int, n_rows: int | None = None) -> DataFrame:
     """Curves with window_id, by row count in the order of t. Too few rows give no window."""
-    return hopping_windows(numbered(curves, "t"), curves.count(), size, step)
+    return hopping_windows(numbered(curves, "t"), curves.count() if n_rows is None else n_rows, size, step)
 
 
-def rolling_components(curves: DataFrame, size: int = 400, step: int = 1, k: int | None = None) -> DataFrame:
-    return components(rolling_windows(curves, size, step), k)
+def rolling_components(curves: DataFrame, size: int = 400, step: int = 1, k: int | None = None, n_rows: int | None = None) -> DataFrame:
+    """components() of each window. A window is one group of `size` rows; each row is sent to size / step windows."""
+    return components(rolling_windows(curves, size, step, n_rows), k)
 
 
 def cpve(found: DataFrame, ks: list[int]) -> DataFrame:
@@ -143,18 +178,22 @@ def aligned(found: DataFrame) -> DataFrame:
     """Components with each loading turned towards the one of the window before: `sign` and the turned loading.
 
     A window's sign is the parity of the negative raw products since the last product that is exactly 0."""
-    w = Window.partitionBy("k").orderBy("window_id")
-    raw = found.withColumn("_dot", dot(F.lag("loading").over(w), F.col("loading")))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw.withColumn("_run", F.sum(F.when(F.col("_dot") == 0, 1).otherwise(0)).over(upto))
+    # the window before is met by an equi-join; only the products' signs, without loadings, are ordered by component
+    order = found.select("k", "window_id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("window_id")))
+    rows = found.join(order, ["k", "window_id"])
+    before = rows.select("k", (F.col("_n") + 1).alias("_n"), F.col("loading").alias("_before"))
+    raw = rows.join(before, ["k", "_n"], "left").withColumn("_dot", dot(F.col("_before"), F.col("loading"))).drop("_before")
+    upto = Window.partitionBy("k").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    signs = raw.select("k", "window_id", "_dot").withColumn("_run", F.sum(F.when(F.col("_dot") == 0, 1).otherwise(0)).over(upto))
     run = Window.partitionBy("k", "_run").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw.withColumn("sign", F.when(F.sum(F.when(F.col("_dot") < 0, 1).otherwise(0)).over(run) % 2 == 1, -1).otherwise(1))
-    return raw.withColumn("loading", F.transform("loading", lambda x: x * F.col("sign"))).drop("_dot", "_run")
+    signs = signs.select("k", "window_id", F.when(F.sum(F.when(F.col("_dot") < 0, 1).otherwise(0)).over(run) % 2 == 1, -1).otherwise(1).alias("sign"))
+    turned = raw.join(signs, ["k", "window_id"]).withColumn("loading", F.transform("loading", lambda x: x * F.col("sign")))
+    return turned.select(*found.columns, "sign")
 
 
-def compared_windows(curves: DataFrame, n: int = 4, k: int = 5, rest: str = "drop") -> DataFrame:
-    """Aligned components of n equal runs of rows."""
-    rows = equal_windows(numbered(curves, "t"), curves.count(), n, rest)
+def compared_windows(curves: DataFrame, n: int = 4, k: int = 5, rest: str = "drop", n_rows: int | None = None) -> DataFrame:
+    """Aligned components of n equal runs of rows; what is left over is dropped or goes to the last run."""
+    rows = equal_windows(numbered(curves, "t"), curves.count() if n_rows is None else n_rows, n, rest)
     return aligned(tall_components(rows.withColumnRenamed("window", "window_id"), k))
 
 
@@ -166,59 +205,67 @@ def subspace_distance(overlap: Column, k: Column | int, metric: str = "projectio
     return F.sqrt(gap * 2) if metric == "projection" else F.sqrt(gap)
 
 
-def rolling_distance(curves: DataFrame, size: int = 720, step: int = 24, ks: tuple[int, ...] = (1, 2, 3, 4, 5), metric: str = "projection", time_index: str = "end") -> DataFrame:
+def rolling_distance(curves: DataFrame, size: int = 720, step: int = 24, ks: tuple[int, ...] = (1, 2, 3, 4, 5), metric: str = "projection", time_index: str = "end", p: int | None = None, n_rows: int | None = None) -> DataFrame:
     """(window_time, k, distance) between each window's first k components and the Legendre basis of degree k - 1."""
     if time_index not in ("start", "end"):
         raise ValueError("time_index must be start or end")
     spark = curves.sparkSession
-    p = curves.select(F.size("y").alias("p")).first()
+    p = _length(curves, p)
     if p is None:
         return spark.createDataFrame([], "window_time long, k int, distance double")
-    q = spark.createDataFrame([(k, v.tolist()) for k in ks for v in orthonormal_basis(p[0], k).T], "want int, direction array<double>")
-    found = rolling_components(curves, size, step, max(ks)).join(F.broadcast(q), F.col("k") <= F.col("want"))
+    q = spark.createDataFrame([(k, v.tolist()) for k in ks for v in orthonormal_basis(p, k).T], "want int, direction array<double>")
+    found = rolling_components(curves, size, step, max(ks), n_rows).join(F.broadcast(q), F.col("k") <= F.col("want"))
     product = dot(F.col("loading"), F.col("direction"))
     time = F.col(f"t_{time_index}").alias("window_time")
     return found.groupBy(time, F.col("want").alias("k")).agg(F.sum(product * product).alias("overlap")).select("window_time", "k", subspace_distance(F.col("overlap"), F.col("k"), metric).alias("distance"))
 
 
-def legendre_weights(p: int, degree: int = 5, ridge: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+def legendre_weights(p: int, degree: int = 5, ridge: float = 1e-10, x: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(phi, phi (phi' phi + ridge)^-1): the basis, and what turns a centred curve into its scores."""
-    phi = basis(p, degree)
+    phi = basis(p, degree, x)
     return phi, phi @ np.linalg.inv(phi.T @ phi + ridge * np.eye(degree + 1))
 
 
-def legendre_scores(curves: DataFrame, degree: int = 5, center: bool = True, ridge: float = 1e-10, kind: str = "legendre") -> DataFrame:
-    """(t, degree, score): least squares on the Legendre basis over the curve's places. Only kinds that begin with "leg" exist."""
+def legendre_scores(curves: DataFrame, degree: int = 5, center: bool = True, ridge: float = 1e-10, kind: str = "legendre", x: list[float] | None = None, p: int | None = None) -> DataFrame:
+    """(t, degree, score): least squares on the Legendre basis over the curve's places x. Only kinds that begin with "leg" exist."""
     if not kind.lower().startswith("leg"):
         raise ValueError("kind must be legendre")
-    p = curves.select(F.size("y").alias("p")).first()
+    p = _length(curves, p)
     if p is None:
         return curves.sparkSession.createDataFrame([], "t long, degree int, score double")
-    _, w = legendre_weights(p[0], degree, ridge)
+    _, w = legendre_weights(p, degree, ridge, x)
     table = curves.sparkSession.createDataFrame([(d, w[:, d].tolist()) for d in range(degree + 1)], "degree int, w array<double>")
-    x = curves.crossJoin(F.broadcast(column_means(curves))).select("t", (F.zip_with("y", "means", lambda a, m: a - m) if center else F.col("y")).alias("x"))
-    return x.crossJoin(F.broadcast(table)).select("t", "degree", dot(F.col("x"), F.col("w")).alias("score"))
+    return _centered(curves, center, p).crossJoin(F.broadcast(table)).select("t", "degree", dot(F.col("x"), F.col("w")).alias("score"))
+
+
+def legendre_fit(curves: DataFrame, degree: int = 5, center: bool = True, ridge: float = 1e-10, x: list[float] | None = None, p: int | None = None) -> DataFrame:
+    """(t, y, fitted, residual) of every curve by its Legendre scores, as arrays."""
+    p = _length(curves, p)
+    if p is None:
+        return curves.select("t", "y", F.col("y").alias("fitted"), F.col("y").alias("residual"))
+    phi, w = legendre_weights(p, degree, ridge, x)
+    table = curves.sparkSession.createDataFrame([(w.T.tolist(), phi.T.tolist())], "weights array<array<double>>, directions array<array<double>>")
+    return _fit(_centered(curves, center, p), table)
 
 
-def score_series(degree: int = 5, **variants: DataFrame) -> DataFrame:
+def score_series(degree: int = 5, p: int | None = None, **variants: DataFrame) -> DataFrame:
     """(variant, t, degree, score) of several matrices under one another."""
     out = None
     for name, curves in variants.items():
-        df = legendre_scores(curves, degree).select(F.lit(name).alias("variant"), "t", "degree", "score")
+        df = legendre_scores(curves, degree, p=p).select(F.lit(name).alias("variant"), "t", "degree", "score")
         out = df if out is None else out.unionByName(df)
     return out
 
 
-def reconstruction(curves: DataFrame, t: int, degree: int = 5, ridge: float = 1e-10) -> DataFrame:
+def score_columns(found: DataFrame, degree: int = 5, *keys: str) -> DataFrame:
+    """Scores with a row for each t (and keys) and a column Legendre_deg<j> for each degree."""
+    return found.groupBy(*keys, "t").agg(*(F.max(F.when(F.col("degree") == d, F.col("score"))).alias(f"Legendre_deg{d}") for d in range(degree + 1)))
+
+
+def reconstruction(curves: DataFrame, t: int, degree: int = 5, ridge: float = 1e-10, x: list[float] | None = None) -> DataFrame:
     """(j, y, fitted, residual) of the curve at t. A time that isn't there raises KeyError."""
-    one = curves.filter(F.col("t") == t)
-    row = one.select(F.size("y").alias("p")).first()
+    row = curves.filter(F.col("t") == t).select(F.size("y").alias("p")).first()
     if row is None:
         raise KeyError(t)
-    phi, w = legendre_weights(row[0], degree, ridge)
-    smooth = (phi @ w.T).tolist()
-    table = curves.sparkSession.createDataFrame([(j, smooth[j]) for j in range(row[0])], "j int, s array<double>")
-    x = one.crossJoin(F.broadcast(column_means(curves))).select("y", "means", F.zip_with("y", "means", lambda a, m: a - m).alias("x"))
-    fitted = dot(F.col("x"), F.col("s")) + F.get("means", F.col("j"))
-    out = x.crossJoin(F.broadcast(table)).select("j", F.get("y", F.col("j")).alias("y"), fitted.alias("fitted"))
-    return out.select("j", "y", "fitted", (F.col("y") - F.col("fitted")).alias("residual"))
+    one = legendre_fit(curves, degree, True, ridge, x, row[0]).filter(F.col("t") == t)
+    return one.select(F.posexplode(F.arrays_zip("y", "fitted", "residual")).alias("j", "v")).select("j", "v.y", "v.fitted", "v.residual")

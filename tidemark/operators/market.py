@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
@@ -39,13 +39,30 @@ def replay_frames(candle_rows: DataFrame, center: int, half: int, start: int = K
 
 
 def replay_prices(candle_rows: DataFrame, prices: DataFrame, center: int, half: int, start: int = K_START, stop: int = K_STOP, step: int = K_STEP, time: str = "hour_s") -> DataFrame:
-    """(k, cutoff, timestamp, price): the pool prices before a frame's last candle. Frames are few, so they are sent to the prices.
+    """(k, cutoff, timestamp, price): the pool prices before a frame's last candle, a row for each frame and price that it shows.
 
+    Frames are (stop - start) / step at most, so they are sent to the prices. replay_price_sums() needs no such rows.
     A price text that isn't a number raises."""
     cutoffs = replay_frames(candle_rows, center, half, start, stop, step, time).groupBy("k").agg(F.max(time).alias("cutoff"))
     return prices.select("timestamp", F.col("token1Price").cast("double").alias("price")).join(F.broadcast(cutoffs), F.col("timestamp") < F.col("cutoff")).select("k", "cutoff", "timestamp", "price")
 
 
+def replay_price_sums(candle_rows: DataFrame, prices: DataFrame, center: int, half: int, start: int = K_START, stop: int = K_STOP, step: int = K_STEP, time: str = "hour_s") -> DataFrame:
+    """(k, cutoff, n, last_s, total): number, last time and sum of each frame's replay_prices, without a row for each frame and price.
+
+    A price is counted once, at the first cutoff after it; frames then add up over the cutoffs, of which there is one for each frame at most."""
+    cutoffs = replay_frames(candle_rows, center, half, start, stop, step, time).groupBy("k").agg(F.max(time).alias("cutoff"))
+    edges = cutoffs.agg(F.array_sort(F.collect_set("cutoff")).alias("edges"))
+    priced = prices.select("timestamp", F.col("token1Price").cast("double").alias("price")).crossJoin(F.broadcast(edges))
+    first = F.get(F.filter("edges", lambda e: e > F.col("timestamp")), 0)
+    sums = priced.select(first.alias("cutoff"), "timestamp", "price").filter("cutoff IS NOT NULL").groupBy("cutoff").agg(F.count("*").alias("n"), F.max("timestamp").alias("last_s"), F.sum("price").alias("total"))
+    upto = Window.orderBy("cutoff").rangeBetween(Window.unboundedPreceding, 0)  # a row for each frame
+    rows = cutoffs.join(F.broadcast(sums), "cutoff", "left")
+    one = F.row_number().over(Window.partitionBy("cutoff").orderBy("k")) == 1  # frames of one cutoff show the same prices
+    added = rows.withColumn("one", one).select("k", "cutoff", *(F.when(F.col("one"), F.col(c)).alias(c) for c in ("n", "total")), "last_s")
+    return added.select("k", "cutoff", F.sum("n").over(upto).alias("n"), F.max("last_s").over(upto).alias("last_s"), F.sum("total").over(upto).alias("total")).filter("n IS NOT NULL")
+
+
 def replay_bounds(candle_rows: DataFrame, center: int, half: int, stop: int = K_STOP, step: int = K_STEP, time: str = "hour_s", head_room: float = 0.04) -> DataFrame:
     """(y0, y1) for all frames: the last two candles of the last frame don't count."""
     rows = numbered(candle_rows, time).filter((F.col("rn") >= center - half) & (F.col("rn") < center - half + stop - step))

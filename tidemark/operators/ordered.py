@@ -1,35 +1,46 @@
 """Passes in a global order that no single task has to make.
 
-Rows are dealt to buckets along the order (a range of its values each). A window orders each bucket; what came before a
-bucket is a prefix sum over one row for each bucket."""
+Rows are dealt to cells along the order: the range of its values, which one small aggregate tells, is cut into CELLS
+equal parts. A window orders each cell; what came before a cell is a prefix sum over one row for each cell. Cells depend
+on the values only, so every evaluation deals the same way. A cell that holds much more than others makes a longer sort,
+but no result depends on it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a bucket in the order's units: for times in seconds, 30 days.
-WIDTH = 30 * 86400
+CELLS = 4096
 
 
-def running_sum(df: DataFrame, bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
-    """df with out, the sum of value over all rows up to this one by (bucket, order); bucket must not fall along the order."""
-    rows = df.withColumn("_bucket", bucket)
-    sums = rows.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+def dealt(df: DataFrame, order: str, out: str = "_bucket", cells: int = CELLS) -> DataFrame:
+    """df with out, a whole number that never falls along a numeric order: -1 for null, then 0 .. cells."""
+    v = F.col(order).cast("double")
+    ends = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    place = F.coalesce(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * cells
+    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(v.isNull(), -1).otherwise(F.floor(place)).cast("int")).drop("_lo", "_hi")
+
+
+def running_sum(df: DataFrame, order: list[str], value: Column | str, out: str, cells: int = CELLS) -> DataFrame:
+    """df with out, the sum of value over all rows up to this one by order, of which the first column is numeric."""
+    rows = dealt(df, order[0], "_bucket", cells).withColumn("_value", F.col(value) if isinstance(value, str) else value)
+    sums = rows.groupBy("_bucket").agg(F.sum("_value").alias("_sum"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cell
     base = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     own = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_own", F.sum(value).over(own)).join(base, rows["_bucket"].eqNullSafe(base["_bucket"])).select(*df.columns, (F.col("_base") + F.col("_own")).alias(out))
+    return rows.withColumn("_own", F.sum("_value").over(own)).join(F.broadcast(base), "_bucket").select(*df.columns, (F.col("_base") + F.col("_own")).alias(out))
 
 
-def numbered(df: DataFrame, order: str, width: float = WIDTH) -> DataFrame:
+def numbered(df: DataFrame, order: str, cells: int = CELLS) -> DataFrame:
     """df with rn, a row's place from 0 by a numeric column; equal values come in any order, null first."""
-    one = df.withColumn("_one", F.lit(1))
-    return running_sum(one, F.floor(F.col(order) / width), [order], "_one", "_rn").withColumn("rn", (F.col("_rn") - 1).cast("int")).drop("_rn", "_one")
+    return running_sum(df, [order], F.lit(1).cast("long"), "_rn", cells).withColumn("rn", F.col("_rn") - 1).drop("_rn")
 
 
-def gaps(df: DataFrame, order: str, width: float = WIDTH) -> DataFrame:
-    """(gap): the distance of each value to the next greater or equal one."""
-    rows = numbered(df.select(order).filter(F.col(order).isNotNull()), order, width)
-    after = rows.select(F.col(order).alias("_after"), (F.col("rn") - 1).alias("rn"))
-    return rows.join(after, "rn").select((F.col("_after") - F.col(order)).alias("gap"))
+def gaps(df: DataFrame, order: str, cells: int = CELLS) -> DataFrame:
+    """(gap): the distance of each value to the next greater or equal one. The last value of a cell is followed by the first of the next one that isn't empty."""
+    rows = dealt(df.select(F.col(order).alias("_v")).filter(F.col("_v").isNotNull()), "_v", "_bucket", cells)
+    after = Window.orderBy("_bucket")  # a row for each cell
+    ends = rows.groupBy("_bucket").agg(F.min("_v").alias("_first")).select("_bucket", F.lead("_first").over(after).alias("_next"))
+    following = F.lead("_v").over(Window.partitionBy("_bucket").orderBy("_v"))
+    both = rows.withColumn("_after", following).join(F.broadcast(ends), "_bucket")
+    return both.select((F.coalesce("_after", "_next") - F.col("_v")).alias("gap")).filter("gap IS NOT NULL")

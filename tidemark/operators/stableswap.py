@@ -48,7 +48,7 @@ def quotes(pool: DataFrame, a: float | DataFrame = 4000.0, fee: float = 0.0, dx:
 
     a is a constant or a DataFrame (time, a); a time without one raises when its row is read."""
     if isinstance(a, DataFrame):
-        pool = pool.join(F.broadcast(a.select(time, F.col("a").cast("double").alias("_a"))), time, "left")
+        pool = pool.join(a.select(time, F.col("a").cast("double").alias("_a")), time, "left")
         pool = pool.withColumn("_a", F.coalesce("_a", F.raise_error(F.lit("no amplification for a time")).cast("double")))
     else:
         pool = pool.withColumn("_a", F.lit(float(a)))
@@ -82,11 +82,11 @@ def marginal_price(x: Column, d: Column, a: Column, eps: float = 1e-6) -> Column
 def interpolated(nodes: DataFrame, points: DataFrame, key: str, x: str, y: str, at: str) -> DataFrame:
     """points (key, at) with y linearly interpolated between nodes (key, x, y), constant beyond the first and last node.
 
-    Nodes and points are merged in one order by key: no pairs are made."""
+    Nodes and points are merged in one order by key, which is passed once in each direction: no pairs are made."""
     both = nodes.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(0).alias("_point")).unionByName(points.select(key, F.col(at).alias("_x"), F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_point")))
-    w = Window.partitionBy(key).orderBy("_x", "_point", "_y")
+    w, back = Window.partitionBy(key).orderBy("_x", "_point", "_y"), Window.partitionBy(key).orderBy(F.desc("_x"), F.desc("_point"), F.desc("_y"))
     node = F.when(F.col("_point") == 0, F.struct("_x", "_y"))
-    both = both.withColumn("_a", F.last(node, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(node, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    both = both.withColumn("_a", F.last(node, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(node, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     slope = ratio(F.col("_b._y") - F.col("_a._y"), F.col("_b._x") - F.col("_a._x"))
     value = F.when(F.col("_a").isNull(), F.col("_b._y")).when(F.col("_b").isNull() | (F.col("_x") == F.col("_a._x")), F.col("_a._y")).otherwise(F.col("_a._y") + slope * (F.col("_x") - F.col("_a._x")))
     return both.select(key, F.col("_x").alias(at), value.alias(y), "_point").filter("_point = 1").drop("_point")
@@ -105,8 +105,8 @@ def gradient(df: DataFrame, key: str, order: str, f: str, x: str) -> Column:
 def liquidity_density(spark: SparkSession, amplifications: list[float], p_min: float = 0.98, p_max: float = 1.02, x_min: float = 0.1, x_max: float = 5.0, n_x: int = 3000, n_p: int = 600, x0: float = 1.0, y0: float = 1.0) -> DataFrame:
     """(a, i, p, liquidity, relative): |dx / d ln P| over a price grid, and its share of the maximum of each amplification."""
     amps = spark.createDataFrame([(float(a),) for a in amplifications], "a double")
-    amps = amps.select("a", two_coin_d(F.lit(x0), F.lit(y0), F.col("a")).alias("d"))
-    nodes = amps.crossJoin(logspace(spark, x_min, x_max, n_x)).select("a", "x", marginal_price(F.col("x"), F.col("d"), F.col("a")).alias("p"))
+    amps = F.broadcast(amps.select("a", two_coin_d(F.lit(x0), F.lit(y0), F.col("a")).alias("d")))  # as many as are given
+    nodes = logspace(spark, x_min, x_max, n_x).crossJoin(amps).select("a", "x", marginal_price(F.col("x"), F.col("d"), F.col("a")).alias("p"))
     grid = linspace(spark, p_min, p_max, n_p, "p").crossJoin(amps.select("a"))
     found = interpolated(nodes, grid, "a", "p", "x", "p").withColumn("lnp", F.log("p"))
     found = found.withColumn("liquidity", F.abs(gradient(found, "a", "p", "x", "lnp")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import tick_sqrt_price
+from tidemark.functions.scalars import finite, tick_sqrt_price
 from tidemark.operators.ordered import running_sum
 
 HOUR = 3600
@@ -17,24 +17,30 @@ def latest_snapshot(book: DataFrame, time: str = "timestamp") -> DataFrame:
     return book.join(F.broadcast(last), F.col(time) == F.col("_last")).drop("_last")
 
 
-def liquidity_by_tick(book: DataFrame, order: str, duplicates: str = "last") -> DataFrame:
-    """(tick, L) of every tick in [tickLower, tickUpper). Where intervals overlap, the last one by `order` counts, or their sum."""
+def liquidity_by_tick(book: DataFrame, order: str, duplicates: str = "last", reach: int | None = None) -> DataFrame:
+    """(tick, L) of every tick in [tickLower, tickUpper). Where intervals overlap, the last one by `order` counts, or their sum.
+
+    With reach only ticks less than so far from the row's poolTick, [poolTick - reach, poolTick + reach): intervals are cut before they are spread."""
     if duplicates not in ("last", "sum"):
         raise ValueError("duplicates must be last or sum")
     low, high = F.col("tickLower").cast("int"), F.col("tickUpper").cast("int")
+    if reach is not None:
+        at = F.col("poolTick").cast("int")
+        low, high = F.greatest(low, at - reach), F.least(high, at + reach)
     rows = book.filter(low < high).select(F.explode(F.sequence(low, high - 1)).alias("tick"), F.col("active_liquidity_L").cast("double").alias("L"), F.col(order).alias("_order"))
     value = F.sum("L") if duplicates == "sum" else F.max_by("L", "_order")
     return rows.groupBy("tick").agg(value.alias("L"))
 
 
 def swap_size_curve(book: DataFrame, k_max: int = 50, fee: float = 0.0, tick_step: int = 1, order: str = "tickLower") -> DataFrame:
-    """(k_ticks, token1_in_to_move_up, token0_in_to_move_down, tick_up, tick_down) for k = 1 .. k_max from the latest snapshot.
+    """(k_ticks, token1_in_to_move_up, token0_in_to_move_down, tick_up, tick_down, timestamp) for k = 1 .. k_max from the latest snapshot, whose time is returned.
 
-    A tick without liquidity on the way raises. Only ticks within reach are kept before anything is ordered."""
+    A tick without liquidity on the way raises, and so does a snapshot of several pool ticks. Intervals are cut to what is within reach before they are spread to ticks."""
     snap = latest_snapshot(book)
     reach = k_max * tick_step
-    at = snap.agg(F.min("poolTick").cast("int").alias("cur"))
-    ticks = liquidity_by_tick(snap, order).crossJoin(F.broadcast(at)).filter((F.col("tick") >= F.col("cur") - reach) & (F.col("tick") < F.col("cur") + reach))
+    unique = F.when(F.min("poolTick") == F.max("poolTick"), F.min("poolTick").cast("int")).when(F.count("*") > 0, F.raise_error(F.lit("a snapshot has several pool ticks")).cast("int"))
+    at = snap.agg(unique.alias("cur"), F.max("timestamp").alias("timestamp"))
+    ticks = liquidity_by_tick(snap, order, reach=reach).crossJoin(F.broadcast(at))
     low, high = tick_sqrt_price(F.col("tick")), tick_sqrt_price(F.col("tick") + 1)
     up = F.col("tick") >= F.col("cur")
     step = F.when(up, F.col("tick") - F.col("cur")).otherwise(F.col("cur") - 1 - F.col("tick"))
@@ -45,24 +51,38 @@ def swap_size_curve(book: DataFrame, k_max: int = 50, fee: float = 0.0, tick_ste
     w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # k_max rows
     return wanted.join(per_k, "k", "left").filter(whole).select(
         (F.col("k") * tick_step).alias("k_ticks"), (F.sum("a_up").over(w) / (1.0 - fee)).alias("token1_in_to_move_up"), (F.sum("a_down").over(w) / (1.0 - fee)).alias("token0_in_to_move_down"),
-        (F.col("cur") + F.col("k") * tick_step).alias("tick_up"), (F.col("cur") - F.col("k") * tick_step).alias("tick_down"),
+        (F.col("cur") + F.col("k") * tick_step).alias("tick_up"), (F.col("cur") - F.col("k") * tick_step).alias("tick_down"), "timestamp",
     )
 
 
-def position_liquidity(grid: DataFrame, positions: DataFrame, p: str = "p") -> DataFrame:
-    """(p, liquidity): the sum over positions with pa <= p <= pb, 0 where there is none.
+#: Levels of blocks that position_liquidity() cuts intervals into: 2^LEVELS places are enough for any table.
+LEVELS = 44
 
-    Opening and closing prices become +liquidity and -liquidity and are summed in price order with the grid points, so no
-    point meets every position. At equal prices openings come first and closings last."""
-    valid = positions.filter(F.col("pa") <= F.col("pb"))
-    gain, loss = (valid.select(F.col(c).alias("at"), F.lit(kind).alias("kind"), (F.col("liquidity") * sign).alias("change")) for c, kind, sign in (("pa", 0, 1.0), ("pb", 2, -1.0)))
-    # changes at one price are summed first
-    events = gain.unionByName(loss).groupBy("at", "kind").agg(F.sum("change").alias("change"))
-    points = grid.select(F.col(p).alias("at"), F.lit(1).alias("kind"), F.lit(0.0).alias("change"))
-    # buckets of some hundred ticks of price
-    bucket = F.floor(F.log("at") / 0.01)
-    summed = running_sum(events.unionByName(points), bucket, ["at", "kind"], "change", "liquidity")
-    return summed.filter("kind = 1").select(F.col("at").alias(p), "liquidity")
+
+def position_liquidity(grid: DataFrame, positions: DataFrame, p: str = "p") -> DataFrame:
+    """(p, liquidity): the sum over positions with pa <= p <= pb, 0 where there is none. Null or NaN points and bounds meet nothing.
+
+    Bounds are numbered by price: bound i is place 2 i, what lies between it and the next is place 2 i + 1. A position's
+    places are cut into blocks of powers of two, at most two of each size; a point meets the one block of each size that
+    it lies in. So no point meets every position, and only liquidity that covers the point is added: nothing is taken off again."""
+    sound = lambda c: c.isNotNull() & ~F.isnan(c)
+    valid = positions.select(F.col("pa").cast("double").alias("pa"), F.col("pb").cast("double").alias("pb"), F.col("liquidity").cast("double").alias("liquidity")).filter(sound(F.col("pa")) & sound(F.col("pb")) & (F.col("pa") <= F.col("pb")))
+    points = grid.select(F.col(p).cast("double").alias("at")).groupBy("at").agg(F.count("*").alias("copies"))
+    bounds = valid.select(F.col("pa").alias("at")).unionByName(valid.select(F.col("pb").alias("at"))).distinct()
+    merged = bounds.select("at", F.lit(1).cast("long").alias("bound")).unionByName(points.filter(sound(F.col("at"))).select("at", F.lit(0).cast("long").alias("bound")))
+    merged = merged.groupBy("at").agg(F.max("bound").alias("bound"))
+    placed = running_sum(merged, ["at"], "bound", "upto").select("at", (2 * F.col("upto") - F.when(F.col("bound") == 1, 2).otherwise(1)).alias("place"))
+    start, stop = (placed.select(F.col("at").alias(c), F.col("place").alias(name)) for c, name in (("pa", "a"), ("pb", "last")))
+    spans = valid.groupBy("pa", "pb").agg(F.sum("liquidity").alias("liquidity")).join(start, "pa").join(stop, "pb").select("liquidity", "a", (F.col("last") + 1).alias("b"))
+    block = """flatten(transform(sequence(0, %d), l -> filter(array(
+        if(shiftright(a + (1L << l) - 1, l) %% 2 = 1 AND shiftright(a + (1L << l) - 1, l) < shiftright(b, l), struct(l AS level, shiftright(a + (1L << l) - 1, l) AS block), null),
+        if(shiftright(b, l) %% 2 = 1 AND 2 * shiftright(a + (2L << l) - 1, l + 1) < shiftright(b, l), struct(l AS level, shiftright(b, l) - 1 AS block), null)), x -> x IS NOT NULL)))"""
+    covered = spans.select("liquidity", F.explode(F.expr(block % LEVELS)).alias("x")).groupBy("x.level", "x.block").agg(F.sum("liquidity").alias("part"))
+    levels = covered.select("level").distinct()  # LEVELS rows at most: points skip sizes that no position has
+    at = placed.join(points, "at").filter("place >= 0").crossJoin(F.broadcast(levels)).select("at", "level", F.expr("shiftright(place, level)").alias("block"))
+    found = at.join(covered, ["level", "block"]).groupBy("at").agg(F.sum("part").alias("part"))
+    rows = points.join(found, points["at"].eqNullSafe(found["at"]), "left").select(points["at"].alias(p), F.coalesce("part", F.lit(0.0)).alias("liquidity"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return rows.drop("_copy")
 
 
 def active_tick(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -95,7 +115,8 @@ def hourly_frames(liquidity: DataFrame, start_s: int, hours: int = 400) -> DataF
 
 
 def frame_limits(liquidity: DataFrame, start_s: int, hours: int = 400) -> DataFrame:
-    """(xmin, xmax, ymin, ymax) that all frames share; ymax is 1 without rows."""
+    """(xmin, xmax, ymin, ymax) that all frames share; ymax is 1 without rows. Prices and totals that aren't finite don't count."""
     rows = liquidity.filter(F.col("hour_s").between(start_s, start_s + (hours - 1) * HOUR))
-    top = F.max(F.coalesce("usd_token0", F.lit(0.0)) + F.coalesce("usd_token1", F.lit(0.0)))
-    return rows.agg((F.min("priceMid") - 0.002).alias("xmin"), (F.max("priceMid") + 0.002).alias("xmax"), F.lit(0.0).alias("ymin"), F.coalesce(top * 1.05, F.lit(1.0)).alias("ymax"))
+    total, price = F.coalesce("usd_token0", F.lit(0.0)) + F.coalesce("usd_token1", F.lit(0.0)), F.when(finite(F.col("priceMid")), F.col("priceMid"))
+    top = F.max(F.when(finite(total), total))
+    return rows.agg((F.min(price) - 0.002).alias("xmin"), (F.max(price) + 0.002).alias("xmax"), F.lit(0.0).alias("ymin"), F.coalesce(top * 1.05, F.lit(1.0)).alias("ymax"))

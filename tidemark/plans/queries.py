@@ -113,7 +113,7 @@ def dom1_candles(spark, sf):
     return rounded(market.candles(fx.klines(spark, sf)), 6, "height", "bottom")
 
 
-@query(f"SELECT k, rn::INT AS rn, hour_s, open, high, low, close FROM (SELECT *, row_number() OVER (ORDER BY hour_s) - 1 AS rn FROM klines), range(2, 400, 4) f(k) WHERE rn >= {CENTER - HALF} AND rn < {CENTER - HALF} + k")
+@query(f"SELECT k, rn::BIGINT AS rn, hour_s, open, high, low, close FROM (SELECT *, row_number() OVER (ORDER BY hour_s) - 1 AS rn FROM klines), range(2, 400, 4) f(k) WHERE rn >= {CENTER - HALF} AND rn < {CENTER - HALF} + k")
 def dom2_replay_frames(spark, sf):
     return market.replay_frames(fx.klines(spark, sf), CENTER, HALF)
 
@@ -122,8 +122,14 @@ def dom2_replay_frames(spark, sf):
   SELECT k, max(hour_s) AS cutoff FROM (SELECT *, row_number() OVER (ORDER BY hour_s) - 1 AS rn FROM klines), range(2, 400, 4) f(k) WHERE rn >= {CENTER - HALF} AND rn < {CENTER - HALF} + k GROUP BY k)
   JOIN ev ON s < cutoff GROUP BY ALL""")
 def dom2_replay_prices(spark, sf):
-    rows = market.replay_prices(fx.klines(spark, sf), fx.pool_price(spark, sf), CENTER, HALF)
-    return rounded(rows.groupBy("k", "cutoff").agg(F.count("*").alias("n"), F.max("timestamp").alias("last_s"), F.sum("price").alias("total")), 4, "total")
+    return rounded(market.replay_price_sums(fx.klines(spark, sf), fx.pool_price(spark, sf), CENTER, HALF), 4, "total")
+
+
+@query(f"""SELECT k, cutoff, s AS timestamp, value AS price FROM (
+  SELECT k, max(hour_s) AS cutoff FROM (SELECT *, row_number() OVER (ORDER BY hour_s) - 1 AS rn FROM klines), range(2, 12, 4) f(k) WHERE rn >= {CENTER - HALF} AND rn < {CENTER - HALF} + k GROUP BY k)
+  JOIN ev ON s < cutoff""")
+def dom2_replay_price_rows(spark, sf):
+    return market.replay_prices(fx.klines(spark, sf), fx.pool_price(spark, sf), CENTER, HALF, stop=12)
 
 
 @query(f"SELECT min(low) AS y0, round(max(high) + 0.04, 6) AS y1 FROM (SELECT *, row_number() OVER (ORDER BY hour_s) - 1 AS rn FROM klines) WHERE rn >= {CENTER - HALF} AND rn < {CENTER - HALF} + 396")
@@ -166,6 +172,20 @@ def dom6_quotes(spark, sf):
     return rounded(rounded(stableswap.quotes(fx.pool_balances(spark, sf)), 6, "usdc_usdt", "dai_usdc", "usdt_dai"), 5, "d")
 
 
+_BY_TIME = """WITH p AS (SELECT hour_s, bal_DAI AS x, bal_USDC AS y, bal_USDT AS z, bal_DAI + bal_USDC + bal_USDT AS S, 2000.0 + 10 * ((hour_s // 3600) % 7) AS a FROM pool_balances),
+q AS (SELECT *, CASE WHEN least(x, y, z) > 0 THEN list_reduce(range(64)::DOUBLE[], lambda d, i: (3 * a * S + d * d * d * d / (27 * x * y * z) * 3) * d / ((3 * a - 1) * d + 4 * (d * d * d * d / (27 * x * y * z))), S) END AS d FROM p),
+b AS (SELECT *, y + 10 + x + d / (3 * a) - d AS beta, d * d / ((y + 10) * 3) * d / (x * 3) * d / (9 * a) AS c FROM q)
+"""
+
+
+@query(_BY_TIME + "SELECT hour_s, round(d, 5) AS d, round((z - (sqrt(beta * beta + 4 * c) - beta) / 2) * (1 - 0.0004) / 10, 6) AS usdc_usdt FROM b")
+def dom5_quotes_by_time(spark, sf):
+    """An amplification for each hour, a fee, and ten coins paid in."""
+    pool = fx.pool_balances(spark, sf)
+    a = pool.select("hour_s", (F.lit(2000.0) + 10 * (F.col("hour_s") / 3600 % 7).cast("int")).alias("a"))
+    return rounded(rounded(stableswap.quotes(pool, a, 0.0004, 10.0).select("hour_s", "d", "usdc_usdt"), 6, "usdc_usdt"), 5, "d")
+
+
 @query(_QUOTES + f"r AS (SELECT hour_s, {_quote('z', 'y', 'x')} AS usdt_dai FROM q) SELECT hour_s, usdt_dai, round(1 / nullif(usdt_dai, 0), 6) AS dai_usdt FROM r")
 def prj7_reciprocal_quote(spark, sf):
     df = rounded(stableswap.quotes(fx.pool_balances(spark, sf)).select("hour_s", "usdt_dai"), 6, "usdt_dai")
@@ -187,7 +207,7 @@ r AS (SELECT a, x, CASE WHEN beta > 0 THEN 2 * c / (beta + sqrt(beta * beta + 4
 @query(_TWO + "SELECT a, round(x, 9) AS x, round(y, 9) AS y, round(-(y2 - y) / (x * 1e-6), 5) AS p FROM r")
 def dom8_two_coin_price(spark, sf):
     amps = spark.createDataFrame([(a,) for a in K4], "a double").withColumn("d", stableswap.two_coin_d(F.lit(1.0), F.lit(1.0), F.col("a")))
-    df = linspace(spark, 0.1, 5.0, 300).crossJoin(amps)
+    df = linspace(spark, 0.1, 5.0, 300).crossJoin(F.broadcast(amps))
     df = df.select("a", "x", stableswap.two_coin_y(F.col("x"), F.col("d"), F.col("a")).alias("y"), stableswap.marginal_price(F.col("x"), F.col("d"), F.col("a")).alias("p"))
     return rounded(rounded(df, 9, "x", "y"), 5, "p")
 
@@ -228,9 +248,9 @@ def dom15_stableswap_curves(spark, sf):
     return rounded(rounded(stableswap.stableswap_curves(linspace(spark, 0.05, 12.0, 500), [1, 4, 10, 100]), 9, "x"), 7, "y")
 
 
-@query("SELECT tickLower AS tick, round(power(1.0001::DOUBLE, tickLower), 10) AS price, round(power(1.0001::DOUBLE, tickLower / 2.0), 10) AS root FROM tick_book")
+@query("SELECT tickLower AS tick, round(power(1.0001::DOUBLE, tickLower), 10) AS price, round(power(1.0001::DOUBLE, tickLower / 2.0), 10) AS root FROM tick_book WHERE ts = 0")
 def dom17_tick_prices(spark, sf):
-    df = fx.tick_book(spark, sf).select(F.col("tickLower").alias("tick"), scalars.tick_price(F.col("tickLower")).alias("price"), scalars.tick_sqrt_price(F.col("tickLower")).alias("root"))
+    df = fx.tick_book(spark, sf).filter("timestamp = 0").select(F.col("tickLower").alias("tick"), scalars.tick_price(F.col("tickLower")).alias("price"), scalars.tick_sqrt_price(F.col("tickLower")).alias("root"))
     return rounded(df, 10, "price", "root")
 
 
@@ -249,18 +269,23 @@ def dom18_tick_bars(spark, sf):
     return rounded(rounded(ticks.tick_bars(fx.hourly_liquidity(spark, sf), HOUR_S), 9, "priceMid", "width", "active"), 4, "usd_token0", "usd_token1")
 
 
-@query("SELECT tickLower AS tick, round(L, 4) AS L FROM tick_book")
+@query("SELECT tick, round(L, 4) AS L FROM latest_ticks")
 def dom20_liquidity_by_tick(spark, sf):
-    return rounded(ticks.liquidity_by_tick(fx.tick_book(spark, sf), "entry"), 4, "L")
+    return rounded(ticks.liquidity_by_tick(ticks.latest_snapshot(fx.tick_book(spark, sf)), "entry"), 4, "L")
+
+
+@query("SELECT tick, round(total, 4) AS L FROM latest_ticks")
+def dom20_liquidity_summed(spark, sf):
+    return rounded(ticks.liquidity_by_tick(ticks.latest_snapshot(fx.tick_book(spark, sf)), "entry", "sum"), 4, "L")
 
 
-@query("""SELECT k AS k_ticks, round(sum(u) OVER w, 2) AS token1_in_to_move_up, round(sum(v) OVER w, 2) AS token0_in_to_move_down, k::INT AS tick_up, -k::INT AS tick_down
+@query("""SELECT k AS k_ticks, round(sum(u) OVER w, 2) AS token1_in_to_move_up, round(sum(v) OVER w, 2) AS token0_in_to_move_down, k::INT AS tick_up, -k::INT AS tick_down, 3600 AS timestamp
   FROM (SELECT a.k, a.L * (power(1.0001::DOUBLE, a.k / 2.0) - power(1.0001::DOUBLE, (a.k - 1) / 2.0)) AS u, b.L * (1 / power(1.0001::DOUBLE, -a.k / 2.0) - 1 / power(1.0001::DOUBLE, (1 - a.k) / 2.0)) AS v
-    FROM (SELECT tickLower + 1 AS k, L FROM tick_book) a JOIN (SELECT -tickLower AS k, L FROM tick_book) b ON a.k = b.k WHERE a.k BETWEEN 1 AND 50)
+    FROM (SELECT tick + 1 AS k, L FROM latest_ticks) a JOIN (SELECT -tick AS k, L FROM latest_ticks) b ON a.k = b.k WHERE a.k BETWEEN 1 AND 50)
   WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)""")
 def dom21_swap_size_curve(spark, sf):
     df = rounded(ticks.swap_size_curve(fx.tick_book(spark, sf), order="entry"), 2, "token1_in_to_move_up", "token0_in_to_move_down")
-    return df.select(F.col("k_ticks").cast("int"), "token1_in_to_move_up", "token0_in_to_move_down", F.col("tick_up").cast("int"), F.col("tick_down").cast("int"))
+    return df.select(F.col("k_ticks").cast("int"), "token1_in_to_move_up", "token0_in_to_move_down", F.col("tick_up").cast("int"), F.col("tick_down").cast("int"), "timestamp")
 
 
 @query(f"SELECT round(priceMid, 9) AS priceMid, round(active_liquidity_L, 4) AS usd_total FROM hourly_liquidity WHERE hour_s = {HOUR_S}")
@@ -355,6 +380,13 @@ def dom27_window_statistics_whole(spark, sf):
     return rounded(curves.statistics(curves.quantile_windows(_curves(spark, sf, True, None)), "window", "tick_norm"), 6, "tick_norm", "mean", "std")
 
 
+@query(f"SELECT hour_s, round(tick_norm, 6) + 0.0 AS tick_norm, round(logl, 6) AS logl FROM ({_norm(True, '(SELECT max((s // 3600) * 3600) FROM venue_metrics WHERE tvlUSD = 0 AND s < ' + str(UNTIL_S) + ')')})")
+def jn6_bound_of_another_table(spark, sf):
+    """Curves up to the last hour in which another table has what is looked for."""
+    other = fx.venue_metrics(spark, sf).filter((F.col("tvlUSD") == 0) & (F.col("s") < UNTIL_S)).select((F.floor(F.col("s") / 3600) * 3600).alias("hour_s"))
+    return rounded(curves.normalised(fx.hourly_liquidity(spark, sf), AFTER_S, other, True).select("hour_s", "tick_norm", "logl"), 6, "tick_norm", "logl")
+
+
 @query(f"SELECT t, (r // (n // 4))::INT AS \"window\" FROM (SELECT vec_id AS t, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings) WHERE r // (n // 4) < 4")
 def win6_equal_windows(spark, sf):
     rows = fx.matrix(spark, sf)
@@ -405,9 +437,49 @@ def dom30_aligned_signs(spark, sf):
     return found.select("k", turn.alias("d")).groupBy("k").agg(F.count("*").alias("windows"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("against"))
 
 
-@query("SELECT w::INT AS window_id, k::INT AS k FROM range(4) a(w), range(1, 6) b(k)")
+def _compared(window: str, kept: str) -> str:
+    return f"""WITH o AS (SELECT vec_id AS t, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings), w AS (SELECT t, ({window})::INT AS window_id FROM o WHERE {kept})
+    SELECT window_id, round(sum(v), 8) AS total, 64.0::DOUBLE AS length FROM (SELECT window_id, j, var_samp(y) AS v FROM w JOIN cells USING (t) GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _totals(found: DataFrame) -> DataFrame:
+    """Each window's eigenvalues add up to the variance of its columns, its aligned loadings have unit length."""
+    length = curves.dot(F.col("loading"), F.col("loading"))
+    return rounded(rounded(found.groupBy("window_id").agg(F.sum("eigenvalue").alias("total"), F.sum(length).alias("length")), 8, "total"), 6, "length")
+
+
+@query(_compared("r // (n // 4)", "r // (n // 4) < 4"))
 def dom31_compared_windows(spark, sf):
-    return decompose.compared_windows(fx.matrix(spark, sf)).select("window_id", "k")
+    return _totals(decompose.compared_windows(fx.matrix(spark, sf), k=64))
+
+
+@query(_compared("least(r // (n // 3), 2)", "true"))
+def dom31_compared_windows_rest(spark, sf):
+    """The rows that are left over go to the last window."""
+    return _totals(decompose.compared_windows(fx.matrix(spark, sf), 3, 64, "last"))
+
+
+@query("""WITH c AS (SELECT a.j AS i, b.j AS j, covar_samp(a.y, b.y) AS v FROM cells a JOIN cells b USING (t) GROUP BY 1, 2) SELECT round(sum(CASE WHEN i = j THEN v END), 8) AS total, round(sum(v * v), 8) AS squares FROM c""")
+def dom28_spectrum(spark, sf):
+    """Eigenvalues and their squares add up to the trace and the squared norm of the covariance."""
+    found = decompose.pca(fx.matrix(spark, sf), 64)
+    return rounded(found.agg(F.sum("eigenvalue").alias("total"), F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares")), 8, "total", "squares")
+
+
+@query("SELECT t, round(sum((y - m) * (y - m)), 7) AS energy, 0.0::DOUBLE AS gap FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) GROUP BY t")
+def dom28_fitted_and_residual(spark, sf):
+    """Fitted curves and residuals are at right angles and add up to the curve."""
+    rows = fx.matrix(spark, sf)
+    fit = decompose.pca_fit(rows, decompose.pca(rows, 5)).crossJoin(F.broadcast(decompose.column_means(rows)))
+    moved = F.zip_with("fitted", "means", lambda a, m: a - m)
+    both = fit.select("t", (curves.dot(moved, moved) + curves.dot(F.col("residual"), F.col("residual"))).alias("energy"), F.aggregate(F.arrays_zip("y", "fitted", "residual"), F.lit(0.0), lambda s, v: s + F.abs(v["y"] - v["fitted"] - v["residual"])).alias("gap"))
+    return rounded(both, 7, "energy", "gap")
+
+
+@query(_WINDOWS + " SELECT window_id, min(t) AS t_start, max(t) AS t_end, k::INT AS k, 1.0::DOUBLE AS cpve FROM w, (VALUES (64), (100)) f(k) GROUP BY window_id, k")
+def agg14_cumulative_share(spark, sf):
+    """All components hold all of the variance; a number above theirs takes the last."""
+    return rounded(decompose.cpve(decompose.rolling_components(fx.matrix(spark, sf), SIZE, STEP), [64, 100]), 9, "cpve")
 
 
 @query()
@@ -439,9 +511,9 @@ def dom33_orthonormal_basis(spark, sf):
     return rounded(rows.crossJoin(F.broadcast(other)).select("k", "i", curves.dot(F.col("v"), F.col("u")).alias("product")), 9, "product")
 
 
-def _weights() -> str:
-    w = decompose.legendre_weights(64)[1]
-    return "SELECT * FROM (VALUES " + ", ".join(f"({j}, {d}, {float(w[j, d])!r}::DOUBLE)" for j in range(64) for d in range(6)) + ") v(j, degree, w)"
+def _weights(p: int = 64) -> str:
+    w = decompose.legendre_weights(p)[1]
+    return "SELECT * FROM (VALUES " + ", ".join(f"({j}, {d}, {float(w[j, d])!r}::DOUBLE)" for j in range(p) for d in range(6)) + ") v(j, degree, w)"
 
 
 @query(f"WITH w AS ({_weights()}) SELECT t, degree::INT AS degree, round(sum((y - m) * w), 7) + 0.0 AS score FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) JOIN w USING (j) GROUP BY t, degree")
@@ -449,10 +521,22 @@ def dom35_legendre_scores(spark, sf):
     return rounded(decompose.legendre_scores(fx.matrix(spark, sf)), 7, "score")
 
 
-@query()
+@query(f"WITH w AS ({_weights()}) SELECT t, " + ", ".join(f"round(sum((y - m) * w) FILTER (degree = {d}), 7) + 0.0 AS Legendre_deg{d}" for d in range(6)) + " FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) JOIN w USING (j) GROUP BY t")
+def scl12_score_columns(spark, sf):
+    return decompose.score_columns(rounded(decompose.legendre_scores(fx.matrix(spark, sf), p=64), 7, "score"))
+
+
+def _series(variant: str, centered: bool) -> str:
+    return f"""SELECT '{variant}' AS variant, hour_s AS t, degree::INT AS degree, round(sum((value - m) * w), 6) + 0.0 AS score FROM (
+    WITH c AS ({_norm(centered, _LAST)}), x AS (SELECT tick_norm, row_number() OVER (ORDER BY tick_norm) - 1 AS j FROM (SELECT DISTINCT tick_norm FROM c)),
+    d AS (SELECT h.hour_s, j, ln(1 + coalesce(v, 0)) AS value FROM (SELECT DISTINCT hour_s FROM c) h CROSS JOIN x LEFT JOIN (SELECT hour_s, tick_norm, sum(total) AS v FROM c GROUP BY 1, 2) s ON s.hour_s = h.hour_s AND s.tick_norm = x.tick_norm)
+    SELECT d.*, avg(value) OVER (PARTITION BY j) AS m FROM d) JOIN weights101 USING (j) GROUP BY hour_s, degree"""
+
+
+@query(f"WITH weights101 AS ({_weights(2 * curves.HALF_WIDTH + 1)}) {_series('price', False)} UNION ALL {_series('peg', True)}")
 def dom39_score_series(spark, sf):
     price, peg = (curves.as_rows(curves.dense(_curves(spark, sf, c, None))) for c in (False, True))
-    return rounded(decompose.score_series(5, price=price, peg=peg), 7, "score")
+    return rounded(decompose.score_series(5, 2 * curves.HALF_WIDTH + 1, price=price, peg=peg), 6, "score")
 
 
 def _smoother() -> str:
@@ -464,3 +548,25 @@ def _smoother() -> str:
 @query(f"WITH s AS ({_smoother()}), m AS (SELECT j, avg(y) AS m FROM cells GROUP BY j), c AS (SELECT j, y, m FROM cells JOIN m USING (j) WHERE t = 7) SELECT i::INT AS j, round(b.y, 7) AS y, round(sum(s * (c.y - c.m)) + b.m, 7) AS fitted, round(b.y - sum(s * (c.y - c.m)) - b.m, 7) + 0.0 AS residual FROM s JOIN c USING (j) JOIN c b ON b.j = i GROUP BY i, b.y, b.m")
 def dom37_reconstruction(spark, sf):
     return rounded(decompose.reconstruction(fx.matrix(spark, sf), 7), 7, "y", "fitted", "residual")
+
+
+@query(f"WITH s AS ({_smoother()}), m AS (SELECT j, avg(y) AS m FROM cells GROUP BY j), c AS (SELECT t, j, y, y - m AS x FROM cells JOIN m USING (j)), f AS (SELECT c.t, s.i, sum(s.s * c.x) AS f FROM c JOIN s USING (j) GROUP BY 1, 2) SELECT c.t, round(sum((c.x - f.f) * (c.x - f.f)), 6) AS residual, round(sum(c.y - c.x + f.f), 6) + 0.0 AS fitted FROM f JOIN c ON c.t = f.t AND c.j = f.i GROUP BY 1")
+def dom35_fitted_and_residual(spark, sf):
+    """Sums over the fitted curve and the squared residuals of every curve."""
+    fit = decompose.legendre_fit(fx.matrix(spark, sf), p=64)
+    total = F.aggregate("fitted", F.lit(0.0), lambda s, v: s + v)
+    return rounded(fit.select("t", curves.dot(F.col("residual"), F.col("residual")).alias("residual"), total.alias("fitted")), 6, "residual", "fitted")
+
+
+@query("SELECT event_id, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS at, s AS back FROM ev")
+def prj4_timestamps(spark, sf):
+    df = fx.events(spark, sf).withColumn("at", scalars.timestamp_of(F.col("s")))
+    return df.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), scalars.epoch_of(F.col("at")).alias("back"))
+
+
+@query("SELECT event_id, (value % 7 >= 1)::INT AS finite FROM ev")
+def scl8_finite(spark, sf):
+    """What a division by zero, an overflow or a logarithm leaves isn't finite."""
+    v = F.col("value")
+    odd = F.when(v % 7 < 0.25, F.lit(None).cast("double")).when(v % 7 < 0.5, F.lit(float("nan"))).when(v % 7 < 0.75, F.lit(float("inf"))).when(v % 7 < 1, F.lit(float("-inf"))).otherwise(v)
+    return fx.events(spark, sf).select("event_id", scalars.finite(odd).cast("int").alias("finite"))

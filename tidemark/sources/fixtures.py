@@ -51,11 +51,17 @@ def hourly_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tick_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense book around tick 0: (timestamp, tickLower, tickUpper, poolTick, active_liquidity_L, entry)"""
+    """A dense book around tick 0: (timestamp, tickLower, tickUpper, poolTick, active_liquidity_L, entry)
+
+    Two snapshots, the earlier one around another tick. In the later one every tenth entry is followed by a wider one that
+    overlaps it and its neighbours."""
     part = load(spark, f"{sf_dir}/part.parquet", ["p_partkey", "p_retailprice"])
     half = part.agg((F.count("*") / 2).cast("int").alias("half"))
     low = (F.col("p_partkey") - F.col("half")).cast("int")
-    return part.crossJoin(F.broadcast(half)).select(F.lit(0).cast("long").alias("timestamp"), low.alias("tickLower"), (low + 1).alias("tickUpper"), F.lit(0).alias("poolTick"), (F.col("p_retailprice") * 1e6).alias("active_liquidity_L"), F.col("p_partkey").alias("entry"))
+    entry = lambda time, lower, upper, pool, times, place: F.struct(F.lit(time).cast("long").alias("timestamp"), lower.alias("tickLower"), upper.alias("tickUpper"), F.lit(pool).alias("poolTick"), (F.col("p_retailprice") * (1e6 * times)).alias("active_liquidity_L"), place.alias("entry"))
+    wide = F.when(F.col("p_partkey") % 10 == 0, entry(HOUR, low - 1, low + 2, 0, 2.0, F.col("p_partkey") + 1_000_000_000))
+    rows = F.array(entry(0, low, low + 1, 5, 3.0, F.col("p_partkey")), entry(HOUR, low, low + 1, 0, 1.0, F.col("p_partkey")), wide)
+    return part.crossJoin(F.broadcast(half)).select(F.explode(rows).alias("r")).filter("r IS NOT NULL").select("r.*")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +90,9 @@ SQL = {
     "pool_balances": "SELECT *, bal_DAI / totalValueLockedUSD AS w_DAI, bal_USDC / totalValueLockedUSD AS w_USDC, bal_USDT / totalValueLockedUSD AS w_USDT FROM (SELECT *, bal_DAI + bal_USDC + bal_USDT AS totalValueLockedUSD FROM bal)",
     "liq": "SELECT hour_s, ((event_id * 37) % 151 - 75)::INT AS tickLower, sum(value) AS L, (((hour_s // 3600) % 24) % 7 - 3)::INT AS poolTick FROM evh GROUP BY ALL",
     "hourly_liquidity": "SELECT hour_s, tickLower, L AS active_liquidity_L, poolTick, power(1.0001::DOUBLE, tickLower + 0.5) AS priceMid, CASE WHEN tickLower >= poolTick THEN L ELSE 0.0 END AS usd_token0, CASE WHEN tickLower >= poolTick THEN 0.0 ELSE L END AS usd_token1 FROM liq",
-    "tick_book": "SELECT (p_partkey - (SELECT count(*) // 2 FROM part))::INT AS tickLower, p_retailprice * 1e6 AS L FROM part",
+    "low": "SELECT p_partkey, (p_partkey - (SELECT count(*) // 2 FROM part))::INT AS low, p_retailprice * 1e6 AS L FROM part",
+    "tick_book": "SELECT 0 AS ts, low AS tickLower, low + 1 AS tickUpper, L * 3 AS L, p_partkey AS entry FROM low UNION ALL SELECT 3600, low, low + 1, L, p_partkey FROM low UNION ALL SELECT 3600, low - 1, low + 2, L * 2, p_partkey + 1000000000 FROM low WHERE p_partkey % 10 = 0",
+    "latest_ticks": "SELECT tick, arg_max(L, entry) AS L, sum(L) AS total FROM (SELECT unnest(range(tickLower, tickUpper))::INT AS tick, L, entry FROM tick_book WHERE ts = (SELECT max(ts) FROM tick_book)) GROUP BY tick",
     "positions": "SELECT power(1.0001::DOUBLE, p_size - 50.0) AS pa, power(1.0001::DOUBLE, p_size - 30.0) AS pb, p_retailprice AS liquidity FROM part",
     "venue_metrics": "SELECT event_id, s, CASE event_type WHEN 'view' THEN 100 WHEN 'click' THEN 500 ELSE 3000 END AS feeTier, value AS net_amountUSD, (event_id % 7) * 1000.0::DOUBLE AS tvlUSD FROM ev",
     "cells": "SELECT vec_id AS t, unnest(range(0, len(embedding))) AS j, unnest(embedding)::DOUBLE AS y FROM embeddings",
