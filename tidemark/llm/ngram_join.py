@@ -233,33 +233,25 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _cut(docs: DataFrame, ids: DataFrame, make, shingle: int, schema: str) -> DataFrame:
-    """make() of the documents with these ids (a written table); only their texts are cut again."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return _each(docs.join(ids, "doc_id", "left_semi"), shingle, make, schema)
+def _cut(docs: DataFrame, ids: DataFrame, few: bool, make, shingle: int, schema: str) -> DataFrame:
+    """make() of the documents with these ids, which are sent to every executor if they are few; only their texts are cut again."""
+    return _each(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), shingle, make, schema)
 
 
 def _meet(pairs: DataFrame, docs: DataFrame, shingle: int, make, compare, schema: str) -> DataFrame:
-    """A written table of what compare(a, b, blob of a, blob of b) returns for each pair (a, b) of a written table; blobs are what make() gives for a set.
+    """A written table of what compare(host, guest, blob of host, blob of guest) returns for each pair (host, guest) of a written table; blobs are what make() gives for a set.
 
-    Of the two documents of a pair the one with more pairs is the host. Its blob goes once to each of its tasks, its guests'
-    blobs follow, and a task holds one host's blob at a time. A host of many guests has several tasks. compare may get the two in either order."""
+    A host's blob goes once to each of its tasks, its guests' blobs follow, and a task holds one host's blob at a time. A host
+    of many guests has several tasks."""
     n = pairs.count()
     if not n:
         return empty(docs.sparkSession, schema)
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("m"))
-    ends = written(ends, "ids")
     few = n <= BROADCAST_IDS
-    hosted = pairs.select("a", "b")
-    for side in "ab":
-        table = ends.select(F.col("doc_id").alias(side), F.col("m").alias(f"m_{side}"))
-        hosted = hosted.join(F.broadcast(table), side) if few else weighed(hosted, table, side, f"m_{side}", n)
-    first = (F.col("m_a") > F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") < F.col("b")))
-    hosted = hosted.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), F.greatest("m_a", "m_b").alias("m"))
-    hosted = hosted.select("host", "guest", F.pmod(F.xxhash64("guest"), F.ceil(F.col("m") / GUESTS)).cast("int").alias("part"))
-    hosts = hosted.select(F.col("host").alias("doc_id"), "host", "part", F.lit(True).alias("hosts")).distinct()
-    routes = written(hosted.select(F.col("guest").alias("doc_id"), "host", "part", F.lit(False).alias("hosts")).unionByName(hosts), "routes")
-    blobs = _cut(docs, ends.select("doc_id"), lambda doc, tokens: ((doc, make(tokens)), None), shingle, "doc_id long, blob binary")
+    m = F.count("*").over(Window.partitionBy("host"))
+    hosted = pairs.select("host", "guest", m.alias("m")).select("host", "guest", F.pmod(F.xxhash64("guest"), F.ceil(F.col("m") / GUESTS)).cast("int").alias("part"))
+    both = F.array(F.struct(F.col("guest").alias("doc_id"), F.lit(False).alias("hosts")), F.struct(F.col("host").alias("doc_id"), F.lit(True).alias("hosts")))
+    routes = written(hosted.select("host", "part", F.explode(both).alias("x")).select("x.doc_id", "host", "part", "x.hosts").distinct(), "routes")
+    blobs = _cut(docs, routes.select("doc_id").distinct(), few, lambda doc, tokens: ((doc, make(tokens)), None), shingle, "doc_id long, blob binary")
     rows = blobs.join(F.broadcast(routes) if few else routes, "doc_id").repartition("host", "part").sortWithinPartitions("host", "part", F.desc("hosts"), "doc_id")
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -279,7 +271,7 @@ def _meet(pairs: DataFrame, docs: DataFrame, shingle: int, make, compare, schema
                 yield pd.DataFrame(made, columns=names)
 
     out = written(rows.select("doc_id", "host", "part", "hosts", "blob").mapInPandas(run, schema), "met", BATCH_BYTES)
-    discard(ends, routes)
+    discard(routes)
     return out
 
 
@@ -291,10 +283,13 @@ class Signature:
 
     def __init__(self, blob: bytes):
         self.n, self.base, self.more = np.frombuffer(blob, np.int32, 3).tolist()
-        self.orders = np.frombuffer(blob, np.uint32, offset=12).reshape(2, -1)
+        size = self.base + self.more
+        self.orders = np.frombuffer(blob, np.uint32, 2 * size, 12).reshape(2, size)
+        self.rest = blob[12 + 8 * size :]
 
     @staticmethod
     def blob(tokens: np.ndarray, known: Frequent, percent: int) -> bytes:
+        """The signature as bytes; what is put after them is in .rest."""
         n = len(tokens)
         least = -(-percent * n // 100)
         base, more = n - least, min(least, 1 + (100 - percent) * n // 100)
@@ -310,25 +305,33 @@ class Signature:
 
 
 def _filtered(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int, least: float = 1.0) -> DataFrame:
-    """(a, b, share), written: the pairs that the second and the third order leave, where similar sets have a share of 1 or more."""
+    """(host, guest, share), written: the pairs that the second and the third order leave, where similar sets have a share of 1 or more."""
 
     def compare(host, guest, x, y):
         share = Signature(x).shared(Signature(y), percent)
-        return (min(host, guest), max(host, guest), share) if share >= least else None
+        return (host, guest, share) if share >= least else None
 
-    return _meet(pairs, docs, shingle, lambda tokens: Signature.blob(tokens, known.value, percent), compare, "a long, b long, share double")
+    return _meet(pairs, docs, shingle, lambda tokens: Signature.blob(tokens, known.value, percent), compare, "host long, guest long, share double")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and are similar, written."""
+def _verify(pairs: DataFrame, docs: DataFrame, known, shingle: int, percent: int, at_once: bool = False) -> DataFrame:
+    """(a, b), a < b, written: the pairs (host, guest) that pass the filters of the other orders and are similar.
 
-    def compare(host, guest, x, y):
+    Whole sets are only sent for pairs that have passed; with at_once, which is for pairs that mostly pass, together with what the filters need."""
+
+    def similar(host, guest, x, y):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         common = len(np.intersect1d(x, y, assume_unique=True))
         return (min(host, guest), max(host, guest)) if 100 * common >= percent * (len(x) + len(y) - common) else None
 
+    def filtered_and_similar(host, guest, x, y):
+        x, y = Signature(x), Signature(y)
+        return similar(host, guest, x.rest, y.rest) if x.shared(y, percent) >= 1 else None
+
+    if at_once:
+        return _meet(pairs, docs, shingle, lambda tokens: Signature.blob(tokens, known.value, percent) + tokens.tobytes(), filtered_and_similar, "a long, b long")
     passed = _filtered(pairs, docs, known, shingle, percent)
-    found = _meet(passed, docs, shingle, lambda tokens: tokens.tobytes(), compare, "a long, b long")
+    found = _meet(passed, docs, shingle, lambda tokens: tokens.tobytes(), similar, "a long, b long")
     discard(passed)
     return found
 
@@ -338,27 +341,19 @@ def _differences(spokes: DataFrame, docs: DataFrame, known, shingle: int, percen
     whether they are similar, and the tokens that only one of them has, if these are fewer than the document's own.
 
     A link to a hub has passed the filters of all orders, as other links have."""
-    schema = "doc_id long, hub long, n long, linked boolean, parts array<long>"
-    if spokes.isEmpty():
-        return empty(docs.sparkSession, schema)
-    pairs = written(spokes.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "pairs")
+    pairs = written(spokes.filter("doc_id <> hub").select(F.col("hub").alias("host"), F.col("doc_id").alias("guest")), "pairs")
     close = _filtered(pairs, docs, known, shingle, percent, 0.5)
 
     def compare(host, guest, x, y):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        apart = np.setxor1d(x, y, True)
-        common = (len(x) + len(y) - len(apart)) // 2
-        return host, guest, len(x), len(y), 100 * common >= percent * (common + len(apart)), apart.view(np.int64) if len(apart) <= min(len(x), len(y)) else None
-
-    schema = "a long, b long, n_a long, n_b long, near boolean, parts array<long>"
-    met = _meet(close, docs, shingle, lambda tokens: tokens.tobytes(), compare, schema)
-    shares = close.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (F.col("share") >= 1).alias("passed"))
-    both = met.select("*", F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), F.col("near").alias("similar")).join(F.broadcast(shares) if shares.count() <= BROADCAST_IDS else shares, ["_a", "_b"])
-    # a document may be the hub of its hub
-    few = F.broadcast(spokes) if spokes.count() <= BROADCAST_IDS else spokes
-    rows = few.join(both, (F.least("doc_id", "hub") == F.col("_a")) & (F.greatest("doc_id", "hub") == F.col("_b")))
-    out = written(rows.filter("parts IS NOT NULL").select("doc_id", "hub", F.when(F.col("doc_id") == F.col("a"), F.col("n_a")).otherwise(F.col("n_b")).alias("n"), (F.col("similar") & F.col("passed")).alias("linked"), "parts"), "apart")
-    discard(pairs, close, met)
+        x, y = Signature(x), Signature(y)
+        a, b = np.frombuffer(x.rest, np.uint64), np.frombuffer(y.rest, np.uint64)
+        apart = np.setxor1d(a, b, True)
+        common = (len(a) + len(b) - len(apart)) // 2
+        linked = x.shared(y, percent) >= 1 and 100 * common >= percent * (common + len(apart))
+        return (guest, host, len(b), linked, apart.view(np.int64)) if len(apart) <= len(b) else None
+
+    out = _meet(close, docs, shingle, lambda tokens: Signature.blob(tokens, known.value, percent) + tokens.tobytes(), compare, "doc_id long, hub long, n long, linked boolean, parts array<long>")
+    discard(pairs, close)
     return out
 
 
@@ -389,7 +384,7 @@ def _crossed(a: DataFrame, b: DataFrame, keys: list[str], largest: DataFrame, fi
 
 
 def _pairs_of_a_hub(rows: DataFrame, roots: DataFrame, percent: int, star: int | None = None) -> DataFrame:
-    """Pairs (a, b) of different classes in the same family that can be similar; with star, only those with one document of each bucket.
+    """Pairs (host, guest) of different classes in the same family that can be similar; with star, only those with one document of each bucket, the host.
 
     Sets that share nothing of their differences from the hub are similar only if both are similar to the hub, and so of
     its class. Others share one of the tokens in rows."""
@@ -407,7 +402,10 @@ def _pairs_of_a_hub(rows: DataFrame, roots: DataFrame, percent: int, star: int |
         pairs = a.join(open_.select(*keys, *(F.col(f"top.{c}").alias(f"{c}_b") for c in fields)), keys)
     near = (100 + percent) * (F.col("d_a") + F.col("d_b") - 2 * F.least("left_a", "left_b")) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     fit = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    return pairs.filter((F.col("root_a") != F.col("root_b")) & fit & near).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    pairs = pairs.filter((F.col("root_a") != F.col("root_b")) & fit & near)
+    if star is None:
+        return pairs.select(F.least("doc_id_a", "doc_id_b").alias("host"), F.greatest("doc_id_a", "doc_id_b").alias("guest")).distinct()
+    return pairs.select(F.col("doc_id_b").alias("host"), F.col("doc_id_a").alias("guest")).distinct()
 
 
 def size_class(n, percent: int):
@@ -416,7 +414,9 @@ def size_class(n, percent: int):
 
 
 def _pairs_across_hubs(rows: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different classes and hubs that share a prefix token where similar sets can. a is the smaller set, its class that of b or the one before."""
+    """Pairs (host, guest) of different classes and hubs that share a prefix token where similar sets can.
+
+    a is the smaller set of the two, its size class that of b or the one before."""
     own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
     fields, keys = ("doc_id", "n", "left", "hub", "root"), ["token", "size"]
     now = rows.select("token", "doc_id", "n", "left", "near", size_class(F.col("n"), percent).alias("own")).join(own, "doc_id")
@@ -427,7 +427,7 @@ def _pairs_across_hubs(rows: DataFrame, own: DataFrame, percent: int) -> DataFra
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
     other = (F.col("hub_a") != F.col("hub_b")) & (F.col("root_a") != F.col("root_b"))
     found = _crossed(both.filter("near"), both.filter("size = own"), keys, largest, fields).filter(smaller & other & fits(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b"), percent))
-    return found.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    return found.select(F.least("doc_id_a", "doc_id_b").alias("host"), F.greatest("doc_id_a", "doc_id_b").alias("guest")).distinct()
 
 
 def _links_of_ids(rows: DataFrame, sets: DataFrame, n_rows: int) -> DataFrame:
@@ -493,7 +493,10 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     spokes = large.select("token", "size", "doc_id").join(F.broadcast(best) if best.count() <= BROADCAST_IDS else best, ["token", "size"]).groupBy("doc_id").agg(F.max(F.struct("m", "hub")).alias("top"))
     spokes = written(spokes.select("doc_id", F.col("top.hub").alias("hub")), "spokes")
     apart = _differences(spokes, docs, known, shingle, percent)
-    tested = spokes.filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    # no pair is tested twice, whichever of the two was the host
+    sorted_pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    fresh = lambda df: df.join(tested, (F.least("host", "guest") == F.col("a")) & (F.greatest("host", "guest") == F.col("b")), "left_anti")
+    tested = sorted_pair(spokes.filter("doc_id <> hub"), "doc_id", "hub")
     links = apart.filter("linked").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     found = []
     roots = components(links)
@@ -502,18 +505,17 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     else:
         family = written(_shared_differences(apart.withColumn("cut", F.xxhash64("parts")).dropDuplicates(["doc_id", "hub", "cut"]), percent), "family")
     for star in range(STARS):
-        pairs = written(_pairs_of_a_hub(family, roots, percent, star).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(fresh(_pairs_of_a_hub(family, roots, percent, star)), "pairs")
         if pairs.isEmpty():
             break
-        found.append(_verify(pairs, docs, known, shingle, percent))
-        links, tested = links.unionByName(found[-1]), tested.unionByName(pairs)
+        found.append(_verify(pairs, docs, known, shingle, percent, True))
+        links, tested = links.unionByName(found[-1]), tested.unionByName(sorted_pair(pairs, "host", "guest"))
         discard(roots)
         roots = components(links)
     by_node = roots.withColumnRenamed("node", "doc_id")
     own = rows.select("doc_id").distinct().join(apart.select("doc_id", "hub").distinct(), "doc_id", "left").join(by_node, "doc_id", "left")
     own = written(own.select("doc_id", F.coalesce("hub", "doc_id").alias("hub"), F.coalesce("root", "doc_id").alias("root")), "classes")
-    pairs = _pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(family, roots, percent)).distinct().join(tested, ["a", "b"], "left_anti")
-    pairs = written(pairs, "pairs")
+    pairs = written(fresh(_pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(family, roots, percent)).distinct()), "pairs")
     found.append(_verify(pairs, docs, known, shingle, percent))
     discard(roots)
     roots = components(links.unionByName(found[-1]).unionByName(_links_of_ids(some, sets, n_rows)))
@@ -589,7 +591,7 @@ def _compared(docs: DataFrame, known: DataFrame, shingle: int, percent: int, sch
     def cut(doc, tokens):
         return (doc, xxhash.xxh3_128_digest(tokens.tobytes()), tokens.tobytes()), None
 
-    full = written(_cut(docs, members.select(F.col("rep").alias("doc_id")), cut, shingle, "doc_id long, key binary, tokens binary"), "sets", BATCH_BYTES)
+    full = written(_cut(docs, members.select(F.col("rep").alias("doc_id")), members.count() <= BROADCAST_IDS, cut, shingle, "doc_id long, key binary, tokens binary"), "sets", BATCH_BYTES)
     rows = full.withColumnRenamed("doc_id", "rep").join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, ["rep", "key"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
