@@ -15,10 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of each language that training reads whole, about; languages and contexts that the model holds at most.
+#: Documents of each language that training reads whole, about. The model holds every context they have, in every language.
 TRAIN_DOCS = 1024
-MAX_LANGS = 256
-MAX_GRAMS = 1 << 20
 UNIT = 1 << 16  # code lengths are whole multiples of 1/UNIT bit, so sums are exact in any order
 SLICE = 1 << 20  # bytes scored at once
 START = b"\n\n\n"
@@ -92,7 +90,7 @@ class Model:
                 escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
                 lower = below[grams & np.uint32(0xFF)] if known is None else below[np.searchsorted(known, grams & np.uint32((1 << 8 * order) - 1))]
                 cost = np.where(n > 0, -np.log2(n / (total + kinds)[of]), escape[of] + lower)
-            levels.append((Table(grams), np.rint(cost * UNIT).astype(np.int64), Table(contexts), np.rint(escape * UNIT).astype(np.int64)))
+            levels.append((Table(grams), np.rint(cost * UNIT).astype(np.int32), Table(contexts), np.rint(escape * UNIT).astype(np.int32)))
             below, known = cost, grams
         self.levels = levels
 
@@ -100,7 +98,7 @@ class Model:
         """Code length of each gram's last byte after its first three, a column for each language."""
         table, cost, contexts, escape = self.levels[3]
         row = table.find(grams)
-        out = cost[row]
+        out = cost[row].astype(np.int64)
         left = np.flatnonzero(row < 0)
         if len(left):
             out[left] = 0
@@ -139,13 +137,14 @@ class Model:
         return out
 
 
-def train(rows: DataFrame, train_docs: int = TRAIN_DOCS, max_langs: int = MAX_LANGS, max_grams: int = MAX_GRAMS) -> Model:
-    """rows: doc_id, text, lang. Rows without a language, text or id teach nothing.
+def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+    """rows: doc_id, text, lang. Rows without a language, text or id teach nothing; repeated rows count each time.
 
-    About train_docs documents of each language, chosen by a hash of their ids, are counted on the executors; the
-    driver gets the max_grams most frequent (language, gram) counts."""
+    About train_docs documents of each language, chosen by a hash of their ids, are counted on the executors; the driver
+    gets the counts of (language, context and byte), whose number that sample bounds. No language and no context is left out.
+    The model takes 4 bytes for each context and language."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     langs = sorted(sizes)
     if not langs:
         return Model([], pd.DataFrame({"lang": [], "gram": [], "n": []}))
@@ -163,7 +162,7 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS, max_langs: int = MAX_LA
                 yield pd.DataFrame({"lang": langs.index(lang), "gram": gram.astype(np.int64), "n": n})
 
     counts = rows.mapInPandas(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model(langs, counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas())
+    return Model(langs, counts.toPandas())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
