@@ -29,7 +29,7 @@ CANDIDATE = "|".join(
 MASK = "[secret]"
 TREES, DEPTH, SEED = 24, 6, 7
 #: Labelled findings made by rule where none are given.
-FINDINGS = 4000
+FINDINGS = 5000
 BEFORE, AFTER = 48, 24
 
 # Words whose letters in a candidate speak against a secret.
@@ -84,8 +84,10 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     return F.struct(*(values[k].cast("double").alias(k) for k in FEATURES))
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """(before, candidate, after, path, label) made by rule: keys in many formats, and what is often taken for one."""
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) -> DataFrame:
+    """(before, candidate, after, path, label, kind) made by rule: keys in many formats, and what is often taken for one.
+
+    Kinds 14 and 15 are keys in files of tests and examples, which are none. Finding i is always the same; other values of first give others."""
     noise = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id").cast("string")), 512)
     pick = lambda salt, *options: F.element_at(F.array(*(o if isinstance(o, Column) else F.lit(o) for o in options)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     base64 = lambda salt: F.regexp_replace(F.base64(F.unhex(noise(salt))), "=", "")
@@ -124,7 +126,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     summed = F.concat(word("z1"), pick("z2", " commit ", " sha256:", " md5 = ", " checksum: ", ' integrity="', " uuid "))
     keyed = F.concat(word("x6"), pick("x7", " ", ". ", "; "), pick("x8", "API_KEY", "AUTH_TOKEN", "DB_PASSWORD", "CLIENT_SECRET", "export ACCESS_KEY", "passwd"), pick("x9", "=", "=", ": ", "= "))
     assigned = F.concat(word("y4"), F.lit(" "), word("y5"), pick("y6", "=", ": ", " = ", ':"', ' = "'))
-    kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(14))
+    kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(16))
     made = lambda before, candidate, label: F.struct(before.alias("before"), candidate.alias("candidate"), F.lit(label).alias("label"))
     row = (
         F.when(kind < 4, made(named, pick("secret", *secrets), 1.0))
@@ -135,10 +137,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         .when(kind == 8, made(plain, pick("secret", *secrets[3:8]), 1.0))  # without a word that names them
         .when(kind == 9, made(assigned, pick("value", *values), 0.0))
         .when(kind == 10, made(F.when(F.xxhash64("id", F.lit("of")) % 3 == 0, keyed).otherwise(plain), pick("other", *others, *values[8:], name, F.upper(name)), 0.0))
-        .when(kind >= 12, made(plain, pick("prose", *prose), 0.0))
+        .when((kind == 12) | (kind == 13), made(plain, pick("prose", *prose), 0.0))
+        .when(kind == 14, made(named, pick("secret", *secrets), 0.0))
+        .when(kind == 15, made(keyed, pick("secret", *secrets, *passwords), 0.0))
         .otherwise(made(plain, pick("other", *others, *values, name, F.upper(name), F.concat(F.lit("my_"), name), F.upper(F.concat(F.lit("my_"), name))), 0.0))
     )
-    return spark.range(0, n, 1, 1).select(row.alias("r")).select("r.*", F.when(F.col("r.before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")).alias("after"), F.lit(None).cast("string").alias("path"))
+    file = F.concat(word("p1"), pick("p2", ".py", ".yaml", ".env", ".js", ".json", ".txt"))
+    usual = pick("p3", F.concat(F.lit("src/"), file), F.concat(word("p4"), F.lit("/"), file), F.concat(F.lit("deploy/config/"), file), file, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    trial = F.concat(pick("p5", "tests/", "src/tests/", "examples/", "spec/fixtures/", "docs/", "mocks/"), file)
+    path = F.when((kind >= 14) | (F.xxhash64("id", F.lit("p6")) % 5 == 0) & (row["label"] == 0), trial).otherwise(usual)
+    return spark.range(first, first + n, 1, 1).select(row.alias("r"), path.alias("path"), kind.alias("kind")).select("r.*", F.when(F.col("r.before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")).alias("after"), "path", "kind")
 
 
 def _tree(lines: list[str], f: Column) -> Column:
@@ -153,7 +161,7 @@ def _tree(lines: list[str], f: Column) -> Column:
 
 
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
-    """A function from a struct of features to the share of trees that vote for a secret. Null labels teach nothing.
+    """A function from a struct of features to the share of trees that vote for a secret, with the forest in .model. Null labels teach nothing.
 
     findings: before, candidate, after, path, label (0 or 1)."""
     rows = findings.filter(F.col("label").isNotNull() & (F.length("candidate") > 0)).select("label", features(F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("path")).alias("f"))
@@ -164,6 +172,7 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
     def votes(f: Column) -> Column:
         return sum((_tree([x for x in lines if x.strip()], f) for lines in printed), F.lit(0.0)) / len(printed)
 
+    votes.model = model
     return votes
 
 
@@ -195,7 +204,9 @@ def scanned(text: Column, votes, path: Column | None = None, candidate: str = CA
 
 
 def secrets(docs: DataFrame, votes, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(doc_id, start, length, secret, score): one row for each candidate that at least `least` of the trees take for a secret."""
+    """(doc_id, start, length, secret, score): one row for each candidate that at least `least` of the trees take for a secret.
+
+    Null and empty texts have none, repeated rows give repeated secrets, a null id stays null. path_col names the column with a document's file, if there is one."""
     found = docs.select(F.col(id_col).alias("doc_id"), scanned(F.col(text_col), votes, F.col(path_col) if path_col else None)["found"].alias("found"))
     found = found.select("doc_id", F.explode(F.filter("found", lambda x: x["score"] >= least)).alias("x"))
     return found.select("doc_id", "x.start", F.length("x.secret").cast("long").alias("length"), "x.secret", "x.score")
