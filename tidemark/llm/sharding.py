@@ -1,8 +1,11 @@
 """Size-tiered compaction of an append-only table with a versioned manifest.
 
-Arrivals are appended as small immutable Parquet shards. Shards of one size tier are merged, whole shards at a time and
-without a shuffle, into files of the target size. A version of the table is a manifest file that lists its shards; it
-appears by one rename that fails if the version exists, so readers see whole versions and two writers can't both win.
+Arrivals are appended as runs: folders of small immutable Parquet shards, one for each write. Runs whose shards are of one
+size tier are merged, without a shuffle, into one run of files of the target size. A version of the table is a manifest
+file that lists its runs (folder, number of files, bytes), not their files; there are some thousands of runs for
+thousands of appends, however large. A version appears by one rename that fails if it exists, so readers see whole
+versions and two writers can't both win: HDFS does that in one step, a local file system checks first and then renames, and
+an object store needs a committer of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 TARGET_BYTES = 64 << 20
-#: Shards of one tier differ in size by less than this factor, and so many of them make a merge.
+#: Runs of one tier differ in the mean size of their shards by less than this factor, and so many shards make a merge.
 FANOUT = 4
 SMALLEST = 64 << 10
 
@@ -25,7 +28,7 @@ class Conflict(Exception):
 
 
 class ShardedTable:
-    """A table below `path`: data/ holds the shards, manifest/ a file for each version. Version 0 is empty."""
+    """A table below `path`: data/ holds a folder for each run, manifest/ a file for each version. Version 0 is empty."""
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
         self.spark, self.path, self.target, self.fanout = spark, path.rstrip("/"), target_bytes, fanout
@@ -44,17 +47,17 @@ class ShardedTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def shards(self, version: int | None = None) -> list[dict]:
-        """{path, bytes} of a version's shards."""
+    def runs(self, version: int | None = None) -> list[dict]:
+        """{path, files, bytes} of a version's runs."""
         version = self.version() if version is None else version
         if not version:
             return []
         rows = self.spark.read.schema("line string").text(f"{self.path}/manifest/v{version:010d}.json").toLocalIterator()
         return [json.loads(r[0]) for r in rows if r[0]]
 
-    def commit(self, shards: list[dict], version: int) -> int:
-        """Makes `version` of the shards; raises Conflict if it exists already."""
-        text = "".join(json.dumps(s, sort_keys=True) + "\n" for s in sorted(shards, key=lambda s: s["path"]))
+    def commit(self, runs: list[dict], version: int) -> int:
+        """Makes `version` of the runs; raises Conflict if it exists already."""
+        text = "".join(json.dumps(s, sort_keys=True) + "\n" for s in sorted(runs, key=lambda s: s["path"]))
         own, final = self._path(f"{self.path}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.path}/manifest/v{version:010d}.json")
         out = self._fs.create(own, False)
         out.write(bytearray(text.encode()))
@@ -71,51 +74,51 @@ class ShardedTable:
         return version
 
     # --- data ---
-    def _written(self, folder: str) -> list[dict]:
-        """The shards that a finished write left below a folder."""
-        found, walk = [], self._fs.listFiles(self._path(folder), True)
-        while walk.hasNext():
-            status = walk.next()
-            if status.getPath().getName().startswith("part-"):
-                found.append({"path": status.getPath().toString(), "bytes": status.getLen()})
-        return found
+    def _files(self, folder: str) -> tuple[int, int]:
+        """Number and bytes of the shards in a folder."""
+        sizes = [f.getLen() for f in self._fs.listStatus(self._path(folder)) if f.getPath().getName().startswith("part-")]
+        return len(sizes), sum(sizes)
+
+    def _run(self, folder: str) -> list[dict]:
+        """The run that a finished write left in a folder; none if it has no file."""
+        files, size = self._files(folder)
+        return [{"path": folder, "files": files, "bytes": size}] if files else []
 
     def append(self, arrivals: DataFrame) -> int:
-        """One more version, with the arrivals as shards of their own: a file for each of their partitions. No rows, no shards."""
+        """One more version, with the arrivals as a run of its own: a shard for each of their partitions. Without rows the run is empty."""
         folder, base = f"{self.path}/data/{uuid.uuid4().hex}", self.version()
         arrivals.write.option("compression", "zstd").parquet(folder)
-        return self.commit(self.shards(base) + self._written(folder), base + 1)
+        return self.commit(self.runs(base) + self._run(folder), base + 1)
 
     def append_by(self, arrivals: DataFrame, batch_col: str) -> int:
-        """Appends each batch as a version of its own, all written by one job. batch_col isn't kept."""
-        folder, version = f"{self.path}/data/{uuid.uuid4().hex}", self.version()
+        """Appends each batch as a run of its own, all written by one job and committed as one version, or not at all. batch_col isn't kept."""
+        folder, base = f"{self.path}/data/{uuid.uuid4().hex}", self.version()
         arrivals.write.partitionBy(batch_col).option("compression", "zstd").parquet(folder)
-        batches: dict[str, list[dict]] = {}
-        for shard in self._written(folder):
-            batches.setdefault(shard["path"].rsplit("/", 2)[1], []).append(shard)
-        shards = self.shards(version)
-        for _, more in sorted(batches.items()):
-            shards, version = shards + more, version + 1
-            self.commit(shards, version)
-        return version
+        batches = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory() and "=" in s.getPath().getName())
+        return self.commit(self.runs(base) + [r for b in batches for r in self._run(f"{folder}/{b}")], base + 1)
 
-    def tier(self, size: int) -> int:
+    def tier(self, size: float) -> int:
         return max(0, math.floor(math.log(max(size, 1) / SMALLEST, self.fanout)) + 1)
 
-    def due(self, shards: list[dict]) -> list[dict]:
-        """Shards to merge next: the lowest tier that has `fanout` of them below half the target size."""
+    def due(self, runs: list[dict]) -> list[dict]:
+        """Runs to merge next: the lowest tier in which those with shards below half the target size have `fanout` shards together."""
         tiers: dict[int, list[dict]] = {}
-        for s in shards:
-            if 2 * s["bytes"] <= self.target:
-                tiers.setdefault(self.tier(s["bytes"]), []).append(s)
-        return next((t for _, t in sorted(tiers.items()) if len(t) >= self.fanout), [])
+        for r in runs:
+            if 2 * r["bytes"] <= self.target * r["files"]:
+                tiers.setdefault(self.tier(r["bytes"] / r["files"]), []).append(r)
+        return next((t for _, t in sorted(tiers.items()) if sum(r["files"] for r in t) >= self.fanout), [])
+
+    def _read(self, session: SparkSession, runs: list[dict]) -> DataFrame:
+        # all runs have the columns of the first; folders around a run aren't columns
+        schema = session.read.option("recursiveFileLookup", "true").parquet(runs[0]["path"]).schema
+        return session.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(r["path"] for r in runs))
 
     def compact(self) -> int:
-        """Merges tier after tier until none is due; each merge is a version. Old shards stay for readers of old versions."""
+        """Merges tier after tier until none is due; each merge is a version. Old runs stay for readers of old versions."""
         while True:
             base = self.version()
-            shards = self.shards(base)
-            merge = self.due(shards)
+            runs = self.runs(base)
+            merge = self.due(runs)
             if not merge:
                 return base
             # a task reads whole shards up to the target size and writes one file
@@ -123,26 +126,30 @@ class ShardedTable:
             for key, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 1), ("minPartitionNum", 1)):
                 session.conf.set(f"spark.sql.files.{key}", str(value))
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            schema = self.spark.read.parquet(merge[0]["path"]).schema
-            session.read.schema(schema).parquet(*(s["path"] for s in merge)).write.option("compression", "zstd").parquet(folder)
-            merged = self._written(folder)
-            gone = {s["path"] for s in merge}
-            self.commit([s for s in shards if s["path"] not in gone] + merged, base + 1)
-            if len(merged) >= len(merge):  # nothing was won; don't try again
+            self._read(session, merge).write.option("compression", "zstd").parquet(folder)
+            merged = self._run(folder)
+            gone = {r["path"] for r in merge}
+            self.commit([r for r in runs if r["path"] not in gone] + merged, base + 1)
+            if sum(r["files"] for r in merged) >= sum(r["files"] for r in merge):  # nothing was won; don't try again
                 return base + 1
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version. An empty version has no schema and raises ValueError."""
-        paths = [s["path"] for s in self.shards(version)]
-        if not paths:
+        runs = self.runs(version)
+        if not runs:
             raise ValueError("the table is empty")
-        return self.spark.read.parquet(*paths)
+        return self._read(self.spark, runs)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards that none of the newest `keep` versions lists, and returns how many. Don't run it beside a writer."""
+        """Deletes runs that none of the newest `keep` versions lists, and returns how many. Don't run it beside a writer."""
         newest = self.version()
-        used = {s["path"] for v in range(max(1, newest - keep + 1), newest + 1) for s in self.shards(v)}
-        old = [s["path"] for s in self._written(f"{self.path}/data") if s["path"] not in used]
-        for p in old:
-            self._fs.delete(self._path(p), False)
+        used = {r["path"] for v in range(max(1, newest - keep + 1), newest + 1) for r in self.runs(v)}
+        found = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.path}/data"))]
+        old = []
+        for p in found:
+            name = f"{self.path}/data/{p.getName()}"
+            inner = [f"{name}/{s.getPath().getName()}" for s in self._fs.listStatus(p) if s.isDirectory()]
+            old += [r for r in inner or [name] if r not in used]
+        for r in old:
+            self._fs.delete(self._path(r), True)
         return len(old)
