@@ -1,7 +1,8 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Benchmark items become a table of hashed 13-word windows. Documents are scanned once: each row turns into an array of
-(position, hashes) of its windows, which is exploded and probes the windows' table; a second hash verifies every hit.
+(position, hashes) of its windows, which is exploded and probes the windows' table by a 64-bit hash; a second hash of 32
+bits and the window's length verify every hit.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: Benchmark windows that are sent to every executor; above that the join shuffles.
-BROADCAST_WINDOWS = 2_000_000
+#: Bytes of benchmark windows, with the items that have them, that are sent to every executor; above that the join shuffles,
+#: and rows of one window are dealt to SALTS tasks.
+BROADCAST_BYTES, SALTS = 128 << 20, 16
 #: A document is contaminated when a hit word comes at least once in so many words.
 ONE_IN = 20
 
@@ -54,14 +56,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Null text has no words; repeated rows give repeated rows; null ids are kept. An empty benchmark hits nothing."""
     table = benchmark_windows(benchmark, n=n).withColumnRenamed("n", "size")
-    sizes = sorted(r["size"] for r in table.select("size").distinct().collect())  # n of them at most
-    few = table.count() <= BROADCAST_WINDOWS
-    marked = table.unionByName(docs.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("h"), F.lit(0).alias("check"), F.lit(0).alias("size"), F.lit(None).cast(table.schema["items"].dataType).alias("items")))
+    bytes_ = F.sum(F.lit(64) + F.length(F.array_join(F.col("items").cast("array<string>"), ",")))
+    told = table.agg(F.collect_set("size").alias("sizes"), F.coalesce(bytes_, F.lit(0)).alias("bytes")).first()  # n sizes at most
+    sizes, few = sorted(told["sizes"]), told["bytes"] <= BROADCAST_BYTES
     kind = "array<struct<pos:int,n:int,h:bigint,check:int>>"
-    cells = lambda w: F.concat(F.array(F.struct(F.size(w).alias("pos"), F.lit(0).alias("n"), F.lit(MARK).cast("long").alias("h"), F.lit(0).alias("check"))).cast(kind), *(windows(w, k).cast(kind) for k in sizes))
+    marker = lambda w: F.array(F.struct(F.size(w).alias("pos"), F.lit(0).alias("n"), F.lit(MARK).cast("long").alias("h"), F.lit(0).alias("check"))).cast(kind)
+    cells = lambda w: F.concat(*([marker(w)] if few else [F.array().cast(kind)]), *(windows(w, k).cast(kind) for k in sizes))
     cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.explode(let(words(F.col(text_col)), cells)).alias("x"))
     cut = cut.select("doc_id", "text_hash", "x.pos", "x.n", "x.h", F.col("x.check").alias("own"))
-    found = cut.join(F.broadcast(marked) if few else marked, "h").filter((F.col("own").bitwiseXOR(F.col("check")) == 0) & (F.col("n").bitwiseXOR(F.col("size")) == 0))
+    none = F.lit(None).cast(table.schema["items"].dataType)
+    if few:  # the row that every document has in any case meets a row of its own
+        marked = table.unionByName(docs.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("h"), F.lit(0).alias("check"), F.lit(0).alias("size"), none.alias("items")))
+        met = cut.join(F.broadcast(marked), "h")
+    else:
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos", "text_hash"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
+    found = met.filter((F.col("own").bitwiseXOR(F.col("check")) == 0) & (F.col("n").bitwiseXOR(F.col("size")) == 0)).select("doc_id", "text_hash", "pos", "n", "items")
+    if not few:
+        found = found.unionByName(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.size(words(F.col(text_col))).alias("pos"), F.lit(0).alias("n"), none.alias("items")))
     mark = F.col("n") == 0
     gathered = found.groupBy("doc_id", "text_hash").agg(
         F.count(F.when(mark, 1)).alias("copies"),
