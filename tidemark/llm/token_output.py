@@ -1,8 +1,13 @@
 """Training-order materialisation: fixed-stride token shards in an order given by a keyed permutation.
 
 Every sequence gets a dense index, and a Feistel network over the next power of four, walked until it lands below the
-number of sequences, gives its global slot. Slots are range partitioned: shard k holds slots k * rows to (k + 1) * rows,
-sorted, each with the same number of bytes, so that reading from any slot on needs only that slot's shard and place.
+number of sequences, gives its global slot. Slots are range partitioned: part k holds slots k * rows to (k + 1) * rows in
+order, a file of its own whose records all have the same number of decoded bytes, so that reading from any slot on opens
+only that slot's part and those after it.
+
+Parts are Parquet files rather than flat bytes: record r of part k is its row r, slot k * rows + r, and readers skip row
+groups by the statistics of their slots. The dense index of a sequence is its place in the input as Spark splits it, so the
+same documents in other files get other slots.
 """
 
 from __future__ import annotations
@@ -17,16 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_dir, written
+from tidemark.llm.common import discard, new_dir, written
 from tidemark.llm.tokens import VOCABULARY, encoder
 
 STRIDE = 1024
-SHARD_ROWS = 8192
+#: Sequences in a part, and parts in a folder.
+SHARD_ROWS, FOLDER = 8192, 1000
 PAD_ID = 0
 ROUNDS = 6
 
 SEQUENCES = "part int, own long, doc_id long, seq_no int, n_tokens int, packed binary"
-ROWS = "slot long, shard long, doc_id long, seq_no int, n_tokens int, packed binary"
+ROWS = "slot long, shard long, doc_id long, seq_no int, n_tokens int, ids binary"
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -73,7 +79,7 @@ def token_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def write_training_order(docs: DataFrame, path: str, key: int = 1, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, shard_rows: int = SHARD_ROWS, vocabulary: str = VOCABULARY) -> int:
-    """Writes the shards to path, a folder shard=k for each, and returns the number of sequences.
+    """Writes the parts to path, FOLDER of them in each folder, and returns the number of sequences; an empty table has none.
 
     The sequences are written once before they are numbered, so a task that runs again can't change a number. Only the
     counts of the tasks reach the driver. The order depends on the key and on how the input is split."""
@@ -98,19 +104,23 @@ def write_training_order(docs: DataFrame, path: str, key: int = 1, id_col: str =
             yield pdf
 
     shards = max(1, -(-n // shard_rows))
-    rows = sequences.mapInPandas(number, ROWS).repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    rows.mapInPandas(unpack, ROWS.replace("packed", "ids")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    rows = sequences.mapInPandas(number, ROWS.replace("ids", "packed"))
+    # part k is exactly the slots of shard k: each id has a task of its own
+    rows = rows.repartitionById(shards, F.col("shard").cast("int")).mapInPandas(unpack, ROWS).withColumn("folder", F.floor(F.col("shard") / FOLDER).cast("int"))
+    rows.sortWithinPartitions("folder", "slot").write.partitionBy("folder").option("compression", "zstd").parquet(path)
+    discard(sequences)
     return n
 
 
 def read_from(spark: SparkSession, path: str, slot: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The sequences from a slot on, for resuming: earlier shards aren't opened, and order is (shard, slot)."""
-    table = spark.read.schema(ROWS.replace("packed", "ids")).parquet(path)
-    return table.filter((F.col("shard") >= slot // shard_rows) & (F.col("slot") >= slot))
+    """The sequences from a slot on, in the order of slots, for resuming: folders before it aren't listed, and files before it are skipped by their statistics."""
+    table = spark.read.schema(ROWS + ", folder int").parquet(path)
+    rows = table.filter((F.col("folder") >= slot // shard_rows // FOLDER) & (F.col("slot") >= slot)).drop("folder")
+    return rows.orderBy("slot")
 
 
 def training_order(docs: DataFrame, key: int = 1, **options) -> DataFrame:
     """write_training_order() to a new folder in the shared one, and the table it holds."""
     path = new_dir(docs.sparkSession, "training-order")
     write_training_order(docs, path, key, **options)
-    return read_from(docs.sparkSession, path, shard_rows=options.get("shard_rows", SHARD_ROWS))
+    return docs.sparkSession.read.schema(ROWS).parquet(path)
