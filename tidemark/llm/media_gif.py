@@ -22,7 +22,9 @@ FRAME_ROWS = 256
 DELAY_CS = 10
 
 GIF_SCHEMA = "doc_id long, n_bytes long, gif binary"
-FRAME_SCHEMA = "doc_id long, frame int, start_ms long, delay_ms long, x int, y int, width int, height int, indices binary, histogram array<long>"
+FRAME_SCHEMA = "doc_id long, frame int, start_ms long, delay_ms long, x int, y int, width int, height int, indices binary, histogram array<long>, status string"
+#: Pixels of a canvas or a frame that the decoder accepts; a header may ask for four thousand million.
+MOST_PIXELS = 1 << 25
 
 
 # --- LZW ---------------------------------------------------------------------------------------------------------
@@ -164,6 +166,8 @@ class Frame:
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     parts = []
     while size := data[at]:
+        if at + 1 + size > len(data):
+            raise IndexError("a block is cut")
         parts.append(data[at + 1 : at + 1 + size])
         at += 1 + size
     return b"".join(parts), at + 1
@@ -176,12 +180,21 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """Frames in order, one at a time. Raises ValueError on anything that isn't a GIF."""
+def decode_gif(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Frames in order, one at a time. Raises ValueError on anything that isn't a whole GIF, after the frames before, and on more pixels than most_pixels."""
+    try:
+        yield from _frames(data, most_pixels)
+    except (IndexError, struct.error) as e:
+        raise ValueError("the GIF is cut short") from e
+
+
+def _frames(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
     shared, at = _palette(data, 13, flags)
+    if wide * high > most_pixels:
+        raise ValueError(f"a canvas of {wide} x {high}")
     canvas = np.zeros((high, wide, 4), np.uint8)
     control, clock = (0, 0, None), 0
     while data[at] != 0x3B:
@@ -195,6 +208,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         if data[at] != 0x2C:
             raise ValueError(f"unknown block {data[at]:#x}")
         x, y, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > most_pixels:
+            raise ValueError(f"a frame of {w} x {h}")
         own, at = _palette(data, at + 10, flags)
         code, after = _blocks(data, at + 1)
         flat = lzw_decode(code, data[at])[: w * h]
@@ -250,14 +265,25 @@ def texts_to_gif(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def gif_frames(gifs: DataFrame, gif_col: str = "gif", id_col: str = "doc_id") -> DataFrame:
     """One row for each frame: its time span, rectangle, palette indices and the colour histogram of the canvas it shows.
 
-    A null GIF gives no frame; bytes that aren't a GIF raise ValueError."""
+    status is "ok". A null GIF gives one row without a frame and the status "null", and one that isn't whole, or too large, a
+    row with what is wrong after the frames before it."""
+    names = [c.split()[0] for c in FRAME_SCHEMA.split(", ")]
+
+    def rows_of(doc, data: bytes | None):
+        if data is None:
+            yield (doc, *[None] * (len(names) - 2), "null")
+            return
+        try:
+            for i, f in enumerate(decode_gif(data)):
+                yield doc, i, f.start_ms, f.delay_ms, *f.box, f.indices, histogram(f.canvas).tolist(), "ok"
+        except ValueError as e:
+            yield (doc, *[None] * (len(names) - 2), str(e))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, data in zip(pdf["doc_id"].astype("Int64"), pdf["gif"], strict=True):
-                if data is not None:
-                    rows = [(doc, i, f.start_ms, f.delay_ms, *f.box, f.indices, histogram(f.canvas).tolist()) for i, f in enumerate(decode_gif(bytes(data)))]
-                    yield pd.DataFrame(rows, columns=["doc_id", "frame", "start_ms", "delay_ms", "x", "y", "width", "height", "indices", "histogram"]).astype({"doc_id": "Int64"})
+                rows = list(rows_of(doc, None if data is None else bytes(data)))
+                yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("doc_id", "frame", "start_ms", "delay_ms", "x", "y", "width", "height")})
 
     return gifs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(gif_col).alias("gif")).mapInPandas(run, FRAME_SCHEMA)
 
@@ -268,9 +294,16 @@ DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 s
 def gif_digest(gifs: DataFrame) -> DataFrame:
     """Digests of what texts_to_gif stored, from the bytes that decoding its frames gives back.
 
-    feature: mean grey level, then the share of each of the four grey bins in thousandths, over all frames."""
+    feature: mean grey level, then the share of each of the four grey bins in thousandths, over all frames. A GIF that is
+    null or isn't whole has null digests."""
+
+    def one(data: bytes | None) -> tuple:
+        try:
+            return (None,) * 8 if data is None else told(bytes(data))
+        except ValueError:
+            return (None,) * 8
 
-    def one(data: bytes) -> tuple:
+    def told(data: bytes) -> tuple:
         frames, counts, took, level = [], np.zeros(64, np.int64), 0, 0
         for f in decode_gif(data):
             frames.append(f.indices)
@@ -283,7 +316,8 @@ def gif_digest(gifs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = pd.DataFrame([one(bytes(x)) for x in pdf["gif"]], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_ms", "feature"])
+            made = pd.DataFrame([one(x) for x in pdf["gif"]], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_ms", "feature"])
+            made = made.astype({c: "Int64" for c in ("payload_bytes", "tail_crc32", "media_bytes", "n_frames", "duration_ms")})
             yield pd.concat([pdf[["doc_id", "n_bytes"]].astype("Int64").reset_index(drop=True), made], axis=1)
 
     return gifs.mapInPandas(run, DIGEST_SCHEMA)
