@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from tidemark.llm import queries
+from tidemark.llm import media_gif, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -62,7 +62,15 @@ def test_packing(spark, sf, texts):
 def test_training_order(spark, sf, texts):
     rows = queries.op7_training_order(spark, sf).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    assert {r["doc_id"] for r in rows} == set(texts) and {r["n_bytes"] for r in rows} == {2048}
+    assert {r["n_bytes"] for r in rows} == {2048} and all(r["row_in_shard"] == r["slot"] % 8192 for r in rows)
+    exact, found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {(r["doc_id"], r["seq_no"]): (r["n_tokens"], r["ids_crc32"]) for r in rows}
+    want = {}
+    for doc, text in texts.items():
+        ids = [*exact.encode(text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 1024):
+            piece = np.array((ids[k : k + 1024] + [0] * 1024)[:1024], "<u2")
+            want[doc, k // 1024] = (min(1024, len(ids) - k), zlib.crc32(piece.tobytes()))
+    assert found == want and len(rows) == len(want)
 
 
 def test_media(spark, sf, texts):
@@ -72,6 +80,10 @@ def test_media(spark, sf, texts):
         raw = (texts[r["doc_id"]] or "").encode()
         payload = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        stored = media_gif.encode_gif(payload)
+        grey = np.bincount(np.frombuffer(payload, np.uint8) >> 6, minlength=4) * 1000 // len(payload)
+        assert (r["media_bytes"], r["media_sha256"], r["n_frames"], r["duration_ms"]) == (len(stored), hashlib.sha256(stored).hexdigest(), -(-len(payload) // (192 * 256)), -(-len(payload) // (192 * 256)) * 100)
+        assert r["feature"] == f"{np.frombuffer(payload, np.uint8).mean():.3f}:" + ",".join(map(str, grey))
 
 
 @pytest.fixture(scope="module")
@@ -108,13 +120,40 @@ def test_secrets_are_those_of_a_plain_pattern(spark, sf, duck):
     assert sorted((r["doc_id"], r["secret_sha256"]) for r in got) == sorted(want)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_stage_by_stage_like_brute_force(spark, sf, duck):
+    import re
+
+    from test_llm_operators import brute_components, brute_hits
+
+    from tidemark.llm import quality
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = [docs]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in corpus_pipeline.STAGES:
         kept.append(stage(spark, kept[-1], sf))
-        assert kept[-1].columns == docs.columns
-    ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
-    assert ids[1] < ids[0] and ids[2] < ids[1] and ids[3] <= ids[2] and ids[4] == ids[3]
-    packed = corpus_pipeline.run(spark, sf)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids[4]
+    assert all(k.columns == docs.columns for k in kept[:-1])
+    rows = [sorted((r["doc_id"], r["text"]) for r in k.select("doc_id", "text").collect()) for k in kept[:-1]]
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    good = [(d, t) for d, t in rows[0] if model.tails_of(np.array([model.sum_of(t)]))[0, 0] >= 0.5]
+    assert rows[1] == good and len(good) < len(rows[0])
+    root = brute_components(good, 5, 80)
+    single = [(d, t) for d, t in good if root[d][1] == d]
+    assert rows[2] == single and len(single) < len(good)
+    items = duck.sql("SELECT item_id, text FROM benchmark").fetchall()
+    clean = [(d, t) for (d, t), (_, n, hits, _) in zip(single, brute_hits(single, items), strict=True) if not (hits and 20 * len(hits) >= n)]
+    assert rows[3] == clean and len(clean) < len(single)
+    masked = [(d, t and re.sub(r'(?<=token = ")[0-9a-f]{40}(?=")', "[secret]", t)) for d, t in clean]
+    assert rows[4] == masked
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    packed = kept[-1].collect()
+    for r in sorted(packed, key=lambda r: (r["doc_id"], r["start"])):
+        pieces.setdefault(r["doc_id"], []).extend(np.frombuffer(bytes(r["ids"]), "<u4").tolist())
+    assert pieces == {d: [*exact.encode(t or "", add_special_tokens=False).ids, 1] for d, t in masked}
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in packed)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:], strict=False)) and all(o + n <= 2048 for _, o, n in places)
+
+
+def test_pipeline_runs_its_stages(spark, sf, duck):
+    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
+    assert ids and ids < {d for d, in duck.sql("SELECT doc_id FROM documents").fetchall()}
