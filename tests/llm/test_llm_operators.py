@@ -308,7 +308,8 @@ def test_join_of_odd_rows(spark, odd):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[5] == (1, 5) and got[None][1] is None and got[7] == (2, 7)
     assert ngram_join.similar_documents(empty(odd)).count() == 0
-    assert ngram_join.keep_one(odd).columns == odd.columns and ngram_join.keep_one(odd).count() == len(ODD)
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ODD) - 1  # a row that is repeated stays once
 
 
 def test_rows_that_share_an_id_are_one_document(spark):
