@@ -2,13 +2,14 @@
 
 Each text is split at its candidates; every candidate gets features of its length, character transitions, dictionary
 coverage, path and neighbouring words, and the forest's trees, fitted on labelled findings, vote on it. The fitted
-trees are turned into a column expression, so that scanning and redacting are one pass over the rows without a shuffle.
+trees are arrays that a column expression walks through, so that scanning and redacting are one pass over the rows without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,19 +146,31 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) ->
     file = F.concat(word("p1"), pick("p2", ".py", ".yaml", ".env", ".js", ".json", ".txt"))
     usual = pick("p3", F.concat(F.lit("src/"), file), F.concat(word("p4"), F.lit("/"), file), F.concat(F.lit("deploy/config/"), file), file, F.lit(None).cast("string"), F.lit(None).cast("string"))
     trial = F.concat(pick("p5", "tests/", "src/tests/", "examples/", "spec/fixtures/", "docs/", "mocks/"), file)
-    path = F.when((kind >= 14) | (F.xxhash64("id", F.lit("p6")) % 5 == 0) & (row["label"] == 0), trial).otherwise(usual)
-    return spark.range(first, first + n, 1, 1).select(row.alias("r"), path.alias("path"), kind.alias("kind")).select("r.*", F.when(F.col("r.before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")).alias("after"), "path", "kind")
+    path = F.when((kind >= 14) | (F.xxhash64("id", F.lit("p6")) % 5 == 0) & (F.col("r.label") == 0), trial).otherwise(usual)
+    return spark.range(first, first + n, 1, 1).select("id", row.alias("r")).select("r", path.alias("path"), kind.alias("kind")).select("r.*", F.when(F.col("r.before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")).alias("after"), "path", "kind")
 
 
-def _tree(lines: list[str], f: Column) -> Column:
-    """The column of one tree in the form that the library prints."""
-    line = lines.pop(0).strip()
-    if m := re.match(r"Predict: (\S+)", line):
-        return F.lit(float(m[1]))
-    m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
-    left = _tree(lines, f)
-    lines.pop(0)
-    return F.when(f[FEATURES[int(m[1])]] <= float(m[2]), left).otherwise(_tree(lines, f))
+def _flat(lines: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, threshold, vote) of one tree in the form that the library prints, as a full tree: node i has the children 2 i + 1 and 2 i + 2.
+
+    A leaf above the last level is a node that sends everything to the left."""
+    feature, threshold, vote = np.zeros(2**depth - 1, np.int32), np.full(2**depth - 1, np.inf), np.zeros(2**depth)
+
+    def put(i: int) -> None:
+        line = lines.pop(0).strip()
+        if m := re.match(r"Predict: (\S+)", line):
+            while i < len(feature):
+                i = 2 * i + 1
+            vote[i - len(feature)] = float(m[1])
+            return
+        m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
+        feature[i], threshold[i] = int(m[1]), float(m[2])
+        put(2 * i + 1)
+        lines.pop(0)
+        put(2 * i + 2)
+
+    put(0)
+    return feature, threshold, vote
 
 
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
@@ -168,9 +181,17 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.select("label", "f.*").coalesce(1))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
     printed = [x.splitlines()[1:] for x in re.split(r"\n\s+Tree \d+", model.toDebugString)[1:]]
+    flat = [_flat([x for x in lines if x.strip()], depth) for lines in printed]
+    nodes, leaves = 2**depth - 1, 2**depth
+    feature, threshold, vote = (F.lit(np.concatenate([t[i] for t in flat])) for i in range(3))
 
     def votes(f: Column) -> Column:
-        return sum((_tree([x for x in lines if x.strip()], f) for lines in printed), F.lit(0.0)) / len(printed)
+        def walk(x: Column) -> Column:
+            step = lambda k: lambda n, _: 2 * n + F.when(F.get(x, F.get(feature, k * nodes + n)) <= F.get(threshold, k * nodes + n), 1).otherwise(2)
+            leaf = lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step(k)) - nodes
+            return F.aggregate(F.sequence(F.lit(0), F.lit(len(flat) - 1)), F.lit(0.0), lambda s, k: s + F.get(vote, k * leaves + leaf(k))) / len(flat)
+
+        return let(F.array(*(f[name] for name in FEATURES)), walk)
 
     votes.model = model
     return votes
