@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, language_id, media_gif, ngram_join, packing, quality, secret_scan, sharding, token_output, toxicity
+from tidemark.llm import decontam, divergence, language_id, media_gif, ngram_join, packing, periodic_runs, quality, secret_scan, sharding, token_output, toxicity
 from tidemark.llm.common import new_dir, written
 
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -637,3 +637,129 @@ def test_manifest_is_plain_json(spark):
     store.append(spark.range(3))
     line = spark.read.text(f"{store.path}/manifest/v0000000001.json").first()[0]
     assert set(json.loads(line)) == {"path", "files", "bytes"}
+
+
+# --- 12 ---
+def plain_audit(rows, least, top):
+    """The audit by its definition, over (lang, source, text) rows."""
+    tokens = [(l or "", s or "", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c if "a" <= c <= "z" or c > "\x7f" else " " for c in t or "").split(" ")) for l, s, t in rows]
+    out = set()
+    for lang in {l for l, _, _ in tokens}:
+        mine = [(s, [w for w in ws if w]) for l, s, ws in tokens if l == lang]
+        vocabulary = {w for _, ws in mine for w in ws}
+        kept = sorted(w for w in vocabulary if sum(w in ws for _, ws in mine) >= least)
+        count = lambda sources, w: sum(ws.count(w) for s, ws in mine if s in sources)
+        v, sources = len(kept), sorted({s for s, _ in mine})
+
+        def rate(group):
+            n = {w: count(group, w) for w in kept}
+            return n, {w: 1 + 10**9 * (n[w] + 5) // (sum(n.values()) + 5 * v) for w in kept}
+
+        rates = {s: rate({s}) for s in sources}
+        whole = rate(set(sources))[1]
+        for s in sources:
+            n, p = rates[s]
+            pairs = [(-sum(abs(p[w] - rates[o][1][w]) for w in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(whole[w] - p[w], w.encode(), w) for w in kept if n[w] and p[w] > whole[w]]
+            for part, found in (("pair", pairs), ("term", sorted(terms)[:top])):
+                out |= {(lang, s, part, item, -value, i + 1) for i, (value, _, item) in enumerate(sorted(found))}
+    return out
+
+
+@pytest.mark.parametrize(("least", "top", "seed"), [(1, 50, 0), (2, 2, 1), (3, 1, 2)])
+def test_divergence_like_brute_force(spark, monkeypatch, least, top, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(divergence, "TERMS", 3)
+    words = ["The", "the", "über", "Ünd", "a", "b9c", "漢字", "x-y", "\u0000z", ""]
+    rows = [(rng.choice(["en", "de", None, ""]), rng.choice(["hot", "hot", "hot", "s1", "s2", None]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(0, 9)))])) for _ in range(120)]
+    rows += rows[:5] + [("alone", "one", "only source"), ("empty", "e1", None), ("empty", "e2", "12")]
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    for name in ("n", "term", "document", "part", "item", "value", "rank", "block", "total", "v", "df"):
+        df = df.withColumn(name, F.lit("x"))
+    got = [tuple(r) for r in divergence.audit(df.repartition(5), least, top).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_audit(rows, least, top)
+    assert divergence.audit(empty(df), least).collect() == []
+
+
+def test_runs_of_terms_go_on_over_batches_and_partitions(spark):
+    rows = [("en", "s", "same same word")] * 300 + [("en", "t", "same")] * 7
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = {tuple(r) for r in divergence.cells(df, 9).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {("en", "same", "s", 300, 600), ("en", "word", "s", 300, 300), ("en", "same", "t", 7, 7)}
+
+
+def test_rates_beyond_64_bits_are_exact():
+    counts, totals = np.array([[10**15, 0], [7, 3]]), np.array([10**15 + 7, 3])
+    assert divergence.rates(counts, totals, 2).tolist() == [[1 + 10**9 * (c + 5) // (n + 10) for c, n in zip(row, totals.tolist(), strict=True)] for row in counts.tolist()]
+
+
+# --- 13 ---
+def plain_runs(words):
+    found = []
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i < len(words) - q:
+            start = i
+            while i < len(words) - q and words[i] == words[i + q]:
+                i += 1
+            size = i - start + q
+            if i > start and size >= max(12, 2 * q) and not any(all(words[k] == words[k + d] for k in range(start, start + size - d)) for d in range(1, q)):
+                found.append((start, size, q))
+            i += i == start
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def plain_report(doc_id, text):
+    import hashlib
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = plain_runs(words)
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    kept = [w for i, w in enumerate(words) if not any(s + q <= i < s + size for s, size, q in runs)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return (doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None, sha("".join(f"{s},{z},{q}\n" for s, z, q in runs)), sha(" ".join(kept)))
+
+
+@pytest.mark.parametrize(("long", "lags"), [(periodic_runs.LONG, periodic_runs.LAGS), (3, 4), (0, 1)])
+def test_runs_like_brute_force(spark, monkeypatch, long, lags):
+    rng = random.Random(lags)
+    monkeypatch.setattr(periodic_runs, "TOGETHER", 100)
+    monkeypatch.setattr(periodic_runs, "SHORT", 3)
+    rows = [(1, None), (2, ""), (3, " \t\x0b"), (None, "a b " * 20), (None, None), (2**60 + 1, "x y z " * 9)]
+    for i in range(40):
+        words, n = "abcdefgh"[: rng.choice([1, 2, 3, 8])], rng.randint(0, 60)
+        made = rng.choices(words, k=n)
+        if rng.random() < 0.5 and n > 4:
+            a, p = rng.randrange(n), rng.randint(1, 12)
+            made = [w if k < a or a + (k - a) % p >= n else made[a + (k - a) % p] for k, w in enumerate(made)]
+        rows.append((10 + i, rng.choice(" \n ").join(made) if i % 5 else " ".join(made)))
+    rows += rows[6:12] + [(10, "another text of an id that is there")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("key", "runs", "low", "ids", "start", "length", "period", "n_runs"):
+        df = df.withColumn(name, F.lit("x"))
+    found = periodic_runs.report(df, periodic_runs.repeated, long=long, lags=lags)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(str(plain_report(*r)) for r in rows)
+    assert periodic_runs.report(empty(df), long=long, lags=lags).collect() == []
+
+
+def test_long_and_degenerate_texts_are_scanned_by_ranges():
+    rng = np.random.default_rng(3)
+    same, tiled = np.zeros(40_000, np.int32), np.tile(rng.integers(0, 50, 100).astype(np.int32), 300)
+    whole = lambda ids: periodic_runs.scan(ids, np.array([len(ids)]))
+    assert whole(same) == [(0, 40_000, 1)] and (0, 30_000, 100) in whole(tiled)
+    some = rng.zipf(1.2, 30_000).astype(np.int32)
+    some[5_000:25_000] = some[5_000 + np.arange(20_000) % 4_321]
+    parts = [r for low in range(1, 15_001, 1_000) for r in periodic_runs.scan(some, np.array([30_000]), low, low + 1_000, periodic_runs.scan(some, np.array([30_000]), 1, min(low, 32)))]
+    assert sorted(parts) == sorted(whole(some)) and any(p == 4_321 for _, _, p in parts)

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
+from test_llm_operators import plain_report
 from tidemark.llm import media_gif, queries
 
 
@@ -157,3 +158,10 @@ def test_pipeline_stage_by_stage_like_brute_force(spark, sf, duck):
 def test_pipeline_runs_its_stages(spark, sf, duck):
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
     assert ids and ids < {d for d, in duck.sql("SELECT doc_id FROM documents").fetchall()}
+
+
+def test_periodic_runs_like_brute_force(spark, sf, texts):
+    rows = [tuple(r) for r in queries.op13_periodic_runs(spark, sf).collect()]
+    short = {d: t for d, t in texts.items() if len(t or "") < 4_000}  # brute force is quadratic
+    assert len(rows) == len(texts) and any(r[1] for r in rows)
+    assert {r for r in rows if r[0] in short} == {plain_report(d, t) for d, t in short.items()}
