@@ -97,8 +97,10 @@ def scan(ids: np.ndarray, sizes: np.ndarray, low: int = 1, high: int | None = No
         half = least // 2  # a stretch of this size around x reaches half of it to one side
         left, right = np.maximum(x - half, 0), np.minimum(x + least - half - 1, n - q - 1)
         x = x[(ids[left] == ids[left + q]) | (ids[right] == ids[right + q])]
-        for s, size, p in often[q % often[:, 2] == 0] if len(often) else ():
-            x = x[(x < s) | (x >= s + size - q)]
+        if len(often) and len(within := often[(q % often[:, 2] == 0) & (often[:, 1] > q)]):
+            within = within[np.argsort(within[:, 0])]
+            furthest = np.append(np.maximum.accumulate(within[:, 0] + within[:, 1] - q), 0)  # of the runs that begin up to there
+            x = x[furthest[np.searchsorted(within[:, 0], x, "right") - 1] <= x]
         done, found = -1, []
         for at in x.tolist():
             if at < done:
