@@ -670,6 +670,8 @@ def plain_audit(rows, least, top):
 def test_divergence_like_brute_force(spark, monkeypatch, least, top, seed):
     rng = random.Random(seed)
     monkeypatch.setattr(divergence, "TERMS", 3)
+    monkeypatch.setattr(divergence, "BLOCK", 4)
+    monkeypatch.setattr(divergence, "TOGETHER", 40)
     words = ["The", "the", "über", "Ünd", "a", "b9c", "漢字", "x-y", "\u0000z", ""]
     rows = [(rng.choice(["en", "de", None, ""]), rng.choice(["hot", "hot", "hot", "s1", "s2", None]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(0, 9)))])) for _ in range(120)]
     rows += rows[:5] + [("alone", "one", "only source"), ("empty", "e1", None), ("empty", "e2", "12")]
@@ -687,7 +689,7 @@ def test_runs_of_terms_go_on_over_batches_and_partitions(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
     try:
-        got = {tuple(r) for r in divergence.cells(df, 9).collect()}
+        got = {tuple(r) for r in divergence.cells(df.repartition(9)).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {("en", "same", "s", 300, 600), ("en", "word", "s", 300, 300), ("en", "same", "t", 7, 7)}

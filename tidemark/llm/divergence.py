@@ -1,16 +1,16 @@
 """Audit of how sources of a language differ in their words, by a sort-based stream.
 
-Each document gives one row for each of its terms with the number of its occurrences. The rows are dealt out by ranges of
-(lang, term, source, document) and sorted so within each; a scan of run lengths gives every (lang, term, source) its
-document frequency and count. The document is the last part of the key, so ranges cut a frequent term's run wherever they
-must: no task gets a key, and the partial rows that a cut leaves are added. A second pass goes over the terms that are kept,
+Each task sorts the words of some documents by (lang, term, source, document) and emits the lengths of their runs: the run's
+first document, its number of documents and of occurrences. These partial runs are dealt out by (lang, term) and sorted by
+(lang, term, source, document); a second scan of run lengths, which streams, gives every (lang, term, source) its document
+frequency and count. However frequent a term is, it has one partial run for each block of documents, not a row for each. A second pass goes over the terms that are kept,
 a block of a language's terms with the axis of its sources, and adds up the differences of exact whole-number rates.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,83 +19,104 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import weighed, written
 
 #: A language keeps the terms of so many of its documents; a rate is 1 + floor(UNIT (count + ADD) / (N + ADD V)).
 LEAST_DOCS, ADD, UNIT = 30, 5, 10**9
 TOP = 50
-#: Terms whose rates are compared at once.
-TERMS = 2048
+#: Bytes of texts counted together before rows are dealt out.
+TOGETHER = 1 << 25
+#: Terms whose rates are compared at once, and about so many make a block of a language's terms.
+TERMS, BLOCK = 2048, 16_384
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What each byte of a text becomes: letters and all bytes above 7F are parts of terms, others part them.
 _BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
+KINDS = {"lang": pa.string(), "term": pa.string(), "source": pa.string(), "document": pa.int64(), "df": pa.int64(), "n": pa.int64()}
 CELL = "lang string, term string, source string, df long, n long"
+CELLS = pa.schema([(k, v) for k, v in KINDS.items() if k != "document"])
 PART = "lang string, source string, part string, item string, value string"
 
 
-def terms_of(text: bytes) -> dict[bytes, int]:
-    """Each term of a text, A to Z lower-cased, with its number of occurrences."""
-    return Counter(text.translate(_BYTES).split())
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["lang", "term", "source", "document", "n"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+def _spread(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
+    """Runs of (lang, term, source) within some documents at a time: the first document, distinct documents and occurrences."""
     for batch in batches:
-        lang, source, document, text = (batch.column(c) for c in ("lang", "source", "document", "text"))
-        terms, counts, sizes, first = [], [], [], 0
+        of, texts, first, size = _groups(batch), batch.column("text"), 0, 0
         for i in range(batch.num_rows):
-            found = terms_of(text[i].as_py())
-            terms += found
-            counts += found.values()
-            sizes.append(len(found))
-            if len(terms) > 1 << 18 or i == batch.num_rows - 1:
-                of = np.repeat(np.arange(first, i + 1), sizes)
-                columns = [lang.take(of), pa.array(terms, pa.binary()).cast(pa.string()), source.take(of), document.take(of), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], names)
-                terms, counts, sizes, first = [], [], [], i + 1
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal (lang, term, source) in sorted rows: distinct documents and the sum of n. A run goes on over batches."""
-    names, schema, held = ["lang", "term", "source"], pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("df", pa.int64()), ("n", pa.int64())]), None
+            size += len(texts[i].as_buffer())
+            if size >= together or i == batch.num_rows - 1:
+                yield _counted(batch, of, first, i + 1)
+                first, size = i + 1, 0
+
+
+def _groups(batch: pa.RecordBatch) -> np.ndarray:
+    """A number for each row's (lang, source)."""
+    lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
+    return np.asarray(lang.indices).astype(np.int64) * max(1, len(source.dictionary)) + np.asarray(source.indices)
+
+
+def _counted(batch: pa.RecordBatch, of: np.ndarray, low: int, high: int) -> pa.RecordBatch:
+    plain = pa.array([t.as_py().translate(_BYTES).strip() for t in batch.column("text").slice(low, high - low)], pa.large_binary()).cast(pa.large_string())
+    words = pc.ascii_split_whitespace(plain)
+    sizes, flat = np.diff(np.asarray(words.offsets)), words.flatten()
+    rows, coded = np.repeat(np.arange(low, high), sizes), flat.dictionary_encode()
+    term, real = np.asarray(coded.indices).astype(np.int64), np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False))
+    rows, key = rows[real], (of[rows] * max(1, len(coded.dictionary)) + term)[real]
+    order = np.argsort(key, kind="stable")
+    rows, key = rows[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    other = new.copy()
+    other[1:] |= rows[1:] != rows[:-1]
+    at = np.flatnonzero(new)
+    head, df, n = rows[at], np.add.reduceat(other.astype(np.int64), at) if len(at) else at, np.diff(np.append(at, len(key)))
+    text = coded.dictionary.take(term[real][order][at]).cast(pa.string())
+    columns = [batch.column("lang").take(head), text, batch.column("source").take(head), batch.column("document").take(head), pa.array(df, pa.int64()), pa.array(n, pa.int64())]
+    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, KINDS.values(), strict=True)], list(KINDS))
+
+
+def _cells(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Runs of equal (lang, term, source) in sorted rows, with the sums of df and n, and the first of each run of (lang, term)."""
+    rows = rows.combine_chunks()
+    differ = []
+    for c in ("lang", "term", "source"):
+        x = rows.column(c).chunk(0)
+        differ.append(np.append(True, np.asarray(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False), bool)))
+    term = differ[0] | differ[1]
+    at = np.flatnonzero(term | differ[2])
+    sums = [pa.array(np.add.reduceat(rows.column(c).to_numpy(), at)) for c in ("df", "n")]
+    return pa.table([*(rows.column(c).take(at) for c in ("lang", "term", "source")), *sums], schema=CELLS), np.flatnonzero(term[at])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The cells of each term in at least `least` documents. A run goes on over batches: the last term's cells wait for the next one."""
+    held = CELLS.empty_table()
     for batch in batches:
-        size = batch.num_rows
-        if not size:
-            continue
-        columns = [batch.column(c) for c in names]
-        document, n = np.asarray(batch.column("document")), np.asarray(batch.column("n"))
-        new = np.ones(size, bool)
-        new[1:] = np.logical_or.reduce([np.asarray(pc.not_equal(c.slice(1), c.slice(0, size - 1)).to_numpy(zero_copy_only=False)) for c in columns])
-        other = new.copy()
-        other[1:] |= document[1:] != document[:-1]
-        at = np.flatnonzero(new)
-        df, total = np.add.reduceat(other.astype(np.int64), at), np.add.reduceat(n, at)
-        keys = [c.take(at) for c in columns]
-        if held:
-            if held[0] == tuple(k[0].as_py() for k in keys):
-                df[0] += held[1] - (held[3] == document[0])
-                total[0] += held[2]
-            else:
-                yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.string()) for k in held[0]), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64())], schema=schema)
-        held = (tuple(k[-1].as_py() for k in keys), int(df[-1]), int(total[-1]), int(document[-1]))
-        yield pa.RecordBatch.from_arrays([*(k.slice(0, len(at) - 1).cast(pa.string()) for k in keys), pa.array(df[:-1]), pa.array(total[:-1])], schema=schema)
-    if held:
-        yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.string()) for k in held[0]), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64())], schema=schema)
-
-
-def cells(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(lang, term, source, df, n): in how many documents of a language's source a term stands, and how often; one row for each three.
+        if batch.num_rows:
+            found, first = _cells(pa.concat_tables([held, pa.Table.from_batches([batch]).select(CELLS.names).cast(CELLS)]))
+            held, done = found.slice(first[-1]), found.slice(0, first[-1])
+            yield from _frequent(done, first[:-1], least)
+    yield from _frequent(held, np.zeros(min(1, held.num_rows), int), least)
+
+
+def _frequent(found: pa.Table, first: np.ndarray, least: int) -> list[pa.RecordBatch]:
+    if not len(first):
+        return []
+    enough = np.add.reduceat(found.column("df").to_numpy(), first) >= least
+    return found.filter(pa.array(np.repeat(enough, np.diff(np.append(first, found.num_rows))))).to_batches()
+
+
+def cells(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(lang, term, source, df, n): in how many documents of a language's source a term stands, and how often, for the terms
+    that at least `least` documents of the language have; one row for each three.
 
     docs: lang, source and text, null ones read as ''. Every row is a document of its own. Texts without a term give none."""
-    tasks = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _read(docs).withColumn("document", F.monotonically_increasing_id())
-    rows = rows.mapInArrow(_spread, "lang string, term string, source string, document long, n long")
-    keys = ("lang", "term", "source", "document")
-    runs = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_runs, CELL)
-    return runs.groupBy("lang", "term", "source").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    rows = rows.mapInArrow(partial(_spread, together=TOGETHER), "lang string, term string, source string, document long, df long, n long")
+    # a key has a row for each TOGETHER bytes of texts at most, and a task holds no more of it than a row for each source
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "lang", "term").sortWithinPartitions("lang", "term", "source", "document").mapInArrow(partial(_runs, least=least), CELL)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -103,12 +124,6 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
 
 
-def kept_terms(found: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, counts): a language's terms in at least `least` of its documents, with (source, n) of each source that has them."""
-    terms = found.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.collect_list(F.struct("source", "n")).alias("counts"))
-    return terms.filter(F.col("df") >= least).drop("df")
-
-
 def rates(counts: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
     """1 + floor(UNIT (count + ADD) / (N + ADD V)), exactly: whole numbers of any size where 64 bits don't hold them."""
     if max(int(counts.max(initial=0)), int(n.max(initial=0))) > 8 * 10**9:
@@ -116,14 +131,14 @@ def rates(counts: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
     return 1 + (UNIT * (counts + ADD)) // (n + ADD * v)
 
 
-def _block(terms: pd.DataFrame, axis: pd.DataFrame, top: int) -> pd.DataFrame:
+def _block(terms: pd.DataFrame, axis: pd.DataFrame, top: int, size: int) -> pd.DataFrame:
     """Partial sums of one block of a language's terms for each two of its sources, and each source's `top` terms of the block."""
     axis = axis.sort_values("source", key=lambda s: s.str.encode("utf-8"))
     lang, sources, v, s = axis["lang"].iloc[0], axis["source"].tolist(), int(axis["v"].iloc[0]), len(axis)
     place, totals = {x: i for i, x in enumerate(sources)}, axis["total"].to_numpy(np.int64)
     sums, best = np.zeros((s, s), object), [[] for _ in sources]
-    for at in range(0, len(terms), TERMS):
-        part = terms.iloc[at : at + TERMS]
+    for at in range(0, len(terms), size):
+        part = terms.iloc[at : at + size]
         of = np.repeat(np.arange(len(part)), part["counts"].map(len))
         pairs = [(place[c["source"]], c["n"]) for x in part["counts"] for c in x]
         where, n = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], np.int64)
@@ -152,16 +167,20 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFrame
     the result. Other columns play no part."""
     spark = docs.sparkSession
     groups = _read(docs).groupBy("lang", "source").agg(F.count("*").alias("documents"))
-    kept = written(kept_terms(cells(docs), least), "terms")
+    kept = cells(docs, least).groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("counts"))
+    kept = written(kept, "terms")
     totals = kept.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     axis = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
-    blocks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    axis = axis.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    terms = kept.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int"))
+    # a language has as many blocks as its terms fill
+    blocks = F.floor(F.col("v") / BLOCK).cast("int")
+    axis = axis.withColumn("block", F.explode(F.sequence(F.lit(0), blocks)))
+    terms = weighed(kept, sizes, "lang", "v", kept.count()).withColumn("block", F.pmod(F.xxhash64("term"), blocks + 1).cast("int")).drop("v")
+
+    size = TERMS
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _block(left, right, top)
+        return _block(left, right, top, size)
 
     parts = terms.groupBy("lang", "block").cogroup(axis.groupBy("lang", "block")).applyInPandas(compare, PART)
     found = parts.groupBy("lang", "source", "part", "item").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
