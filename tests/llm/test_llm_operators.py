@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, divergence, language_id, media_gif, ngram_join, packing, periodic_runs, quality, secret_scan, sharding, token_output, toxicity
+from tidemark.llm import decontam, divergence, html_wrapper, language_id, media_gif, ngram_join, packing, periodic_runs, quality, secret_scan, sharding, token_output, toxicity
 from tidemark.llm.common import new_dir, written
 
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -765,3 +765,102 @@ def test_long_and_degenerate_texts_are_scanned_by_ranges():
     some[5_000:25_000] = some[5_000 + np.arange(20_000) % 4_321]
     parts = [r for low in range(1, 15_001, 1_000) for r in periodic_runs.scan(some, np.array([30_000]), low, low + 1_000, periodic_runs.scan(some, np.array([30_000]), 1, min(low, 32)))]
     assert sorted(parts) == sorted(whole(some)) and any(p == 4_321 for _, _, p in parts)
+
+
+# --- 11 ---
+def site(i, rng, notice="Join our readers today."):
+    """A page without landmark tags or telling names, and its main text."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    paras = [" ".join(word() for _ in range(rng.randint(3, 20))) for _ in range(rng.randint(1, 4))]
+    head = " ".join(word() for _ in range(3))
+    links = "".join(f"<li><a href='/{word()}'>{word()}</a>" for _ in range(rng.randint(2, 6)))
+    body = "".join(f"<p>{p}" for p in paras[:-1]) + f"<p>{notice}</p><p>{paras[-1]}</p>"
+    page = f"<html><body><div><ul>{links}</ul></div><div><h2>{head}</h2>{body}</div><div><p>All rights reserved, {word() if i < 0 else 'Example'}.</p></div></body></html>"
+    return page, " ".join([head, *paras])
+
+
+def test_slots_of_a_host_tell_template_menu_and_content(spark):
+    rng = random.Random(5)
+    made = [site(i, rng) for i in range(12)]
+    rows = [(i, f"https://User@Plain.example:8080/{i}", page) for i, (page, _) in enumerate(made)]
+    rows += [(100, "http://few.example/1", made[0][0]), (101, None, made[1][0])]  # nothing to compare with
+    rows += [(200 + i, f"//copies.example/{i}", made[2][0]) for i in range(5)]  # copies alone aren't a template
+    found = {r["id"]: r["main_text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "id long, url string, html string")).collect()}
+    assert {i: found[i] for i in range(12)} == {i: text for i, (_, text) in enumerate(made)}
+    assert made[0][1].split()[0] in found[100] and "All rights reserved" in found[100] and "All rights reserved" in found[101]
+    assert all(made[2][1].split()[-1] in found[200 + i] for i in range(5))
+
+
+@pytest.mark.parametrize("most", [html_wrapper.BROADCAST_BYTES, 0])
+def test_wrappers_join_alike_by_broadcast_and_by_host(spark, monkeypatch, most):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "LIGHT", 3)
+    rng = random.Random(6)
+    made = [(h, *site(i, rng)) for h, n in (("hot", 15), ("mid", 6), ("one", 1)) for i in range(n)]
+    pages = spark.createDataFrame([(i, f"http://{h}.example/{i}", page) for i, (h, page, _) in enumerate(made)], "id long, url string, html string")
+    found = {r["id"]: r["main_text"] for r in html_wrapper.extract(pages, most_bytes=most).collect()}
+    assert len(found) == 22 and {i: found[i] for i in range(21)} == {i: t for i, (_, _, t) in enumerate(made[:21])}
+
+
+def test_simple_tree_matching_like_brute_force():
+    rng = random.Random(8)
+
+    def tree(depth):
+        label = rng.choice("abc")
+        below = [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        return (label, below)
+
+    def text(t):
+        return f"{t[0]}({','.join(map(text, t[1]))})" if t[1] else t[0]
+
+    def most(a, b):  # the largest order-preserving matching of equal labels, top down
+        if a[0] != b[0]:
+            return 0
+
+        def rest(x, y):
+            if not x or not y:
+                return 0
+            return max(rest(x[1:], y), rest(x, y[1:]), rest(x[1:], y[1:]) + most(x[0], y[0]))
+
+        return 1 + rest(a[1], b[1])
+
+    for _ in range(150):
+        a, b = ("r", [tree(2) for _ in range(3)]), ("r", [tree(2) for _ in range(3)])
+        slots = html_wrapper.aligned(text(a), text(b))
+        matched = [s for s in slots if "/" not in s]
+        assert len(matched) == len(set(matched)) == most(a, b)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (None, ""), ("", ""), ("plain text", "plain text"), ("a < b & c &lt; d &copy; &#x41;&#66; &amp", "a < b & c < d © AB &"),
+        ("<p>one<p>two<br>three<p>  four\n\t five  ", "one two three four five"), ("<p>x<b>y</b>z <i>q</i></p>", "xyz q"),
+        ("<script>var t='</p><p>no';</script><style>p{}</style><p>yes</p>", "yes"), ("<p>kept</p><script>never closed <p>no", "kept"), ("<p>kept<!-- <p>no</p> --> on</p><!-- open <p>no", "kept on"),
+        ("<title>T</title><nav><p>menu</p></nav><article><header><h1>Head</h1></header><p>Body</p><footer>f</footer><div class='comments'><p>c</p></div></article><p>out</p>", "Head Body"),
+        ("<div id=cookie-notice>We use</div><div class='post-header'><h1>H</h1></div><div class=pageHeader>P</div><div class='has-sidebar'><p>in</p><div class=sidebar>s</div></div>", "H in"),
+        ("<main><p>m</p><aside>a</aside><form><p>f</p></form></main><p>o</p>", "m"), ("<div hidden>h</div><div style='display: none'>d</div><div role=navigation>n</div><p>t</p>", "t"),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a b c"), ("<p>cut <a href=\"x", "cut"), ("<p title='a>b'>in</p>", "in"), ("<p title='open>in</p>", "in"),
+        ("<p>nested " + "<div>" * 3000 + "deep" + "</div>" * 3000, "nested deep"), ("</p></div></b>stray", "stray"), ("<p>a&nbsp;&nbsp;b c</p>", "a b c"), ("<p><span class=ad>Buy</span>text</p>", "text"),
+        ("<article><p>one</p></article><article class=comment><p>reader</p></article>", "one"), ("<x-y(,)>odd</x-y(,)>", "odd"),
+    ],
+)
+def test_main_text_of_single_pages(source, text):
+    assert html_wrapper.main_text(source) == text
+
+
+def test_iterated_siblings_are_one_node():
+    tree = lambda s: html_wrapper.Page(s).tree()[0]
+    assert tree("<ul><li>a<li>b<li>c</ul>") == tree("<ul><li>a</ul>") == "#(ul(li))"
+    assert tree("<h2>a</h2><p>b<p>c<h2>d</h2><p>e<h2>f</h2><p>g<p>h") == "#(h2,p)"
+    page = html_wrapper.Page("<dl><dt>a<dd>b<dt>c<dd>d</dl>")
+    assert page.tree() == ("#(dl(dt,dd))", [0, 1, 2, 3, 2, 3])
+
+
+def test_pages_of_odd_rows(spark, odd):
+    pages = odd.withColumn("url", F.when(F.col("doc_id") > 2, F.lit("http://h.example/"))).withColumn("main_text", F.lit("old")).withColumn("host", F.lit("x")).withColumn("_row", F.lit("x"))
+    got = html_wrapper.extract(pages, html_col="text")
+    assert got.columns == [*(c for c in pages.columns if c != "main_text"), "main_text"] and got.count() == pages.count()
+    assert {(r["doc_id"], r["main_text"]) for r in got.collect()} == {(d, " ".join((t or "").split())) for d, t in ODD}
+    assert html_wrapper.extract(empty(pages), html_col="text").collect() == []

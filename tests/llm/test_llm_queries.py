@@ -165,3 +165,16 @@ def test_periodic_runs_like_brute_force(spark, sf, texts):
     short = {d: t for d, t in texts.items() if len(t or "") < 4_000}  # brute force is quadratic
     assert len(rows) == len(texts) and any(r[1] for r in rows)
     assert {r for r in rows if r[0] in short} == {plain_report(d, t) for d, t in short.items()}
+
+
+def test_main_text_is_the_articles(spark, sf, duck):
+    import html
+    import re
+
+    rows = {r["page_id"]: r for r in queries.op11_html_wrapper(spark, sf).collect()}
+    pages = duck.sql("SELECT page_id, url, html FROM pages").fetchall()
+    assert len(rows) == len(pages)
+    for page, url, source in pages:
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", source, re.S)
+        text = " ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", " ", inner[1])).split())
+        assert (rows[page]["url"], rows[page]["text"], rows[page]["n_chars"]) == (url, text, len(text))

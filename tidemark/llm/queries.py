@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, divergence, language_id, media_gif, ngram_join, packing, periodic_runs, quality, secret_scan, sharding, token_output, toxicity
+from tidemark.llm import decontam, divergence, html_wrapper, language_id, media_gif, ngram_join, packing, periodic_runs, quality, secret_scan, sharding, token_output, toxicity
 from tidemark.llm.common import fold, new_dir
 
 
@@ -93,6 +93,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, by its host's wrapper."""
+    found = html_wrapper.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of a language are apart in their words, and each source's own words."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -104,6 +110,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_packing, op3_secret_scan, op4_ngram_join, op4_ngram_links, op5_sharding, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity, op12_source_divergence, op13_periodic_runs)
+    f.__name__: f for f in (op1_language_id, op2_packing, op3_secret_scan, op4_ngram_join, op4_ngram_links, op5_sharding, op6_decontamination, op7_training_order, op8_media_gif, op9_quality, op10_toxicity, op11_html_wrapper, op12_source_divergence, op13_periodic_runs)
 }
 SQL: dict[str, str] = {"op4_ngram_join": ngram_join.SQL, "op4_ngram_links": ngram_join.LINKS_SQL, "op5_sharding": op5_sql, "op6_decontamination": decontam.SQL, "op12_source_divergence": divergence.SQL}
