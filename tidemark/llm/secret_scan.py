@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontam import let
 
 #: What stands after a colon or an equals sign, in quotes or up to a space or the next item of a list, and any other run of at
-#: least 16 characters that keys are made of. Equals signs belong to a run as padding only.
+#: least 16 characters that keys are made of. Equals signs belong to a run as padding only. A repeated group has no alternatives
+#: inside, as those would be matched by one call within another for each character of a value.
 CANDIDATE = "|".join(
     (
         r"""(?<=[:=] ?")[^\s"]{8,}(?=")""",
         r"""(?<=[:=] ?')[^\s']{8,}(?=')""",
-        r"""(?<=[A-Za-z0-9_\])"'][:=] ?)(?!//|["'`])(?:[^\s"'`<>,;&]|[,;&](?!\s|$|["'`]?[A-Za-z0-9_.-]+["'`]?[=:])){8,}(?<![.,;:)\]}])""",
+        r"""(?<=[A-Za-z0-9_\])"'][:=] ?)(?!//|["'`])(?:(?![,;&](?:\s|$|["'`]?[A-Za-z0-9_.-]++["'`]?[=:]))[^\s"'`<>]){8,}(?<![.,;:)\]}])""",
         r"""(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=.-]))?""",
     )
 )
@@ -118,6 +119,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) ->
         F.rpad(short, 8, "e"), F.concat(short, pick("v1", "ing", "heit", "tion")), F.concat(word("v2"), F.lit("@"), word("v3"), F.lit(".com")), F.concat(F.lit("https://"), word("v4"), F.lit(".com/"), word("v5"), F.lit("?id="), word("v6")),
         F.concat_ws("-", F.lit("+49-30"), F.substr(F.translate(noise("v7"), "abcdef", "012345"), F.lit(1), F.lit(7))), F.concat(word("v8"), F.lit("("), word("v9"), F.lit(")")), F.concat(word("v10"), F.lit("."), word("v11"), F.lit("()")),
         F.concat_ws(",", word("v12"), word("v13"), word("v14")), F.concat(F.lit("${"), F.upper(word("v15")), F.lit("_VALUE}")), F.concat_ws("-", F.lit("your"), word("v16"), F.lit("here")), F.concat(F.lit("os.environ["), word("v17"), F.lit("]")),
+        F.concat(F.lit("data:image/"), pick("v18", "png", "gif", "jpeg"), F.lit(";base64,"), base64("v19"), pick("v20", "", base64("v21"), F.concat(base64("v22"), base64("v23")))),
     )
     name = F.concat_ws("_", word("n5"), word("n6"), pick("n7", "secret", "access", "private", "client"), pick("n8", "api_key", "key", "token", "auth_token", "password"))
     prose = (invented, F.initcap(invented), F.upper(invented), F.concat(invented, F.lit(".")), F.concat(F.initcap(invented), F.lit(".")), F.concat(invented, F.lit("."), F.substr(F.translate(noise("w1"), "abcdef", "012345"), F.lit(1), F.lit(2))), F.substr(F.translate(noise("w2"), "abcdef", "012345"), F.lit(1), F.lit(16)))
