@@ -21,6 +21,8 @@ UNIT = 1 << 16  # code lengths are whole multiples of 1/UNIT bit, so sums are ex
 SLICE = 1 << 20  # bytes scored at once
 START = b"\n\n\n"
 EMPTY = np.uint32(0xFFFFFFFF)
+#: Languages whose tables are one matrix: a context takes 4 bytes for each of them, not for each language there is.
+TOGETHER = 16
 
 
 def _grams(raw: bytes) -> np.ndarray:
@@ -70,7 +72,14 @@ class Model:
     def __init__(self, langs: list[str], counts: pd.DataFrame):
         """counts: lang (place in langs), gram, n."""
         self.langs = langs
+        self.parts: list[Model] = []
         n_langs = len(langs)
+        if n_langs > TOGETHER:  # code lengths of a language don't depend on others
+            of = counts["lang"].to_numpy(np.int64)
+            for low in range(0, n_langs, TOGETHER):
+                some = counts[(of >= low) & (of < low + TOGETHER)]
+                self.parts.append(Model(langs[low : low + TOGETHER], some.assign(lang=some["lang"] - low)))
+            return
         g4 = np.unique(counts["gram"].to_numpy(np.uint32))
         n4 = np.zeros((len(g4), n_langs))
         np.add.at(n4, (np.searchsorted(g4, counts["gram"].to_numpy(np.uint32)), counts["lang"].to_numpy(np.int64)), counts["n"].to_numpy(float))
@@ -98,6 +107,8 @@ class Model:
         """Code length of each gram's last byte after its first three, a column for each language."""
         table, cost, contexts, escape = self.levels[3]
         row = table.find(grams)
+        if not len(cost):  # nothing was learned: 8 bits a byte
+            return np.full((len(grams), len(self.langs)), 8 * UNIT, np.int64)
         out = cost[row].astype(np.int64)
         left = np.flatnonzero(row < 0)
         if len(left):
@@ -116,6 +127,8 @@ class Model:
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Exact code length of each whole text in each language, in units."""
+        if self.parts:
+            return np.concatenate([part.bits(texts) for part in self.parts], 1)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         grams, owners, size = [], [], 0
 
@@ -142,7 +155,8 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 
     About train_docs documents of each language, chosen by a hash of their ids, are counted on the executors; the driver
     gets the counts of (language, context and byte), whose number that sample bounds. No language and no context is left out.
-    The model takes 4 bytes for each context and language."""
+    The model takes 4 bytes for each context of TOGETHER languages and each of these. Texts without a byte teach nothing, and a
+    language that has no others costs 8 bits a byte."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     langs = sorted(sizes)
@@ -155,11 +169,21 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                held: list[np.ndarray] = []
+                held, size = [], 0
                 for text in texts:
-                    held.append(_grams(START + text.encode("utf-8", "surrogatepass")))
-                gram, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pd.DataFrame({"lang": langs.index(lang), "gram": gram.astype(np.int64), "n": n})
+                    raw = START + text.encode("utf-8", "surrogatepass")
+                    for at in range(0, len(raw) - 3, SLICE):
+                        held.append(_grams(raw[at : at + SLICE + 3]))
+                        size += len(held[-1])
+                        if size >= SLICE:
+                            yield counted(lang, held)
+                            held, size = [], 0
+                if held:
+                    yield counted(lang, held)
+
+    def counted(lang: str, held: list[np.ndarray]) -> pd.DataFrame:
+        gram, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"lang": langs.index(lang), "gram": gram.astype(np.int64), "n": n})
 
     counts = rows.mapInPandas(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model(langs, counts.toPandas())
