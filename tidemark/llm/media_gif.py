@@ -7,6 +7,7 @@ decoder takes any GIF87a/89a: global and local palettes, interlacing, graphic co
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ GIF_SCHEMA = "doc_id long, n_bytes long, gif binary"
 FRAME_SCHEMA = "doc_id long, frame int, start_ms long, delay_ms long, x int, y int, width int, height int, indices binary, histogram array<long>, status string"
 #: Pixels of a canvas or a frame that the decoder accepts; a header may ask for four thousand million.
 MOST_PIXELS = 1 << 25
+#: Frames that a task holds at once.
+FRAMES_TOGETHER = 16
 
 
 # --- LZW ---------------------------------------------------------------------------------------------------------
@@ -76,8 +79,8 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     return np.packbits(np.concatenate(spread).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _expand(codes: np.ndarray, free: int, before: np.ndarray) -> np.ndarray:
-    """Bytes of the codes that follow a clear code, all at once.
+def _expand(codes: np.ndarray, free: int, before: np.ndarray, room: int) -> np.ndarray:
+    """Bytes of the codes that follow a clear code, all at once, and no code that begins after `room` bytes.
 
     Entry free + k is what code k stands for and the byte after it, so it can be read from the output where code k
     begins. Every byte points back to the one it repeats; pointers are doubled until all end at literal bytes."""
@@ -91,7 +94,9 @@ def _expand(codes: np.ndarray, free: int, before: np.ndarray) -> np.ndarray:
         size[live] += size[jump[live]]
         jump[live] = jump[jump[live]]
         live = live[jump[live] >= 0]
-    start = np.cumsum(size) - size
+    ends = np.cumsum(size)
+    n = min(n, int(np.searchsorted(ends, room)) + 1)
+    codes, size, back, start = codes[:n], size[:n], back[:n], (ends - size)[:n]
     total = int(size.sum())
     of = np.repeat(np.arange(n), size)
     place = np.arange(total)
@@ -103,8 +108,11 @@ def _expand(codes: np.ndarray, free: int, before: np.ndarray) -> np.ndarray:
         source = further
 
 
-def lzw_decode(stream: bytes, bits: int = 8) -> bytes:
-    """Codes are unpacked a table at a time, up to the next clear code, and expanded together."""
+def lzw_decode(stream: bytes, bits: int = 8, most: int | None = None) -> bytes:
+    """Codes are unpacked a table at a time, up to the next clear code, and expanded together. Decoding stops when `most`
+    bytes are there: a few codes can stand for thousands of times their size. Raises ValueError on code sizes but 1 to 8."""
+    if not 1 <= bits <= 8:
+        raise ValueError(f"a code size of {bits}")
     clear, end = 1 << bits, (1 << bits) + 1
     free = end + 1
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
@@ -113,8 +121,8 @@ def lzw_decode(stream: bytes, bits: int = 8) -> bytes:
     ends = np.cumsum(schedule)
     starts, masks, total = ends - schedule, (1 << schedule) - 1, len(stream) * 8
     out, block = [], []
-    at = 0
-    while at + bits < total:
+    at, left = 0, 1 << 62 if most is None else most
+    while at + bits < total and left > 0:
         if block:  # the table is full and no clear code came: 12 bits each, and no new entries
             n = min(4096, (total - at) // 12)
             where, mask, stops = at + 12 * np.arange(n), 4095, at + 12 * np.arange(1, n + 1)
@@ -130,13 +138,13 @@ def lzw_decode(stream: bytes, bits: int = 8) -> bytes:
         block.append(codes[:upto])
         at = int(stops[upto if len(marks) else -1])
         if len(marks):
-            out.append(_expand(np.concatenate(block), free, literal))
-            block = []
+            out.append(_expand(np.concatenate(block), free, literal, left))
+            block, left = [], left - len(out[-1])
             if codes[upto] == end:
                 break
-    if block:
-        out.append(_expand(np.concatenate(block), free, literal))
-    return b"".join(x.tobytes() for x in out)
+    if block and left > 0:
+        out.append(_expand(np.concatenate(block), free, literal, left))
+    return b"".join(x.tobytes() for x in out)[:most]
 
 
 # --- container ---------------------------------------------------------------------------------------------------
@@ -212,7 +220,7 @@ def _frames(data: bytes, most_pixels: int) -> Iterator[Frame]:
             raise ValueError(f"a frame of {w} x {h}")
         own, at = _palette(data, at + 10, flags)
         code, after = _blocks(data, at + 1)
-        flat = lzw_decode(code, data[at])[: w * h]
+        flat = lzw_decode(code, data[at], w * h)
         at = after
         pixels = np.frombuffer(flat.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if flags & 0x40:  # interlaced: rows come in four passes
@@ -282,8 +290,9 @@ def gif_frames(gifs: DataFrame, gif_col: str = "gif", id_col: str = "doc_id") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, data in zip(pdf["doc_id"].astype("Int64"), pdf["gif"], strict=True):
-                rows = list(rows_of(doc, None if data is None else bytes(data)))
-                yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("doc_id", "frame", "start_ms", "delay_ms", "x", "y", "width", "height")})
+                rows = rows_of(doc, None if data is None else bytes(data))
+                while some := list(itertools.islice(rows, FRAMES_TOGETHER)):
+                    yield pd.DataFrame(some, columns=names).astype({c: "Int64" for c in ("doc_id", "frame", "start_ms", "delay_ms", "x", "y", "width", "height")})
 
     return gifs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(gif_col).alias("gif")).mapInPandas(run, FRAME_SCHEMA)
 
