@@ -76,7 +76,8 @@ def pack_histogram(histogram: dict[int, int], room: int = ROOM) -> tuple[pd.Data
 def ranked(pieces: DataFrame, largest: int) -> DataFrame:
     """pieces with `rank`, from 0 without gaps within each length. Lengths that many pieces share are ranked in hash buckets."""
     buckets = max(32, -(-largest // RANKED_TOGETHER))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    # the ids' checksum parts pieces without a document's id
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(*(c for c in ("doc_id", "start", "ids_crc32", "doc_tokens") if c in pieces.columns)), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

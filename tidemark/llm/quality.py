@@ -132,8 +132,8 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
         tails = m.tails_of(np.array([m.sum_of(t) for t in texts]))
         return pd.DataFrame({"expected_grade": m.expected(tails), "tail_prob": tails[:, 0] if tails.shape[1] else 1.0})
 
-    rated = docs.select(*(c for c in docs.columns if c not in ("expected_grade", "tail_prob", "_rated")), rate(F.col(text_col).cast("string")).alias("_rated"))
-    return rated.select("*", "_rated.*").drop("_rated")
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("expected_grade", "tail_prob"))).alias("_docs")
+    return docs.select(kept, rate(F.col(text_col).cast("string")).alias("_rated")).select("_docs.*", "_rated.*")
 
 
 def keeps(least: float = 0.5):
