@@ -90,6 +90,25 @@ def test_language_of_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd, none).collect()} == {"und"}
 
 
+def test_texts_without_a_byte_teach_nothing(spark):
+    model = language_id.train(spark.createDataFrame([(1, "", "a"), (2, "", "b")], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs, model).collect()) == [(1, "a"), (2, "und"), (3, "und")]
+    one = language_id.train(spark.createDataFrame([(1, "", "a"), (2, "words", "b")], "doc_id long, text string, lang string"))
+    assert language_id.identify(docs, one).filter("doc_id = 1").first()["lang_pred"] == "b"
+
+
+def test_long_texts_are_learned_in_slices_and_languages_in_groups(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"{w} and {w} " * 40, w) for i, w in enumerate(["uno", "dos", "tres", "quatro", "cinco"])], "doc_id long, text string, lang string")
+    whole = language_id.train(rows)
+    texts = ["uno and", "tres", "cinco dos", "zzz"]
+    monkeypatch.setattr(language_id, "SLICE", 7)
+    monkeypatch.setattr(language_id, "TOGETHER", 2)
+    parts = language_id.train(rows)
+    assert [len(p.langs) for p in parts.parts] == [2, 2, 1] and parts.langs == whole.langs
+    assert np.abs(parts.bits(texts) - whole.bits(texts)).max() < 100  # each code is rounded to a whole unit
+
+
 # --- 2 ---
 @pytest.mark.parametrize("seed", range(4))
 def test_histogram_slots_place_every_piece_once(seed):
@@ -188,6 +207,35 @@ def test_secret_positions_in_long_lists(spark, votes):
     assert len(found) == 1500 and all(text[r["start"] : r["start"] + r["length"]] == r["secret"] for r in found)
 
 
+@pytest.mark.parametrize("n", [1_000, 2_000, 6_000, 100_000, 1_000_000])
+def test_unbroken_values_of_any_length(spark, votes, n):
+    rng = random.Random(n)
+    made = lambda k, more="": "".join(rng.choices("ABCDEFGHijklmnop0123456789" + more, k=k))
+    key = "kQ7xT2pLm9Zr4Vb8Yw3Nc6Hd1Jf5Gs0A"
+    texts = [f"token={made(n)}", f"token={made(n, ',;&=:')}", f"src=data:image/png;base64,{made(n, '+/')}==", "q=" + "&".join(f"{made(3)}={made(4)}" for _ in range(n // 9)), '{"a":"' + '","b":"'.join(made(9) for _ in range(n // 15)) + '"}', "x=" + "." * n]
+    texts += [f"{made(n, ' ')} api_key = {key}", f"a={made(n, ',')}; auth_token={key}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = secret_scan.secrets(docs, votes).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["secret"] for r in found)
+    assert {r["doc_id"] for r in found if r["secret"] == key} == {6, 7}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs, votes).collect()}
+    for i, text in enumerate(texts):
+        for r in sorted((r for r in found if r["doc_id"] == i), key=lambda r: -r["start"]):
+            text = text[: r["start"]] + secret_scan.MASK + text[r["start"] + r["length"] :]
+        assert clean[i] == text
+
+
+def test_formats_that_training_leaves_out(spark, votes):
+    """Keys and other things in formats that no labelled finding has."""
+    rng = random.Random(17)
+    some = lambda k, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choices(of, k=k))
+    keys = [f"{p}{some(n)}" for p, n in (("glpat-", 20), ("xoxb-", 24), ("AIza", 35), ("npm_", 36), ("SG.", 22), ("hf_", 34)) for _ in range(10)]
+    other = [f"{a}-{b}-{c}" for a, b, c in zip(["monthly", "annual", "interim"] * 8, ["review", "summary", "minutes"] * 8, ["draft", "final", "approved"] * 8, strict=True)]
+    docs = spark.createDataFrame([(i, f"the client_secret = {k} as usual") for i, k in enumerate(keys)] + [(100 + i, f"see the page {o} there") for i, o in enumerate(other)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secret_scan.secrets(docs, votes).collect()}
+    assert len([i for i in found if i < 100]) >= 0.9 * len(keys) and not [i for i in found if i >= 100]
+
+
 def test_secrets_of_odd_rows(spark, odd, votes):
     assert secret_scan.redacted(odd, votes).columns == odd.columns and secret_scan.redacted(odd, votes).count() == len(ODD)
     assert secret_scan.secrets(odd, votes).count() == 0 and secret_scan.secrets(empty(odd), votes).count() == 0
@@ -372,6 +420,25 @@ def test_shards_of_odd_rows(spark, odd):
     assert sorted(map(str, store.read().collect())) == sorted(map(str, odd.collect()))
 
 
+def test_columns_of_all_runs_are_read_and_compacted(spark):
+    for trial in range(3):  # folders have random names
+        store = sharding.ShardedTable(spark, new_dir(spark, "test"), target_bytes=1 << 20, fanout=3)
+        store.append(spark.range(3).coalesce(1))
+        store.append(spark.range(3, 6).selectExpr("id", "id * 2 AS twice").coalesce(1))
+        store.append(spark.range(6, 9).selectExpr("'x' AS name", "id").coalesce(1))
+        store.append_by(spark.range(9, 11).selectExpr("id", "id % 2 AS part", "named_struct('a', id) AS s"), "part")
+        rows = [(i, 2 * i if 3 <= i < 6 else None, "x" if 6 <= i < 9 else None, (i,) if i >= 9 else None) for i in range(11)]
+        before = store.read()
+        assert before.columns == ["id", "twice", "name", "s"] and sorted(map(tuple, before.collect())) == rows
+        assert store.compact() > 4 and store.read().columns == before.columns and sorted(map(tuple, store.read().collect())) == rows
+        assert store.read(1).columns == ["id"] and store.read(2).columns == ["id", "twice"]
+        base = store.version()
+        for clash in ("cast(id AS string) AS id", "id AS ID"):
+            with pytest.raises(TypeError):
+                store.append(spark.range(1).selectExpr(clash))
+        assert store.version() == base
+
+
 # --- 6 ---
 def brute_hits(docs, items, n=13):
     import re
@@ -513,6 +580,26 @@ def test_gif_columns_of_odd_rows(spark, odd):
     assert told == {99: 1920, 98: None, **{i: None for i in range(len(bad))}}
 
 
+def test_decoding_stops_at_the_frames_pixels(spark):
+    import struct
+
+    code = media_gif.lzw_encode(bytes(7_000_000))
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + struct.pack("<BHHHHBB", 0x2C, 0, 0, 1, 1, 0, 8) + b"".join(bytes([len(code[i : i + 255])]) + code[i : i + 255] for i in range(0, len(code), 255)) + b"\0\x3b"
+    assert len(media_gif.lzw_decode(code, 8, 1)) == 1 and len(media_gif.lzw_decode(code)) == 7_000_000
+    assert len(media_gif._expand(np.array([0, *range(258, 4000)]), 258, np.arange(258).astype(np.uint8), 100)) < 200
+    assert [f.indices for f in media_gif.decode_gif(bomb)] == [b"\0"]
+    for bits in (0, 9, 12, 13, 35, 255):
+        wrong = bomb.replace(struct.pack("<BHHHHBB", 0x2C, 0, 0, 1, 1, 0, 8), struct.pack("<BHHHHBB", 0x2C, 0, 0, 1, 1, 0, bits))
+        rows = media_gif.gif_frames(spark.createDataFrame([(1, bytearray(wrong))], "doc_id long, gif binary")).collect()
+        assert [r["status"] for r in rows] == [f"a code size of {bits}"]
+
+
+def test_many_frames_come_in_parts(spark):
+    gif = media_gif.encode_gif(bytes(range(192)) * 40, rows=1)
+    rows = media_gif.gif_frames(spark.createDataFrame([(5, bytearray(gif))], "doc_id long, gif binary")).collect()
+    assert [r["frame"] for r in rows] == list(range(40)) and {r["status"] for r in rows} == {"ok"}
+
+
 def test_lzw_streams_of_other_encoders():
     sample = bytes.fromhex("8c2d99872a1cdc33a00275ec95faa8de608c04914c01")
     rows = [[1] * 5 + [2] * 5] * 3 + [[1] * 3 + [0] * 4 + [2] * 3] * 2 + [[2] * 3 + [0] * 4 + [1] * 3] * 2 + [[2] * 5 + [1] * 5] * 3

@@ -178,3 +178,15 @@ def test_main_text_is_the_articles(spark, sf, duck):
         inner = re.search(r"<article>(.*?)(</article>|\Z)", source, re.S)
         text = " ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", " ", inner[1])).split())
         assert (rows[page]["url"], rows[page]["text"], rows[page]["n_chars"]) == (url, text, len(text))
+
+
+def test_first_stage_keeps_columns_named_as_its_own(spark, sf):
+    docs = queries.table(spark, sf, "documents")
+    for name in ("expected_grade", "tail_prob", "_rated", "row", "_docs", "a.b"):
+        docs = docs.withColumn(name, docs["doc_id"].cast("string"))
+    kept = corpus_pipeline.good(spark, docs, sf)
+    assert kept.columns == docs.columns
+    rows = [r.asDict() for r in kept.collect()]
+    assert rows and all(r[name] == str(r["doc_id"]) for r in rows for name in ("expected_grade", "tail_prob", "_rated", "row", "_docs", "a.b"))
+    plain = corpus_pipeline.good(spark, queries.table(spark, sf, "documents"), sf)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.collect())
