@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, ngram_join, packing, quality, secret_scan
 from tidemark.llm.common import written
@@ -18,7 +19,8 @@ SHINGLE, PERCENT = 5, 80
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter(quality.keeps()).select(*docs.columns)
+    beside = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")  # columns named as the score's stay as they are
+    return quality.score(beside, model).filter(quality.keeps()).select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
