@@ -8,6 +8,7 @@ trees are arrays that a column expression walks through, so that scanning and re
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
 from tidemark.llm.decontam import let
 
 #: What stands after a colon or an equals sign, in quotes or up to a space or the next item of a list, and any other run of at
@@ -93,7 +95,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) ->
     noise = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), F.col("id").cast("string")), 512)
     pick = lambda salt, *options: F.element_at(F.array(*(o if isinstance(o, Column) else F.lit(o) for o in options)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     base64 = lambda salt: F.regexp_replace(F.base64(F.unhex(noise(salt))), "=", "")
-    word = lambda salt: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    words = F.split(F.lit(" ".join(DICTIONARY)), " ")  # one constant, not a node for each word wherever one is drawn
+    word = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     syllables = ("er", "the", "ing", "an", "tion", "st", "en", "ou", "ble", "re", "ch", "mente", "keit", "ver", "aux", "lich")
     invented = F.concat(*(pick(f"s{i}", *syllables) for i in range(7)))
     short = F.concat(*(pick(f"t{i}", *syllables) for i in range(3)), F.lit("en"))
@@ -131,25 +134,29 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) ->
     assigned = F.concat(word("y4"), F.lit(" "), word("y5"), pick("y6", "=", ": ", " = ", ':"', ' = "'))
     kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(16))
     made = lambda before, candidate, label: F.struct(before.alias("before"), candidate.alias("candidate"), F.lit(label).alias("label"))
-    row = (
-        F.when(kind < 4, made(named, pick("secret", *secrets), 1.0))
-        .when(kind == 4, made(summed, pick("hash", *hashes), 0.0))
-        .when(kind == 5, made(named, pick("other", *others[2:]), 0.0))
-        .when(kind == 6, made(keyed, pick("secret", *secrets, *passwords), 1.0))
-        .when(kind == 7, made(named, pick("secret", *passwords), 1.0))
-        .when(kind == 8, made(plain, pick("secret", *secrets[3:8]), 1.0))  # without a word that names them
-        .when(kind == 9, made(assigned, pick("value", *values), 0.0))
-        .when(kind == 10, made(F.when(F.xxhash64("id", F.lit("of")) % 3 == 0, keyed).otherwise(plain), pick("other", *others, *values[8:], name, F.upper(name)), 0.0))
-        .when((kind == 12) | (kind == 13), made(plain, pick("prose", *prose), 0.0))
-        .when(kind == 14, made(named, pick("secret", *secrets), 0.0))
-        .when(kind == 15, made(keyed, pick("secret", *secrets, *passwords), 0.0))
-        .otherwise(made(plain, pick("other", *others, *values, name, F.upper(name), F.concat(F.lit("my_"), name), F.upper(F.concat(F.lit("my_"), name))), 0.0))
-    )
+    secret, mixed = lambda before: made(before, pick("secret", *secrets), 1.0), lambda before, label: made(before, pick("secret", *secrets, *passwords), label)
+    rows = {
+        (0, 1, 2, 3): secret(named),
+        (4,): made(summed, pick("hash", *hashes), 0.0),
+        (5,): made(named, pick("other", *others[2:]), 0.0),
+        (6,): mixed(keyed, 1.0),
+        (7,): made(named, pick("secret", *passwords), 1.0),
+        (8,): made(plain, pick("secret", *secrets[3:8]), 1.0),  # without a word that names them
+        (9,): made(assigned, pick("value", *values), 0.0),
+        (10,): made(F.when(F.xxhash64("id", F.lit("of")) % 3 == 0, keyed).otherwise(plain), pick("other", *others, *values[8:], name, F.upper(name)), 0.0),
+        (12, 13): made(plain, pick("prose", *prose), 0.0),
+        (14,): made(named, pick("secret", *secrets), 0.0),
+        (15,): mixed(keyed, 0.0),
+        (11,): made(plain, pick("other", *others, *values, name, F.upper(name), F.concat(F.lit("my_"), name), F.upper(F.concat(F.lit("my_"), name))), 0.0),
+    }
     file = F.concat(word("p1"), pick("p2", ".py", ".yaml", ".env", ".js", ".json", ".txt"))
     usual = pick("p3", F.concat(F.lit("src/"), file), F.concat(word("p4"), F.lit("/"), file), F.concat(F.lit("deploy/config/"), file), file, F.lit(None).cast("string"), F.lit(None).cast("string"))
     trial = F.concat(pick("p5", "tests/", "src/tests/", "examples/", "spec/fixtures/", "docs/", "mocks/"), file)
     path = F.when((kind >= 14) | (F.xxhash64("id", F.lit("p6")) % 5 == 0) & (F.col("r.label") == 0), trial).otherwise(usual)
-    return spark.range(first, first + n, 1, 1).select("id", row.alias("r")).select("r", path.alias("path"), kind.alias("kind")).select("r.*", F.when(F.col("r.before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")).alias("after"), "path", "kind")
+    # a plan for each kind: one condition over all of them is a tree that the planner's memory feels
+    some = [spark.range(first, first + n, 1, 1).filter(kind.isin(*kinds)).select("id", row.alias("r")).select("id", "r.*", path.alias("path"), kind.alias("kind")) for kinds, row in rows.items()]
+    after = F.when(F.col("before").rlike("[\"']$"), F.lit('" ')).otherwise(F.lit(" ")).alias("after")
+    return reduce(DataFrame.unionByName, some).coalesce(1).sortWithinPartitions("id").select("before", "candidate", "label", after, "path", "kind")
 
 
 def _flat(lines: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,8 +185,9 @@ def _flat(lines: list[str], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
     """A function from a struct of features to the share of trees that vote for a secret, with the forest in .model. Null labels teach nothing.
 
-    findings: before, candidate, after, path, label (0 or 1)."""
-    rows = findings.filter(F.col("label").isNotNull() & (F.length("candidate") > 0)).select("label", features(F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("path")).alias("f"))
+    findings: before, candidate, after, path, label (0 or 1). They are written first, as every feature reads them and the fit does so several times."""
+    findings = written(findings.filter(F.col("label").isNotNull() & (F.length("candidate") > 0)).select("before", "candidate", "after", "path", F.col("label").cast("double")), "findings")
+    rows = findings.select("label", features(F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("path")).alias("f"))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.select("label", "f.*").coalesce(1))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
     printed = [x.splitlines()[1:] for x in re.split(r"\n\s+Tree \d+", model.toDebugString)[1:]]
