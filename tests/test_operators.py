@@ -267,8 +267,8 @@ def test_long_interpolations_are_one_pass(spark):
 
 def test_a_short_time_is_dealt_to_many_cells(spark):
     df = spark.range(20_000).select((F.col("id") % 2_000_000).alias("s"))
-    sizes = column(ordered.dealt(df, "s").groupBy("_bucket").count(), "count")
-    assert len(sizes) > 4000 and max(sizes) < 20
+    sizes = column(ordered.dealt(df, "s", cells=500).groupBy("_cell").count(), "count")
+    assert len(sizes) > 400 and max(sizes) < 4 * 20_000 / len(sizes)
     ties = spark.createDataFrame([(5,)] * 7 + [(None,), (9,)], "s long")
     assert sorted((r["rn"], r["s"]) for r in ordered.numbered(ties, "s").collect()) == [(0, None), *((i, 5) for i in range(1, 8)), (8, 9)]
     assert sorted(column(ordered.gaps(ties, "s"), "gap")) == [0] * 6 + [4]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip
+from tidemark.operators.ordered import quantiles
 
 HALF_WIDTH = 50
 
@@ -49,9 +50,8 @@ def quantile_windows(rows: DataFrame, by: str = "hour_s", n: int = 4) -> DataFra
     """rows with `window` 0 .. n - 1 by linearly interpolated quantiles over the rows; equal values stay together.
 
     Quantiles that coincide raise."""
-    edges = rows.agg(F.percentile(by, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("_edges"), F.min(by).cast("double").alias("_lo"), F.max(by).cast("double").alias("_hi"))
-    whole = F.concat(F.array("_lo"), F.col("_edges"), F.array("_hi"))
-    checked = F.when(F.size(F.array_distinct(whole)) == n + 1, F.col("_edges")).otherwise(F.raise_error(F.lit("quantiles coincide")).cast("array<double>"))
+    edges = quantiles(rows, by, [i / n for i in range(n + 1)]).select(F.col("quantiles").alias("_whole"), F.slice("quantiles", 2, n - 1).alias("_edges"))
+    checked = F.when(F.size(F.array_distinct("_whole")) == n + 1, F.col("_edges")).otherwise(F.raise_error(F.lit("quantiles coincide")).cast("array<double>"))
     window = F.size(F.filter("_edges", lambda e: e < F.col(by))).alias("window")
     return rows.crossJoin(F.broadcast(edges.select(checked.alias("_edges")))).select(*rows.columns, window)
 

@@ -1,7 +1,7 @@
 """Principal components of curves, Legendre scores, and the distance of their subspaces.
 
-A curve is a row (t, y array<double>). Only factorisations leave Catalyst: a rolling window's rows, whose number is
-fixed, go to NumPy as one group; larger sets of rows are reduced to triangles first. Operators that need a curve's length
+A curve is a row (t, y array<double>). Only factorisations leave Catalyst: sets of rows are reduced to triangles, and rolling
+windows are merged from triangles that neighbouring windows share. Operators that need a curve's length
 p or the number of rows take them as arguments; where they aren't given, one small job looks them up first."""
 
 from __future__ import annotations
@@ -162,9 +162,72 @@ def rolling_windows(curves: DataFrame, size: int, step: int, n_rows: int | None
     return hopping_windows(numbered(curves, "t"), curves.count() if n_rows is None else n_rows, size, step)
 
 
-def rolling_components(curves: DataFrame, size: int = 400, step: int = 1, k: int | None = None, n_rows: int | None = None) -> DataFrame:
-    """components() of each window. A window is one group of `size` rows; each row is sent to size / step windows."""
-    return components(rolling_windows(curves, size, step, n_rows), k)
+FACTOR = "window_id long, n long, t_start long, t_end long, mean array<double>, triangle array<double>"
+
+
+def _merged(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray], center: bool) -> tuple[int, np.ndarray, np.ndarray]:
+    """(count, mean, triangle) of two sets of rows together. A triangle is that of the rows less their mean, so the distance of the means is one row more."""
+    if not a[0] or not b[0]:
+        return b if not a[0] else a
+    n = a[0] + b[0]
+    apart = b[1] - a[1]
+    rows = [a[2], b[2], *([apart[None] * np.sqrt(a[0] * b[0] / n)] if center else [])]
+    return n, a[1] + apart * (b[0] / n), np.linalg.qr(np.concatenate(rows), mode="r")
+
+
+def _factor(y: np.ndarray, center: bool) -> tuple[int, np.ndarray, np.ndarray]:
+    mean = y.mean(0)
+    return len(y), mean, np.linalg.qr(y - mean if center else y, mode="r")
+
+
+def rolling_components(curves: DataFrame, size: int = 400, step: int = 1, k: int | None = None, center: bool = True) -> DataFrame:
+    """components() of each window of `size` rows, `step` rows apart, in the order of t. Too few rows give no window.
+
+    No row is sent to the windows that hold it. The order is cut into runs of `size` rows, one group each; a window is the end
+    of one run and the beginning of the next, and each of these is a factor (count, mean, triangle) that is built up block by
+    block from the run's rows. A window's two factors are merged, and only that triangle is decomposed."""
+    if size < 1 or step < 1:
+        raise ValueError("size and step must be positive")
+    rows = numbered(curves.select(F.col("t").cast("long").alias("t"), "y"), "t").withColumn("run", F.floor(F.col("rn") / size))
+
+    def factors(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        run, y, t = int(key[0]), np.stack(pdf["y"].to_numpy()), pdf["t"].to_numpy()
+        n, p = y.shape
+        base = run * size
+        # starts of windows in this run, and in the one before, by their places there: what they share are the cuts between blocks
+        own = [s - base for s in range(-(-base // step) * step, base + size, step)]
+        past = [s - (base - size) for s in range(-(-max(base - size, 0) // step) * step, base, step)] if run else []
+        cuts = sorted({0, n, *(o for o in own if o < n), *(o for o in past if o <= n)})
+        blocks = {a: _factor(y[a:b], center) for a, b in zip(cuts, cuts[1:], strict=False)}
+        none, made = (0, np.zeros(p), np.zeros((0, p))), []
+
+        def put(window: int, f: tuple, lo: int, hi: int) -> None:
+            made.append((window, f[0], t[lo], t[hi - 1], f[1], f[2].ravel()))
+
+        held, upto = none, set(past)
+        for a, b in zip(cuts, cuts[1:], strict=False):  # beginnings, for windows that start in the run before
+            held = _merged(held, blocks[a], center)
+            if b in upto:
+                put((base - size + b) // step, held, 0, b)
+        held, upto = none, set(own)
+        for a, b in reversed(list(zip(cuts, cuts[1:], strict=False))):  # ends
+            held = _merged(blocks[a], held, center)
+            if a in upto and n == size:
+                put((base + a) // step, held, a, n)
+        return pd.DataFrame(made, columns=[c.split()[0] for c in FACTOR.split(", ")], dtype=None if made else object)
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(int(r.n), r.mean, r.triangle.reshape(-1, len(r.mean))) for r in pdf.sort_values("t_start").itertuples()]
+        whole = parts[0] if len(parts) == 1 else _merged(parts[0], parts[1], center)
+        if whole[0] != size:  # the last rows make no whole window
+            return pd.DataFrame(columns=[c.split()[0] for c in COMPONENTS.split(", ")], dtype=object)
+        if k is not None and k > min(size, len(whole[1])):
+            raise ValueError(f"{k} components of {size} rows and {len(whole[1])} columns")
+        return _spectrum(int(key[0]), pdf["t_start"].min(), pdf["t_end"].max(), size, whole[2], k)
+
+    parts = rows.select("run", "rn", "t", "y").groupBy("run").applyInPandas(factors, FACTOR)
+    return parts.groupBy("window_id").applyInPandas(finish, COMPONENTS)
 
 
 def cpve(found: DataFrame, ks: list[int]) -> DataFrame:
@@ -205,7 +268,7 @@ def subspace_distance(overlap: Column, k: Column | int, metric: str = "projectio
     return F.sqrt(gap * 2) if metric == "projection" else F.sqrt(gap)
 
 
-def rolling_distance(curves: DataFrame, size: int = 720, step: int = 24, ks: tuple[int, ...] = (1, 2, 3, 4, 5), metric: str = "projection", time_index: str = "end", p: int | None = None, n_rows: int | None = None) -> DataFrame:
+def rolling_distance(curves: DataFrame, size: int = 720, step: int = 24, ks: tuple[int, ...] = (1, 2, 3, 4, 5), metric: str = "projection", time_index: str = "end", p: int | None = None) -> DataFrame:
     """(window_time, k, distance) between each window's first k components and the Legendre basis of degree k - 1."""
     if time_index not in ("start", "end"):
         raise ValueError("time_index must be start or end")
@@ -214,7 +277,7 @@ def rolling_distance(curves: DataFrame, size: int = 720, step: int = 24, ks: tup
     if p is None:
         return spark.createDataFrame([], "window_time long, k int, distance double")
     q = spark.createDataFrame([(k, v.tolist()) for k in ks for v in orthonormal_basis(p, k).T], "want int, direction array<double>")
-    found = rolling_components(curves, size, step, max(ks), n_rows).join(F.broadcast(q), F.col("k") <= F.col("want"))
+    found = rolling_components(curves, size, step, max(ks)).join(F.broadcast(q), F.col("k") <= F.col("want"))
     product = dot(F.col("loading"), F.col("direction"))
     time = F.col(f"t_{time_index}").alias("window_time")
     return found.groupBy(time, F.col("want").alias("k")).agg(F.sum(product * product).alias("overlap")).select("window_time", "k", subspace_distance(F.col("overlap"), F.col("k"), metric).alias("distance"))

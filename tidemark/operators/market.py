@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
-from tidemark.operators.ordered import gaps, numbered
+from tidemark.operators.ordered import gaps, numbered, quantiles
 
 OHLC = ("open", "high", "low", "close")
 K_START, K_STOP, K_STEP = 2, 400, 4
@@ -20,7 +20,7 @@ def _need(df: DataFrame, columns) -> None:
 
 def median_gap(df: DataFrame, time: str = "hour_s", default: float = 60.0) -> DataFrame:
     """One row (gap): the median distance of neighbouring times in seconds, `default` with fewer than two."""
-    return gaps(df, time).agg(F.coalesce(F.percentile("gap", 0.5), F.lit(default)).alias("gap"))
+    return quantiles(gaps(df, time), "gap", [0.5]).select(F.coalesce(F.get("quantiles", 0), F.lit(default)).alias("gap"))
 
 
 def candles(df: DataFrame, time: str = "hour_s", default_gap: float = 60.0) -> DataFrame:

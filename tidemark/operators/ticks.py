@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite, tick_sqrt_price
@@ -55,33 +55,57 @@ def swap_size_curve(book: DataFrame, k_max: int = 50, fee: float = 0.0, tick_ste
     )
 
 
-#: Levels of blocks that position_liquidity() cuts intervals into: 2^LEVELS places are enough for any table.
-LEVELS = 44
+#: Doubles are cut into whole numbers of so many bits.
+LIMB = 32
+
+
+def limbs(value: Column) -> Column:
+    """A finite double as an array of (bin, limb): the sum of limb * 2^(LIMB * bin) is the value, exactly, and no limb is 0.
+
+    Sums of limbs are whole numbers, so that what is added can be taken off again without a trace, in any order."""
+    size = F.abs(value)
+    top = F.least(F.lit(1023 // LIMB), F.floor(F.log2(size) / LIMB) + 1)  # a logarithm may be one too small at a power of two
+    sign = F.when(value < 0, -1).otherwise(1).cast("long")
+
+    def cut(rest: Column, bin: Column) -> Column:
+        """What is left of rest below a bin, and the limb in it."""
+        root = _root(bin)
+        limb = F.floor(rest / root / root)
+        return F.struct((rest - limb.cast("double") * root * root).alias("rest"), bin.alias("bin"), limb.alias("limb"))
+
+    first = F.array(cut(size, top.cast("int")))
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(3)), first, lambda s, _: F.concat(s, F.array(cut(F.element_at(s, -1)["rest"], F.element_at(s, -1)["bin"] - 1))))
+    found = F.filter(F.transform(steps, lambda x: F.struct(x["bin"].alias("bin"), (x["limb"] * sign).alias("limb"))), lambda x: x["limb"] != 0)
+    return F.when(size > 0, found)
+
+
+def _root(bin: Column) -> Column:
+    """The square root of a bin's unit, as the smallest unit itself is no double."""
+    return F.pow(F.lit(2.0), (bin * (LIMB // 2)).cast("double"))
+
+
+def from_limbs(found: Column) -> Column:
+    """The double of an array of (bin, limb), a limb for each bin; added from the smallest bin on."""
+    return F.aggregate(F.array_sort(found), F.lit(0.0), lambda s, x: s + x["limb"].cast("double") * _root(x["bin"]) * _root(x["bin"]))
 
 
 def position_liquidity(grid: DataFrame, positions: DataFrame, p: str = "p") -> DataFrame:
-    """(p, liquidity): the sum over positions with pa <= p <= pb, 0 where there is none. Null or NaN points and bounds meet nothing.
+    """(p, liquidity): the sum over positions with pa <= p <= pb, 0 where there is none. Null or NaN points and bounds meet nothing; liquidity that isn't finite raises.
 
-    Bounds are numbered by price: bound i is place 2 i, what lies between it and the next is place 2 i + 1. A position's
-    places are cut into blocks of powers of two, at most two of each size; a point meets the one block of each size that
-    it lies in. So no point meets every position, and only liquidity that covers the point is added: nothing is taken off again."""
+    One sweep over bounds and points by price: a position's liquidity is added at pa and taken off after pb, as whole numbers,
+    so that nothing is left of it however large it was beside others. No point meets a position."""
     sound = lambda c: c.isNotNull() & ~F.isnan(c)
-    valid = positions.select(F.col("pa").cast("double").alias("pa"), F.col("pb").cast("double").alias("pb"), F.col("liquidity").cast("double").alias("liquidity")).filter(sound(F.col("pa")) & sound(F.col("pb")) & (F.col("pa") <= F.col("pb")))
+    amount = F.when(finite(F.col("liquidity")), F.col("liquidity")).when(F.col("liquidity").isNotNull(), F.raise_error(F.lit("liquidity isn't finite")).cast("double"))
+    valid = positions.select(*(F.col(c).cast("double").alias(c) for c in ("pa", "pb", "liquidity"))).filter(sound(F.col("pa")) & sound(F.col("pb")) & (F.col("pa") <= F.col("pb")))
+    cut = valid.select("pa", "pb", F.explode(limbs(amount)).alias("x")).groupBy("pa", "pb", "x.bin").agg(F.sum("x.limb").alias("limb"))
+    bounds = F.array(F.struct(F.col("pa").alias("at"), F.lit(0).alias("kind"), F.col("limb").alias("limb")), F.struct(F.col("pb").alias("at"), F.lit(2).alias("kind"), (-F.col("limb")).alias("limb")))
+    changes = cut.select("bin", F.explode(bounds).alias("b")).groupBy("bin", "b.at", "b.kind").agg(F.sum("b.limb").alias("limb"))
     points = grid.select(F.col(p).cast("double").alias("at")).groupBy("at").agg(F.count("*").alias("copies"))
-    bounds = valid.select(F.col("pa").alias("at")).unionByName(valid.select(F.col("pb").alias("at"))).distinct()
-    merged = bounds.select("at", F.lit(1).cast("long").alias("bound")).unionByName(points.filter(sound(F.col("at"))).select("at", F.lit(0).cast("long").alias("bound")))
-    merged = merged.groupBy("at").agg(F.max("bound").alias("bound"))
-    placed = running_sum(merged, ["at"], "bound", "upto").select("at", (2 * F.col("upto") - F.when(F.col("bound") == 1, 2).otherwise(1)).alias("place"))
-    start, stop = (placed.select(F.col("at").alias(c), F.col("place").alias(name)) for c, name in (("pa", "a"), ("pb", "last")))
-    spans = valid.groupBy("pa", "pb").agg(F.sum("liquidity").alias("liquidity")).join(start, "pa").join(stop, "pb").select("liquidity", "a", (F.col("last") + 1).alias("b"))
-    block = """flatten(transform(sequence(0, %d), l -> filter(array(
-        if(shiftright(a + (1L << l) - 1, l) %% 2 = 1 AND shiftright(a + (1L << l) - 1, l) < shiftright(b, l), struct(l AS level, shiftright(a + (1L << l) - 1, l) AS block), null),
-        if(shiftright(b, l) %% 2 = 1 AND 2 * shiftright(a + (2L << l) - 1, l + 1) < shiftright(b, l), struct(l AS level, shiftright(b, l) - 1 AS block), null)), x -> x IS NOT NULL)))"""
-    covered = spans.select("liquidity", F.explode(F.expr(block % LEVELS)).alias("x")).groupBy("x.level", "x.block").agg(F.sum("liquidity").alias("part"))
-    levels = covered.select("level").distinct()  # LEVELS rows at most: points skip sizes that no position has
-    at = placed.join(points, "at").filter("place >= 0").crossJoin(F.broadcast(levels)).select("at", "level", F.expr("shiftright(place, level)").alias("block"))
-    found = at.join(covered, ["level", "block"]).groupBy("at").agg(F.sum("part").alias("part"))
-    rows = points.join(found, points["at"].eqNullSafe(found["at"]), "left").select(points["at"].alias(p), F.coalesce("part", F.lit(0.0)).alias("liquidity"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    bins = changes.select("bin").distinct()  # 66 at most
+    asked = points.filter(sound(F.col("at"))).crossJoin(F.broadcast(bins)).select("bin", "at", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("limb"))
+    swept = running_sum(changes.unionByName(asked), ["at", "kind"], "limb", "upto", by=["bin"]).filter("kind = 1")
+    found = swept.groupBy("at").agg(F.collect_list(F.struct("bin", F.col("upto").alias("limb"))).alias("limbs")).select("at", from_limbs(F.col("limbs")).alias("sum"))
+    rows = points.join(found, points["at"].eqNullSafe(found["at"]), "left").select(points["at"].alias(p), F.coalesce("sum", F.lit(0.0)).alias("liquidity"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     return rows.drop("_copy")
 
 
@@ -114,6 +138,13 @@ def hourly_frames(liquidity: DataFrame, start_s: int, hours: int = 400) -> DataF
     return spine.join(per, "hour_s", "left").select("frame", "hour_s", F.coalesce("n", F.lit(0)).alias("n"), "width", "active")
 
 
+def frame_bars(liquidity: DataFrame, start_s: int, hours: int = 400) -> DataFrame:
+    """(frame, hour_s, priceMid, usd_token0, usd_token1, width, active): the bars of every frame of hourly_frames(), by price. A frame without rows has one, with nulls."""
+    frames = hourly_frames(liquidity, start_s, hours).select("frame", "hour_s", "width", "active")
+    rows = liquidity.filter(F.col("hour_s").between(start_s, start_s + (hours - 1) * HOUR)).select("hour_s", "priceMid", "usd_token0", "usd_token1")
+    return frames.join(rows, "hour_s", "left").select("frame", "hour_s", "priceMid", "usd_token0", "usd_token1", "width", "active")
+
+
 def frame_limits(liquidity: DataFrame, start_s: int, hours: int = 400) -> DataFrame:
     """(xmin, xmax, ymin, ymax) that all frames share; ymax is 1 without rows. Prices and totals that aren't finite don't count."""
     rows = liquidity.filter(F.col("hour_s").between(start_s, start_s + (hours - 1) * HOUR))

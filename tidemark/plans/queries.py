@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.operators import curves, decompose, market, ordered, stableswap, ticks
 from tidemark.sources import fixtures as fx
-from tidemark.sources.tables import linspace, load, logspace
+from tidemark.sources.tables import last_of_each, last_rows, linspace, load, logspace, positioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,7 @@ SQL: dict[str, str] = {}
 CENTER, HALF = 300, 200
 AFTER_S, UNTIL_S = 1704067200, 1705622400  # 2024-01-01 and 18 days on
 HOUR_S, FRAMES_S = 1704456000, 1704110400
+FRAMES_END_S = FRAMES_S + 399 * 3600
 SINCE_S = 1704153600
 SIZE, STEP = 168, 24
 K4 = (100.0, 500.0, 1000.0, 4000.0)
@@ -71,6 +72,34 @@ def lim1_tail(spark, sf):
     return fx.events(spark, sf).orderBy(F.desc("event_id")).limit(4000).select("event_id", "value")
 
 
+# Places in the table as it is stored, which is sorted by none of the columns.
+_STORED = "SELECT row_number() OVER () - 1 AS pos, l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM lineitem"
+
+
+def _stored(spark, sf):
+    return positioned(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"])
+
+
+@query(f"SELECT pos, l_orderkey, l_linenumber, l_extendedprice FROM ({_STORED}) QUALIFY row_number() OVER (ORDER BY pos DESC) = 1")
+def lim2_last_row(spark, sf):
+    return last_rows(_stored(spark, sf)).select("pos", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"SELECT pos, l_orderkey, l_linenumber, l_extendedprice FROM ({_STORED}) QUALIFY row_number() OVER (ORDER BY pos DESC) <= 4000")
+def lim1_tail_as_stored(spark, sf):
+    return last_rows(_stored(spark, sf), 4000).select("pos", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"SELECT pos, l_orderkey, l_linenumber, l_extendedprice FROM ({_STORED}) WHERE pos >= 1000 AND pos < 3000")
+def flt12_slice_as_stored(spark, sf):
+    return _stored(spark, sf).filter("pos >= 1000 AND pos < 3000").select("pos", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"SELECT l_partkey, arg_max(l_extendedprice, pos) AS price, max(pos) AS pos FROM ({_STORED}) GROUP BY l_partkey")
+def agg9_last_as_stored(spark, sf):
+    return last_of_each(_stored(spark, sf).withColumn("place", F.col("pos")), "l_partkey", place="place").select("l_partkey", F.col("l_extendedprice").alias("price"), "pos")
+
+
 @query("SELECT hour_s, close FROM (SELECT *, row_number() OVER (ORDER BY hour_s) - 1 AS rn FROM klines) WHERE rn >= 100 AND rn < 300")
 def flt12_positional_slice(spark, sf):
     return ordered.numbered(fx.klines(spark, sf), "hour_s").filter("rn >= 100 AND rn < 300").select("hour_s", "close")
@@ -150,7 +179,7 @@ def jn7_overlay(spark, sf):
 @query(f"""SELECT 'concentrated' AS series, s, round(net_amountUSD / nullif(tvlUSD, 0), 9) AS usage, tvlUSD AS tvl FROM venue_metrics WHERE feeTier = 100
   UNION ALL SELECT 'stableswap', hour_s, round(hourlyVolumeUSD / nullif(totalValueLockedUSD, 0), 9), round(totalValueLockedUSD, 4) FROM pool_balances WHERE hour_s >= {SINCE_S}""")
 def dom24_venue_usage(spark, sf):
-    df = market.venue_usage(fx.venue_metrics(spark, sf), fx.pool_balances(spark, sf), 100, SINCE_S)
+    df = market.venue_usage(fx.venue_metrics(spark, sf), fx.pool_balances(spark, sf, SINCE_S), 100, SINCE_S)
     return rounded(rounded(df, 9, "usage"), 4, "tvl").select("series", "s", "usage", "tvl")
 
 
@@ -266,7 +295,7 @@ def dom11_position_liquidity(spark, sf):
   round(0.8 * (SELECT min(g) FROM (SELECT priceMid - lag(priceMid) OVER (ORDER BY priceMid) AS g FROM hourly_liquidity WHERE hour_s = {HOUR_S})), 9) AS width,
   round((SELECT min(priceMid) FROM hourly_liquidity WHERE hour_s = {HOUR_S} AND usd_token0 > 0), 9) AS active FROM hourly_liquidity WHERE hour_s = {HOUR_S}""")
 def dom18_tick_bars(spark, sf):
-    return rounded(rounded(ticks.tick_bars(fx.hourly_liquidity(spark, sf), HOUR_S), 9, "priceMid", "width", "active"), 4, "usd_token0", "usd_token1")
+    return rounded(rounded(ticks.tick_bars(fx.hourly_liquidity(spark, sf, HOUR_S, HOUR_S), HOUR_S), 9, "priceMid", "width", "active"), 4, "usd_token0", "usd_token1")
 
 
 @query("SELECT tick, round(L, 4) AS L FROM latest_ticks")
@@ -290,19 +319,27 @@ def dom21_swap_size_curve(spark, sf):
 
 @query(f"SELECT round(priceMid, 9) AS priceMid, round(active_liquidity_L, 4) AS usd_total FROM hourly_liquidity WHERE hour_s = {HOUR_S}")
 def dom22_total_curve(spark, sf):
-    return rounded(rounded(ticks.total_curve(fx.hourly_liquidity(spark, sf), HOUR_S), 9, "priceMid"), 4, "usd_total")
+    return rounded(rounded(ticks.total_curve(fx.hourly_liquidity(spark, sf, HOUR_S, HOUR_S), HOUR_S), 9, "priceMid"), 4, "usd_total")
 
 
 @query(f"""SELECT f AS frame, {FRAMES_S} + f * 3600 AS hour_s, coalesce(n, 0)::BIGINT AS n, round(width, 9) AS width, round(active, 9) AS active FROM range(400) t(f) LEFT JOIN (
   SELECT hour_s, count(*) AS n, coalesce(min(g) * 0.8, 0.0001) AS width, min(CASE WHEN usd_token0 > 0 THEN priceMid END) AS active FROM (SELECT *, priceMid - lag(priceMid) OVER (PARTITION BY hour_s ORDER BY priceMid) AS g FROM hourly_liquidity) GROUP BY hour_s
   ) h ON h.hour_s = {FRAMES_S} + f * 3600""")
 def dom23_hourly_frames(spark, sf):
-    return rounded(ticks.hourly_frames(fx.hourly_liquidity(spark, sf), FRAMES_S), 9, "width", "active")
+    return rounded(ticks.hourly_frames(fx.hourly_liquidity(spark, sf, FRAMES_S, FRAMES_END_S), FRAMES_S), 9, "width", "active")
+
+
+@query(f"""SELECT f AS frame, {FRAMES_S} + f * 3600 AS hour_s, round(priceMid, 9) AS priceMid, round(usd_token0, 4) AS usd_token0, round(usd_token1, 4) AS usd_token1, round(width, 9) AS width, round(active, 9) AS active FROM range(400) t(f) LEFT JOIN (
+  SELECT hour_s, priceMid, usd_token0, usd_token1, coalesce(min(g) OVER h * 0.8, 0.0001) AS width, min(CASE WHEN usd_token0 > 0 THEN priceMid END) OVER h AS active
+  FROM (SELECT *, priceMid - lag(priceMid) OVER (PARTITION BY hour_s ORDER BY priceMid) AS g FROM hourly_liquidity) WINDOW h AS (PARTITION BY hour_s)) b ON b.hour_s = {FRAMES_S} + f * 3600""")
+def dom23_frame_bars(spark, sf):
+    df = ticks.frame_bars(fx.hourly_liquidity(spark, sf, FRAMES_S, FRAMES_END_S), FRAMES_S)
+    return rounded(rounded(df, 9, "priceMid", "width", "active"), 4, "usd_token0", "usd_token1")
 
 
 @query(f"SELECT round(min(priceMid) - 0.002, 9) AS xmin, round(max(priceMid) + 0.002, 9) AS xmax, 0.0::DOUBLE AS ymin, round(1.05 * max(coalesce(usd_token0, 0) + coalesce(usd_token1, 0)), 4) AS ymax FROM hourly_liquidity WHERE hour_s BETWEEN {FRAMES_S} AND {FRAMES_S + 399 * 3600}")
 def agg2_frame_limits(spark, sf):
-    return rounded(rounded(ticks.frame_limits(fx.hourly_liquidity(spark, sf), FRAMES_S), 9, "xmin", "xmax"), 4, "ymax")
+    return rounded(rounded(ticks.frame_limits(fx.hourly_liquidity(spark, sf, FRAMES_S, FRAMES_END_S), FRAMES_S), 9, "xmin", "xmax"), 4, "ymax")
 
 
 # --- curves ---
@@ -312,7 +349,7 @@ def _norm(centered: bool, until: str = str(UNTIL_S)) -> str:
 
 
 def _curves(spark, sf, centered=False, until_s=UNTIL_S):
-    return curves.normalised(fx.hourly_liquidity(spark, sf), AFTER_S, until_s, centered)
+    return curves.normalised(fx.hourly_liquidity(spark, sf, AFTER_S + 1, until_s), AFTER_S, until_s, centered)
 
 
 #: The upper bound that the table itself has.
@@ -384,7 +421,7 @@ def dom27_window_statistics_whole(spark, sf):
 def jn6_bound_of_another_table(spark, sf):
     """Curves up to the last hour in which another table has what is looked for."""
     other = fx.venue_metrics(spark, sf).filter((F.col("tvlUSD") == 0) & (F.col("s") < UNTIL_S)).select((F.floor(F.col("s") / 3600) * 3600).alias("hour_s"))
-    return rounded(curves.normalised(fx.hourly_liquidity(spark, sf), AFTER_S, other, True).select("hour_s", "tick_norm", "logl"), 6, "tick_norm", "logl")
+    return rounded(curves.normalised(fx.hourly_liquidity(spark, sf, AFTER_S + 1), AFTER_S, other, True).select("hour_s", "tick_norm", "logl"), 6, "tick_norm", "logl")
 
 
 @query(f"SELECT t, (r // (n // 4))::INT AS \"window\" FROM (SELECT vec_id AS t, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings) WHERE r // (n // 4) < 4")

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import tick_price
-from tidemark.sources.tables import load
+from tidemark.sources.tables import floored_within, load
 
 HOUR = 3600
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, event_type, value, s, hour_s)"""
+def events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(event_id, event_type, value, s, hour_s) with first <= hour_s <= last; the bounds are put on the stored time, so that the scan skips the rest."""
     df = load(spark, f"{sf_dir}/events.parquet", ["event_id", "ts", "event_type", "value"])
+    if first is not None or last is not None:
+        df = df.filter(floored_within("ts", HOUR, first, last))
     s = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return df.select("event_id", "event_type", "value", s.alias("s"), (F.floor(s / HOUR) * HOUR).alias("hour_s"))
 
@@ -30,18 +32,18 @@ def pool_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.col("s").alias("timestamp"), F.col("value").cast("string").alias("token1Price"))
 
 
-def pool_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly balances, shares and volume; every 50th hour has no DAI."""
+def pool_balances(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """Hourly balances, shares and volume from an hour on; every 50th hour has no DAI."""
     part = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("value")).otherwise(0.0))
-    df = events(spark, sf_dir).groupBy("hour_s").agg((part("view") + 1000).alias("bal_DAI"), (part("click") + 1000).alias("bal_USDC"), (part("purchase") + 1000).alias("bal_USDT"), part("error").alias("hourlyVolumeUSD"))
+    df = events(spark, sf_dir, first).groupBy("hour_s").agg((part("view") + 1000).alias("bal_DAI"), (part("click") + 1000).alias("bal_USDC"), (part("purchase") + 1000).alias("bal_USDT"), part("error").alias("hourlyVolumeUSD"))
     df = df.withColumn("bal_DAI", F.when(F.col("hour_s") / HOUR % 50 == 0, 0.0).otherwise(F.col("bal_DAI")))
     total = F.col("bal_DAI") + F.col("bal_USDC") + F.col("bal_USDT")
     return df.select("*", *((F.col(f"bal_{c}") / total).alias(f"w_{c}") for c in ("DAI", "USDC", "USDT")), total.alias("totalValueLockedUSD"))
 
 
-def hourly_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each hour and tick: (hour_s, tickLower, tickUpper, active_liquidity_L, poolTick, priceMid, usd_token0, usd_token1, usd_total)"""
-    df = events(spark, sf_dir).groupBy("hour_s", ((F.col("event_id") * 37) % 151 - 75).cast("int").alias("tickLower")).agg(F.sum("value").alias("active_liquidity_L"))
+def hourly_liquidity(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """One row for each hour and tick, first <= hour_s <= last: (hour_s, tickLower, tickUpper, active_liquidity_L, poolTick, priceMid, usd_token0, usd_token1, usd_total)"""
+    df = events(spark, sf_dir, first, last).groupBy("hour_s", ((F.col("event_id") * 37) % 151 - 75).cast("int").alias("tickLower")).agg(F.sum("value").alias("active_liquidity_L"))
     df = df.withColumn("poolTick", ((F.col("hour_s") / HOUR % 24 % 7) - 3).cast("int"))
     above = F.col("tickLower") >= F.col("poolTick")
     return df.select(
@@ -70,10 +72,10 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("position"), tick_price(F.col("p_size") - 50.0).alias("pa"), tick_price(F.col("p_size") - 30.0).alias("pb"), F.col("p_retailprice").alias("liquidity"))
 
 
-def venue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s, event_id, feeTier, net_amountUSD, tvlUSD); some tvlUSD are 0"""
+def venue_metrics(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(s, event_id, feeTier, net_amountUSD, tvlUSD) of the hours from first to last; some tvlUSD are 0"""
     tier = F.when(F.col("event_type") == "view", 100).when(F.col("event_type") == "click", 500).otherwise(3000)
-    return events(spark, sf_dir).select("event_id", "s", tier.alias("feeTier"), F.col("value").alias("net_amountUSD"), ((F.col("event_id") % 7) * 1000.0).alias("tvlUSD"))
+    return events(spark, sf_dir, first, last).select("event_id", "s", tier.alias("feeTier"), F.col("value").alias("net_amountUSD"), ((F.col("event_id") % 7) * 1000.0).alias("tvlUSD"))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
