@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import decompose, ordered, ticks
+from tidemark.operators import curves, decompose, ordered, stableswap, ticks
 from tidemark.sources import fixtures as fx
 from tidemark.sources.tables import floored_within, last_of_each, last_rows, positioned
 
@@ -146,3 +146,72 @@ def test_bars_of_frames_keep_empty_ones(spark):
     rows = spark.createDataFrame([(0, 1.0, 0.0, 2.0), (0, 1.5, 3.0, 0.0), (7200, 2.0, 1.0, 1.0)], "hour_s long, priceMid double, usd_token0 double, usd_token1 double")
     got = sorted(map(tuple, ticks.frame_bars(rows, 0, 4).collect()), key=str)
     assert got == sorted([(0, 0, 1.0, 0.0, 2.0, 0.4, 1.5), (0, 0, 1.5, 3.0, 0.0, 0.4, 1.5), (1, 3600, None, None, None, None, None), (2, 7200, 2.0, 1.0, 1.0, 0.0001, 2.0), (3, 10800, None, None, None, None, None)], key=str)
+
+
+@pytest.mark.parametrize("kind", VALUES)
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_neighbours_are_carried_across_cells(spark, kind, by):
+    rows = spark.range(3_000).select(F.expr(VALUES[kind]).alias("v"), "id", F.expr("CASE WHEN id % 5 > 0 THEN id % 2 END").alias("g"), F.expr("CASE WHEN id % 41 = 0 OR id BETWEEN 900 AND 1100 THEN id END").alias("held"))
+    rows = rows.cache()
+    few, many = (sorted((tuple(map(str, r)) for r in ordered.around(rows, ["v", "id"], "held", "left", "right", cells, by).select("id", "g", "left", "right").collect()), key=str) for cells in (4096, 40))
+    assert few == many and len(few) == 3_000
+    kept = {r["id"]: r for r in rows.collect()}
+    order = sorted(kept, key=lambda i: (kept[i]["v"] is not None, kept[i]["v"] is not None and math.isnan(kept[i]["v"]), 0 if kept[i]["v"] is None or math.isnan(kept[i]["v"]) else kept[i]["v"], i))
+    last, want = {}, {}
+    for i in order:
+        g = kept[i]["g"] if by else 0
+        last[g] = kept[i]["held"] if kept[i]["held"] is not None else last.get(g)
+        want[i] = [last[g]]
+    last = {}
+    for i in reversed(order):
+        g = kept[i]["g"] if by else 0
+        want[i].append(last.get(g))
+        last[g] = kept[i]["held"] if kept[i]["held"] is not None else last.get(g)
+    assert {int(r[0]): list(r[2:]) for r in many} == {i: [str(x) for x in w] for i, w in want.items()}
+
+
+def test_one_key_is_interpolated_in_many_cells(spark):
+    rng = np.random.default_rng(4)
+    x, at = rng.choice(5_000, 1_500, False), rng.integers(-50, 5_050, 4_000)
+    y = rng.normal(size=1_500)
+    nodes = spark.createDataFrame([(None, int(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, None, 9.0)], "k int, x long, y double")
+    points = spark.createDataFrame([(None, int(a), i) for i, a in enumerate(at)] + [(None, None, -1), (7, 3, -2)], "k int, at long, name long")
+    df = stableswap.interpolated(nodes, points, "k", "x", "y", "at", 50)
+    got = {r["name"]: r["y"] for r in df.collect()}
+    order = np.argsort(x)
+    assert got.pop(-1) is None and got.pop(-2) is None
+    assert np.allclose([got[i] for i in range(4_000)], np.interp(at, x[order], y[order]), rtol=1e-12) and len(got) == 4_000
+    assert df.columns == ["k", "at", "name", "y"]
+    both = nodes.select("x").unionByName(points.select(F.col("at").alias("x")))
+    sizes = [r["count"] for r in ordered.dealt(both, "x", cells=50).groupBy("_cell").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 4 * 5_502 / len(sizes)
+    assert stableswap.interpolated(nodes.limit(0), points, "k", "x", "y", "at").filter("y IS NOT NULL").isEmpty()
+
+
+def test_cells_are_scattered_without_a_grid(spark, sf):
+    rows = curves.normalised(fx.hourly_liquidity(spark, sf), 0, None)
+    plan = curves.dense_rows(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
+    got = {r["t"]: r["y"] for r in curves.dense_rows(rows).collect()}
+    held = {(r["hour_s"], r["tick_norm"]): r["v"] for r in rows.groupBy("hour_s", "tick_norm").agg(F.sum("active_liquidity_L").alias("v")).collect()}
+    axis = sorted({x for _, x in held})
+    for t in {h for h, _ in held}:
+        assert got[t] == pytest.approx([math.log1p(held.get((t, x), 0.0)) for x in axis], rel=1e-12)
+    assert len(got) == len({h for h, _ in held}) and curves.dense(rows.limit(0)).isEmpty()
+
+
+def test_pools_that_lack_a_coin_have_no_price_or_density(spark):
+    pools = spark.createDataFrame([(1, 100.0, 1.0, 1.0), (2, 100.0, 0.0, 0.0), (3, 100.0, None, 1.0)], "pool int, a double, x0 double, y0 double")
+    xs, prices = (spark.createDataFrame([(i, v) for i, v in enumerate(vs)], f"i int, {n} double") for n, vs in (("x", [0.5, 0.9, 1.1, 2.0]), ("p", [0.98, 1.0, 1.02])))
+    found = stableswap.pool_densities(pools, xs, prices)
+    assert found.count() == 9
+    assert {r["pool"] for r in found.filter("relative IS NOT NULL AND NOT isnan(relative)").collect()} == {1}
+    held = stableswap.invariant_curves(spark.createDataFrame([(5, 0.0, 6.0), (6, 2.0, 6.0), (7, None, 6.0)], "h int, x double, k double"), F.col("k"), 4.0, "h")
+    rows = {r["h"]: r for r in held.collect()}
+    assert rows[5]["y_product"] is None and rows[5]["y_sum"] == 6.0 and rows[7]["y_sum"] is None and rows[6]["y_product"] == 4.5
+
+
+def test_loadings_are_turned_by_their_farthest_entry(spark):
+    found = spark.createDataFrame([(1, [0.1, -0.9, 0.9]), (2, [-0.2, 0.8]), (3, [0.0, 0.0])], "k int, loading array<double>")
+    got = {r["k"]: r["loading"] for r in decompose.sign_fixed(found).collect()}
+    assert got == {1: [-0.1, 0.9, -0.9], 2: [-0.2, 0.8], 3: [0.0, 0.0]}

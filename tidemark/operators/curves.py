@@ -31,14 +31,28 @@ def surface(curves: DataFrame) -> DataFrame:
     return curves.groupBy("hour_s", "tick_norm").agg(F.avg("logl").alias("logl"))
 
 
+def _scattered(curves: DataFrame) -> DataFrame:
+    """(hour_s, ticks, y): an hour's cells are placed in an array along the axis of ticks by one aggregation.
+
+    Sums are made by cell before an hour's cells meet; an hour has as many of them as there are ticks, some hundred."""
+    cells = curves.groupBy("hour_s", "tick_norm").agg(F.sum("active_liquidity_L").alias("total"))
+    axis = cells.agg(F.array_sort(F.collect_set("tick_norm")).alias("ticks"))
+    held = cells.groupBy("hour_s").agg(F.map_from_entries(F.collect_list(F.struct("tick_norm", "total"))).alias("held"))
+    y = F.transform("ticks", lambda x: F.log1p(F.coalesce(F.col("held")[x], F.lit(0.0))))
+    return held.crossJoin(F.broadcast(axis)).select("hour_s", "ticks", y.alias("y"))
+
+
 def dense(curves: DataFrame) -> DataFrame:
     """(hour_s, j, tick_norm, value): log1p of each cell's sum, 0 in empty cells; j is the tick's place from 0.
 
-    The axes are the distinct hours and ticks; a curve has as many rows as there are ticks, some hundred."""
-    cells = curves.groupBy("hour_s", "tick_norm").agg(F.sum("active_liquidity_L").alias("total"))
-    ticks = curves.select("tick_norm").distinct().withColumn("j", F.row_number().over(Window.orderBy("tick_norm")) - 1)
-    grid = curves.select("hour_s").distinct().crossJoin(F.broadcast(ticks))
-    return grid.join(cells, ["hour_s", "tick_norm"], "left").select("hour_s", "j", "tick_norm", F.log1p(F.coalesce("total", F.lit(0.0))).alias("value"))
+    The axes are the distinct hours and ticks."""
+    cells = _scattered(curves).select("hour_s", F.posexplode(F.arrays_zip("ticks", "y")).alias("j", "v"))
+    return cells.select("hour_s", "j", F.col("v.ticks").alias("tick_norm"), F.col("v.y").alias("value"))
+
+
+def dense_rows(curves: DataFrame) -> DataFrame:
+    """dense() as (t, y): one array for each hour."""
+    return _scattered(curves).select(F.col("hour_s").alias("t"), "y")
 
 
 def as_rows(cells: DataFrame, time: str = "hour_s", value: str = "value") -> DataFrame:

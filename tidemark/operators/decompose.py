@@ -48,14 +48,34 @@ def _centered(curves: DataFrame, center: bool, p: int | None = None) -> DataFram
     return curves.crossJoin(F.broadcast(column_means(curves))).select("t", "y", (F.col("means") if center else zero).alias("means"), (F.zip_with(y, "means", lambda a, m: a - m) if center else y).alias("x"))
 
 
-def basis_table(spark: SparkSession, p: int = 101, degree: int = 4) -> DataFrame:
-    """(j, x, degree, value) from closed forms."""
+def basis_at(points: DataFrame, degree: int = 4, *keep: str) -> DataFrame:
+    """(keep, x, degree, value) at points (keep, x) from closed forms."""
     x = F.col("x")
     forms = [F.lit(1.0), x, (3 * x * x - 1) / 2, (5 * x * x * x - 3 * x) / 2, (35 * x * x * x * x - 30 * x * x + 3) / 8, (63 * x * x * x * x * x - 70 * x * x * x + 15 * x) / 8]
     if degree >= len(forms):
         raise ValueError("closed forms go up to degree 5")
-    points = spark.range(p).select(F.col("id").cast("int").alias("j"), (F.lit(-1.0) + 2.0 * F.col("id") / (p - 1)).alias("x"))
-    return points.select("j", "x", F.posexplode(F.array(*forms[: degree + 1])).alias("degree", "value"))
+    return points.select(*keep, "x", F.posexplode(F.array(*forms[: degree + 1])).alias("degree", "value"))
+
+
+def basis_table(spark: SparkSession, p: int = 101, degree: int = 4) -> DataFrame:
+    """(j, x, degree, value) on p even points of [-1, 1]."""
+    return basis_at(spark.range(p).select(F.col("id").cast("int").alias("j"), (F.lit(-1.0) + 2.0 * F.col("id") / (p - 1)).alias("x")), degree, "j")
+
+
+def projections(curves: DataFrame, k: int, p: int | None = None) -> DataFrame:
+    """(t, k, score): curves, as they are, projected on the first k orthonormal polynomials over their places."""
+    p = _length(curves, p)
+    if p is None:
+        return curves.sparkSession.createDataFrame([], "t long, k int, score double")
+    q = curves.sparkSession.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(orthonormal_basis(p, k).T)], "k int, q array<double>")
+    return curves.crossJoin(F.broadcast(q)).select("t", "k", dot(F.col("y"), F.col("q")).alias("score"))
+
+
+def sign_fixed(found: DataFrame) -> DataFrame:
+    """Components whose loadings are turned so that the entry farthest from 0 (of equals the first) is positive."""
+    size = F.transform("loading", F.abs)
+    top = F.get("loading", (F.array_position(size, F.array_max(size)) - 1).cast("int"))
+    return found.withColumn("loading", F.when(top < 0, F.transform("loading", lambda v: -v)).otherwise(F.col("loading")))
 
 
 def _spectrum(window: int, start: int, end: int, n: int, x: np.ndarray, k: int | None) -> pd.DataFrame:
@@ -145,10 +165,10 @@ def scores(curves: DataFrame, found: DataFrame, center: bool = True) -> DataFram
 
 def _fit(x: DataFrame, directions: DataFrame) -> DataFrame:
     """(t, y, fitted, residual) of (t, y, means, x): fitted is the mean curve and sum over k of (x . weight_k) direction_k. directions is one row of arrays."""
-    total = lambda d, j: F.aggregate(F.sequence(F.lit(0), F.size("weights") - 1), F.lit(0.0), lambda s, k: s + F.get(d, k) * F.get(F.get("directions", k), j))
-    scored = x.crossJoin(F.broadcast(directions)).withColumn("_scores", F.transform("weights", lambda w: dot(F.col("x"), w)))
-    fitted = scored.withColumn("fitted", F.transform("means", lambda m, j: m + total(F.col("_scores"), j)))
-    return fitted.select("t", "y", "fitted", F.zip_with("y", "fitted", lambda a, b: a - b).alias("residual"))
+    # a score stands in an array before it is used, as a lambda's body is evaluated for every point
+    scored = F.transform(F.arrays_zip("weights", "directions"), lambda w: F.struct(dot(F.col("x"), w["weights"]).alias("score"), w["directions"].alias("direction")))
+    fitted = F.aggregate(scored, F.col("means"), lambda s, w: F.zip_with(s, w["direction"], lambda a, d: a + w["score"] * d))
+    return x.crossJoin(F.broadcast(directions)).withColumn("fitted", fitted).select("t", "y", "fitted", F.zip_with("y", "fitted", lambda a, b: a - b).alias("residual"))
 
 
 def pca_fit(curves: DataFrame, found: DataFrame, center: bool = True) -> DataFrame:

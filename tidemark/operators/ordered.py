@@ -83,6 +83,38 @@ def numbered(df: DataFrame, order: str, cells: int = CELLS, ties: tuple[str, ...
     return running_sum(df, [order, *ties], F.lit(1).cast("long"), "_rn", cells).withColumn("rn", F.col("_rn") - 1).drop("_rn")
 
 
+def around(df: DataFrame, order: list[str], value: str, before: str, after: str, cells: int = CELLS, by: list[str] | None = None) -> DataFrame:
+    """df with before, the last value that isn't null up to and at each row by order, and after, the first one behind it, within each value of `by`.
+
+    A cell's rows look within the cell; what they don't find there is the nearest value of the cells beside it, one row for each."""
+    by = by or []
+    if few(df, cells):
+        return _looked(_tied(df), by, order, value, before, after).select(*df.columns, before, after)
+    rows = dealt(df, order[0], "_cell", cells, tuple(order[1:]))
+    held = F.when(F.col(value).isNotNull(), F.struct(*order, "_tie", F.col(value).alias("_held")))
+    ends = rows.groupBy(*by, "_cell").agg(F.min(held).alias("_low"), F.max(held).alias("_high"))
+    up = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    beside = ends.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_cell").alias("_at"), F.last("_high", True).over(up)["_held"].alias("_left"), F.last("_low", True).over(down)["_held"].alias("_right"))
+    same = F.col("_cell") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    found = _looked(rows, [*by, "_cell"], order, value, "_before", "_after").join(beside, same)
+    return found.select(*df.columns, F.coalesce("_before", "_left").alias(before), F.coalesce("_after", "_right").alias(after))
+
+
+def around_by_key(df: DataFrame, key: str, order: list[str], value: str, before: str, after: str) -> DataFrame:
+    """around() where no key has more rows than one task may order: nothing is looked up first."""
+    return _looked(_tied(df), [key], order, value, before, after).select(*df.columns, before, after)
+
+
+def _looked(rows: DataFrame, by: list[str], order: list[str], value: str, before: str, after: str) -> DataFrame:
+    """around() in one window each way; the way back takes the reversed order, as a frame that ends with the partition is scanned anew for each row."""
+    up = Window.partitionBy(*by).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(*map(F.desc, order), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("*", F.last(value, True).over(up).alias(before), F.last(value, True).over(down).alias(after))
+
+
 def gaps(df: DataFrame, order: str, cells: int = CELLS) -> DataFrame:
     """(gap): the distance of each value to the next greater or equal one. The last value of a cell is followed by the first of the next one that isn't empty."""
     values = df.select(F.col(order).alias("_v")).filter(F.col("_v").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ratio
+from tidemark.operators.ordered import CELLS, around, around_by_key
 from tidemark.sources.tables import linspace, logspace
 
 STEPS = 64
@@ -79,17 +80,21 @@ def marginal_price(x: Column, d: Column, a: Column, eps: float = 1e-6) -> Column
     return -(two_coin_y(x * (1.0 + eps), d, a) - two_coin_y(x, d, a)) / (x * eps)
 
 
-def interpolated(nodes: DataFrame, points: DataFrame, key: str, x: str, y: str, at: str) -> DataFrame:
-    """points (key, at) with y linearly interpolated between nodes (key, x, y), constant beyond the first and last node.
+def interpolated(nodes: DataFrame, points: DataFrame, key: str, x: str, y: str, at: str, cells: int | None = CELLS) -> DataFrame:
+    """points (key, at, any others) with y linearly interpolated between nodes (key, x, y), constant beyond the first and last node; null for a key without nodes and
+    at a place that is null or NaN. Nodes without a place are left out.
 
-    Nodes and points are merged in one order by key, which is passed once in each direction: no pairs are made."""
-    both = nodes.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(0).alias("_point")).unionByName(points.select(key, F.col(at).alias("_x"), F.lit(None).cast("double").alias("_y"), F.lit(1).alias("_point")))
-    w, back = Window.partitionBy(key).orderBy("_x", "_point", "_y"), Window.partitionBy(key).orderBy(F.desc("_x"), F.desc("_point"), F.desc("_y"))
-    node = F.when(F.col("_point") == 0, F.struct("_x", "_y"))
-    both = both.withColumn("_a", F.last(node, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(node, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    slope = ratio(F.col("_b._y") - F.col("_a._y"), F.col("_b._x") - F.col("_a._x"))
-    value = F.when(F.col("_a").isNull(), F.col("_b._y")).when(F.col("_b").isNull() | (F.col("_x") == F.col("_a._x")), F.col("_a._y")).otherwise(F.col("_a._y") + slope * (F.col("_x") - F.col("_a._x")))
-    return both.select(key, F.col("_x").alias(at), value.alias(y), "_point").filter("_point = 1").drop("_point")
+    Nodes and points are merged in one order, which is passed once in each direction: no pairs are made. The order is dealt to
+    cells, so one key may have any number of rows; where keys are known to be small, cells=None orders each in one task."""
+    node = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rest = F.struct(*points.columns)
+    both = points.select(key, F.col(at).cast("double").alias("_x"), F.lit(1).alias("_point"), rest.alias("_row")).withColumn("_node", F.lit(None).cast("struct<x: double, y: double>"))
+    both = nodes.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(key, F.col(x).cast("double").alias("_x"), F.lit(0).alias("_point"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), node.alias("_node")).unionByName(both)
+    order = ["_x", "_point", "_node"]
+    found = around_by_key(both, key, order, "_node", "_a", "_b") if cells is None else around(both, order, "_node", "_a", "_b", cells, [key])
+    slope = ratio(F.col("_b.y") - F.col("_a.y"), F.col("_b.x") - F.col("_a.x"))
+    value = F.when(F.col("_x").isNull() | F.isnan("_x"), None).when(F.col("_a").isNull(), F.col("_b.y")).when(F.col("_b").isNull() | (F.col("_x") == F.col("_a.x")), F.col("_a.y")).otherwise(F.col("_a.y") + slope * (F.col("_x") - F.col("_a.x")))
+    return found.filter("_point = 1").select("_row.*", value.alias(y))
 
 
 def gradient(df: DataFrame, key: str, order: str, f: str, x: str) -> Column:
@@ -102,35 +107,57 @@ def gradient(df: DataFrame, key: str, order: str, f: str, x: str) -> Column:
     return F.when(fm.isNull(), (fp - f0) / hd).when(fp.isNull(), (f0 - fm) / hs).otherwise(inner)
 
 
+def pool_densities(pools: DataFrame, xs: DataFrame, prices: DataFrame) -> DataFrame:
+    """(pool, i, p, liquidity, relative): |dx / d ln P| of each pool (pool, a, x0, y0) at prices (i, p), and its share of the pool's maximum.
+
+    A pool that lacks a coin has no density. xs (x) are the balances at which the price is taken; x, y and these are in the same unit. Both grids are sent to all tasks, as they
+    don't grow with the pools, and a pool's rows are no more than theirs."""
+    sound = (F.col("x0") > 0) & (F.col("y0") > 0)
+    known = pools.select("pool", "a", F.when(sound, two_coin_d(F.col("x0"), F.col("y0"), F.col("a"))).alias("d"))
+    nodes = known.filter("d IS NOT NULL").crossJoin(F.broadcast(xs.select("x"))).select("pool", "x", marginal_price(F.col("x"), F.col("d"), F.col("a")).alias("_p"))
+    grid = known.select("pool").crossJoin(F.broadcast(prices.select("i", "p")))
+    found = interpolated(nodes, grid, "pool", "_p", "x", "p", None).withColumn("_ln", F.log("p"))
+    found = found.withColumn("liquidity", F.abs(gradient(found, "pool", "p", "x", "_ln")))
+    return found.select("pool", "i", "p", "liquidity", ratio(F.col("liquidity"), F.max("liquidity").over(Window.partitionBy("pool"))).alias("relative"))
+
+
 def liquidity_density(spark: SparkSession, amplifications: list[float], p_min: float = 0.98, p_max: float = 1.02, x_min: float = 0.1, x_max: float = 5.0, n_x: int = 3000, n_p: int = 600, x0: float = 1.0, y0: float = 1.0) -> DataFrame:
-    """(a, i, p, liquidity, relative): |dx / d ln P| over a price grid, and its share of the maximum of each amplification."""
-    amps = spark.createDataFrame([(float(a),) for a in amplifications], "a double")
-    amps = F.broadcast(amps.select("a", two_coin_d(F.lit(x0), F.lit(y0), F.col("a")).alias("d")))  # as many as are given
-    nodes = logspace(spark, x_min, x_max, n_x).crossJoin(amps).select("a", "x", marginal_price(F.col("x"), F.col("d"), F.col("a")).alias("p"))
-    grid = linspace(spark, p_min, p_max, n_p, "p").crossJoin(amps.select("a"))
-    found = interpolated(nodes, grid, "a", "p", "x", "p").withColumn("lnp", F.log("p"))
-    found = found.withColumn("liquidity", F.abs(gradient(found, "a", "p", "x", "lnp")))
-    return found.select("a", (F.row_number().over(Window.partitionBy("a").orderBy("p")) - 1).alias("i"), "p", "liquidity", (F.col("liquidity") / F.max("liquidity").over(Window.partitionBy("a"))).alias("relative"))
+    """(a, i, p, liquidity, relative): pool_densities() of one pool at several amplifications, over a grid of balances that is even by logarithm."""
+    pools = spark.createDataFrame([(float(a), float(a), float(x0), float(y0)) for a in amplifications], "pool double, a double, x0 double, y0 double")
+    return pool_densities(pools, logspace(spark, x_min, x_max, n_x), linspace(spark, p_min, p_max, n_p, "p")).withColumnRenamed("pool", "a")
 
 
 # --- closed forms ---
-def invariant_curves(grid: DataFrame, k: float = 6.0, a: float = 4.0) -> DataFrame:
-    """(x, y_sum, y_product, y_hybrid, p_sum, p_product, p_hybrid) with c = (k / 2)^2; null where a denominator is 0."""
-    x, c = F.col("x"), (k / 2) ** 2
+def invariant_curves(grid: DataFrame, k: float | Column = 6.0, a: float | Column = 4.0, *keep: str) -> DataFrame:
+    """(keep, x, y_sum, y_product, y_hybrid, p_sum, p_product, p_hybrid) with c = (k / 2)^2; null where a denominator is 0.
+
+    k is the sum of both balances and a the weight of the sum in the hybrid: numbers, or columns of the grid."""
+    x, k, a = F.col("x"), _column(k), _column(a)
+    c = k / 2 * (k / 2)
     return grid.select(
-        "x", (k - x).alias("y_sum"), ratio(F.lit(c), x).alias("y_product"), ratio(a * k + c - a * x, a + x).alias("y_hybrid"),
-        F.lit(1.0).alias("p_sum"), ratio(F.lit(c), x * x).alias("p_product"), ratio(F.lit(a * a + a * k + c), (a + x) * (a + x)).alias("p_hybrid"),
+        *keep, "x", (k - x).alias("y_sum"), ratio(c, x).alias("y_product"), ratio(a * k + c - a * x, a + x).alias("y_hybrid"),
+        F.lit(1.0).alias("p_sum"), ratio(c, x * x).alias("p_product"), ratio(a * a + a * k + c, (a + x) * (a + x)).alias("p_hybrid"),
     )
 
 
+def _column(v: float | Column) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
+def empty_at(k: float | Column = 6.0, a: float | Column = 4.0) -> dict[str, Column]:
+    """By curve, the balance at which the other coin runs out."""
+    k, a = _column(k), _column(a)
+    return {"sum": k, "hybrid": (a * k + k / 2 * (k / 2)) / a}
+
+
 def empty_points(spark: SparkSession, k: float = 6.0, a: float = 4.0) -> DataFrame:
-    """Where the other coin runs out: (curve, x)."""
-    return spark.createDataFrame([("sum", k), ("hybrid", (a * k + (k / 2) ** 2) / a)], "curve string, x double")
+    """empty_at() as rows (curve, x)."""
+    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(name).alias("curve"), x.alias("x")) for name, x in empty_at(k, a).items()))).alias("r")).select("r.*")
 
 
-def stableswap_curves(grid: DataFrame, amplifications: list[float], k: float = 6.0) -> DataFrame:
-    """(a, x, y) of the two-coin invariant in closed form."""
+def stableswap_curves(grid: DataFrame, amplifications: list[float], k: float | Column = 6.0, *keep: str) -> DataFrame:
+    """(keep, a, x, y) of the two-coin invariant in closed form; k is a number or a column of the grid."""
     amps = grid.sparkSession.createDataFrame([(float(a),) for a in amplifications], "a double")
-    x, a = F.col("x"), F.col("a")
+    x, a, k = F.col("x"), F.col("a"), _column(k)
     u = x + k * k / (4 * a) - k
-    return grid.crossJoin(F.broadcast(amps)).select("a", "x", (0.5 * (F.sqrt(u * u + k**4 / (4 * a * x)) - u)).alias("y"))
+    return grid.crossJoin(F.broadcast(amps)).select(*keep, "a", "x", (0.5 * (F.sqrt(u * u + k * k * k * k / (4 * a * x)) - u)).alias("y"))

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import curves, decompose, market, ordered, stableswap, ticks
+from tidemark.plans.spectra import polynomials, spectra, smoother_sql, weights_sql
 from tidemark.sources import fixtures as fx
 from tidemark.sources.tables import last_of_each, last_rows, linspace, load, logspace, positioned
 
@@ -62,6 +62,17 @@ def src3_logspace(spark, sf):
     return rounded(logspace(spark, 0.1, 5.0, 3000), 9, "x")
 
 
+@query("""SELECT i AS bin, round(edge, 4) AS edge, count(l_orderkey) AS n FROM (SELECT i, round(power(10::DOUBLE, log10(900.0) + (log10(110000.0) - log10(900.0)) * i / 40), 4) AS edge FROM range(41) t(i))
+  LEFT JOIN (SELECT l_orderkey, l_extendedprice AS v FROM lineitem WHERE l_extendedprice >= 900) ON v >= edge AND (i = 40 OR v < round(power(10::DOUBLE, log10(900.0) + (log10(110000.0) - log10(900.0)) * (i + 1) / 40), 4)) GROUP BY i, edge""")
+def src3_price_bins(spark, sf):
+    """How many lines have a price in each of 41 bins, even by logarithm; the last is open."""
+    edges = rounded(logspace(spark, 900.0, 110000.0, 41, "edge"), 4, "edge")
+    held = edges.agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    prices = load(spark, f"{sf}/lineitem.parquet", ["l_extendedprice"]).crossJoin(F.broadcast(held))
+    counts = prices.groupBy((F.size(F.filter("edges", lambda e: e <= F.col("l_extendedprice"))) - 1).cast("long").alias("i")).agg(F.count("*").alias("n"))
+    return edges.join(counts, "i", "left").select(F.col("i").alias("bin"), "edge", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("SELECT event_id, s AS timestamp, value::DOUBLE AS price FROM ev")
 def prj2_cast_price(spark, sf):
     return fx.pool_price(spark, sf).select("event_id", "timestamp", F.col("token1Price").cast("double").alias("price"))
@@ -261,6 +272,102 @@ def dom10_density(spark, sf):
     return rounded(rounded(df.select("a", F.col("i").cast("long").alias("i"), "p", "relative"), 9, "p"), 2, "relative")
 
 
+#: Each hour's pool of two coins, with an amplification of its own.
+_PAIRS = "SELECT hour_s, bal_USDC AS x, bal_USDT AS y, 100.0 + 300 * ((hour_s // 3600) % 13) AS a FROM pool_balances"
+
+
+def _pairs(spark, sf):
+    return fx.pool_balances(spark, sf).select("hour_s", F.col("bal_USDC").alias("x"), F.col("bal_USDT").alias("y"), (F.lit(100.0) + 300 * (F.col("hour_s") / 3600 % 13)).alias("a"))
+
+
+#: The steps of Newton's iteration for a pool (x, y, a).
+_D2 = "list_reduce(range(64)::DOUBLE[], lambda d, i: (2 * a * (x + y) + d * d / (x * 2) * d / (y * 2) * 2) * d / ((2 * a - 1) * d + d * d / (x * 2) * d / (y * 2) * 3), x + y)"
+
+
+def _other(x: str) -> str:
+    """The other balance of a pool (d, a) that holds x."""
+    beta, c = f"({x} + d / (2 * a) - d)", f"(d * d / (({x}) * 2) * d / (4 * a))"
+    return f"(CASE WHEN {beta} > 0 THEN 2 * {c} / ({beta} + sqrt({beta} * {beta} + 4 * {c})) ELSE (sqrt({beta} * {beta} + 4 * {c}) - {beta}) / 2 END)"
+
+
+@query(f"""WITH p AS ({_PAIRS}), q AS (SELECT *, {_D2} AS d FROM p), r AS (SELECT *, {_other('x')} AS y0, {_other('x * 1.001')} AS y1 FROM q)
+SELECT hour_s, round(d, 6) AS d, round(y0, 6) AS y, round(-(y1 - y0) / (x * 0.001), 6) AS price FROM r""")
+def dom7_two_coin_pools(spark, sf):
+    """D, the balance that it implies for the other coin, and the price of a move by a thousandth, of each hour's pool."""
+    x, d, a = F.col("x"), F.col("d"), F.col("a")
+    pools = _pairs(spark, sf).withColumn("d", stableswap.two_coin_d(x, F.col("y"), a))
+    found = pools.select("hour_s", "d", stableswap.two_coin_y(x, d, a).alias("y"), stableswap.marginal_price(x, d, a, 1e-3).alias("price"))
+    return rounded(found, 6, "d", "y", "price")
+
+
+@query(f"""WITH b AS (SELECT hour_s // 86400 AS pool, 100.0 + 150 * ((hour_s // 86400) % 6) AS a, round(bal_USDC / (bal_USDC + bal_USDT) * 2, 6) AS x, round(bal_USDT / (bal_USDC + bal_USDT) * 2, 6) AS y FROM pool_balances QUALIFY row_number() OVER (PARTITION BY hour_s // 86400 ORDER BY hour_s DESC) = 1),
+k AS (SELECT *, {_D2} AS d FROM b), g AS (SELECT round(power(10::DOUBLE, log10(0.1) + (log10(5.0) - log10(0.1)) * i / 2999), 9) AS x FROM range(3000) t(i)),
+h AS (SELECT pool, a, d, g.x AS x FROM k, g), r AS (SELECT pool, x, {_other('x')} AS y, {_other('x * 1.000001')} AS y2 FROM h),
+n AS (SELECT pool, x AS xx, -(y2 - y) / (x * 1e-6) AS pp FROM r), s AS (SELECT pool, pp AS p0, xx AS x0, lead(pp) OVER w AS p1, lead(xx) OVER w AS x1 FROM n WINDOW w AS (PARTITION BY pool ORDER BY pp, xx)),
+q AS (SELECT pool, i, 0.98::DOUBLE + (0.04::DOUBLE / 599) * i AS p FROM k, range(600) t(i)), f AS (SELECT pool, min(p0) AS least, arg_min(x0, p0) AS x0 FROM s GROUP BY pool),
+m AS (SELECT q.pool, i, p, CASE WHEN s.p0 IS NULL THEN f.x0 WHEN s.p1 IS NULL THEN s.x0 ELSE s.x0 + (s.x1 - s.x0) / (s.p1 - s.p0) * (p - s.p0) END AS x, ln(p) AS l FROM q ASOF LEFT JOIN s ON q.pool = s.pool AND q.p >= s.p0 JOIN f ON f.pool = q.pool),
+d AS (SELECT pool, i, p, x, l, lag(x) OVER w AS xm, lag(l) OVER w AS lm, lead(x) OVER w AS xp, lead(l) OVER w AS lp FROM m WINDOW w AS (PARTITION BY pool ORDER BY i)),
+e AS (SELECT pool, i, p, abs(CASE WHEN xm IS NULL THEN (xp - x) / (lp - l) WHEN xp IS NULL THEN (x - xm) / (l - lm) ELSE ((l - lm) * (l - lm) * xp + ((lp - l) * (lp - l) - (l - lm) * (l - lm)) * x - (lp - l) * (lp - l) * xm) / ((l - lm) * (lp - l) * (lp - lm)) END) AS v FROM d)
+SELECT pool, i, round(p, 9) AS p, round(v / max(v) OVER (PARTITION BY pool), 4) AS relative FROM e""")
+def dom10_pool_densities(spark, sf):
+    """The density of liquidity of each day's last pool, in units of half its balances, as a share of its maximum."""
+    total = F.col("bal_USDC") + F.col("bal_USDT")
+    day = F.floor(F.col("hour_s") / 86400)
+    last = fx.pool_balances(spark, sf).groupBy(day.alias("pool")).agg(F.max_by(F.struct(*(F.round(F.col(f"bal_{c}") / total * 2, 6).alias(n) for c, n in (("USDC", "x0"), ("USDT", "y0")))), "hour_s").alias("b"))
+    pools = last.select("pool", (F.lit(100.0) + 150 * (F.col("pool") % 6)).alias("a"), "b.x0", "b.y0")
+    found = stableswap.pool_densities(pools, rounded(logspace(spark, 0.1, 5.0, 3000), 9, "x"), linspace(spark, 0.98, 1.02, 600, "p"))
+    return rounded(rounded(found.drop("liquidity"), 9, "p"), 4, "relative")
+
+
+_NODES = "SELECT epoch(l_shipdate)::BIGINT AS s, max(l_extendedprice) AS v FROM lineitem GROUP BY 1"
+
+
+@query(f"""WITH n AS ({_NODES}), o AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS s FROM orders),
+b AS (SELECT o_orderkey, o.s, n.s AS s0, n.v AS v0 FROM o ASOF LEFT JOIN n ON o.s >= n.s), c AS (SELECT b.*, n.s AS s1, n.v AS v1 FROM b ASOF LEFT JOIN n ON b.s < n.s)
+SELECT o_orderkey, s, round(CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL OR s = s0 THEN v0 ELSE v0 + (v1 - v0) / (s1 - s0) * (s - s0) END, 6) AS price FROM c""")
+def jn8_interpolated_series(spark, sf):
+    """The highest price by day of shipment, read at the time of each order: one key for all rows."""
+    seconds = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+    lines = load(spark, f"{sf}/lineitem.parquet", ["l_shipdate", "l_extendedprice"])
+    nodes = lines.groupBy(seconds("l_shipdate").alias("s")).agg(F.max("l_extendedprice").alias("price")).withColumn("key", F.lit(0))
+    points = load(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_orderdate"]).select("o_orderkey", seconds("o_orderdate").alias("s"), F.lit(0).alias("key"))
+    return rounded(stableswap.interpolated(nodes, points, "key", "s", "price", "s").drop("key"), 6, "price")
+
+
+_GRADIENT = """CASE WHEN xm IS NULL THEN (fp - f) / (xp - x) WHEN xp IS NULL THEN (f - fm) / (x - xm)
+  ELSE ((x - xm) * (x - xm) * fp + ((xp - x) * (xp - x) - (x - xm) * (x - xm)) * f - (xp - x) * (xp - x) * fm) / ((x - xm) * (xp - x) * ((x - xm) + (xp - x))) END"""
+
+
+@query(f"""SELECT part, t, round({_GRADIENT}, 9) + 0.0 AS slope FROM (SELECT part, t, t::DOUBLE AS x, v AS f, lag(t::DOUBLE) OVER w AS xm, lead(t::DOUBLE) OVER w AS xp, lag(v) OVER w AS fm, lead(v) OVER w AS fp
+  FROM (SELECT l_partkey AS part, epoch(l_shipdate)::BIGINT // 86400 AS t, ln(max(l_extendedprice)) AS v FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY part ORDER BY t))""")
+def win8_price_gradient(spark, sf):
+    """The slope of the logarithm of each part's price by day of shipment; the days are unevenly apart."""
+    lines = load(spark, f"{sf}/lineitem.parquet", ["l_partkey", "l_shipdate", "l_extendedprice"])
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    prices = lines.groupBy(F.col("l_partkey").alias("part"), day.alias("t")).agg(F.log(F.max("l_extendedprice")).alias("v")).withColumn("x", F.col("t").cast("double"))
+    return rounded(prices.withColumn("slope", stableswap.gradient(prices, "part", "t", "v", "x")).select("part", "t", "slope"), 9, "slope")
+
+
+@query(f"""SELECT hour_s, round(x, 6) AS x, round(k - x, 6) AS y_sum, round(c / x, 6) AS y_product, round((a * k + c - a * x) / (a + x), 6) AS y_hybrid, 1.0::DOUBLE AS p_sum, round(c / (x * x), 6) AS p_product, round((a * a + a * k + c) / ((a + x) * (a + x)), 6) AS p_hybrid
+  FROM (SELECT hour_s, x, a, x + y AS k, (x + y) / 2 * ((x + y) / 2) AS c FROM ({_PAIRS}))""")
+def dom12_pool_invariants(spark, sf):
+    """What each hour's pool would hold of the other coin, and its price, under the sum, the product and the hybrid of both."""
+    found = stableswap.invariant_curves(_pairs(spark, sf), F.col("x") + F.col("y"), F.col("a"), "hour_s")
+    return rounded(found, 6, *(c for c in found.columns if c != "hour_s"))
+
+
+@query(f"SELECT hour_s, round(x + y, 6) AS empty_sum, round((a * (x + y) + (x + y) / 2 * ((x + y) / 2)) / a, 6) AS empty_hybrid FROM ({_PAIRS})")
+def dom14_pool_empty_points(spark, sf):
+    ends = stableswap.empty_at(F.col("x") + F.col("y"), F.col("a"))
+    return rounded(_pairs(spark, sf).select("hour_s", *(v.alias(f"empty_{c}") for c, v in ends.items())), 6, "empty_sum", "empty_hybrid")
+
+
+@query(f"""SELECT hour_s, a, round(x, 6) AS x, round(0.5 * (sqrt(u * u + k * k * k * k / (4 * a * x)) - u), 5) AS y FROM (SELECT hour_s, x, v.a::DOUBLE AS a, k, x + k * k / (4 * v.a::DOUBLE) - k AS u FROM (SELECT hour_s, x, x + y AS k FROM ({_PAIRS})), (VALUES (1), (4), (10), (100)) v(a))""")
+def dom15_pool_curves(spark, sf):
+    pools = _pairs(spark, sf).drop("a")
+    return rounded(rounded(stableswap.stableswap_curves(pools, [1, 4, 10, 100], F.col("x") + F.col("y"), "hour_s"), 6, "x"), 5, "y")
+
+
 @query("SELECT round(x, 9) AS x, round(6 - x, 9) AS y_sum, round(9 / x, 9) AS y_product, round((33 - 4 * x) / (4 + x), 9) AS y_hybrid, 1.0::DOUBLE AS p_sum, round(9 / (x * x), 9) AS p_product, round(49 / ((4 + x) * (4 + x)), 9) AS p_hybrid FROM (SELECT 0.1 + 8.9 * i / 499 AS x FROM range(500) t(i))")
 def dom12_invariants(spark, sf):
     df = stableswap.invariant_curves(linspace(spark, 0.1, 9.0, 500))
@@ -436,11 +543,26 @@ def win4_hopping_windows(spark, sf):
 
 
 # --- decomposition ---
-@query()
+_ALL = "SELECT 0 AS w, t, j, y FROM cells"
+
+
+@query(spectra(_ALL, 5) + " SELECT 0 AS window_id, t_start, t_end, k, round(e, 9) AS eigenvalue, round(sum(e) OVER (ORDER BY k) / total, 9) AS cpve FROM spectra JOIN totals USING (w)")
 def dom28_pca(spark, sf):
     return rounded(decompose.pca(fx.matrix(spark, sf)), 9, "eigenvalue", "cpve").drop("loading")
 
 
+@query(spectra(_ALL, 5) + " SELECT k, unnest(range(len(u)))::INT AS j, round(unnest(u), 6) + 0.0 AS loading FROM spectra")
+def dom28_loadings(spark, sf):
+    found = decompose.sign_fixed(decompose.pca(fx.matrix(spark, sf)))
+    return rounded(found.select("k", F.posexplode("loading").alias("j", "loading")), 6, "loading")
+
+
+@query(spectra(_ALL, 5) + " SELECT n0.t[i]::BIGINT AS t, k, round(sum(n0.v[i] * u[j + 1]), 6) + 0.0 AS score FROM n0, (SELECT unnest(range(1, max(n) + 1)) AS i FROM n0), spectra GROUP BY n0.t[i], k")
+def dom28_scores(spark, sf):
+    rows = fx.matrix(spark, sf)
+    return rounded(decompose.scores(rows, decompose.sign_fixed(decompose.pca(rows))), 6, "score")
+
+
 @query("SELECT t, round(sqrt(sum((y - m) * (y - m))), 6) AS norm FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) GROUP BY t")
 def dom28_scores_keep_norm(spark, sf):
     """Scores on all components are a rotation: their length is that of the centred curve."""
@@ -459,7 +581,10 @@ def dom29_rolling_trace(spark, sf):
     return rounded(found.groupBy("window_id").agg(F.sum("eigenvalue").alias("total")), 8, "total")
 
 
-@query()
+_ROLLED = "SELECT window_id AS w, t, j, y FROM (" + _WINDOWS + " SELECT * FROM w) JOIN cells USING (t)"
+
+
+@query(spectra(_ROLLED, 7) + " SELECT * FROM (SELECT w AS window_id, t_start, t_end, k, round(sum(e) OVER (PARTITION BY w ORDER BY k) / total, 9) AS cpve FROM spectra JOIN totals USING (w)) WHERE k >= 3")
 def dom29_rolling_cpve(spark, sf):
     return rounded(decompose.cpve(decompose.rolling_components(fx.matrix(spark, sf), SIZE, STEP), [3, 4, 5, 6, 7]), 9, "cpve")
 
@@ -467,13 +592,19 @@ def dom29_rolling_cpve(spark, sf):
 @query(_WINDOWS + " SELECT k::INT AS k, (SELECT count(DISTINCT window_id) FROM w)::BIGINT AS windows, 0::BIGINT AS against FROM range(1, 6) f(k)")
 def dom30_aligned_signs(spark, sf):
     """No aligned loading points against the one before it."""
-    from pyspark.sql import Window
-
     found = decompose.aligned(decompose.rolling_components(fx.matrix(spark, sf), SIZE, STEP, 5))
     turn = curves.dot(F.lag("loading").over(Window.partitionBy("k").orderBy("window_id")), F.col("loading"))
     return found.select("k", turn.alias("d")).groupBy("k").agg(F.count("*").alias("windows"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("against"))
 
 
+@query(spectra(_ROLLED, 5) + " SELECT a.k, a.w AS window_id, round(abs(list_dot_product(a.u, b.u)), 6) AS product FROM spectra a JOIN spectra b ON a.k = b.k AND a.w = b.w + 1")
+def dom30_aligned_products(spark, sf):
+    """Each aligned loading's product with the one of the window before, which alignment makes positive."""
+    found = decompose.aligned(decompose.rolling_components(fx.matrix(spark, sf), SIZE, STEP, 5))
+    turn = curves.dot(F.lag("loading").over(Window.partitionBy("k").orderBy("window_id")), F.col("loading"))
+    return rounded(found.select("k", "window_id", turn.alias("product")).filter("product IS NOT NULL"), 6, "product")
+
+
 def _compared(window: str, kept: str) -> str:
     return f"""WITH o AS (SELECT vec_id AS t, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings), w AS (SELECT t, ({window})::INT AS window_id FROM o WHERE {kept})
     SELECT window_id, round(sum(v), 8) AS total, 64.0::DOUBLE AS length FROM (SELECT window_id, j, var_samp(y) AS v FROM w JOIN cells USING (t) GROUP BY 1, 2) GROUP BY 1"""
@@ -519,7 +650,8 @@ def agg14_cumulative_share(spark, sf):
     return rounded(decompose.cpve(decompose.rolling_components(fx.matrix(spark, sf), SIZE, STEP), [64, 100]), 9, "cpve")
 
 
-@query()
+@query(spectra(_ROLLED, 5) + f""", q AS ({polynomials(64)} SELECT unnest(range(5)) AS d, unnest([q0, q1, q2, q3, q4]) AS q FROM q)
+SELECT t_end AS window_time, f::INT AS k, round(sqrt(2 * greatest(0, f - sum(list_dot_product(u, q.q) ** 2))), 9) AS distance FROM range(1, 6) r(f) JOIN spectra s ON s.k <= f JOIN q ON q.d < f JOIN totals USING (w) GROUP BY w, t_end, f""")
 def dom34_rolling_distance(spark, sf):
     return rounded(decompose.rolling_distance(fx.matrix(spark, sf), SIZE, STEP), 9, "distance")
 
@@ -548,17 +680,29 @@ def dom33_orthonormal_basis(spark, sf):
     return rounded(rows.crossJoin(F.broadcast(other)).select("k", "i", curves.dot(F.col("v"), F.col("u")).alias("product")), 9, "product")
 
 
-def _weights(p: int = 64) -> str:
-    w = decompose.legendre_weights(p)[1]
-    return "SELECT * FROM (VALUES " + ", ".join(f"({j}, {d}, {float(w[j, d])!r}::DOUBLE)" for j in range(p) for d in range(6)) + ") v(j, degree, w)"
+@query(f"WITH q AS ({polynomials(64)} SELECT unnest(range(1, 6)) AS k, unnest([q0, q1, q2, q3, q4]) AS q FROM q) SELECT vec_id AS t, k::INT AS k, round(list_dot_product(embedding::DOUBLE[], q.q) ** 2, 7) AS energy FROM embeddings, q")
+def dom33_projected_energy(spark, sf):
+    """The squared score of each curve on the orthonormal polynomials."""
+    found = decompose.projections(fx.matrix(spark, sf), 5, 64)
+    return rounded(found.select("t", "k", (F.col("score") * F.col("score")).alias("energy")), 7, "energy")
 
 
-@query(f"WITH w AS ({_weights()}) SELECT t, degree::INT AS degree, round(sum((y - m) * w), 7) + 0.0 AS score FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) JOIN w USING (j) GROUP BY t, degree")
+_AT_TICKS = "SELECT DISTINCT greatest(-1.0, least(1.0, (tickLower - poolTick) / 50.0))::DOUBLE AS x FROM hourly_liquidity"
+
+
+@query(f"""SELECT round(x, 9) + 0.0 AS x, degree::INT AS degree, round(CASE degree WHEN 0 THEN 1 WHEN 1 THEN x WHEN 2 THEN (3 * x * x - 1) / 2 WHEN 3 THEN (5 * x * x * x - 3 * x) / 2 ELSE (35 * x * x * x * x - 30 * x * x + 3) / 8 END, 9) + 0.0 AS value FROM ({_AT_TICKS}), range(5) d(degree)""")
+def dom38_basis_at_ticks(spark, sf):
+    """The polynomials at every place that a stored tick takes."""
+    points = curves.normalised(fx.hourly_liquidity(spark, sf), -1, None).select(F.col("tick_norm").alias("x")).distinct()
+    return rounded(decompose.basis_at(points), 9, "x", "value")
+
+
+@query(f"WITH w AS ({weights_sql()}) SELECT t, degree::INT AS degree, round(sum((y - m) * w), 7) + 0.0 AS score FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) JOIN w USING (j) GROUP BY t, degree")
 def dom35_legendre_scores(spark, sf):
     return rounded(decompose.legendre_scores(fx.matrix(spark, sf)), 7, "score")
 
 
-@query(f"WITH w AS ({_weights()}) SELECT t, " + ", ".join(f"round(sum((y - m) * w) FILTER (degree = {d}), 7) + 0.0 AS Legendre_deg{d}" for d in range(6)) + " FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) JOIN w USING (j) GROUP BY t")
+@query(f"WITH w AS ({weights_sql()}) SELECT t, " + ", ".join(f"round(sum((y - m) * w) FILTER (degree = {d}), 7) + 0.0 AS Legendre_deg{d}" for d in range(6)) + " FROM cells JOIN (SELECT j, avg(y) AS m FROM cells GROUP BY j) USING (j) JOIN w USING (j) GROUP BY t")
 def scl12_score_columns(spark, sf):
     return decompose.score_columns(rounded(decompose.legendre_scores(fx.matrix(spark, sf), p=64), 7, "score"))
 
@@ -570,24 +714,18 @@ def _series(variant: str, centered: bool) -> str:
     SELECT d.*, avg(value) OVER (PARTITION BY j) AS m FROM d) JOIN weights101 USING (j) GROUP BY hour_s, degree"""
 
 
-@query(f"WITH weights101 AS ({_weights(2 * curves.HALF_WIDTH + 1)}) {_series('price', False)} UNION ALL {_series('peg', True)}")
+@query(f"WITH weights101 AS ({weights_sql(2 * curves.HALF_WIDTH + 1)}) {_series('price', False)} UNION ALL {_series('peg', True)}")
 def dom39_score_series(spark, sf):
-    price, peg = (curves.as_rows(curves.dense(_curves(spark, sf, c, None))) for c in (False, True))
+    price, peg = (curves.dense_rows(_curves(spark, sf, c, None)) for c in (False, True))
     return rounded(decompose.score_series(5, 2 * curves.HALF_WIDTH + 1, price=price, peg=peg), 6, "score")
 
 
-def _smoother() -> str:
-    phi, w = decompose.legendre_weights(64)
-    s = np.asarray(phi @ w.T)
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {float(s[i, j])!r}::DOUBLE)" for i in range(64) for j in range(64)) + ") v(i, j, s)"
-
-
-@query(f"WITH s AS ({_smoother()}), m AS (SELECT j, avg(y) AS m FROM cells GROUP BY j), c AS (SELECT j, y, m FROM cells JOIN m USING (j) WHERE t = 7) SELECT i::INT AS j, round(b.y, 7) AS y, round(sum(s * (c.y - c.m)) + b.m, 7) AS fitted, round(b.y - sum(s * (c.y - c.m)) - b.m, 7) + 0.0 AS residual FROM s JOIN c USING (j) JOIN c b ON b.j = i GROUP BY i, b.y, b.m")
+@query(f"WITH s AS ({smoother_sql(64)}), m AS (SELECT j, avg(y) AS m FROM cells GROUP BY j), c AS (SELECT j, y, m FROM cells JOIN m USING (j) WHERE t = 7) SELECT i::INT AS j, round(b.y, 7) AS y, round(sum(s * (c.y - c.m)) + b.m, 7) AS fitted, round(b.y - sum(s * (c.y - c.m)) - b.m, 7) + 0.0 AS residual FROM s JOIN c USING (j) JOIN c b ON b.j = i GROUP BY i, b.y, b.m")
 def dom37_reconstruction(spark, sf):
     return rounded(decompose.reconstruction(fx.matrix(spark, sf), 7), 7, "y", "fitted", "residual")
 
 
-@query(f"WITH s AS ({_smoother()}), m AS (SELECT j, avg(y) AS m FROM cells GROUP BY j), c AS (SELECT t, j, y, y - m AS x FROM cells JOIN m USING (j)), f AS (SELECT c.t, s.i, sum(s.s * c.x) AS f FROM c JOIN s USING (j) GROUP BY 1, 2) SELECT c.t, round(sum((c.x - f.f) * (c.x - f.f)), 6) AS residual, round(sum(c.y - c.x + f.f), 6) + 0.0 AS fitted FROM f JOIN c ON c.t = f.t AND c.j = f.i GROUP BY 1")
+@query(f"WITH s AS ({smoother_sql(64)}), m AS (SELECT j, avg(y) AS m FROM cells GROUP BY j), c AS (SELECT t, j, y, y - m AS x FROM cells JOIN m USING (j)), f AS (SELECT c.t, s.i, sum(s.s * c.x) AS f FROM c JOIN s USING (j) GROUP BY 1, 2) SELECT c.t, round(sum((c.x - f.f) * (c.x - f.f)), 6) AS residual, round(sum(c.y - c.x + f.f), 6) + 0.0 AS fitted FROM f JOIN c ON c.t = f.t AND c.j = f.i GROUP BY 1")
 def dom35_fitted_and_residual(spark, sf):
     """Sums over the fitted curve and the squared residuals of every curve."""
     fit = decompose.legendre_fit(fx.matrix(spark, sf), p=64)

@@ -103,6 +103,8 @@ SQL = {
 
 def with_tables(sql: str) -> str:
     """sql with the projections it may name before it."""
-    before = "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in SQL.items())
     sql = sql.strip()
+    recursive = "RECURSIVE " if sql.startswith("WITH RECURSIVE ") else ""
+    sql = sql.replace("WITH RECURSIVE ", "WITH ", 1) if recursive else sql
+    before = f"WITH {recursive}" + ",\n".join(f"{k} AS ({v})" for k, v in SQL.items())
     return f"{before},\n{sql[5:]}" if sql.startswith("WITH ") else f"{before}\n{sql}"
