@@ -136,7 +136,8 @@ def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> Frequ
     """Bitmaps (2^bits bits) of the hashes that (bucket, hashes) rows list as often as the first of thresholds that fills an eighth of
     the bits at most, and as often as the last one. With one threshold there is one bitmap.
 
-    Buckets are counted one after another in an array of fixed size, whatever the number of rows. The driver gets compressed bitmaps."""
+    Buckets are counted one after another in an array of fixed size, whatever the number of rows, and lists come to a worker in batches
+    of BATCH_BYTES. The driver gets compressed bitmaps."""
     width = 1 << 32 - (BUCKETS.bit_length() - 1)
     fold = 1 << 32 - bits
 
@@ -158,7 +159,9 @@ def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> Frequ
         if now >= 0:
             yield done()
 
-    rows = listed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, "bucket int, threshold int, filled long, bits binary").collect()
+    table = written(listed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, "bucket int, threshold int, filled long, bits binary"), "frequent", BATCH_BYTES)
+    rows = table.collect()
+    discard(table)
     size, last = (1 << bits - 3) // BUCKETS, thresholds[-1]
     first = next((t for t in thresholds if sum(r["filled"] for r in rows if r["threshold"] == t) <= 1 << bits - 3), last)
     out = {t: np.zeros(1 << bits - 3, np.uint8) for t in (first, last)[: len(thresholds)]}
