@@ -4,6 +4,7 @@ import pytest
 from conftest import same
 
 import __spark_entry__
+from tidemark.operators import stableswap
 from tidemark.plans import queries
 
 
@@ -28,3 +29,10 @@ def test_whole_curves_reach_the_last_hour(spark, sf, duck):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 50
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_series_of_many_cells_is_searched_once(spark, sf, duck, monkeypatch):
+    monkeypatch.setattr(stableswap.interpolated, "__defaults__", (20,))
+    df = queries.QUERIES["jn8_interpolated_series"](spark, sf)
+    assert "isnotnull(aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()  # a copy of the search below the union, which the optimizer may fail on
+    same(df, duck.sql(queries.SQL["jn8_interpolated_series"]))

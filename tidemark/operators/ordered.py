@@ -57,6 +57,8 @@ def dealt(df: DataFrame, order: str, out: str = "_cell", cells: int = CELLS, tie
     # how many splitters that are: a binary search
     steps = F.array(*(F.lit(1 << i) for i in reversed(range((2 * cells).bit_length()))))
     cell = F.aggregate(steps, F.lit(0), lambda low, step: F.when(reached(low + step - 1), low + step).otherwise(low))
+    # never null, and known not to be: a join by out would else search once more below a union to drop nulls, in names that the union's parts don't have
+    cell = F.coalesce(cell, F.lit(0))
     return rows.crossJoin(F.broadcast(splitters)).withColumn(out, cell).drop("_size", *(f"_kept_{n}" for n in names))
 
 
