@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import curves, decompose, ordered, stableswap, ticks
+from tidemark.plans import queries
 from tidemark.sources import fixtures as fx
 from tidemark.sources.tables import floored_within, last_of_each, last_rows, positioned
 
@@ -215,3 +216,16 @@ def test_loadings_are_turned_by_their_farthest_entry(spark):
     found = spark.createDataFrame([(1, [0.1, -0.9, 0.9]), (2, [-0.2, 0.8]), (3, [0.0, 0.0])], "k int, loading array<double>")
     got = {r["k"]: r["loading"] for r in decompose.sign_fixed(found).collect()}
     assert got == {1: [-0.1, 0.9, -0.9], 2: [-0.2, 0.8], 3: [0.0, 0.0]}
+
+
+def test_rows_of_a_stored_table_are_not_dealt_by_file(spark, sf):
+    for name in ("flt12_slice_as_stored", "lim1_tail_as_stored", "lim2_last_row"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [_file" in plan and "SortAggregate" not in plan
+    places = positioned(spark, f"{sf}/lineitem.parquet", ["l_orderkey"])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning(_file" not in places.select("l_orderkey", "pos")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -48,7 +48,8 @@ def floored_within(stored: str, unit_s: int, first: int | None = None, last: int
 def positioned(spark: SparkSession, path: str, columns: list[str] | None = None, name: str = "pos") -> DataFrame:
     """A Parquet table's columns and `name`, each row's place in the table from 0: files by name, rows as they stand in them.
 
-    Nothing is sorted: a row's place in its file is the reader's, and what stands before a file is a prefix sum over one row for each file."""
+    Nothing is sorted: a row's place in its file is the reader's, and what stands before a file is a prefix sum over one row for each file.
+    These go to every task, as the list of files does, so that the rows of a large file stay in the tasks that read them."""
     df = spark.read.parquet(path)
     wanted = columns or df.columns
     missing = [c for c in wanted if c not in df.columns]
@@ -58,7 +59,7 @@ def positioned(spark: SparkSession, path: str, columns: list[str] | None = None,
     sizes = df.select(*place).groupBy("_file").agg((F.max("_row") + 1).alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return df.select(*wanted, *place).join(starts, "_file").select(*wanted, (F.col("_start") + F.col("_row")).alias(name))
+    return df.select(*wanted, *place).join(F.broadcast(starts), "_file").select(*wanted, (F.col("_start") + F.col("_row")).alias(name))
 
 
 def last_rows(rows: DataFrame, n: int = 1, place: str = "pos") -> DataFrame:
