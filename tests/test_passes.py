@@ -219,7 +219,7 @@ def test_loadings_are_turned_by_their_farthest_entry(spark):
 
 
 def test_rows_of_a_stored_table_are_not_dealt_by_file(spark, sf):
-    for name in ("flt12_slice_as_stored", "lim1_tail_as_stored", "lim2_last_row"):
+    for name in ("flt12_slice_as_stored", "lim1_tail_as_stored", "lim2_last_row", "agg9_last_as_stored"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin [_file" in plan and "SortAggregate" not in plan
     places = positioned(spark, f"{sf}/lineitem.parquet", ["l_orderkey"])
@@ -229,3 +229,8 @@ def test_rows_of_a_stored_table_are_not_dealt_by_file(spark, sf):
         assert "hashpartitioning(_file" not in places.select("l_orderkey", "pos")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_last_row_of_a_key_keeps_its_nulls(spark):
+    rows = spark.createDataFrame([(1, 5, "a", 1.0), (1, 9, None, None), (2, 3, "b", 2.0), (2, 1, "c", None)], "k int, pos long, s string, v double")
+    assert sorted(map(tuple, last_of_each(rows, "k").collect())) == [(1, 9, None, None), (2, 3, "b", 2.0)]

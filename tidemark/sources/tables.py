@@ -68,6 +68,7 @@ def last_rows(rows: DataFrame, n: int = 1, place: str = "pos") -> DataFrame:
 
 
 def last_of_each(rows: DataFrame, *keys: str, place: str = "pos") -> DataFrame:
-    """One row for each key: the one that stands last."""
-    names = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), place).alias("_last")).select(*keys, "_last.*")
+    """One row for each key: the one that stands last.
+
+    Columns are taken one by one, so that numbers are aggregated by hash, without a sort of all rows, and columns that aren't used are left out."""
+    return rows.groupBy(*keys).agg(*(F.max_by(F.col(f"`{c}`"), place).alias(c) for c in rows.columns if c not in keys))
