@@ -36,3 +36,11 @@ def test_series_of_many_cells_is_searched_once(spark, sf, duck, monkeypatch):
     df = queries.QUERIES["jn8_interpolated_series"](spark, sf)
     assert "isnotnull(aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()  # a copy of the search below the union, which the optimizer may fail on
     same(df, duck.sql(queries.SQL["jn8_interpolated_series"]))
+
+
+def test_logarithms_of_nothing(spark, tmp_path):
+    values = [0.0, -0.0, -1.0, 2.5, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").selectExpr("event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "'view' AS event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: (r["log1p"], r["log10"]) for r in queries.QUERIES["scl_numeric"](spark, str(tmp_path)).collect()}
+    low = float("-inf")
+    assert got == {0: (0.0, low), 1: (0.0, low), 2: (low, None), 3: (1.252762968, 0.397940009), 4: (None, None)}

@@ -27,6 +27,11 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def log_of(x: Column, log=F.log) -> Column:
+    """A logarithm of x, -infinity at 0; null where x is null or below 0."""
+    return F.when(x == 0, float("-inf")).otherwise(log(x))
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 

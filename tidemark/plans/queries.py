@@ -124,7 +124,7 @@ def agg4_distinct_hours(spark, sf):
 @query("SELECT event_id, round(ln(1 + value), 9) AS log1p, round(log10(value), 9) AS log10, round(sqrt(value), 9) AS root, greatest(-1.0, least(1.0, (value - 50) / 50)) AS clipped, round(s / 86400.0, 9) AS day FROM ev")
 def scl_numeric(spark, sf):
     v = F.col("value")
-    df = fx.events(spark, sf).select("event_id", F.log1p(v).alias("log1p"), F.log10(v).alias("log10"), F.sqrt(v).alias("root"), scalars.clip((v - 50) / 50, -1.0, 1.0).alias("clipped"), scalars.day_number(F.col("s")).alias("day"))
+    df = fx.events(spark, sf).select("event_id", F.when(v == -1, float("-inf")).otherwise(F.log1p(v)).alias("log1p"), scalars.log_of(v, F.log10).alias("log10"), F.sqrt(v).alias("root"), scalars.clip((v - 50) / 50, -1.0, 1.0).alias("clipped"), scalars.day_number(F.col("s")).alias("day"))
     return rounded(df, 9, "log1p", "log10", "root", "day")
 
 
