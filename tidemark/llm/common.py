@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -82,6 +83,14 @@ def discard(*tables: DataFrame) -> None:
             delete(table.sparkSession, path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Has the driver drop what the steps so far have left: their plans, and the broadcasts and shuffles that go with these.
+
+    Many short steps leave little each, so that the JVM would rather widen its heap than clear it."""
+    gc.collect()  # a plan lives as long as Python has its DataFrame
+    spark.sparkContext._jvm.System.gc()
+
+
 def weighed(rows: DataFrame, table: DataFrame, key: str, weight: str, n_rows: int, how: str = "inner") -> DataFrame:
     """rows joined with table (one row a key) by key, inner or left; weight, a column of table, tells how many of the rows have the key.
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, empty, weighed, written
+from tidemark.llm.common import discard, empty, settle, weighed, written
 
 SHINGLE, PERCENT = 3, 90
 #: Tokens in HOT lists or more come last in every order, tokens in several before them: two bitmaps of 2^BITS to 2^MOST_BITS bits
@@ -162,6 +162,7 @@ def frequent(listed: DataFrame, thresholds: tuple[int, ...], bits: int) -> Frequ
     table = written(listed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, "bucket int, threshold int, filled long, bits binary"), "frequent", BATCH_BYTES)
     rows = table.collect()
     discard(table)
+    settle(table.sparkSession)
     size, last = (1 << bits - 3) // BUCKETS, thresholds[-1]
     first = next((t for t in thresholds if sum(r["filled"] for r in rows if r["threshold"] == t) <= 1 << bits - 3), last)
     out = {t: np.zeros(1 << bits - 3, np.uint8) for t in (first, last)[: len(thresholds)]}
@@ -233,6 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots._scratch = written_roots._scratch
         if not changed:
             discard(both)
+            settle(edges.sparkSession)
             return roots
 
 
@@ -275,6 +277,7 @@ def _meet(pairs: DataFrame, docs: DataFrame, shingle: int, make, compare, schema
 
     out = written(rows.select("doc_id", "host", "part", "hosts", "blob").mapInPandas(run, schema), "met", BATCH_BYTES)
     discard(routes)
+    settle(docs.sparkSession)
     return out
 
 
@@ -376,14 +379,14 @@ def _shared_differences(spokes: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossed(a: DataFrame, b: DataFrame, keys: list[str], largest: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """a and b joined by keys, with fields as ..._a and ..._b, without pairs of two documents of the key's largest class; only keys in largest."""
+    """a and b joined by keys, with fields as ..._a and ..._b, without pairs of two documents of the key's largest class; only keys in largest.
+
+    One join: a second key sends those of a's largest class to what others b has, and the rest of a to all of b."""
     hint = F.broadcast if largest.count() <= BROADCAST_IDS else lambda x: x
-    sides = {}
-    for name, rows in (("a", a), ("b", b)):
-        rows = rows.join(hint(largest), keys)
-        sides[name] = [rows.filter(c).select(*keys, *(F.col(f).alias(f"{f}_{name}") for f in fields)) for c in ("root <> largest", "root = largest")]
-    others = sides["a"][0].join(sides["b"][0].unionByName(sides["b"][1]), keys)
-    return others.unionByName(sides["a"][1].join(sides["b"][0], keys))
+    top = F.col("root") == F.col("largest")
+    to_others = {"a": top, "b": F.explode(F.when(top, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))}
+    sides = [rows.join(hint(largest), keys).withColumn("to_others", to_others[name]).select(*keys, "to_others", *(F.col(f).alias(f"{f}_{name}") for f in fields)) for name, rows in (("a", a), ("b", b))]
+    return sides[0].join(sides[1], [*keys, "to_others"])
 
 
 def _pairs_of_a_hub(rows: DataFrame, roots: DataFrame, percent: int, star: int | None = None) -> DataFrame:
@@ -487,6 +490,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     shared = written(spread_rows.groupBy("token").agg(F.count("*").alias("df"), F.count(F.when(near, 1)).alias("near")).filter("df > 1 AND near > 0").select("token", "df"), "tokens")
     rows = written(weighed(spread_rows, shared, "token", "df", spread_rows.count()).withColumn("near", near), "buckets")
     discard(prefixes, spread_rows, shared)
+    twice.destroy()
 
     # a hub for each document: of the largest bucket of its token and size; hubs are documents of which most tokens are frequent
     large = rows.filter(F.col("df") >= FAMILY)
@@ -518,7 +522,10 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     by_node = roots.withColumnRenamed("node", "doc_id")
     own = rows.select("doc_id").distinct().join(apart.select("doc_id", "hub").distinct(), "doc_id", "left").join(by_node, "doc_id", "left")
     own = written(own.select("doc_id", F.coalesce("hub", "doc_id").alias("hub"), F.coalesce("root", "doc_id").alias("root")), "classes")
-    pairs = written(fresh(_pairs_across_hubs(rows, own, percent).unionByName(_pairs_of_a_hub(family, roots, percent)).distinct()), "pairs")
+    # what the driver compiles, and broadcasts at the same time, grows with a plan: each kind of pairs has its own
+    across, inside = written(_pairs_across_hubs(rows, own, percent), "across"), written(_pairs_of_a_hub(family, roots, percent), "inside")
+    pairs = written(fresh(across.unionByName(inside).distinct()), "pairs")
+    discard(across, inside)
     found.append(_verify(pairs, docs, known, shingle, percent))
     discard(roots)
     roots = components(links.unionByName(found[-1]).unionByName(_links_of_ids(some, sets, n_rows)))
@@ -532,6 +539,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     out = [x.select("doc_id", "n", "key", "rep", "root") for x in parts]
     known_sets = written(out[0].unionByName(out[1]).unionByName(out[2]), "known")
     discard(shingled, sets, multi, rows, spokes, apart, family, own, pairs)
+    known.destroy()
     return known_sets
 
 
