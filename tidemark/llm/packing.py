@@ -2,8 +2,8 @@
 
 Documents are cut into pieces of at most `room` ids. Only the histogram of piece lengths (at most `room` rows) reaches
 the driver, where lengths are placed longest first into the packs that are shortest so far; packs of one pattern are
-kept as a count, never one by one. The resulting slots (length, ranks, sequences, offset) are joined back to the
-pieces by each piece's rank within its length.
+kept as a count, never one by one. The resulting slots (length, ranks, sequences, offset) are broadcast and joined to the
+pieces by each piece's rank within its length. Only texts go to Python and only pieces come back, a few MB at once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ from tidemark.llm.tokens import VOCABULARY, encoder
 ROOM = 2048
 #: Pieces of one length that are ranked together; longer lists of equal lengths are split into hash buckets.
 RANKED_TOGETHER = 50_000
+#: Bytes of texts that a Python worker gets at once, and ids that it gives back at once, about.
+BATCH_BYTES, IDS_AT_ONCE = 4 << 20, 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -31,18 +32,23 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids cut into runs of `room`, the last one shorter.
 
     ids is little-endian uint32. A null or empty text has the end id only; repeated rows give repeated pieces."""
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary)
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for doc, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
                 ids = enc.ids(text)
                 for start in range(0, len(ids), room):
                     raw = ids[start : start + room].astype("<u4").tobytes()
-                    rows.append((doc, start, len(raw) // 4, zlib.crc32(raw), len(ids), raw))
-            made = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]).astype({"doc_id": "Int64"})
-            yield made if keep_ids else made.drop(columns="ids")
+                    rows.append((doc, start, len(raw) // 4, zlib.crc32(raw), len(ids), raw)[: len(columns)])
+                    held += len(raw) // 4
+                    if held >= IDS_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, PIECES + ", ids binary" * keep_ids)
 
@@ -91,24 +97,13 @@ def pack(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     pieces is read three times, so pass a written table. No pieces give no rows. All other columns stay."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = pack_histogram(histogram, room)
-    slots = slots.sort_values(["length", "rank"])
-    # one ascending key for (length, rank)
-    span = max(histogram.values(), default=0) + 1
-    shared = pieces.sparkSession.sparkContext.broadcast({"key": (slots["length"] * span + slots["rank"]).to_numpy(), **{c: slots[c].to_numpy() for c in ("rank", "sequence", "offset")}})
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot = shared.value
-        for pdf in batches:
-            at = np.searchsorted(slot["key"], (pdf["length"] * span + pdf["rank"]).to_numpy(), side="right") - 1
-            pdf = pdf.astype({"doc_id": "Int64"})
-            pdf["sequence_id"] = slot["sequence"][at] + pdf["rank"].to_numpy() - slot["rank"][at]
-            pdf["offset"] = slot["offset"][at]
-            yield pdf.drop(columns="rank")
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked(pieces, max(histogram.values(), default=0)).select(*pieces.columns, "rank").mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    slots = pieces.sparkSession.createDataFrame(slots[["length", "rank", "sequence", "offset", "count"]].values.tolist(), "length long, rank long, sequence long, offset long, count long")
+    # a length has some tens of slots, one of which holds a rank; ids don't leave the JVM
+    slot, rank = F.struct("rank", "sequence", "offset", "count").alias("_slot"), F.col("rank") - F.col("_slot.rank")
+    placed = ranked(pieces, max(histogram.values(), default=0)).join(F.broadcast(slots.select("length", slot)), "length").filter((rank >= 0) & (rank < F.col("_slot.count")))
+    return placed.select(*pieces.columns, (F.col("_slot.sequence") + rank).alias("sequence_id"), F.col("_slot.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, vocabulary: str = VOCABULARY, keep_ids: bool = True) -> DataFrame:
     """Documents cut, written once, and packed."""
-    return pack(written(token_pieces(docs, id_col, text_col, room, vocabulary, keep_ids), "pieces"), room)
+    return pack(written(token_pieces(docs, id_col, text_col, room, vocabulary, keep_ids), "pieces", BATCH_BYTES), room)

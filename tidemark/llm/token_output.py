@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, new_dir, written
+from tidemark.llm.packing import BATCH_BYTES
 from tidemark.llm.tokens import VOCABULARY, encoder
 
 STRIDE = 1024
@@ -83,7 +84,7 @@ def write_training_order(docs: DataFrame, path: str, key: int = 1, id_col: str =
 
     The sequences are written once before they are numbered, so a task that runs again can't change a number. Only the
     counts of the tasks reach the driver. The order depends on the key and on how the input is split."""
-    sequences = written(token_sequences(docs, id_col, text_col, stride, vocabulary), "sequences")
+    sequences = written(token_sequences(docs, id_col, text_col, stride, vocabulary), "sequences", BATCH_BYTES)
     counts = sorted((r["part"], r["n"]) for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect())
     first, n = {}, 0
     for part, size in counts:

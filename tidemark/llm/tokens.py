@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import public_tokenizers
@@ -22,13 +22,17 @@ class Encoder:
     goes through the tokenizer file itself, which has an id for it."""
 
     def __init__(self, name: str = VOCABULARY):
-        path = public_tokenizers.path(f"{name}.json")
-        with open(path, encoding="utf-8") as f:
+        self.path = public_tokenizers.path(f"{name}.json")
+        with open(self.path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
+
+    @cached_property
+    def exact(self) -> Tokenizer:
+        """Read when the first text needs it."""
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str | None) -> np.ndarray:
         """The text's ids and END_ID, as uint32. A null text is an empty one."""
